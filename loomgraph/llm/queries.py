@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import packing, simhash, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,14 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_ids(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op6_token_ids": op6_token_ids, "op10_packing": op10_packing}
+QUERIES: dict[str, Query] = {"op6_token_ids": op6_token_ids, "op7_simhash": op7_simhash, "op10_packing": op10_packing}
 
 SQL: dict[str, str] = {}
