@@ -146,5 +146,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hex_of(data: bytes) -> str:
-    return data.hex()
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int) -> DataFrame:
+    """doc_id, text and y of at most `limit` labelled documents: those whose ids have the smallest hashes.
+
+    Ids whose remainder is held_out, null ids, and labels other than 0 and 1 are left out; an id with several labels has
+    the commoner one, and 1 when they are even. The sample is broadcast: `limit` bounds it.
+    """
+    ids = labels.select(labels["doc_id"].cast("long").alias("_id"), labels[label].cast("int").alias("_y"))
+    ids = ids.filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (id_remainder(F.col("_id"), modulus) != held_out))
+    ids = ids.groupBy("_id").agg(F.round(F.avg("_y")).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
+    return texts(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_y").alias("y"))
+
+
+def scored(docs: DataFrame, score, text_col: str = "text", kind: str = "double") -> Column:
+    """A column with what score makes of the texts of docs, batch by batch, next to all the other columns."""
+
+    @F.arrow_udf(kind)
+    def each(text: pa.Array) -> pa.Array:
+        out = [np.zeros(0, float if kind == "double" else np.int64)]
+        for part in batches(iter([pa.record_batch([text], ["text"])])):
+            out.append(score(column(part, "text")))
+        return pa.array(np.concatenate(out))
+
+    return each(F.coalesce(docs[text_col], F.lit("")))

@@ -278,3 +278,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """Of each component one row of docs stays, with all its columns: that of the smallest doc_id (null: the largest), then fingerprint."""
+    spark = docs.sparkSession
+    path = common.scratch(spark, "simhash-kept")
+    marked = common.settled(fingerprints(docs, shingle), f"{path}/fingerprints")
+    distinct = common.settled(marked.select("fp").distinct(), f"{path}/distinct")
+    sets = components(near_links(distinct, radius), "simhash-sets").withColumnRenamed("u", "fp")
+    rooted = marked.distinct().join(sets, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp"))
+    own = "_fingerprint"
+    while own in docs.columns:
+        own += "_"
+    again = docs.withColumn(own, common.scored(docs, lambda texts: np.array([fingerprint(x, shingle) for x in texts.cast(pa.binary()).to_pylist()], np.int64), kind="long"))
+    one = again.join(first, again["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (again[own] == F.col("_fp")), "left_semi")
+    return one.dropDuplicates(["doc_id", own]).drop(own)
