@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, token_files, toxicity
+from . import media, packing, quality, simhash, token_files, toxicity, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.own_rules(spark))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(table(spark, sf_dir, "documents"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_ids(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op6_token_ids": op6_token_ids, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op3_url_rules": op3_url_rules, "op4_media": op4_media, "op6_token_ids": op6_token_ids, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_url_rules": url_rules.SQL}
