@@ -55,7 +55,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> None
     tie = F.xxhash64("text")
     dealt = common.texts(docs).withColumn("_tie", tie).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
     options = {
-        "compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.row.count.limit": str(PAGE_ROWS),
+        "compression": "lz4_raw", "parquet.writer.version": "v2", "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.row.count.limit": str(PAGE_ROWS),
         "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#start_in_part": "false", "parquet.enable.dictionary#n_tokens": "false",
     }
     dealt.mapInArrow(encode, FILE_SCHEMA).write.options(**options).parquet(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from functools import cache
 
@@ -12,7 +11,9 @@ CACHE_ENTRIES = 500_000
 #: Longer words are encoded without being kept.
 CACHED_WORD = 48
 
-_PLAIN = re.compile("([A-Za-zÀ-ɏ]+)([!-/:-@\\[-`{-~]*)")
+#: Below it, what Python calls a letter is one for the library too, and has a byte map of at most two bytes.
+LETTERS_END = "\u0250"
+MARKS = frozenset(",.;:!?")
 
 
 def default_vocabulary() -> str:
@@ -31,11 +32,10 @@ class _Kept:
         if (got := self.new.get(key)) is None:
             if (got := self.old.get(key)) is None:
                 got = self.make(key)
-            if len(key) > CACHED_WORD:
-                return got
-            if len(self.new) >= CACHE_ENTRIES:
-                self.old, self.new = self.new, {}
-            self.new[key] = got
+            if len(key) <= CACHED_WORD:
+                if len(self.new) >= CACHE_ENTRIES:
+                    self.old, self.new = self.new, {}
+                self.new[key] = got
         return got
 
 
@@ -73,14 +73,19 @@ class Encoder:
         return b"".join([self._mapped(mapped) for mapped, _ in self.pre.pre_tokenize_str(text)])
 
     def _part(self, lead: str, part: str) -> bytes:
-        if (m := _PLAIN.fullmatch(part)) and (head := m[1]).isalpha():
-            got = self.pieces.find(lead + head)
-            return got + self.pieces.find(m[2]) if m[2] else got
+        """Letters, or letters and one mark, are pieces as they stand; the library cuts all else."""
+        if part.isalpha():
+            if part.isascii() or max(part) < LETTERS_END:
+                return self.pieces.find(lead + part)
+        elif part[-1] in MARKS and (head := part[:-1]).isalpha() and (head.isascii() or max(head) < LETTERS_END):
+            return self.pieces.find(lead + head) + self.pieces.find(part[-1])
         return self._span(lead + part)
 
     def _word(self, word: str) -> bytes:
         """Of a space and then word."""
-        if "\n" in word and not word[-1].isspace():
+        if word.isalpha() or "\n" not in word:
+            return self._part(" ", word)
+        if not word[-1].isspace():
             first, *rest = word.split("\n")
             if not first[-1].isspace() and all(x and not (x[0].isspace() or x[-1].isspace()) for x in rest):
                 return self._part(" ", first) + b"".join([self.pieces.find("\n") + self._part("", x) for x in rest])
