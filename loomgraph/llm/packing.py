@@ -34,21 +34,20 @@ PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 
 def pieces(docs: DataFrame, vocabulary: str, sequence: int) -> DataFrame:
-    end = np.array([END_ID], "<u4").tobytes()
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, encode, seen = TaskContext.get().partitionId(), encoder(vocabulary).encode, np.zeros(sequence + 1, np.int64)
-        for batch in common.batches(parts, limit=common.BATCH_BYTES // 4):
-            rows = []
-            for doc, text in zip(common.column(batch, "doc_id").to_pylist(), common.column(batch, "text").to_pylist(), strict=True):
-                ids = memoryview(encode(text) + end)
-                n = len(ids) // 4
+        own, seen = TaskContext.get().partitionId(), np.zeros(sequence + 1, np.int64)
+        for batch in common.batches(parts, limit=common.BATCH_BYTES // 2):
+            flat, counts = encoder(vocabulary).encode(common.column(batch, "text"), END_ID)
+            data, begin, rows = memoryview(flat).cast("B"), 0, []
+            for doc, n in zip(common.column(batch, "doc_id").to_pylist(), counts.tolist(), strict=True):
                 at, k = 0, 0
                 while at < n:
                     length = (n - at) % sequence or sequence
-                    rows.append((doc, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), own, int(seen[length])))
+                    rows.append((doc, k, at, length, zlib.crc32(data[4 * (begin + at) : 4 * (begin + at + length)]), own, int(seen[length])))
                     seen[length] += 1
                     at, k = at + length, k + 1
+                begin += n
             if rows:
                 doc, k, at, length, crc, part, rank = zip(*rows, strict=True)
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (at, length, crc)), pa.array(part, pa.int32()), pa.array(rank, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank_in_part"])

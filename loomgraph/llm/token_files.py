@@ -31,26 +31,23 @@ ROW_GROUP_BYTES, PAGE_ROWS = 32 << 20, 2_000
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
-def lists(values: bytes, lengths: np.ndarray) -> pa.Array:
+def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    flat = pa.Array.from_buffers(pa.int32(), len(values) // 4, [None, pa.py_buffer(values)])
-    return pa.ListArray.from_arrays(pa.array(offsets), flat)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     """Encode docs (doc_id, text) into files at path, in ascending doc_id order over the files' names."""
     vocabulary = vocabulary or default_vocabulary()
-    end = np.array([END_ID], "<u4").tobytes()
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, encode_one, before = TaskContext.get().partitionId(), encoder(vocabulary).encode, 0
-        for batch in common.batches(parts, limit=common.BATCH_BYTES // 4):
-            ids = [encode_one(t) + end for t in common.column(batch, "text").to_pylist()]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        own, before = TaskContext.get().partitionId(), 0
+        for batch in common.batches(parts, limit=common.BATCH_BYTES // 2):
+            ids, counts = encoder(vocabulary).encode(common.column(batch, "text"), END_ID)
             starts = before + np.cumsum(counts) - counts
             before += int(counts.sum())
-            yield pa.record_batch([common.column(batch, "doc_id"), pa.array(np.full(len(ids), own, np.int32)), pa.array(starts), pa.array(counts), lists(b"".join(ids), counts)], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+            yield pa.record_batch([common.column(batch, "doc_id"), pa.array(np.full(len(counts), own, np.int32)), pa.array(starts), pa.array(counts), lists(ids, counts)], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
     tie = F.xxhash64("text")
     dealt = common.texts(docs).withColumn("_tie", tie).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")

@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding by the tokenizers library, with what each word encodes to kept in a bounded cache."""
+"""Byte-level BPE encoding by the tokenizers library, with what each chunk of text encodes to kept in a bounded cache."""
 
 from __future__ import annotations
 
@@ -6,10 +6,15 @@ import os
 from array import array
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+
+from .common import binary_array, flat
+
 #: Entries that one generation of a cache holds; two generations are kept.
-CACHE_ENTRIES = 500_000
-#: Longer words are encoded without being kept.
-CACHED_WORD = 48
+CACHE_ENTRIES = 400_000
+#: Longer chunks are encoded without being kept.
+CACHED_CHARS = 48
 
 #: Below it, what Python calls a letter is one for the library too, and has a byte map of at most two bytes.
 LETTERS_END = "\u0250"
@@ -32,7 +37,7 @@ class _Kept:
         if (got := self.new.get(key)) is None:
             if (got := self.old.get(key)) is None:
                 got = self.make(key)
-            if len(key) <= CACHED_WORD:
+            if len(key) <= CACHED_CHARS:
                 if len(self.new) >= CACHE_ENTRIES:
                     self.old, self.new = self.new, {}
                 self.new[key] = got
@@ -44,7 +49,7 @@ class Encoder:
 
     A byte-level BPE never merges over the edges that its pre-tokenizer sets. One such edge always stands before a space
     that a character other than white space follows, and on both sides of a line feed that stands alone. Texts are cut
-    there; the library's model encodes each piece, and pieces' and words' ids are kept.
+    there; of a batch each distinct chunk is looked up once, and the library's model encodes the pieces of new ones.
     """
 
     def __init__(self, path: str):
@@ -60,7 +65,7 @@ class Encoder:
         self.shown |= {b: whole.pre_tokenize_str(chr(b))[0][0][1] for b in range(128, 192)}
         self.shown |= {b: whole.pre_tokenize_str(bytes([b, 128]).decode())[0][0][0] for b in range(194, 224)}
         self.pieces = _Kept(self._piece)
-        self.words = _Kept(self._word)
+        self.chunks = _Kept(self._chunk)
 
     def _mapped(self, mapped: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
@@ -81,41 +86,62 @@ class Encoder:
             return self.pieces.find(lead + head) + self.pieces.find(part[-1])
         return self._span(lead + part)
 
-    def _word(self, word: str) -> bytes:
-        """Of a space and then word."""
-        if word.isalpha() or "\n" not in word:
-            return self._part(" ", word)
-        if not word[-1].isspace():
-            first, *rest = word.split("\n")
-            if not first[-1].isspace() and all(x and not (x[0].isspace() or x[-1].isspace()) for x in rest):
-                return self._part(" ", first) + b"".join([self.pieces.find("\n") + self._part("", x) for x in rest])
-        return self._part(" ", word)
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        got = list(map(self.words.new.get, rest))
-        if None in got:
-            find = self.words.find
-            for k in [k for k, ids in enumerate(got) if ids is None]:
-                word = rest[k]
-                if not word or word[0].isspace():
-                    return self._spaced(first, rest)
-                got[k] = find(word)
-        return (self._span(first) if first else b"") + b"".join(got)
-
-    def _spaced(self, first: str, rest: list[str]) -> bytes:
-        """As encode, for texts where a space stands beside other white space: no cut is made before such a space."""
-        cuts = [[first]]
-        for word in rest:
-            if word and not word[0].isspace():
-                cuts.append([word])
-            else:
-                cuts[-1].append(word)
-        head, *tail = [" ".join(x) for x in cuts]
-        find = self.words.find
-        return (self._span(head) if head else b"") + b"".join([find(x) for x in tail])
+    def _chunk(self, chunk: str) -> bytes:
+        return self._part(" ", chunk[1:]) if chunk[0] == " " and len(chunk) > 1 else self._part("", chunk)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has; end follows each text's ids."""
+        raw, at = flat(texts)
+        begins = cuts(raw, at)
+        coded = binary_array(raw, np.diff(np.append(begins, len(raw)))).dictionary_encode()
+        code, find = coded.indices.to_numpy(zero_copy_only=False), self.chunks.find
+        found = [find(x) for x in coded.dictionary.cast(pa.string()).to_pylist()]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = sizes[code]
+        out = ids[spread((np.cumsum(sizes) - sizes)[code], each)]
+        sums = np.concatenate([[0], np.cumsum(each)])
+        bounds = sums[np.searchsorted(begins, at)]
+        counts = np.diff(bounds)
+        if end is None:
+            return out, counts
+        ended = np.full(len(out) + len(counts), end, "<u4")
+        ended[np.arange(len(out)) + np.repeat(np.arange(len(counts)), counts)] = out
+        return ended, counts + 1
+
+
+def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[k], begins[k] + 1, ... for sizes[k] numbers, one k after another."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+#: The first two bytes of characters of white space above ASCII (and of others, where a cut is then left out).
+_WIDE = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
+#: Bytes that may end such a character.
+_WIDE_END = np.zeros(256, bool)
+_WIDE_END[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+
+
+def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where chunks begin: at texts, at spaces before anything but white space, and on both sides of a lone line feed."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    following = np.append(raw[1:], 32)
+    solid = ~_WHITE[following]  # what follows a byte is not white space, nor in another text
+    third = np.append(raw[2:], [0, 0])[: len(raw)]
+    for a, b in _WIDE:
+        solid &= ~((following == a) & (third == b))
+    starts = at[:-1][np.diff(at) > 0]
+    solid[starts[1:] - 1] = False
+    before = np.concatenate([[True], _WHITE[raw[:-1]] | _WIDE_END[raw[:-1]]])
+    before[starts] = True
+    cut = (raw == 32) & solid
+    lone = np.flatnonzero((raw == 10) & solid & ~before)
+    cut[lone] = cut[lone + 1] = True
+    cut[starts] = True
+    return np.flatnonzero(cut)
 
 
 @cache
