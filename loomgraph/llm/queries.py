@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, quality, simhash, token_files, toxicity, url_rules
+from . import media, packing, prefix_hash, quality, simhash, token_files, toxicity, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.compare_to_next(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -42,6 +46,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op3_url_rules": op3_url_rules, "op4_media": op4_media, "op6_token_ids": op6_token_ids, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op3_url_rules": op3_url_rules, "op4_media": op4_media, "op6_token_ids": op6_token_ids, "op7_simhash": op7_simhash, "op8_prefix_hash": op8_prefix_hash, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 SQL: dict[str, str] = {"op3_url_rules": url_rules.SQL}

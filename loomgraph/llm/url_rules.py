@@ -82,7 +82,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     held = held.withColumn("key", host_key(F.col("host"))).withColumn("range", F.explode(F.arrow_udf(of_rule, "array<int>")("key")))
     held = held.withColumns({"page_id": F.lit(None).cast(urls.schema["page_id"].dataType), "kind": F.lit(0), "salt": F.lit(0).cast("long")})
     both = dealt.unionByName(held)
-    swept = both.repartition(ranges, "range").sortWithinPartitions("range", "key", "kind").select("page_id", "host", "path", "key", "kind", "range", "verdict")
+    swept = both.repartitionById(len(at) + 1, F.col("range")).sortWithinPartitions("range", "key", "kind").select("page_id", "host", "path", "key", "kind", "range", "verdict")
     kind = urls.schema["page_id"].dataType.simpleString()
 
     def sweep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
