@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, prefix_hash, quality, simhash, token_files, toxicity, url_rules
+from . import media, packing, ppm, prefix_hash, quality, simhash, token_files, toxicity, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_ids(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op3_url_rules": op3_url_rules, "op4_media": op4_media, "op6_token_ids": op6_token_ids, "op7_simhash": op7_simhash, "op8_prefix_hash": op8_prefix_hash, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op3_url_rules": op3_url_rules, "op4_media": op4_media, "op5_ppm": op5_ppm, "op6_token_ids": op6_token_ids, "op7_simhash": op7_simhash, "op8_prefix_hash": op8_prefix_hash, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 SQL: dict[str, str] = {"op3_url_rules": url_rules.SQL}
