@@ -3,7 +3,9 @@
 A text is its words (A-Z lower-cased; runs of bytes other than white space), each followed by a space, and a line feed
 at the end, which no word contains. The model predicts these bytes one by one from the bytes before them in the word, up to ORDER;
 a word's beginning is a context of its own. Word boundaries and the end mark are predicted too, so the scores are
-probabilities of token sequences, as those of the base are.
+probabilities of token sequences, as those of the base are. Above the bytes stands one longer context: the tokens fall into
+segments (a token whose hash with the one before it is 0 modulo SEGMENT ends one), and a segment that followed the
+same segment in training is predicted whole, which is what makes copied passages cheap; else it escapes to the bytes.
 
 Training text is gathered whole, as counts that follow the corpus:
 
@@ -16,7 +18,8 @@ Training text is gathered whole, as counts that follow the corpus:
    with probability d * D / N, where d = n1 / (n1 + 2 n2) is estimated from the level's counts of counts. After an escape, the
    bytes that the longer context had are excluded: the shorter context's counts are renormalised without them. The last
    escape leads to the bytes that never occurred, all equally likely.
-4. Scores. Each pair gets its code length by joining levels; each shard adds up its words' pairs, and sends every block
+4. Segments. Pairs of (segment before, segment), as hashes, are dealt out by the former's hash and counted in training text.
+5. Scores. Each pair gets its code length by joining levels; each shard adds up its words' pairs, and sends every block
    the counts and code lengths of its words. Each block adds up its documents' words.
 
 Nothing but level-wide constants meets on the driver. A block holds at most BLOCK_BYTES of text (or one document) and
@@ -45,14 +48,45 @@ BLOCK_BYTES = 16 << 20
 SHARD_WORDS = 1_000_000
 END = b"\n"
 
-BLOCKS = "block string, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, codes binary, words array<binary>, counts array<long>"
+BLOCKS = "block string, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, codes binary, words array<binary>, counts array<long>, segments binary, n_segments array<long>, events array<struct<shard:int,at:binary,before:binary,segment:binary,train:binary>>"
+
+SEGMENT = 8
+#: Hashes of the end mark and of what stands before a document. Fixed values.
+END_HASH, START_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _binary(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-def blocks(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
+def word_hashes(words: pa.Array) -> np.ndarray:
+    raw, at = common.flat(words)
+    size = np.diff(at)
+    with np.errstate(over="ignore"):
+        place = (spread(np.zeros(len(size), np.int64), size) + 1).astype(np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix64(raw.astype(np.uint64) + (place << np.uint64(8))))])
+        return common.mix64(sums[at[1:]] - sums[at[:-1]])
+
+
+def segments(token: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of token hashes, with each document's first token: segments' first tokens, hashes and predecessors, and first segments."""
+    n = len(token)
+    with np.errstate(over="ignore"):
+        ended = np.zeros(n, bool)
+        ended[1:] = common.mix64(token[1:] + token[:-1] * _FACTOR) % np.uint64(SEGMENT) == 0
+        first = np.concatenate([[True], ended[:-1]])
+        first[begins] = True
+        at = np.flatnonzero(first)
+        place = (np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))).astype(np.uint64)
+        own = common.mix64(np.add.reduceat(common.mix64(token + place * _FACTOR), at))
+    before = np.concatenate([[START_HASH], own[:-1]])
+    doc_first = np.searchsorted(at, begins)
+    before[doc_first] = START_HASH
+    return at, own, before, doc_first
+
+
+def blocks(docs: DataFrame, modulus: int, held_out: int, event_shards: int) -> DataFrame:
     """One row per block: its documents, the codes of their words one after another, and its words with their training counts."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +100,19 @@ def blocks(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
             n = np.diff(found.starts)
             train = ~np.repeat(np.asarray(out), n)
             counts = np.bincount(found.codes[train], minlength=len(found.vocab))
+            token = np.full(len(found.codes) + len(n), END_HASH)
+            token[np.arange(len(found.codes)) + np.repeat(np.arange(len(n)), n)] = word_hashes(found.vocab)[found.codes]
+            begins = np.cumsum(n + 1) - (n + 1)
+            at, own, before, doc_first = segments(token, begins)
+            in_train = ~np.repeat(np.asarray(out), np.diff(np.append(doc_first, len(at))))
+            shard = (before % np.uint64(event_shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[order], np.arange(event_shards + 1))
+            events = [{"shard": k, "at": _binary(x.astype("<u4")), "before": _binary(before[x]), "segment": _binary(own[x]), "train": _binary(in_train[x].astype(np.uint8))} for k, a, b in zip(range(event_shards), cut[:-1], cut[1:], strict=True) if a < b for x in (order[a:b],)]
+            kind = pa.struct([("shard", pa.int32()), *((x, pa.binary()) for x in ("at", "before", "segment", "train"))])
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.record_batch([pa.array([uuid.uuid4().hex]), one(ids), one(out), one(pa.array(n + 1)), pa.array([_binary(found.codes.astype("<u4"))], pa.binary()), one(found.vocab), one(pa.array(counts))], [x.split()[0] for x in BLOCKS.split(", ")])
+            more = [pa.array([_binary(np.diff(np.append(at, len(token))).astype("<u4"))], pa.binary()), one(pa.array(np.diff(np.append(doc_first, len(at))))), one(pa.array(events, kind))]
+            return pa.record_batch([pa.array([uuid.uuid4().hex]), one(ids), one(out), one(pa.array(n + 1)), pa.array([_binary(found.codes.astype("<u4"))], pa.binary()), one(found.vocab), one(pa.array(counts)), *more], [x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in common.batches(parts):
             more = len(common.flat(common.column(batch, "text"))[0])
@@ -196,6 +241,50 @@ def code_lengths(deepest: DataFrame) -> DataFrame:
     return found.unionByName(last)
 
 
+# Segments -------------------------------------------------------------------------------------------------------------
+
+
+def counted(events: DataFrame) -> DataFrame:
+    """Events (shard, block, at, before, segment, train) as (block, at, n, total, kinds): the training counts of each event's pair,
+    of all pairs with its predecessor, and of distinct ones; ones, twos: pairs of the shard that were seen so often."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            block, at, before, own, train = zip(*held, strict=True)
+            sizes = np.array([len(x) // 4 for x in at])
+            before, own, train = (np.concatenate([np.frombuffer(x, t) for x in y]) for y, t in ((before, np.uint64), (own, np.uint64), (train, np.uint8)))
+            order = np.lexsort((own, before))
+            b, o = before[order], own[order]
+            new_b = np.concatenate([[True], b[1:] != b[:-1]])
+            new = new_b | np.concatenate([[True], o[1:] != o[:-1]])
+            pair, node = np.cumsum(new) - 1, np.cumsum(new_b) - 1
+            n = np.bincount(pair, train[order])
+            total = np.bincount(node, train[order])
+            kinds = np.bincount(node[new], n > 0)
+            out = np.zeros((3, len(order)), np.uint32)
+            out[:, order] = n[pair], total[node], kinds[node]
+            cut = np.cumsum(sizes) - sizes
+            tell = [[_binary(row[a : a + m]) for a, m in zip(cut, sizes, strict=True)] for row in out]
+            ones, twos = (np.zeros(len(block), np.int64) for _ in range(2))
+            ones[0], twos[0] = (n == 1).sum(), (n == 2).sum()
+            yield pa.record_batch([pa.array(block), pa.array(at, pa.binary()), *(pa.array(x, pa.binary()) for x in tell), pa.array(ones), pa.array(twos)], ["of_block", "at", "n", "total", "kinds", "ones", "twos"])
+
+        for batch in parts:
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and shard != now:
+                    yield from flush()
+                    held.clear()
+                now = shard
+                held.append(row)
+        if held:
+            yield from flush()
+
+    rows = events.sortWithinPartitions("shard").select("shard", "block", "at", "before", "segment", "train")
+    return rows.mapInArrow(count, "of_block string, at binary, n binary, total binary, kinds binary, ones long, twos long")
+
+
 # Documents ------------------------------------------------------------------------------------------------------------
 
 COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -205,10 +294,16 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
     """COLUMNS, one row per row of docs. Documents whose id's remainder is held_out are not learned from."""
     spark = docs.sparkSession
     path = common.scratch(spark, "ppm")
-    made = common.settled(blocks(docs, modulus, held_out), f"{path}/blocks", compression="zstd")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    event_shards = max(partitions, common.texts(docs).rdd.getNumPartitions())
+    made = common.settled(blocks(docs, modulus, held_out, event_shards), f"{path}/blocks", compression="zstd")
+    events = made.select("block", F.explode("events").alias("e")).select("block", "e.*").repartitionById(event_shards, F.col("shard"))
+    seen = common.settled(counted(events), f"{path}/segments", compression="zstd")
+    often = seen.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).collect()[0]
+    discount = min(0.95, max(0.1, often["ones"] / (often["ones"] + 2 * often["twos"]))) if often["ones"] else 0.1
     sizes = made.agg(F.sum(F.size("words")).alias("words"), F.sum(F.aggregate("held_out", F.lit(0).cast("long"), lambda a, x: a + F.when(x, 0).otherwise(1))).alias("ends")).collect()[0]
     ends = sizes["ends"] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes["words"] or 0) // SHARD_WORDS))
+    n = max(partitions, -(-(sizes["words"] or 0) // SHARD_WORDS))
     refs = made.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select("block", "code", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     refs = refs.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(n)).cast("int")).repartitionById(n, F.col("shard"))
     held = common.settled(shards(refs.select("shard", "block", "code", "word", "n")), f"{path}/shards", compression="zstd")
@@ -232,7 +327,7 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
         word, key = pairs(words)
         each = np.bincount(word, by_key[np.searchsorted(keys, key)], len(words))
         at = [np.frombuffer(x, "<u4") for x in refs.field("word").to_pylist()]
-        return pa.table([refs.field("block"), refs.field("code"), pa.array([_binary(counts[x]) for x in at], pa.binary()), pa.array([_binary(each[x]) for x in at], pa.binary())], ["of_block", "code", "n", "lp"])
+        return pa.table([refs.field("block"), refs.field("code"), pa.array([_binary(counts[x]) for x in at], pa.binary()), pa.array([_binary(each[x]) for x in at], pa.binary())], ["of_block", "code", "count", "lp"])
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         codes = np.frombuffer(left.column("codes")[0].as_py(), "<u4")
@@ -240,12 +335,29 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
         n_tokens = n_tokens.to_numpy(zero_copy_only=False)
         kinds_here = int(codes.max()) + 1 if len(codes) else 0
         count, lp = np.zeros(kinds_here, np.int64), np.zeros(kinds_here)
-        for c, x, y in zip(*(right.column(x).to_pylist() for x in ("code", "n", "lp")), strict=True):
-            at = np.frombuffer(c, "<u4")
-            count[at], lp[at] = np.frombuffer(x, np.int64), np.frombuffer(y)
+        for c, x, y in zip(*(right.column(x).to_pylist() for x in ("code", "count", "lp")), strict=True):
+            if c is not None:
+                at = np.frombuffer(c, "<u4")
+                count[at], lp[at] = np.frombuffer(x, np.int64), np.frombuffer(y)
         doc = np.repeat(np.arange(len(ids)), n_tokens - 1)
-        sums = [np.bincount(doc, x[codes], len(ids)) for x in (count > 0, base(count), lp)]
-        return pa.table([ids, out, pa.array(n_tokens), pa.array(sums[0].astype(np.int64) + (ends > 0)), pa.array(np.full(len(ids), total)), pa.array(sums[1] + base(ends)), pa.array(sums[2] + end_lp)], [x.split()[0] for x in COLUMNS.split(", ")])
-
-    told = held.groupBy("shard").cogroup(priced.groupBy("of")).applyInArrow(price, "of_block string, code binary, n binary, lp binary")
-    return made.select("block", "doc_id", "held_out", "n_tokens", "codes").groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(add, COLUMNS)
+        sums = [np.bincount(doc, x[codes], len(ids)) for x in (count > 0, base(count))]
+        # Tokens' code lengths by the bytes, end marks included, added up by segment.
+        token = np.full(len(codes) + len(ids), end_lp)
+        token[np.arange(len(codes)) + doc] = lp[codes]
+        sizes = np.frombuffer(left.column("segments")[0].as_py(), "<u4").astype(np.int64)
+        spelt = np.add.reduceat(token, np.cumsum(sizes) - sizes)
+        n, all_n, kinds = (np.zeros(len(sizes)) for _ in range(3))
+        for where, x, y, z in zip(*(right.column(c).to_pylist() for c in ("at", "n", "total", "kinds")), strict=True):
+            if where is not None:
+                at = np.frombuffer(where, "<u4")
+                n[at], all_n[at], kinds[at] = (np.frombuffer(v, np.uint32) for v in (x, y, z))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            whole = np.log10((n - discount) / all_n)
+            escape = np.where(all_n > 0, np.log10(discount * kinds / all_n), 0.0)
+        each = np.where(n > 0, whole, escape + spelt)
+        by_doc = np.repeat(np.arange(len(ids)), left.column("n_segments").combine_chunks()[0].values.to_numpy(zero_copy_only=False))
+        return pa.table([ids, out, pa.array(n_tokens), pa.array(sums[0].astype(np.int64) + (ends > 0)), pa.array(np.full(len(ids), total)), pa.array(sums[1] + base(ends)), pa.array(np.bincount(by_doc, each, len(ids)))], [x.split()[0] for x in COLUMNS.split(", ")])
+
+    told = held.groupBy("shard").cogroup(priced.groupBy("of")).applyInArrow(price, "of_block string, code binary, count binary, lp binary")
+    told = told.unionByName(seen.drop("ones", "twos"), allowMissingColumns=True)
+    return made.select("block", "doc_id", "held_out", "n_tokens", "codes", "segments", "n_segments").groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(add, COLUMNS)
