@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, ppm, prefix_hash, quality, simhash, token_files, toxicity, url_rules
+from . import media, packing, pieces, ppm, prefix_hash, quality, simhash, token_files, toxicity, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.own_rules(spark))
 
@@ -50,6 +54,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op3_url_rules": op3_url_rules, "op4_media": op4_media, "op5_ppm": op5_ppm, "op6_token_ids": op6_token_ids, "op7_simhash": op7_simhash, "op8_prefix_hash": op8_prefix_hash, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_pieces": op2_pieces, "op3_url_rules": op3_url_rules, "op4_media": op4_media, "op5_ppm": op5_ppm, "op6_token_ids": op6_token_ids, "op7_simhash": op7_simhash, "op8_prefix_hash": op8_prefix_hash, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 SQL: dict[str, str] = {"op3_url_rules": url_rules.SQL}
