@@ -1,12 +1,536 @@
-"""The registered queries of the engine, each with its SQL twin where SQL can express it."""
+"""The registered queries of the engine over the driver's tables, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.paths import glob_to_like
+from .functions.symbols import BUCKETS, archetype, arity_fits, confidence, confidence_bucket, same_signature
+from .operators import graph, ranges
+from .operators.ranking import first, fuse, keep_least, numbered
+from .plans import driver_tables as t
+from .plans import search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a function under its name, with SQL that may use the named views."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            recursive = "RECURSIVE " if "RECURSIVE" in sql else ""
+            body = sql.replace("RECURSIVE", "").strip()
+            SQL[f.__name__] = (f"WITH {recursive}" + ", ".join(views) + ("," if body.startswith(",") else "") + body.lstrip(",") if views else body) if not body.startswith("WITH") else body
+        return f
+
+    return put
+
+
+# Counts and listings --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT repo, count(*) AS symbols FROM sym GROUP BY repo", t.SYMBOLS)
+def symbol_count(spark, d):
+    return t.symbols(spark, d).groupBy("repo").agg(F.count("*").alias("symbols"))
+
+
+@query("SELECT repo, count(*) AS symbols, count(e.vec_id) AS embedded FROM sym s LEFT JOIN embeddings e ON e.vec_id = s.id GROUP BY repo", t.SYMBOLS)
+def repo_stats(spark, d):
+    s = t.symbols(spark, d).join(t.vectors(spark, d), "id", "left")
+    return s.groupBy("repo").agg(F.count("*").alias("symbols"), F.count("embedding").alias("embedded"))
+
+
+@query("SELECT e.target_id AS id, e.source_id AS neighbour, s.qualified_name, e.kind, e.line, e.resolution FROM edge e JOIN sym s ON s.id = e.source_id", t.SYMBOLS, t.EDGES)
+def incoming_edges(spark, d):
+    s = t.symbols(spark, d).select(F.col("id").alias("source_id"), "qualified_name")
+    return t.edges(spark, d).join(s, "source_id").select(F.col("target_id").alias("id"), F.col("source_id").alias("neighbour"), "qualified_name", "kind", "line", "resolution")
+
+
+@query("SELECT e.source_id AS id, e.target_id AS neighbour, s.qualified_name, e.kind, e.line, e.resolution FROM edge e JOIN sym s ON s.id = e.target_id", t.SYMBOLS, t.EDGES)
+def outgoing_edges(spark, d):
+    s = t.symbols(spark, d).select(F.col("id").alias("target_id"), "qualified_name")
+    return t.edges(spark, d).join(s, "target_id").select(F.col("source_id").alias("id"), F.col("target_id").alias("neighbour"), "qualified_name", "kind", "line", "resolution")
+
+
+@query(
+    """SELECT id, direction, kind, count(*) AS n, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS others FROM (
+      SELECT DISTINCT target_id AS id, 'in' AS direction, kind, source_id AS other FROM edge UNION SELECT DISTINCT source_id, 'out', kind, target_id FROM edge) GROUP BY ALL""",
+    t.EDGES,
+)
+def edge_buckets(spark, d):
+    e = t.edges(spark, d)
+    both = e.select(F.col("target_id").alias("id"), F.lit("in").alias("direction"), "kind", F.col("source_id").alias("other")).union(e.select("source_id", F.lit("out"), "kind", "target_id")).distinct()
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda x: x.cast("string")), ",")
+    return both.groupBy("id", "direction", "kind").agg(F.count("*").alias("n"), listed.alias("others"))
+
+
+@query("SELECT repo, path, count(*) AS symbols, min(start_line) AS first_line, max(end_line) AS last_line FROM sym WHERE path LIKE 'src/service/%' GROUP BY ALL", t.SYMBOLS)
+def list_files_glob(spark, d):
+    s = t.symbols(spark, d).filter(F.col("path").like(glob_to_like("src/service/*")))
+    return s.groupBy("repo", "path").agg(F.count("*").alias("symbols"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"))
+
+
+@query(
+    "SELECT repo, path, kind, type_name, start_line, end_line, row_number() OVER (PARTITION BY repo, path ORDER BY start_line, id) AS place FROM sym", t.SYMBOLS)
+def file_outline(spark, d):
+    return numbered(t.symbols(spark, d), ["repo", "path"], [F.col("start_line"), F.col("id")], "place").select("repo", "path", "kind", "type_name", "start_line", "end_line", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT file, line_no, line_no || ': ' || line AS shown FROM lines WHERE line_no BETWEEN 2 AND 4", t.LINES)
+def read_lines(spark, d):
+    return t.doc_lines(spark, d).filter("line_no between 2 and 4").select("file", F.col("line_no").cast("long").alias("line_no"), F.concat(F.col("line_no").cast("string"), F.lit(": "), "line").alias("shown"))
+
+
+@query(
+    """SELECT file, line_no, line, before, after FROM (
+      SELECT *, lag(line) OVER w AS before, lead(line) OVER w AS after FROM lines WINDOW w AS (PARTITION BY file ORDER BY line_no))
+    WHERE regexp_matches(line, '^[A-Z][a-z]+ (the|la|de|der) ')""",
+    t.LINES,
+)
+def search_pattern_context(spark, d):
+    w = Window.partitionBy("file").orderBy("line_no")
+    rows = t.doc_lines(spark, d).select("file", F.col("line_no").cast("long").alias("line_no"), "line").withColumns({"before": F.lag("line").over(w), "after": F.lead("line").over(w)})
+    return rows.filter(F.col("line").rlike("^[A-Z][a-z]+ (the|la|de|der) "))
+
+
+@query("SELECT repo, count(*) AS matches, count(DISTINCT file) AS files FROM lines WHERE regexp_matches(line, '(?i)idiot|worthless') GROUP BY repo", t.LINES)
+def search_pattern_counts(spark, d):
+    return t.doc_lines(spark, d).filter(F.col("line").rlike("(?i)idiot|worthless")).groupBy("repo").agg(F.count("*").alias("matches"), F.countDistinct("file").alias("files"))
+
+
+# Graph ----------------------------------------------------------------------------------------------------------------
+
+_CLOSURE = """RECURSIVE, parent AS (SELECT source_id, min(target_id) AS target_id FROM edge WHERE kind = 'extends' AND target_id < source_id GROUP BY source_id), up AS (
+  SELECT id AS node, id AS ancestor, 0 AS depth FROM starts
+  UNION SELECT u.node, e.target_id, u.depth + 1 FROM up u JOIN parent e ON e.source_id = u.ancestor WHERE u.depth < 10)
+SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor"""
+
+
+def _extends(spark, d):
+    return t.edges(spark, d).filter("kind = 'extends'").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+
+
+def _parent(spark, d):
+    """Single inheritance: of what a part extends, the smallest with a smaller key."""
+    return _extends(spark, d).filter("target < source").groupBy("source").agg(F.min("target").alias("target"))
+
+
+@query(_CLOSURE, t.SYMBOLS, t.EDGES, "starts AS (SELECT id FROM sym)")
+def hierarchy_closure(spark, d):
+    return graph.closure(t.symbols(spark, d).select(F.col("id").alias("node")), _parent(spark, d))
+
+
+@query(_CLOSURE, t.SYMBOLS, t.EDGES, "starts AS (SELECT id FROM sym WHERE kind <> 'interface')")
+def extends_line(spark, d):
+    return graph.closure(t.symbols(spark, d).filter("kind != 'interface'").select(F.col("id").alias("node")), _parent(spark, d))
+
+
+@query(
+    """RECURSIVE, walk AS (SELECT id AS start, parent_id AS id, 1 AS grp FROM tree WHERE id LIKE 'o%' UNION ALL SELECT w.start, p.parent_id, w.grp + 1 FROM walk w JOIN tree p ON p.id = w.id WHERE w.grp < 10)
+    SELECT start, id, grp FROM walk""",
+    t.TREE,
+)
+def enclosing_walk(spark, d):
+    tree = t.tree(spark, d)
+    return graph.walk_up(tree.filter("id like 'o%'").select(F.col("id").alias("start")), tree)
+
+
+_STEPS = """compat AS (SELECT DISTINCT a.ancestor_id AS cls, b.ancestor_id AS receiver FROM anc a JOIN anc b USING (class_id)),
+steps AS (
+  SELECT target_id AS at, source_id AS id, kind AS edge_kind, resolution, CAST(NULL AS VARCHAR) AS via, CAST(NULL AS BIGINT) AS via_id FROM edge
+  UNION SELECT o.source_id, e.source_id, e.kind, e.resolution, v.qualified_name, v.id FROM edge o JOIN sym m ON m.id = o.source_id JOIN sym v ON v.id = o.target_id
+    JOIN edge e ON e.target_id = o.target_id AND e.kind = 'calls' AND e.resolution IS DISTINCT FROM 'super'
+  WHERE o.kind = 'overrides' AND (e.receiver_class_id IS NULL OR EXISTS (SELECT 1 FROM compat c WHERE c.cls = m.parent_id AND c.receiver = e.receiver_class_id)))"""
+_IMPACT = """walk AS (
+  SELECT id AS seed, id, 0 AS depth FROM seeds
+  UNION SELECT w.seed, s.id, w.depth + 1 FROM walk w JOIN steps s ON s.at = w.id WHERE w.depth < 3 AND s.id <> w.seed),
+impact AS (
+  SELECT * EXCLUDE (place) FROM (
+    SELECT w.seed, s.id, w.depth + 1 AS depth, s.edge_kind, s.resolution, s.via, s.via_id, row_number() OVER (PARTITION BY w.seed, s.id ORDER BY w.depth,
+      CASE WHEN s.edge_kind = 'overrides' THEN 3 WHEN s.via_id IS NOT NULL THEN 2 WHEN s.edge_kind = 'calls' THEN 0 ELSE 1 END, s.edge_kind, s.resolution NULLS LAST, s.via NULLS LAST, s.via_id NULLS LAST) AS place
+    FROM walk w JOIN steps s ON s.at = w.id WHERE w.depth < 3 AND s.id <> w.seed) WHERE place = 1)"""
+_IMPACT_VIEWS = (t.SYMBOLS, t.EDGES, t.ANCESTORS, _STEPS, "seeds AS (SELECT id FROM sym)", _IMPACT)
+
+
+def _impact(spark, d, seeds=None):
+    s = t.symbols(spark, d).select("id", "qualified_name", "parent_id")
+    seeds = t.symbols(spark, d) if seeds is None else seeds
+    return graph.impact(seeds.select(F.col("id").alias("seed")), t.edges(spark, d), s, t.class_ancestors(spark))
+
+
+@query("RECURSIVE SELECT * FROM impact", *_IMPACT_VIEWS)
+def impact_multi_seed(spark, d):
+    return _impact(spark, d)
+
+
+@query(
+    "RECURSIVE SELECT * FROM impact", t.SYMBOLS, t.EDGES, t.ANCESTORS, _STEPS,
+    "seeds AS (SELECT id FROM sym WHERE qualified_name = (SELECT min(qualified_name) FROM sym) ORDER BY repo, path, start_line, id LIMIT 1)", _IMPACT)
+def impact_single(spark, d):
+    s = t.symbols(spark, d)
+    found = s.join(s.agg(F.min("qualified_name").alias("qualified_name")), "qualified_name").orderBy("repo", "path", "start_line", "id").limit(1)
+    return _impact(spark, d, found)
+
+
+@query("RECURSIVE SELECT seed, id, depth, via, via_id FROM impact WHERE via_id IS NOT NULL", *_IMPACT_VIEWS)
+def impact_dispatch(spark, d):
+    return _impact(spark, d).filter("via_id is not null").select("seed", "id", "depth", "via", "via_id")
+
+
+_CONFIDENCE = "least(1.0, round(CASE depth WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 WHEN 3 THEN 0.4 WHEN 4 THEN 0.2 ELSE 0.1 END + CASE WHEN edge_kind IN ('extends', 'implements', 'overrides') THEN 0.2 ELSE 0 END, 6))::DOUBLE"
+
+
+@query(f"RECURSIVE SELECT seed, id, depth, edge_kind, {_CONFIDENCE} AS confidence FROM impact", *_IMPACT_VIEWS)
+def impact_confidence(spark, d):
+    return _impact(spark, d).select("seed", "id", "depth", "edge_kind", confidence(F.col("depth"), F.col("edge_kind")).alias("confidence"))
+
+
+@query(
+    f"""RECURSIVE SELECT bucket, count(c) AS n FROM (VALUES {", ".join(f"('{b}')" for b in BUCKETS)}) v(bucket) LEFT JOIN (SELECT {_CONFIDENCE} AS c FROM impact)
+    ON bucket = CASE WHEN c >= 0.8 THEN '0.8-1.0' WHEN c >= 0.6 THEN '0.6-0.8' WHEN c >= 0.4 THEN '0.4-0.6' WHEN c >= 0.2 THEN '0.2-0.4' ELSE '0.0-0.2' END GROUP BY bucket""",
+    *_IMPACT_VIEWS,
+)
+def confidence_buckets(spark, d):
+    found = _impact(spark, d).groupBy(confidence_bucket(confidence(F.col("depth"), F.col("edge_kind"))).alias("bucket")).agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(b,) for b in BUCKETS], "bucket string").join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("RECURSIVE SELECT seed, depth, count(*) AS hops FROM impact GROUP BY seed, depth", *_IMPACT_VIEWS)
+def hop_counts(spark, d):
+    return _impact(spark, d).groupBy("seed", "depth").agg(F.count("*").alias("hops"))
+
+
+_BASE, _LAST, _PARENT = "regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1)", "string_split(qualified_name, '.')[-1]", "string_split(qualified_name, '.')[-2]"
+
+
+def _archetype_sql() -> str:
+    from .functions.symbols import FOLDERS, SUFFIXES, TEST_PATHS
+
+    outer = "kind IN ('class', 'interface', 'enum', 'object')"
+    names = [f"CASE WHEN {outer} THEN type_name ELSE {_PARENT} END", f"CASE WHEN {outer} THEN {_LAST} ELSE {_BASE} END", f"CASE WHEN {outer} THEN {_BASE} ELSE {_LAST} END"]
+    by_name = [f"WHEN regexp_matches({n}, '{p}') THEN '{k}'" for n in names for k, p in SUFFIXES]
+    return f"CASE WHEN regexp_matches(lower(path), '{TEST_PATHS}') THEN 'test' {' '.join(by_name)} {' '.join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{k}'" for k, p in FOLDERS)} ELSE 'other' END"
+
+
+def _archetype():
+    return archetype(F.col("type_name"), F.col("qualified_name"), F.col("path"), F.col("kind"))
+
+
+@query(f"SELECT id, {_archetype_sql()} AS archetype FROM sym", t.SYMBOLS)
+def archetype_classify(spark, d):
+    return t.symbols(spark, d).select("id", _archetype().alias("archetype"))
+
+
+def _tagged(spark, d):
+    return _impact(spark, d).join(t.symbols(spark, d).select("id", _archetype().alias("archetype")), "id")
+
+
+@query(f"RECURSIVE SELECT seed, {_archetype_sql()} AS archetype, count(*) AS n FROM impact JOIN sym USING (id) GROUP BY ALL", *_IMPACT_VIEWS)
+def archetype_counts(spark, d):
+    return _tagged(spark, d).groupBy("seed", "archetype").agg(F.count("*").alias("n"))
+
+
+@query(f"RECURSIVE SELECT seed, id, depth, archetype FROM (SELECT seed, id, depth, {_archetype_sql()} AS archetype FROM impact JOIN sym USING (id)) WHERE archetype NOT IN ('test', 'dto')", *_IMPACT_VIEWS)
+def archetype_exclude(spark, d):
+    return _tagged(spark, d).filter(~F.col("archetype").isin("test", "dto")).select("seed", "id", "depth", "archetype")
+
+
+@query(
+    """RECURSIVE, direct AS (SELECT DISTINCT target_id AS seed, source_id AS id FROM edge WHERE kind = 'calls')
+    SELECT seed, id, 'direct' AS source FROM direct UNION ALL
+    SELECT seed, id, 'dispatched' FROM impact i WHERE depth = 1 AND via_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM direct x WHERE x.seed = i.seed AND x.id = i.id)""",
+    *_IMPACT_VIEWS,
+)
+def dispatched_callers(spark, d):
+    direct = t.edges(spark, d).filter("kind = 'calls'").select(F.col("target_id").alias("seed"), F.col("source_id").alias("id")).distinct()
+    more = _impact(spark, d).filter("depth = 1 and via_id is not null").select("seed", "id").join(direct, ["seed", "id"], "left_anti")
+    return direct.withColumn("source", F.lit("direct")).unionByName(more.withColumn("source", F.lit("dispatched")))
+
+
+# Retrieval ------------------------------------------------------------------------------------------------------------
+
+_POSTINGS = """post AS (
+  SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_split_to_array(lower(name || ' ' || qualified_name), '[^\\p{L}\\p{N}]+')) AS term FROM sym) WHERE term <> '' GROUP BY ALL),
+qterm AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}]+')) AS term FROM qry) WHERE term <> ''),
+matches AS (
+  SELECT q.query_id, p.id, count(*) AS matched, sum(p.tf) AS tf, any_value(w.wanted) AS wanted FROM qterm q JOIN post p USING (term) JOIN (SELECT query_id, count(*) AS wanted FROM qterm GROUP BY ALL) w USING (query_id) GROUP BY ALL),
+lexical AS (
+  SELECT query_id, id, matched, tf, every FROM (SELECT *, max(CAST(matched = wanted AS INT)) OVER (PARTITION BY query_id) = 1 AS every FROM matches) WHERE matched = wanted OR NOT every),
+fts AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, tf DESC, id) AS place FROM lexical) WHERE place <= 30)"""
+_SEMANTIC = """semantic AS (
+  SELECT * FROM (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place FROM (
+    SELECT q.query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS similarity FROM qry q JOIN embeddings v ON v.vec_id = q.query_id, embeddings e)) WHERE place <= 30)"""
+_NAMES = """names AS (
+  SELECT query_id, id, CAST(CASE WHEN name = query THEN 1.0 WHEN lower(name) = lower(query) THEN 0.9 WHEN starts_with(lower(name), lower(query)) THEN 0.7 WHEN contains(lower(qualified_name), lower(query)) THEN 0.5 END AS DOUBLE) AS rank
+  FROM sym, qry),
+named AS (SELECT * FROM (SELECT query_id, id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) AS place FROM names WHERE rank IS NOT NULL) WHERE place <= 30)"""
+_FUSED = """fused AS (
+  SELECT query_id, id, sum(part) AS score FROM (SELECT query_id, id, 1.0 / (60 + place) AS part FROM fts UNION ALL SELECT query_id, id, 1.0 / (60 + place) FROM semantic UNION ALL SELECT query_id, id, 1.5 / (60 + place) FROM named) GROUP BY ALL)"""
+_BOOST = "CASE kind WHEN 'class' THEN 1.5 WHEN 'interface' THEN 1.5 WHEN 'enum' THEN 1.4 WHEN 'method' THEN 1.2 WHEN 'function' THEN 1.2 WHEN 'property' THEN 0.7 ELSE 1 END"
+_RANKED = f"""ranked AS (
+  SELECT * FROM (SELECT query_id, id, kind, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM (
+    SELECT f.query_id, f.id, s.kind, round(CAST(f.score AS DOUBLE) * CAST({_BOOST} AS DOUBLE), 9) AS score FROM fused f JOIN sym s USING (id))) WHERE place <= 10)"""
+_SEARCH = (t.SYMBOLS, t.QUERIES, _POSTINGS, _SEMANTIC, _NAMES, _FUSED, _RANKED)
+
+
+def _query_vectors(spark, d):
+    return t.search_queries(spark, d).join(t.vectors(spark, d).withColumnRenamed("id", "query_id"), "query_id").select("query_id", "embedding")
+
+
+def _legs(spark, d):
+    s, q = t.symbols(spark, d), t.search_queries(spark, d)
+    return s, {"fts": search.lexical_leg(q, search.postings(s)), "semantic": search.semantic_leg(_query_vectors(spark, d), t.vectors(spark, d)), "name": search.name_leg(q, s)}
+
+
+@query("SELECT query_id, id, matched, CAST(tf AS BIGINT) AS tf FROM lexical WHERE every", t.SYMBOLS, t.QUERIES, _POSTINGS)
+def fts_and(spark, d):
+    return search.lexical(t.search_queries(spark, d), search.postings(t.symbols(spark, d))).filter("every").select("query_id", "id", "matched", "tf")
+
+
+@query("SELECT query_id, id, place FROM fts", t.SYMBOLS, t.QUERIES, _POSTINGS)
+def fts_or_fallback(spark, d):
+    return search.lexical_leg(t.search_queries(spark, d), search.postings(t.symbols(spark, d))).select("query_id", "id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT query_id, id, similarity FROM semantic", t.QUERIES, _SEMANTIC)
+def semantic_topk(spark, d):
+    return search.semantic_leg(_query_vectors(spark, d), t.vectors(spark, d)).select("query_id", "id", "similarity")
+
+
+@query("SELECT query_id, id, rank FROM named", t.SYMBOLS, t.QUERIES, _NAMES)
+def name_match(spark, d):
+    return search.name_leg(t.search_queries(spark, d), t.symbols(spark, d)).select("query_id", "id", "rank")
+
+
+@query("SELECT query_id, id, round(CAST(score AS DOUBLE), 9) AS score FROM fused", *_SEARCH)
+def rrf_fuse(spark, d):
+    _, legs = _legs(spark, d)
+    return fuse([(legs[k], search.WEIGHTS[k]) for k in legs]).select("query_id", "id", F.round("score", 9).alias("score"))
+
+
+@query(f"SELECT id, kind, CAST({_BOOST} AS DOUBLE) AS boost FROM sym", t.SYMBOLS)
+def kind_boost(spark, d):
+    from .functions.symbols import kind_boost as boost
+
+    return t.symbols(spark, d).select("id", "kind", boost(F.col("kind")).cast("double").alias("boost"))
+
+
+@query("SELECT query_id, place, id, kind, score FROM ranked", *_SEARCH)
+def hybrid_search(spark, d):
+    found = search.hybrid(t.search_queries(spark, d), _query_vectors(spark, d), t.symbols(spark, d), t.vectors(spark, d))
+    return found.select("query_id", F.col("place").cast("long").alias("place"), "id", "kind", "score")
+
+
+@query("SELECT query_id, 'fts' AS stage, id, place FROM fts UNION ALL SELECT query_id, 'semantic', id, place FROM semantic UNION ALL SELECT query_id, 'name', id, place FROM named", *_SEARCH)
+def search_trace(spark, d):
+    return search.trace(_legs(spark, d)[1]).select("query_id", "stage", "id", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    """RECURSIVE SELECT r.query_id, r.id, count(i.id) AS affected, count(CASE WHEN i.depth = 1 THEN 1 END) AS direct, any_value(coalesce(x.incoming, 0)) AS incoming
+    FROM ranked r LEFT JOIN impact i ON i.seed = r.id AND i.depth <= 2 LEFT JOIN (SELECT target_id, count(*) AS incoming FROM edge GROUP BY ALL) x ON x.target_id = r.id WHERE r.place <= 5 GROUP BY ALL""",
+    t.SYMBOLS, t.EDGES, t.ANCESTORS, t.QUERIES, _POSTINGS, _SEMANTIC, _NAMES, _FUSED, _RANKED, _STEPS, "seeds AS (SELECT DISTINCT id FROM ranked WHERE place <= 5)", _IMPACT)
+def analyze_ticket(spark, d):
+    from .plans.ticket import analyze
+
+    s = t.symbols(spark, d)
+    found = search.hybrid(t.search_queries(spark, d), _query_vectors(spark, d), s, t.vectors(spark, d), limit=5)
+    return analyze(found, s.select("id", "qualified_name", "parent_id"), t.edges(spark, d), t.class_ancestors(spark)).select("query_id", "id", "affected", "direct", "incoming")
+
+
+# Resolution -----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT source_id, target_id, line, kind, resolution FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, line ORDER BY CASE resolution WHEN 'typed' THEN 0 WHEN 'static' THEN 1 WHEN 'local' THEN 2 WHEN 'chain' THEN 3 WHEN 'super' THEN 4 ELSE 5 END, kind, receiver_class_id NULLS LAST) AS place FROM edge) WHERE place = 1", t.EDGES)
+def strongest_resolution(spark, d):
+    from .plans.resolve import strength
+
+    return first(t.edges(spark, d), ["source_id", "target_id", "line"], [strength(F.col("resolution")), F.col("kind"), F.col("receiver_class_id").asc_nulls_last()]).select("source_id", "target_id", "line", "kind", "resolution")
+
+
+@query(
+    "SELECT source_id, target_id, CASE WHEN count(*) = count(receiver_class_id) AND min(receiver_class_id) = max(receiver_class_id) THEN min(receiver_class_id) END AS receiver_class_id FROM edge WHERE kind = 'calls' GROUP BY ALL", t.EDGES)
+def all_agree_receiver(spark, d):
+    agree = (F.count("*") == F.count("receiver_class_id")) & (F.min("receiver_class_id") == F.max("receiver_class_id"))
+    return t.edges(spark, d).filter("kind = 'calls'").groupBy("source_id", "target_id").agg(F.when(agree, F.min("receiver_class_id")).alias("receiver_class_id"))
+
+
+@query("SELECT l_orderkey AS site, l_suppkey AS class, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS grp FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)")
+def derived_groups(spark, d):
+    rows = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_suppkey").alias("class")).distinct()
+    return rows.withColumn("grp", F.dense_rank().over(Window.partitionBy("site").orderBy("class")).cast("long"))
+
+
+@query("SELECT DISTINCT l_orderkey AS site, l_linenumber AS grp, l_partkey AS target FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS least FROM lineitem) WHERE l_linenumber = least")
+def first_group(spark, d):
+    rows = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_linenumber").alias("grp"), F.col("l_partkey").alias("target"))
+    return keep_least(rows, ["site"], "grp").distinct()
+
+
+@query(
+    """SELECT s.id AS site, c.id AS candidate FROM sym s JOIN sym c ON c.repo = s.repo AND c.kind = 'method' AND s.kind = 'class'
+    WHERE (s.start_line % 5 = 0 OR s.start_line % 4 >= c.start_line % 3) AND (s.start_line % 5 = 0 OR c.end_line % 4 = 0 OR s.start_line % 4 <= c.end_line % 4)""", t.SYMBOLS)
+def arity_candidates(spark, d):
+    s = t.symbols(spark, d)
+    sites = s.filter("kind = 'class'").select("repo", F.col("id").alias("site"), F.when(F.col("start_line") % 5 != 0, F.col("start_line") % 4).alias("args"))
+    methods = s.filter("kind = 'method'").select("repo", F.col("id").alias("candidate"), (F.col("start_line") % 3).alias("least"), F.when(F.col("end_line") % 4 != 0, F.col("end_line") % 4).alias("most"))
+    return sites.join(methods, "repo").filter(arity_fits(F.col("args"), F.col("least"), F.col("most"))).select("site", "candidate")
+
+
+@query(
+    """SELECT DISTINCT a.source_id AS method, b.target_id AS overridden FROM edge a JOIN edge b ON b.source_id = a.target_id AND b.kind = 'extends' JOIN sym x ON x.id = a.source_id JOIN sym y ON y.id = b.target_id
+    WHERE a.kind = 'extends' AND x.id <> y.id AND (CASE WHEN x.start_line % 3 <> 0 AND y.start_line % 3 <> 0 THEN x.kind = y.kind ELSE x.parent_id IS NOT DISTINCT FROM y.parent_id END)""",
+    t.SYMBOLS, t.EDGES)
+def override_pairs(spark, d):
+    s = t.symbols(spark, d)
+    e = _extends(spark, d)
+    up = e.join(e.select(F.col("source").alias("target"), F.col("target").alias("top")), "target").select(F.col("source").alias("method"), F.col("top").alias("overridden")).distinct().filter("method != overridden")
+    types = F.when(F.col("start_line") % 3 != 0, F.array("kind")).otherwise(F.array(F.lit(None).cast("string")))
+    shape = lambda key, p: s.select(F.col("id").alias(key), types.alias(f"{p}_types"), F.col("parent_id").alias(f"{p}_bound"))
+    both = up.join(shape("method", "a"), "method").join(shape("overridden", "b"), "overridden")
+    return both.filter(same_signature(F.col("a_types"), F.col("b_types"), (F.col("a_bound"), F.col("a_bound")), (F.col("b_bound"), F.col("b_bound")))).select("method", "overridden")
+
+
+@query(
+    """, cand AS (SELECT DISTINCT l_orderkey AS site, l_partkey AS target FROM lineitem), ext AS (SELECT DISTINCT source_id, target_id FROM edge WHERE kind = 'extends')
+    SELECT site, target FROM cand a WHERE NOT EXISTS (SELECT 1 FROM cand b JOIN ext e ON e.source_id = b.target AND e.target_id = a.target WHERE b.site = a.site AND b.target <> a.target)""", t.EDGES)
+def remove_overridden(spark, d):
+    from .plans.resolve import remove_overridden as drop
+
+    cands = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_partkey").alias("target")).distinct()
+    return drop(cands, _extends(spark, d).distinct())
+
+
+@query(
+    """, claims AS (SELECT l_orderkey AS ref, l_partkey AS target, 1 AS prio, l_linenumber AS depth FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_orderkey, l_partkey, 2, l_linenumber FROM lineitem WHERE l_returnflag = 'N'
+      UNION ALL SELECT l_orderkey, l_partkey, 3, l_linenumber FROM lineitem WHERE l_returnflag = 'R'),
+    head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY prio, depth, target) AS place FROM claims) WHERE place = 1)
+    SELECT ref, target, prio FROM head JOIN sym ON sym.id = target WHERE sym.kind IN ('class', 'interface', 'enum')""", t.SYMBOLS)
+def type_resolution_priority(spark, d):
+    prio = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
+    claims = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ref"), F.col("l_partkey").alias("target"), prio.alias("prio"), F.col("l_linenumber").alias("depth"))
+    head = first(claims, ["ref"], [F.col("prio"), F.col("depth"), F.col("target")])
+    return head.join(t.symbols(spark, d).filter(F.col("kind").isin("class", "interface", "enum")).select(F.col("id").alias("target")), "target").select("ref", "target", "prio")
+
+
+@query(
+    """, imports AS (SELECT DISTINCT c_custkey AS file, 'Brand#' || (c_nationkey % 25 + 1) || '.' || CASE c_mktsegment WHEN 'MACHINERY' THEN 'STANDARD' ELSE 'PROMO' END || '.red_widget' AS import_path FROM customer)
+    SELECT file, import_path, id AS target FROM imports JOIN sym ON qualified_name = import_path""", t.SYMBOLS)
+def exact_imports(spark, d):
+    path = F.concat(F.lit("Brand#"), (F.col("c_nationkey") % 25 + 1).cast("string"), F.lit("."), F.when(F.col("c_mktsegment") == "MACHINERY", "STANDARD").otherwise("PROMO"), F.lit(".red_widget"))
+    imports = t.table(spark, d, "customer").select(F.col("c_custkey").alias("file"), path.alias("import_path")).distinct()
+    return imports.join(t.symbols(spark, d).select(F.col("qualified_name").alias("import_path"), F.col("id").alias("target")), "import_path")
+
+
+@query(
+    """, imports AS (SELECT DISTINCT c_custkey AS file, 'Brand#' || (c_nationkey % 25 + 1) || '.STANDARD' AS package FROM customer)
+    SELECT file, package, id AS target FROM imports JOIN sym ON regexp_replace(qualified_name, '\\.[^.]*$', '') = package WHERE kind IN ('class', 'interface', 'enum') AND id <> file""", t.SYMBOLS)
+def wildcard_imports(spark, d):
+    imports = t.table(spark, d, "customer").select(F.col("c_custkey").alias("file"), F.concat(F.lit("Brand#"), (F.col("c_nationkey") % 25 + 1).cast("string"), F.lit(".STANDARD")).alias("package")).distinct()
+    tops = t.symbols(spark, d).filter(F.col("kind").isin("class", "interface", "enum")).select(F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("package"), F.col("id").alias("target"))
+    return imports.join(tops, "package").filter("target != file").select("file", "package", "target")
+
+
+@query("SELECT l_orderkey AS site, min(l_partkey) AS target FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) = 1")
+def single_reachable(spark, d):
+    rows = t.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("n"), F.min("l_partkey").alias("target"))
+    return rows.filter("n = 1").select(F.col("l_orderkey").alias("site"), "target")
+
+
+# Changes --------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """, hunk AS (SELECT DISTINCT p_brand AS repo, CAST(p_size AS INT) AS first, CAST(p_size + p_partkey % 3 - 1 AS INT) AS last FROM part)
+    SELECT s.id, s.repo, h.first, h.last FROM sym s JOIN hunk h ON h.repo = s.repo AND s.start_line <= h.last AND s.end_line >= h.first""", t.SYMBOLS)
+def hunk_overlap(spark, d):
+    hunks = t.table(spark, d, "part").select(F.col("p_brand").alias("repo"), F.col("p_size").cast("int").alias("first"), (F.col("p_size") + F.col("p_partkey") % 3 - 1).cast("int").alias("last")).distinct()
+    return ranges.overlap(t.symbols(spark, d).select("id", "repo", "start_line", "end_line"), hunks, ["repo"]).select("id", "repo", "first", "last")
+
+
+@query(
+    """SELECT l_orderkey AS file, min(line) AS start_line, max(line) AS end_line FROM (SELECT l_orderkey, line, line - row_number() OVER (PARTITION BY l_orderkey ORDER BY line) AS run FROM (SELECT DISTINCT l_orderkey, l_linenumber AS line FROM lineitem)) GROUP BY l_orderkey, run""")
+def line_runs(spark, d):
+    return ranges.runs(t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")), ["file"])
+
+
+@query("SELECT l_orderkey AS file, min(l_linenumber) AS start_line, max(l_linenumber) AS end_line FROM lineitem GROUP BY l_orderkey")
+def bounding_ranges(spark, d):
+    return ranges.bounds(t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")), ["file"])
+
+
+@query(
+    """SELECT f.id FROM sym f WHERE f.kind = 'property' AND NOT EXISTS (SELECT 1 FROM sym c WHERE c.repo = f.repo AND c.kind IN ('method', 'function') AND c.start_line <= f.start_line AND c.end_line >= f.end_line)""", t.SYMBOLS)
+def drop_local_fields(spark, d):
+    from .plans.changes import drop_local_fields as drop
+
+    s = t.symbols(spark, d).withColumnRenamed("repo", "file_id")
+    return drop(s).filter("kind = 'property'").select("id")
+
+
+@query(
+    """, hit AS (SELECT s.id, s.repo, s.kind, s.start_line, s.end_line, h.line FROM sym s JOIN (SELECT DISTINCT p_brand AS repo, p_size AS line FROM part WHERE p_type = 'SMALL') h ON h.repo = s.repo AND h.line BETWEEN s.start_line AND s.end_line)
+    SELECT repo, line, id FROM (SELECT *, row_number() OVER (PARTITION BY repo, line ORDER BY start_line DESC, end_line, id) AS place FROM hit WHERE kind IN ('class', 'interface', 'enum')) WHERE place = 1""", t.SYMBOLS)
+def container_floor(spark, d):
+    from .plans.changes import innermost
+
+    lines = t.table(spark, d, "part").filter("p_type = 'SMALL'").select(F.col("p_brand").alias("file_id"), F.col("p_size").alias("first"), F.col("p_size").alias("last")).distinct()
+    return innermost(t.symbols(spark, d).withColumnRenamed("repo", "file_id"), lines).select(F.col("file_id").alias("repo"), F.col("first").alias("line"), "id")
+
+
+_KIND_ORDER = "CASE edge_kind WHEN 'calls' THEN 0 WHEN 'overrides' THEN 1 WHEN 'extends' THEN 2 WHEN 'implements' THEN 3 ELSE 4 END"
+_RESOLUTION_ORDER = "CASE WHEN resolution IS NULL THEN 6 WHEN resolution = 'local' THEN 0 WHEN resolution = 'static' THEN 1 WHEN resolution = 'super' THEN 2 WHEN resolution = 'typed' THEN 3 WHEN resolution = 'chain' THEN 4 ELSE 5 END"
+
+
+@query(
+    f"""RECURSIVE, best AS (SELECT * FROM (SELECT id, seed, depth, edge_kind, {_CONFIDENCE} AS confidence, row_number() OVER (PARTITION BY id ORDER BY CAST(edge_kind = 'imports' AS INT), {_CONFIDENCE} DESC, {_KIND_ORDER}, edge_kind, depth,
+        {_RESOLUTION_ORDER}, resolution NULLS LAST, CAST(via_id IS NOT NULL AS INT), via NULLS LAST, via_id NULLS LAST, seed) AS place FROM impact) WHERE place = 1)
+    SELECT b.id, b.depth, b.edge_kind, b.confidence, c.changed FROM best b JOIN (SELECT id, count(*) AS changed FROM impact GROUP BY id) c USING (id)""",
+    *_IMPACT_VIEWS,
+)
+def merge_affected(spark, d):
+    from .plans.changes import merge_affected as merge
+
+    return merge(_impact(spark, d)).select("id", "depth", "edge_kind", "confidence", F.size("changed").cast("long").alias("changed"))
+
+
+@query(
+    """, stored AS (SELECT doc_id, CASE WHEN lang = 'en' THEN md5(text) ELSE md5(text || ' ') END AS hash FROM documents WHERE source <> 'src1')
+    SELECT d.doc_id AS file, s.doc_id IS NULL AS added, md5(d.text) IS DISTINCT FROM s.hash AS changed FROM documents d LEFT JOIN stored s USING (doc_id)""", "one AS (SELECT 1)")
+def incremental_diff(spark, d):
+    from .sources.store import differing
+
+    docs = t.table(spark, d, "documents")
+    now = docs.select(F.col("doc_id").alias("path"), F.md5(F.col("text").cast("binary")).alias("content_hash"))
+    held = docs.filter("source != 'src1'").select(F.col("doc_id").alias("path"), F.md5(F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat("text", F.lit(" "))).cast("binary")).alias("content_hash"))
+    return differing(now, held).select(F.col("path").alias("file"), "added", "changed")
+
+
+@query("SELECT doc_id AS file FROM documents WHERE lang = 'de'")
+def stale_files(spark, d):
+    from .sources.store import stale
+
+    docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("path"), "lang")
+    return stale(docs, docs.filter("lang != 'de'")).select(F.col("path").alias("file"))
+
+
+@query(
+    """, found AS (SELECT DISTINCT target_id AS symbol, source_id AS caller FROM edge WHERE kind = 'calls'), oracle AS (SELECT DISTINCT target_id AS symbol, source_id AS caller FROM edge WHERE kind <> 'extends')
+    SELECT (SELECT count(*) FROM found JOIN oracle USING (symbol, caller)) AS tp, (SELECT count(*) FROM found) AS found, (SELECT count(*) FROM oracle) AS expected,
+      round((SELECT count(*) FROM found JOIN oracle USING (symbol, caller)) / (SELECT count(*) FROM found), 6) AS precision, round((SELECT count(*) FROM found JOIN oracle USING (symbol, caller)) / (SELECT count(*) FROM oracle), 6) AS recall""", t.EDGES)
+def eval_precision_recall(spark, d):
+    from .plans.evaluate import precision_recall
+
+    e = t.edges(spark, d).select(F.col("target_id").alias("symbol"), F.col("source_id").alias("caller"), "kind")
+    return precision_recall(e.filter("kind = 'calls'"), e.filter("kind != 'extends'"))
+
+
