@@ -11,14 +11,13 @@ import pyarrow as pa
 
 from .common import binary_array, flat
 
-#: Entries that one generation of a cache holds; two generations are kept.
-CACHE_ENTRIES = 250_000
+#: Entries that one generation of the cache holds; two generations are kept.
+CACHE_ENTRIES = 400_000
 #: Longer chunks are encoded without being kept.
 CACHED_CHARS = 48
 
 #: Below it, what Python calls a letter is one for the library too, and has a byte map of at most two bytes.
 LETTERS_END = "\u0250"
-MARKS = frozenset(",.;:!?")
 
 
 def default_vocabulary() -> str:
@@ -27,29 +26,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Kept:
-    """A map that forgets what was not asked for during the last CACHE_ENTRIES insertions."""
-
-    def __init__(self, make):
-        self.new, self.old, self.make = {}, {}, make
-
-    def find(self, key: str) -> bytes:
-        if (got := self.new.get(key)) is None:
-            if (got := self.old.get(key)) is None:
-                got = self.make(key)
-            if len(key) <= CACHED_CHARS:
-                if len(self.new) >= CACHE_ENTRIES:
-                    self.old, self.new = self.new, {}
-                self.new[key] = got
-        return got
-
-
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, equal to those of one call of the library over the whole text.
 
-    A byte-level BPE never merges over the edges that its pre-tokenizer sets. One such edge always stands before a space
-    that a character other than white space follows, and on both sides of a line feed that stands alone. Texts are cut
-    there; of a batch each distinct chunk is looked up once, and the library's model encodes the pieces of new ones.
+    A byte-level BPE never merges over the edges that its pre-tokenizer sets. Such edges always stand before a space that
+    a character other than white space follows, on both sides of a line feed that stands alone, and between a letter or
+    digit and a mark that white space follows. Texts are cut there; of a batch each distinct chunk is looked up once, and
+    the library's model encodes new ones.
     """
 
     def __init__(self, path: str):
@@ -59,43 +42,47 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.model, self.pre = self.library.model, self.library.pre_tokenizer
+        self.tokenize, self.pre = self.library.model.tokenize, self.library.pre_tokenizer
         whole = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {b: whole.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
         self.shown |= {b: whole.pre_tokenize_str(chr(b))[0][0][1] for b in range(128, 192)}
         self.shown |= {b: whole.pre_tokenize_str(bytes([b, 128]).decode())[0][0][0] for b in range(194, 224)}
-        self.pieces = _Kept(self._piece)
-        self.chunks = _Kept(self._chunk)
+        self.new, self.old = {}, {}
 
     def _mapped(self, mapped: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        """Of a piece that the pre-tokenizer leaves whole; its characters are below U+0250."""
-        return self._mapped(piece.encode().decode("latin-1").translate(self.shown))
-
-    def _span(self, text: str) -> bytes:
-        return b"".join([self._mapped(mapped) for mapped, _ in self.pre.pre_tokenize_str(text)])
-
-    def _part(self, lead: str, part: str) -> bytes:
-        """Letters, or letters and one mark, are pieces as they stand; the library cuts all else."""
-        if part.isalpha():
-            if part.isascii() or max(part) < LETTERS_END:
-                return self.pieces.find(lead + part)
-        elif part[-1] in MARKS and (head := part[:-1]).isalpha() and (head.isascii() or max(head) < LETTERS_END):
-            return self.pieces.find(lead + head) + self.pieces.find(part[-1])
-        return self._span(lead + part)
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return self._part(" ", chunk[1:]) if chunk[0] == " " and len(chunk) > 1 else self._part("", chunk)
+        """Letters after a space or none are a piece as they stand; the library cuts all else."""
+        part = chunk[1:] if chunk[0] == " " else chunk
+        if part.isalpha():
+            if chunk.isascii():
+                return self._mapped("Ġ" + part if len(part) < len(chunk) else part)
+            if max(part) < LETTERS_END:
+                return self._mapped(chunk.encode().decode("latin-1").translate(self.shown))
+        return b"".join([self._mapped(mapped) for mapped, _ in self.pre.pre_tokenize_str(chunk)])
+
+    def _find(self, chunks: list[str]) -> list[bytes]:
+        """What chunks encode to. Two generations are kept: what was not asked for during one is forgotten."""
+        found = list(map(self.new.get, chunks))
+        for k in [k for k, x in enumerate(found) if x is None]:
+            chunk = chunks[k]
+            if (got := self.old.get(chunk)) is None:
+                got = self._chunk(chunk)
+            found[k] = got
+            if len(chunk) <= CACHED_CHARS:
+                if len(self.new) >= CACHE_ENTRIES:
+                    self.old, self.new = self.new, {}
+                self.new[chunk] = got
+        return found
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has; end follows each text's ids."""
         raw, at = flat(texts)
         begins = cuts(raw, at)
         coded = binary_array(raw, np.diff(np.append(begins, len(raw)))).dictionary_encode()
-        code, find = coded.indices.to_numpy(zero_copy_only=False), self.chunks.find
-        found = [find(x) for x in coded.dictionary.cast(pa.string()).to_pylist()]
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        found = self._find(coded.dictionary.cast(pa.string()).to_pylist())
         ids = np.frombuffer(b"".join(found), "<u4")
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         each = sizes[code]
@@ -117,6 +104,9 @@ def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(9, 14), *range(28, 33)]] = True
+_MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[*b",.;:!?"]] = True
+_PLAIN[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 #: The first two bytes of characters of white space above ASCII (and of others, where a cut is then left out).
 _WIDE = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
 #: Bytes that may end such a character.
@@ -141,6 +131,11 @@ def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     lone = np.flatnonzero((raw == 10) & solid & ~before)
     cut[lone] = cut[lone + 1] = True
     cut[starts] = True
+    marks = np.flatnonzero(_MARK[raw] & (_WHITE[following]))
+    marks = marks[marks > 0]
+    last = raw[marks - 1]
+    wide = (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (raw[np.maximum(marks - 2, 0)] == 0xC3) & (marks > 1)
+    cut[marks[(_PLAIN[last] | wide)]] = True
     return np.flatnonzero(cut)
 
 
