@@ -51,6 +51,13 @@ def texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no such column."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def id_remainder(col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; -1 for a null id."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % modulus, F.lit(-1))

@@ -288,10 +288,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     distinct = common.settled(marked.select("fp").distinct(), f"{path}/distinct")
     sets = components(near_links(distinct, radius), "simhash-sets").withColumnRenamed("u", "fp")
     rooted = marked.distinct().join(sets, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp"))
-    own = "_fingerprint"
-    while own in docs.columns:
-        own += "_"
+    own, id_name, fp_name = (common.free_name(docs, x) for x in ("own_fp", "first_id", "first_fp"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")).select(F.col("first.doc_id").alias(id_name), F.col("first.fp").alias(fp_name))
     again = docs.withColumn(own, common.scored(docs, lambda texts: np.array([fingerprint(x, shingle) for x in texts.cast(pa.binary()).to_pylist()], np.int64), kind="long"))
-    one = again.join(first, again["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (again[own] == F.col("_fp")), "left_semi")
+    one = again.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (F.col(own) == F.col(fp_name)), "left_semi")
     return one.dropDuplicates(["doc_id", own]).drop(own)
