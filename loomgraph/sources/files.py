@@ -62,7 +62,7 @@ def walk(spark: SparkSession, root: str, repo: str, languages: list[str] | None
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     # Local paths are written with one slash after the scheme or with three.
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "^" + "".join("\\" + c if c in r".^$*+?{}[]()|\\" else c for c in base.replace("file:///", "file:/")) + "/", "")
-    files = raw.select(relative.alias("path"), F.decode("content", F.lit("UTF-8")).alias("content")).withColumn("language", language(F.col("path"))).filter("language is not null")
+    files = raw.select(relative.alias("path"), F.decode("content", "UTF-8").alias("content")).withColumn("language", language(F.col("path"))).filter("language is not null")
     if languages:
         files = files.filter(F.col("language").isin(*languages))
     for glob in EXCLUDED if exclude is None else exclude:
