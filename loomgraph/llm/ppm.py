@@ -22,8 +22,8 @@ Training text is gathered whole, as counts that follow the corpus:
 5. Scores. Each pair gets its code length by joining levels; each shard adds up its words' pairs, and sends every block
    the counts and code lengths of its words. Each block adds up its documents' words.
 
-Nothing but level-wide constants meets on the driver. A block holds at most BLOCK_BYTES of text (or one document) and
-a shard at most SHARD_WORDS words on average. Null text is empty: one end token. Rows that share a doc_id are scored
+Nothing but level-wide constants meets on the driver. A block holds at most BLOCK_BYTES of text (or one document); there
+are as many shards of segments as the input has partitions, and a shard of words for every PARTITIONS_A_SHARD. Null text is empty: one end token. Rows that share a doc_id are scored
 one by one; null doc_ids count as training text. Without training text every byte is equally likely.
 """
 
@@ -45,19 +45,31 @@ ORDER = 5
 #: Distinct symbols: the bytes.
 SYMBOLS = 256
 BLOCK_BYTES = 16 << 20
-SHARD_WORDS = 1_000_000
 END = b"\n"
 
-BLOCKS = "block string, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, codes binary, words array<binary>, counts array<long>, segments binary, n_segments array<long>, events array<struct<shard:int,at:binary,before:binary,segment:binary,train:binary>>"
+BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, codes binary, words array<struct<shard:int,code:binary,text:binary,size:binary,n:binary>>, segments binary, n_segments array<long>, events array<struct<shard:int,at:binary,before:binary,segment:binary,train:binary>>"
 
-SEGMENT = 8
+SEGMENT = 16
 #: Hashes of the end mark and of what stands before a document. Fixed values.
 END_HASH, START_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Partitions of the input for each shard of words: the more words stand together, the fewer pairs repeat.
+PARTITIONS_A_SHARD = 4
+
+
 def _binary(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
+    """Packed before it is shuffled or written; Spark's own codec leaves counts and codes at twice the size."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
+
+
+def _array(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -86,7 +98,11 @@ def segments(token: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, own, before, doc_first
 
 
-def blocks(docs: DataFrame, modulus: int, held_out: int, event_shards: int) -> DataFrame:
+def _structs(rows: list[dict], names: tuple[str, ...]) -> pa.Array:
+    return pa.array(rows, pa.struct([("shard", pa.int32()), *((x, pa.binary()) for x in names)]))
+
+
+def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events: int) -> DataFrame:
     """One row per block: its documents, the codes of their words one after another, and its words with their training counts."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,19 +116,30 @@ def blocks(docs: DataFrame, modulus: int, held_out: int, event_shards: int) -> D
             n = np.diff(found.starts)
             train = ~np.repeat(np.asarray(out), n)
             counts = np.bincount(found.codes[train], minlength=len(found.vocab))
+            hashes = word_hashes(found.vocab)
             token = np.full(len(found.codes) + len(n), END_HASH)
-            token[np.arange(len(found.codes)) + np.repeat(np.arange(len(n)), n)] = word_hashes(found.vocab)[found.codes]
+            token[np.arange(len(found.codes)) + np.repeat(np.arange(len(n)), n)] = hashes[found.codes]
             begins = np.cumsum(n + 1) - (n + 1)
             at, own, before, doc_first = segments(token, begins)
             in_train = ~np.repeat(np.asarray(out), np.diff(np.append(doc_first, len(at))))
-            shard = (before % np.uint64(event_shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(event_shards + 1))
-            events = [{"shard": k, "at": _binary(x.astype("<u4")), "before": _binary(before[x]), "segment": _binary(own[x]), "train": _binary(in_train[x].astype(np.uint8))} for k, a, b in zip(range(event_shards), cut[:-1], cut[1:], strict=True) if a < b for x in (order[a:b],)]
-            kind = pa.struct([("shard", pa.int32()), *((x, pa.binary()) for x in ("at", "before", "segment", "train"))])
+
+            def dealt(key: np.ndarray, n_shards: int) -> Iterator[tuple[int, np.ndarray]]:
+                shard = (key % np.uint64(n_shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                cut = np.searchsorted(shard[order], np.arange(n_shards + 1))
+                return ((k, order[a:b]) for k, a, b in zip(range(n_shards), cut[:-1], cut[1:], strict=True) if a < b)
+
+            words = []
+            for k, x in dealt(hashes, n_words):
+                text, text_at = common.flat(found.vocab.take(pa.array(x)))
+                words.append({"shard": k, "code": _binary(x.astype("<u4")), "text": _binary(text), "size": _binary(np.diff(text_at).astype("<u4")), "n": _binary(counts[x].astype("<u4"))})
+            events = [{"shard": k, "at": _binary(x.astype("<u4")), "before": _binary(before[x]), "segment": _binary(own[x]), "train": _binary(in_train[x].astype(np.uint8))} for k, x in dealt(before, n_events)]
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            more = [pa.array([_binary(np.diff(np.append(at, len(token))).astype("<u4"))], pa.binary()), one(pa.array(np.diff(np.append(doc_first, len(at))))), one(pa.array(events, kind))]
-            return pa.record_batch([pa.array([uuid.uuid4().hex]), one(ids), one(out), one(pa.array(n + 1)), pa.array([_binary(found.codes.astype("<u4"))], pa.binary()), one(found.vocab), one(pa.array(counts)), *more], [x.split()[0] for x in BLOCKS.split(", ")])
+            row = [
+                pa.array([uuid.uuid4().int >> 65]), one(ids), one(out), one(pa.array(n + 1)), pa.array([_binary(found.codes.astype("<u4"))], pa.binary()), one(_structs(words, ("code", "text", "size", "n"))),
+                pa.array([_binary(np.diff(np.append(at, len(token))).astype("<u4"))], pa.binary()), one(pa.array(np.diff(np.append(doc_first, len(at))))), one(_structs(events, ("at", "before", "segment", "train"))),
+            ]
+            return pa.record_batch(row, [x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in common.batches(parts):
             more = len(common.flat(common.column(batch, "text"))[0])
@@ -150,48 +177,39 @@ def pairs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(n), count), key
 
 
-SHARDS = "shard int, words array<binary>, counts array<long>, refs array<struct<block:string,code:binary,word:binary>>, keys array<long>, sums array<long>"
+SHARDS = "shard int, words array<binary>, counts array<long>, blocks array<long>, sizes array<int>, word binary, keys array<long>, sums array<long>"
 
 
 def shards(rows: DataFrame) -> DataFrame:
-    """One row per shard of rows (shard, block, code, word, n): its words, their training counts, whence they come, their pairs."""
+    """One row per shard of rows (shard, block, text, size, n): its words, their training counts, which words each block asked for, their pairs."""
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
         def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            coded = t["word"].chunk(0).dictionary_encode()
+            block, text, size, n = zip(*held, strict=True)
+            sizes = [_array(x, "<u4") for x in size]
+            coded = common.binary_array(np.concatenate([_array(x, "u1") for x in text]), np.concatenate(sizes)).dictionary_encode()
             at = coded.indices.to_numpy(zero_copy_only=False)
-            counts = np.bincount(at, t["n"].to_numpy(), len(coded.dictionary)).astype(np.int64)
+            counts = np.bincount(at, np.concatenate([_array(x, "<u4") for x in n]), len(coded.dictionary)).astype(np.int64)
             word, key = pairs(coded.dictionary)
             keys, place = np.unique(key, return_inverse=True)
             sums = np.bincount(place, counts[word], len(keys)).astype(np.int64)
-            block = t["block"].chunk(0).dictionary_encode()
-            of = block.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(of, kind="stable")
-            code = t["code"].to_numpy().astype("<u4")[order]
-            cut = np.searchsorted(of[order], np.arange(len(block.dictionary) + 1))
-            refs = [{"block": b, "code": _binary(code[x:y]), "word": _binary(at[order][x:y].astype("<u4"))} for b, x, y in zip(block.dictionary.to_pylist(), cut[:-1], cut[1:], strict=True)]
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            kind = pa.struct([("block", pa.string()), ("code", pa.binary()), ("word", pa.binary())])
-            return pa.record_batch([pa.array([now], pa.int32()), one(coded.dictionary), one(pa.array(counts)), one(pa.array(refs, kind)), one(pa.array(keys)), one(pa.array(sums))], ["shard", "words", "counts", "refs", "keys", "sums"])
+            row = [pa.array([now], pa.int32()), one(coded.dictionary), one(pa.array(counts)), one(pa.array(block, pa.int64())), one(pa.array([len(x) for x in sizes], pa.int32())), pa.array([_binary(at.astype("<u4"))], pa.binary()), one(pa.array(keys)), one(pa.array(sums))]
+            return pa.record_batch(row, [x.split()[0] for x in SHARDS.split(", ")])
 
         for batch in parts:
-            shard = common.column(batch, "shard").to_numpy(zero_copy_only=False)
-            cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if a == b:
-                    continue
-                if held and int(shard[a]) != now:
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and shard != now:
                     yield flush()
-                    held = []
-                now = int(shard[a])
-                held.append(batch.slice(a, b - a))
+                    held.clear()
+                now = shard
+                held.append(row)
         if held:
             yield flush()
 
-    return rows.sortWithinPartitions("shard").mapInArrow(gather, SHARDS)
+    return rows.sortWithinPartitions("shard").select("shard", "block", "text", "size", "n").mapInArrow(gather, SHARDS)
 
 
 # Trie -----------------------------------------------------------------------------------------------------------------
@@ -245,16 +263,17 @@ def code_lengths(deepest: DataFrame) -> DataFrame:
 
 
 def counted(events: DataFrame) -> DataFrame:
-    """Events (shard, block, at, before, segment, train) as (block, at, n, total, kinds): the training counts of each event's pair,
+    """Events (shard, block, before, segment, train) as (block, shard, n, total, kinds): the training counts of each event's pair,
     of all pairs with its predecessor, and of distinct ones; ones, twos: pairs of the shard that were seen so often."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            block, at, before, own, train = zip(*held, strict=True)
-            sizes = np.array([len(x) // 4 for x in at])
-            before, own, train = (np.concatenate([np.frombuffer(x, t) for x in y]) for y, t in ((before, np.uint64), (own, np.uint64), (train, np.uint8)))
+            block, before, own, train = zip(*held, strict=True)
+            before, own, train = ([_array(x, t) for x in y] for y, t in ((before, "<u8"), (own, "<u8"), (train, "u1")))
+            sizes = np.array([len(x) for x in train])
+            before, own, train = (np.concatenate(x) for x in (before, own, train))
             order = np.lexsort((own, before))
             b, o = before[order], own[order]
             new_b = np.concatenate([[True], b[1:] != b[:-1]])
@@ -269,7 +288,7 @@ def counted(events: DataFrame) -> DataFrame:
             tell = [[_binary(row[a : a + m]) for a, m in zip(cut, sizes, strict=True)] for row in out]
             ones, twos = (np.zeros(len(block), np.int64) for _ in range(2))
             ones[0], twos[0] = (n == 1).sum(), (n == 2).sum()
-            yield pa.record_batch([pa.array(block), pa.array(at, pa.binary()), *(pa.array(x, pa.binary()) for x in tell), pa.array(ones), pa.array(twos)], ["of_block", "at", "n", "total", "kinds", "ones", "twos"])
+            yield pa.record_batch([pa.array(block), pa.array([now] * len(block), pa.int32()), *(pa.array(x, pa.binary()) for x in tell), pa.array(ones), pa.array(twos)], ["of_block", "shard", "n", "total", "kinds", "ones", "twos"])
 
         for batch in parts:
             for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -281,8 +300,8 @@ def counted(events: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    rows = events.sortWithinPartitions("shard").select("shard", "block", "at", "before", "segment", "train")
-    return rows.mapInArrow(count, "of_block string, at binary, n binary, total binary, kinds binary, ones long, twos long")
+    rows = events.sortWithinPartitions("shard").select("shard", "block", "before", "segment", "train")
+    return rows.mapInArrow(count, "of_block long, shard int, n binary, total binary, kinds binary, ones long, twos long")
 
 
 # Documents ------------------------------------------------------------------------------------------------------------
@@ -294,23 +313,21 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
     """COLUMNS, one row per row of docs. Documents whose id's remainder is held_out are not learned from."""
     spark = docs.sparkSession
     path = common.scratch(spark, "ppm")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    event_shards = max(partitions, common.texts(docs).rdd.getNumPartitions())
-    made = common.settled(blocks(docs, modulus, held_out, event_shards), f"{path}/blocks", compression="zstd")
-    events = made.select("block", F.explode("events").alias("e")).select("block", "e.*").repartitionById(event_shards, F.col("shard"))
+    # Shards follow the input's size; a shard's words and events are an even share of all blocks'.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.texts(docs).rdd.getNumPartitions())
+    n_words = max(2, n // PARTITIONS_A_SHARD)
+    made = common.settled(blocks(docs, modulus, held_out, n_words, n), f"{path}/blocks", compression="uncompressed")
+    events = made.select("block", F.explode("events").alias("e")).select("block", "e.shard", "e.before", "e.segment", "e.train").repartitionById(n, F.col("shard"))
     seen = common.settled(counted(events), f"{path}/segments", compression="zstd")
     often = seen.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).collect()[0]
     discount = min(0.95, max(0.1, often["ones"] / (often["ones"] + 2 * often["twos"]))) if often["ones"] else 0.1
-    sizes = made.agg(F.sum(F.size("words")).alias("words"), F.sum(F.aggregate("held_out", F.lit(0).cast("long"), lambda a, x: a + F.when(x, 0).otherwise(1))).alias("ends")).collect()[0]
-    ends = sizes["ends"] or 0
-    n = max(partitions, -(-(sizes["words"] or 0) // SHARD_WORDS))
-    refs = made.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select("block", "code", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    refs = refs.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(n)).cast("int")).repartitionById(n, F.col("shard"))
-    held = common.settled(shards(refs.select("shard", "block", "code", "word", "n")), f"{path}/shards", compression="zstd")
+    ends = made.agg(F.sum(F.aggregate("held_out", F.lit(0).cast("long"), lambda a, x: a + F.when(x, 0).otherwise(1))).alias("ends")).collect()[0]["ends"] or 0
+    words = made.select("block", F.explode("words").alias("w")).select("block", "w.shard", "w.text", "w.size", "w.n").repartitionById(n_words, F.col("shard"))
+    held = common.settled(shards(words), f"{path}/shards", compression="zstd")
     end_key = sum(32 << (8 * k) for k in range(1, ORDER + 1)) | END[0]
-    own = spark.createDataFrame([(end_key, ends)], "key long, n long")
+    mark = spark.createDataFrame([(end_key, ends)], "key long, n long")
     keyed = held.select("shard", F.posexplode(F.arrays_zip("keys", "sums")).alias("at", "x")).select("shard", "at", F.col("x.keys").alias("key"), F.col("x.sums").alias("n"))
-    deepest = common.settled(keyed.select("key", "n").unionByName(own).groupBy("key").agg(F.sum("n").alias("n")), f"{path}/pairs")
+    deepest = common.settled(keyed.select("key", "n").unionByName(mark).groupBy("key").agg(F.sum("n").alias("n")), f"{path}/pairs")
     lengths = common.settled(code_lengths(deepest), f"{path}/lengths")
     end_lp = lengths.filter(F.col("key") == end_key).collect()[0]["lp"]
     totals = held.select(F.explode("counts").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("v")).collect()[0]
@@ -320,37 +337,38 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
     priced = keyed.join(lengths, "key").select(F.col("shard").alias("of"), "at", "lp")
 
     def price(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, counts, keys, refs = (left.column(x).combine_chunks()[0].values for x in ("words", "counts", "keys", "refs"))
+        words, counts, blocks_, sizes, keys = (left.column(x).combine_chunks()[0].values for x in ("words", "counts", "blocks", "sizes", "keys"))
         counts, keys = counts.to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False)
         by_key = np.zeros(len(keys))
         by_key[right.column("at").to_numpy()] = right.column("lp").to_numpy()
         word, key = pairs(words)
         each = np.bincount(word, by_key[np.searchsorted(keys, key)], len(words))
-        at = [np.frombuffer(x, "<u4") for x in refs.field("word").to_pylist()]
-        return pa.table([refs.field("block"), refs.field("code"), pa.array([_binary(counts[x]) for x in at], pa.binary()), pa.array([_binary(each[x]) for x in at], pa.binary())], ["of_block", "code", "count", "lp"])
+        at = np.split(_array(left.column("word")[0].as_py(), "<u4"), np.cumsum(sizes.to_numpy(zero_copy_only=False))[:-1])
+        shard = left.column("shard")[0].as_py()
+        return pa.table([blocks_, pa.array([shard] * len(at), pa.int32()), pa.array([_binary(counts[x].astype("<u4")) for x in at], pa.binary()), pa.array([_binary(each[x].astype("<f4")) for x in at], pa.binary())], ["of_block", "shard", "count", "lp"])
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        codes = np.frombuffer(left.column("codes")[0].as_py(), "<u4")
-        ids, out, n_tokens = (left.column(x).combine_chunks()[0].values for x in ("doc_id", "held_out", "n_tokens"))
+        codes = _array(left.column("codes")[0].as_py(), "<u4")
+        ids, out, n_tokens, word_at, event_at = (left.column(x).combine_chunks()[0].values for x in ("doc_id", "held_out", "n_tokens", "word_at", "event_at"))
+        word_at, event_at = ({x["shard"]: _array(x["at"], "<u4") for x in y.to_pylist()} for y in (word_at, event_at))
         n_tokens = n_tokens.to_numpy(zero_copy_only=False)
         kinds_here = int(codes.max()) + 1 if len(codes) else 0
         count, lp = np.zeros(kinds_here, np.int64), np.zeros(kinds_here)
-        for c, x, y in zip(*(right.column(x).to_pylist() for x in ("code", "count", "lp")), strict=True):
-            if c is not None:
-                at = np.frombuffer(c, "<u4")
-                count[at], lp[at] = np.frombuffer(x, np.int64), np.frombuffer(y)
+        for k, x, y in zip(*(right.column(x).to_pylist() for x in ("shard", "count", "lp")), strict=True):
+            if x is not None:
+                count[word_at[k]], lp[word_at[k]] = _array(x, "<u4"), _array(y, "<f4")
         doc = np.repeat(np.arange(len(ids)), n_tokens - 1)
         sums = [np.bincount(doc, x[codes], len(ids)) for x in (count > 0, base(count))]
         # Tokens' code lengths by the bytes, end marks included, added up by segment.
         token = np.full(len(codes) + len(ids), end_lp)
         token[np.arange(len(codes)) + doc] = lp[codes]
-        sizes = np.frombuffer(left.column("segments")[0].as_py(), "<u4").astype(np.int64)
+        sizes = _array(left.column("segments")[0].as_py(), "<u4").astype(np.int64)
         spelt = np.add.reduceat(token, np.cumsum(sizes) - sizes)
         n, all_n, kinds = (np.zeros(len(sizes)) for _ in range(3))
-        for where, x, y, z in zip(*(right.column(c).to_pylist() for c in ("at", "n", "total", "kinds")), strict=True):
-            if where is not None:
-                at = np.frombuffer(where, "<u4")
-                n[at], all_n[at], kinds[at] = (np.frombuffer(v, np.uint32) for v in (x, y, z))
+        for k, x, y, z in zip(*(right.column(c).to_pylist() for c in ("shard", "n", "total", "kinds")), strict=True):
+            if x is not None:
+                at = event_at[k]
+                n[at], all_n[at], kinds[at] = (_array(v, "<u4") for v in (x, y, z))
         with np.errstate(divide="ignore", invalid="ignore"):
             whole = np.log10((n - discount) / all_n)
             escape = np.where(all_n > 0, np.log10(discount * kinds / all_n), 0.0)
@@ -358,6 +376,8 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
         by_doc = np.repeat(np.arange(len(ids)), left.column("n_segments").combine_chunks()[0].values.to_numpy(zero_copy_only=False))
         return pa.table([ids, out, pa.array(n_tokens), pa.array(sums[0].astype(np.int64) + (ends > 0)), pa.array(np.full(len(ids), total)), pa.array(sums[1] + base(ends)), pa.array(np.bincount(by_doc, each, len(ids)))], [x.split()[0] for x in COLUMNS.split(", ")])
 
-    told = held.groupBy("shard").cogroup(priced.groupBy("of")).applyInArrow(price, "of_block string, code binary, count binary, lp binary")
+    told = held.groupBy("shard").cogroup(priced.groupBy("of")).applyInArrow(price, "of_block long, shard int, count binary, lp binary")
     told = told.unionByName(seen.drop("ones", "twos"), allowMissingColumns=True)
-    return made.select("block", "doc_id", "held_out", "n_tokens", "codes", "segments", "n_segments").groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(add, COLUMNS)
+    places = lambda rows, at: F.transform(rows, lambda x: F.struct(x["shard"].alias("shard"), x[at].alias("at")))
+    own = made.select("block", "doc_id", "held_out", "n_tokens", "codes", "segments", "n_segments", places("words", "code").alias("word_at"), places("events", "at").alias("event_at"))
+    return own.groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(add, COLUMNS)
