@@ -234,7 +234,7 @@ class CodeGraph:
         f = self.table("files").filter(F.col("repo_id") == repo).select(F.col("id").alias("file_id"), "path")
         ranges = hunks.join(f, "path").select("file_id", "first", "last").distinct()
         s = self.table("symbols")
-        changed = cut(changes.select_changed(s, ranges))
+        changed = cut(changes.select_changed(s, ranges, self.table("body_nodes")))
         reached = walk_impact(changed.select(F.col("id").alias("seed")), self.table("edges"), s.select("id", "qualified_name", "parent_id"), self.table("class_ancestors"), max_depth)
         return {"changed": changed, "affected": changes.merge_affected(reached).orderBy(*[c for c in changes.affected_order()[:5]], "id"), "hunks": hunks}
 

@@ -120,7 +120,16 @@ def member_candidates(starts: DataFrame, sites: DataFrame, ancestors: DataFrame,
     """(site, grp, target, owner, start_class): callables of the site's name in the hierarchies of its start classes (site, grp, class_id)."""
     callables = symbols.filter(F.col("kind").isin(*CALLABLES)).select(F.col("id").alias("target"), F.col("parent_id").alias("owner"), F.col("name").alias("method_name"), "min_params", "max_params", F.col("visibility").alias("c_visibility"), F.col("file_id").alias("c_file"), F.col("qualified_name").alias("c_qn"))
     up = ancestors.select("class_id", F.col("ancestor_id").alias("owner"))
-    rows = starts.join(sites.select("site", "method_name", "arg_count", "file_id", "caller_qn", "package"), "site").join(up, "class_id").join(callables, ["owner", "method_name"])
+    calls = sites.filter("not is_navigation").select("site", "method_name", "arg_count", "file_id", "caller_qn", "package")
+    # A navigation step `b` reads a property b, or the Java getter of that name: getB, or getURL for url.
+    b = F.col("method_name")
+    names = F.array(b, F.concat(F.lit("get"), F.upper(F.substring(b, 1, 1)), F.expr("substr(method_name, 2)")), F.concat(F.lit("get"), F.upper(b)))
+    steps = sites.filter("is_navigation").withColumn("method_name", F.explode(F.array_distinct(names))).select("site", "method_name", F.lit(0).alias("arg_count"), "file_id", "caller_qn", "package", b.alias("step"))
+    fields = symbols.filter("kind = 'property' and not coalesce(is_local, false)").select(F.col("id").alias("target"), F.col("parent_id").alias("owner"), F.col("name").alias("method_name"), F.lit(0).alias("min_params"), F.lit(0).alias("max_params"), F.col("visibility").alias("c_visibility"), F.col("file_id").alias("c_file"), F.col("qualified_name").alias("c_qn"))
+    reach = starts.join(up, "class_id")
+    rows = reach.join(calls, "site").join(callables, ["owner", "method_name"])
+    getters = callables.filter("method_name like 'get_%' and max_params = 0")
+    rows = rows.unionByName(reach.join(steps.drop("step"), "site").join(fields.unionByName(getters), ["owner", "method_name"]))
     return rows.filter(arity_fits(F.col("arg_count"), F.col("min_params"), F.col("max_params")) & visible()).select("site", "grp", "target", "owner", F.col("class_id").alias("start_class")).distinct()
 
 

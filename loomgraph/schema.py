@@ -24,7 +24,8 @@ CALL_SITES = (
 INHERITANCE_REFS = "id string, file_id string, source_symbol_id string, kind string, type_name string, type_args array<string>"
 EDGES = "source_id string, target_id string, kind string, line int, resolution string, receiver_class_id string"
 CLASS_ANCESTORS = "class_id string, ancestor_id string, depth int"
-TABLES = {"repos": REPOS, "files": FILES, "symbols": SYMBOLS, "imports": IMPORTS, "call_sites": CALL_SITES, "inheritance_refs": INHERITANCE_REFS, "edges": EDGES, "class_ancestors": CLASS_ANCESTORS}
+BODY_NODES = "container_id string, file_id string, hit_kind string, start_line int, end_line int"
+TABLES = {"repos": REPOS, "files": FILES, "symbols": SYMBOLS, "imports": IMPORTS, "call_sites": CALL_SITES, "inheritance_refs": INHERITANCE_REFS, "body_nodes": BODY_NODES, "edges": EDGES, "class_ancestors": CLASS_ANCESTORS}
 
 #: Fixed domains.
 LANGUAGES = {".java": "java", ".kt": "kotlin", ".ts": "typescript", ".tsx": "tsx"}

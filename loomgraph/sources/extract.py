@@ -34,6 +34,7 @@ class _File:
         self.imports: list[dict] = []
         self.refs: list[dict] = []
         self.calls: list[dict] = []
+        self.nodes: list[dict] = []
         self.package = ""
         self.last_comment = {}
         for c in self.comments:
@@ -224,6 +225,9 @@ class _File:
                     rows.append(("extends" if called else "implements", x, y))
             self.clauses(me, rows)
         if body:
+            self.nodes.append({"owner": me, "hit_kind": "header", "start_line": self.toks[a].line, "end_line": self.toks[body[0]].line})
+            inside = (self.toks[body[0]].end, self.toks[min(body[1], len(self.toks) - 1)].start)
+            self.nodes += [{"owner": me, "hit_kind": "comment", "start_line": c.line, "end_line": c.line + c.text.count("\n")} for c in self.comments if inside[0] <= c.start < inside[1]]
             self.body(body[0] + 1, min(body[1], end), me, outer | {n for n, _ in own}, fields, kind == "enum")
         return past
 
@@ -235,10 +239,31 @@ class _File:
             k += k < end and self.toks[k].text == ";"
         later = []
         while k < end:
+            a, known = k, len(self.symbols)
             k = self.member(k, end, owner, outer, fields, later)
+            if owner is not None:
+                self.node(owner, a, min(max(k, a + 1), end), known)
         for callable_, a, b, scope in later:
             self.scan(a, b, callable_, owner, fields, scope)
 
+    def node(self, owner: int, a: int, b: int, known: int) -> None:
+        """What the member from token a to b is to a change of its lines; known: symbols before it."""
+        if self.toks[a].text in (";", "}", ","):
+            return
+        own = next((s for s in self.symbols[known:] if s["start_offset"] == self.toks[a].start), None)
+        if own is None:
+            kind = "state"
+        elif own["kind"] in ("method", "function"):
+            kind = "member" if any(t.text in ("{", "=") for t in self.toks[a:b]) else "contract"
+        elif own["kind"] in ("property", "field"):
+            kind = "member" if any(t.text in ("get", "set") for t in self.toks[a:b]) and not any(t.text == "=" and self.toks[k - 1].text != ")" for k, t in enumerate(self.toks[a:b], a)) else "state"
+        elif own["kind"] == "type":
+            kind = "unknown"
+        else:
+            kind = "member"
+        last = self.toks[b - 1]
+        self.nodes.append({"owner": owner, "hit_kind": kind, "start_line": self.toks[a].line, "end_line": last.line + last.text.count("\n")})
+
     def member(self, k: int, end: int, owner: int | None, outer: set[str], fields: dict, later: list, local: bool = False) -> int:
         a, mods, toks = k, set(), self.toks
         while k < end and (toks[k].text in MODIFIERS and toks[k].kind == "word" or toks[k].text == "@" or toks[k].text == "companion"):
@@ -542,6 +567,7 @@ class _File:
         if lambda_after(closing + 1):
             args.append(None)
             names.append(None)
+        sites["source"] = source
         receiver, kind, rtype, declared, step = self.receiver(k, owner, fields, locals_, sites)
         self.calls.append({"source": source, "receiver": receiver, "receiver_kind": kind, "receiver_type": rtype, "receiver_declared": declared, "step": step, "is_navigation": False, "method_name": t.text, "arg_count": None if spread else len(args), "arg_types": args, "arg_names": names, "implicit_receiver_type": None, "line": t.line})
         sites[closing] = len(self.calls) - 1
@@ -585,6 +611,10 @@ class _File:
             return text, "identifier", fields.get(parts[1]), parts[1] in fields, None
         if len(parts) == 1 and (parts[0] in locals_ or parts[0] in fields):
             return text, "identifier", locals_[parts[0]] if parts[0] in locals_ else fields[parts[0]], True, None
+        if len(parts) == 2 and (parts[0] in locals_ or parts[0] in fields):
+            source = sites.get("source")
+            self.calls.append({"source": source, "receiver": parts[0], "receiver_kind": "identifier", "receiver_type": locals_[parts[0]] if parts[0] in locals_ else fields[parts[0]], "receiver_declared": True, "step": None, "is_navigation": True, "method_name": parts[1], "arg_count": 0, "arg_types": [], "arg_names": [], "implicit_receiver_type": None, "line": toks[k].line})
+            return text, "chain-or-expression", None, False, len(self.calls) - 1
         if parts[0][:1].isupper():
             return text, "static-type", text.removesuffix(".Companion"), False, None
         return (text, "identifier", None, False, None) if len(parts) == 1 else (text, "chain-or-expression", None, False, None)
@@ -594,14 +624,14 @@ def extract(source: str, language: str) -> dict[str, list[dict] | str]:
     """Records of one file; owners, parents and steps are numbers into the records."""
     f = _File(source, language)
     f.body(f.header(), len(f.toks), None, set(), {})
-    return {"package": f.package, "symbols": f.symbols, "imports": f.imports, "refs": f.refs, "calls": f.calls}
+    return {"package": f.package, "symbols": f.symbols, "imports": f.imports, "refs": f.refs, "calls": f.calls, "nodes": f.nodes}
 
 
 def _ddl(columns: str) -> str:
     return "struct<" + ", ".join(": ".join(c.split(" ", 1)) for c in columns.split(", ")) + ">"
 
 
-RECORDS = "file_id string, package_name string, " + ", ".join(f"{n} array<{_ddl(schema.TABLES[t])}>" for n, t in (("symbols", "symbols"), ("imports", "imports"), ("call_sites", "call_sites"), ("inheritance_refs", "inheritance_refs")))
+RECORDS = "file_id string, package_name string, " + ", ".join(f"{n} array<{_ddl(schema.TABLES[t])}>" for n, t in (("symbols", "symbols"), ("imports", "imports"), ("call_sites", "call_sites"), ("inheritance_refs", "inheritance_refs"), ("body_nodes", "body_nodes")))
 
 
 def records(file_id: str, source: str, language: str) -> dict:
@@ -612,8 +642,9 @@ def records(file_id: str, source: str, language: str) -> dict:
     imports = [{**s, "id": key("i", k), "file_id": file_id} for k, s in enumerate(got["imports"])]
     calls = [{**s, "id": key("c", k), "file_id": file_id, "source_symbol_id": key("s", s["source"]), "receiver_site_id": key("c", s["step"])} for k, s in enumerate(got["calls"])]
     refs = [{**s, "id": key("r", k), "file_id": file_id, "source_symbol_id": key("s", s["owner"])} for k, s in enumerate(got["refs"])]
+    nodes = [{**s, "file_id": file_id, "container_id": key("s", s["owner"])} for s in got["nodes"]]
     fit = lambda rows, table: [{c.split()[0]: r.get(c.split()[0]) for c in schema.TABLES[table].split(", ")} for r in rows]
-    return {"file_id": file_id, "package_name": got["package"], "symbols": fit(symbols, "symbols"), "imports": fit(imports, "imports"), "call_sites": fit(calls, "call_sites"), "inheritance_refs": fit(refs, "inheritance_refs")}
+    return {"file_id": file_id, "package_name": got["package"], "symbols": fit(symbols, "symbols"), "imports": fit(imports, "imports"), "call_sites": fit(calls, "call_sites"), "inheritance_refs": fit(refs, "inheritance_refs"), "body_nodes": fit(nodes, "body_nodes")}
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -622,11 +653,11 @@ def facts(files: DataFrame) -> DataFrame:
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [records(i, text or "", lang) for i, lang, text in zip(part["id"], part["language"], part["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=[c for c in ("file_id", "package_name", "symbols", "imports", "call_sites", "inheritance_refs")])
+            yield pd.DataFrame(rows, columns=[c for c in ("file_id", "package_name", "symbols", "imports", "call_sites", "inheritance_refs", "body_nodes")])
 
     return files.select("id", "language", "content").mapInPandas(each, RECORDS)
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
     """The fact tables of rows of RECORDS."""
-    return {name: parsed.select(F.inline(name)) for name in ("symbols", "imports", "call_sites", "inheritance_refs")}
+    return {name: parsed.select(F.inline(name)) for name in ("symbols", "imports", "call_sites", "inheritance_refs", "body_nodes")}

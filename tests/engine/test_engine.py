@@ -23,6 +23,7 @@ public class FileStore extends Base implements Store {
     public Item load(long id) { log("x"); return super.load(id); }
     public void save(Item item) { item.touch(); }
     void put(String s) { } void put(Item i) { }
+    public Item getFirst() { return null; }
     void both() { put("a"); put(new Item()); }
 }
 """,
@@ -33,6 +34,7 @@ import app.Item
 class Service(private val store: Store) {
     fun run(id: Long) { val item = store.load(id); store.save(item); helper() }
     fun chain(i: Item) { i.next().touch() }
+    fun step(s: app.FileStore) { s.first.touch() }
 }
 fun helper() { }
 """,
@@ -61,7 +63,7 @@ def test_edges(indexed):
     for e in [
         ("app.FileStore", "app.Base", "extends", None), ("app.FileStore", "app.Store", "implements", None), ("app.FileStore.load", "app.Store.load", "overrides", None), ("app.FileStore.load", "app.Base.load", "overrides", None),
         ("app.FileStore.load", "app.Base.log", "calls", "local"), ("app.FileStore.load", "app.Base.load", "calls", "super"), ("app.FileStore.save", "app.Item.touch", "calls", "typed"), ("use.Service.run", "app.Store.load", "calls", "typed"),
-        ("use.Service.run", "use.helper", "calls", "local"), ("use.Service.chain", "app.Item.next", "calls", "typed"), ("use.Service.chain", "app.Item.touch", "calls", "chain"), ("use.Service", "app.Store", "imports", None),
+        ("use.Service.run", "use.helper", "calls", "local"), ("use.Service.chain", "app.Item.next", "calls", "typed"), ("use.Service.chain", "app.Item.touch", "calls", "chain"), ("use.Service.step", "app.Item.touch", "calls", "chain"), ("use.Service", "app.Store", "imports", None),
     ]:
         assert e in got, e
 
@@ -182,7 +184,7 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "A.java").write_text("package p; class A { void m() { n(); } void n() { } }")
     seen = {}
     incremental.run(spark, f"file://{tmp_path}/in", "r", f"file://{tmp_path}/check", lambda t, n: seen.update({k: v.count() for k, v in t.items()})).awaitTermination()
-    assert seen == {"symbols": 3, "imports": 0, "call_sites": 1, "inheritance_refs": 0}
+    assert seen == {"symbols": 3, "imports": 0, "call_sites": 1, "inheritance_refs": 0, "body_nodes": 3}
 
 
 def test_trace_store():
@@ -196,6 +198,12 @@ def test_trace_store():
     assert store.get(c) is None
 
 
+def test_body_nodes():
+    source = "class A {\n  int x = 1;\n  // note\n  void m() { x(); }\n  abstract void n();\n  static { go(); }\n  class B { }\n}"
+    kinds = {(n["hit_kind"], n["start_line"]) for n in extract(source, "java")["nodes"] if n["owner"] == 0}
+    assert kinds == {("header", 1), ("state", 2), ("comment", 3), ("member", 4), ("contract", 5), ("state", 6), ("member", 7)}
+
+
 def test_extraction():
     got = extract("package a\nclass B(val c: C) : D(1), E {\n  fun f(x: Int = 1, vararg y: String): G<H>? { c.go(x) { } ; return null }\n}", "kotlin")
     f = got["symbols"][1]
