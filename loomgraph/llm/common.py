@@ -51,6 +51,11 @@ def texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def share_of(hashed: Column, share: float) -> Column:
+    """Whether a row, by its hash, is in a sample of that share; it decides where rows go, never which rows count."""
+    return F.pmod(hashed, F.lit(1 << 48)) < F.lit(int(min(1.0, share) * (1 << 48)))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until df has no such column."""
     while name.lower() in map(str.lower, df.columns):

@@ -154,8 +154,7 @@ def in_order(docs: DataFrame, ranges: int) -> DataFrame:
     if not stats["n"]:
         return rows.select(F.lit(0).alias("part"), F.lit(0).alias("kind"), "doc_id", "tie", "text")
     first = (stats["first"]["_id"], stats["first"]["tie"])
-    share = min(1.0, ranges * SAMPLED / stats["n"])
-    some = rows.filter(F.abs(F.xxhash64("_id", "tie") % 1_000_000) < share * 1_000_000).select("_id", "tie").limit(4 * ranges * SAMPLED).collect()
+    some = rows.filter(common.share_of(F.xxhash64("_id", "tie"), ranges * SAMPLED / stats["n"])).select("_id", "tie").limit(4 * ranges * SAMPLED).collect()
     places = sorted(((r["_id"], r["tie"]) for r in some), reverse=True)
     found = sorted({places[len(places) * k // ranges] for k in range(1, ranges)} - {first}, reverse=True) if places else []
     up = found[::-1]  # ascending, for bisect

@@ -53,8 +53,7 @@ def host_key(host: Column) -> Column:
 def cuts(urls: DataFrame, ranges: int) -> list[tuple[str, str, int]]:
     """Up to ranges - 1 ascending places (key, path, salt) between ranges of about as many urls."""
     n = urls.count()
-    share = min(1.0, ranges * SAMPLED / max(n, 1))
-    picked = urls.filter(F.abs(F.col("salt") % 1_000_000) < share * 1_000_000).select("key", "path", "salt").limit(4 * ranges * SAMPLED).collect()
+    picked = urls.filter(common.share_of(F.col("salt"), ranges * SAMPLED / max(n, 1))).select("key", "path", "salt").limit(4 * ranges * SAMPLED).collect()
     places = sorted((r["key"], r["path"], r["salt"]) for r in picked)
     return sorted({places[len(places) * k // ranges] for k in range(1, ranges)}) if places else []
 
