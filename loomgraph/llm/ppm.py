@@ -133,7 +133,7 @@ def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events:
             for k, x in dealt(hashes, n_words):
                 text, text_at = common.flat(found.vocab.take(pa.array(x)))
                 words.append({"shard": k, "code": _binary(x.astype("<u4")), "text": _binary(text), "size": _binary(np.diff(text_at).astype("<u4")), "n": _binary(counts[x].astype("<u4"))})
-            events = [{"shard": k, "at": _binary(x.astype("<u4")), "before": _binary(before[x]), "segment": _binary(own[x]), "train": _binary(in_train[x].astype(np.uint8))} for k, x in dealt(before, n_events)]
+            events = [{"shard": k, "at": _binary(x.astype("<u4")), "before": _binary(before[x]), "segment": _binary(own[x]), "train": _binary(in_train[x].astype(np.uint8))} for k, x in dealt(np.where(before == START_HASH, own, before), n_events)]
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             row = [
                 pa.array([uuid.uuid4().int >> 65]), one(ids), one(out), one(pa.array(n + 1)), pa.array([_binary(found.codes.astype("<u4"))], pa.binary()), one(_structs(words, ("code", "text", "size", "n"))),
@@ -264,7 +264,8 @@ def code_lengths(deepest: DataFrame) -> DataFrame:
 
 def counted(events: DataFrame) -> DataFrame:
     """Events (shard, block, before, segment, train) as (block, shard, n, total, kinds): the training counts of each event's pair,
-    of all pairs with its predecessor, and of distinct ones; ones, twos: pairs of the shard that were seen so often."""
+    of all pairs with its predecessor, and of distinct ones; ones, twos: pairs of the shard that were seen so often; firsts: its
+    distinct pairs that begin documents. These are dealt out by the segment, so their totals are not a shard's to know."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -286,9 +287,9 @@ def counted(events: DataFrame) -> DataFrame:
             out[:, order] = n[pair], total[node], kinds[node]
             cut = np.cumsum(sizes) - sizes
             tell = [[_binary(row[a : a + m]) for a, m in zip(cut, sizes, strict=True)] for row in out]
-            ones, twos = (np.zeros(len(block), np.int64) for _ in range(2))
-            ones[0], twos[0] = (n == 1).sum(), (n == 2).sum()
-            yield pa.record_batch([pa.array(block), pa.array([now] * len(block), pa.int32()), *(pa.array(x, pa.binary()) for x in tell), pa.array(ones), pa.array(twos)], ["of_block", "shard", "n", "total", "kinds", "ones", "twos"])
+            ones, twos, firsts = (np.zeros(len(block), np.int64) for _ in range(3))
+            ones[0], twos[0], firsts[0] = (n == 1).sum(), (n == 2).sum(), ((n > 0) & (b[new] == START_HASH)).sum()
+            yield pa.record_batch([pa.array(block), pa.array([now] * len(block), pa.int32()), *(pa.array(x, pa.binary()) for x in tell), pa.array(ones), pa.array(twos), pa.array(firsts)], ["of_block", "shard", "n", "total", "kinds", "ones", "twos", "firsts"])
 
         for batch in parts:
             for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -301,7 +302,7 @@ def counted(events: DataFrame) -> DataFrame:
             yield from flush()
 
     rows = events.sortWithinPartitions("shard").select("shard", "block", "before", "segment", "train")
-    return rows.mapInArrow(count, "of_block long, shard int, n binary, total binary, kinds binary, ones long, twos long")
+    return rows.mapInArrow(count, "of_block long, shard int, n binary, total binary, kinds binary, ones long, twos long, firsts long")
 
 
 # Documents ------------------------------------------------------------------------------------------------------------
@@ -319,8 +320,9 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
     made = common.settled(blocks(docs, modulus, held_out, n_words, n), f"{path}/blocks", compression="uncompressed")
     events = made.select("block", F.explode("events").alias("e")).select("block", "e.shard", "e.before", "e.segment", "e.train").repartitionById(n, F.col("shard"))
     seen = common.settled(counted(events), f"{path}/segments", compression="zstd")
-    often = seen.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).collect()[0]
+    often = seen.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos"), F.sum("firsts").alias("firsts")).collect()[0]
     discount = min(0.95, max(0.1, often["ones"] / (often["ones"] + 2 * often["twos"]))) if often["ones"] else 0.1
+    first_kinds = often["firsts"] or 0
     ends = made.agg(F.sum(F.aggregate("held_out", F.lit(0).cast("long"), lambda a, x: a + F.when(x, 0).otherwise(1))).alias("ends")).collect()[0]["ends"] or 0
     words = made.select("block", F.explode("words").alias("w")).select("block", "w.shard", "w.text", "w.size", "w.n").repartitionById(n_words, F.col("shard"))
     held = common.settled(shards(words), f"{path}/shards", compression="zstd")
@@ -369,15 +371,18 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
             if x is not None:
                 at = event_at[k]
                 n[at], all_n[at], kinds[at] = (_array(v, "<u4") for v in (x, y, z))
+        in_doc = left.column("n_segments").combine_chunks()[0].values.to_numpy(zero_copy_only=False)
+        begins = np.cumsum(in_doc) - in_doc
+        all_n[begins], kinds[begins] = ends, first_kinds
         with np.errstate(divide="ignore", invalid="ignore"):
             whole = np.log10((n - discount) / all_n)
             escape = np.where(all_n > 0, np.log10(discount * kinds / all_n), 0.0)
         each = np.where(n > 0, whole, escape + spelt)
-        by_doc = np.repeat(np.arange(len(ids)), left.column("n_segments").combine_chunks()[0].values.to_numpy(zero_copy_only=False))
+        by_doc = np.repeat(np.arange(len(ids)), in_doc)
         return pa.table([ids, out, pa.array(n_tokens), pa.array(sums[0].astype(np.int64) + (ends > 0)), pa.array(np.full(len(ids), total)), pa.array(sums[1] + base(ends)), pa.array(np.bincount(by_doc, each, len(ids)))], [x.split()[0] for x in COLUMNS.split(", ")])
 
     told = held.groupBy("shard").cogroup(priced.groupBy("of")).applyInArrow(price, "of_block long, shard int, count binary, lp binary")
-    told = told.unionByName(seen.drop("ones", "twos"), allowMissingColumns=True)
+    told = told.unionByName(seen.drop("ones", "twos", "firsts"), allowMissingColumns=True)
     places = lambda rows, at: F.transform(rows, lambda x: F.struct(x["shard"].alias("shard"), x[at].alias("at")))
     own = made.select("block", "doc_id", "held_out", "n_tokens", "codes", "segments", "n_segments", places("words", "code").alias("word_at"), places("events", "at").alias("event_at"))
     return own.groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(add, COLUMNS)
