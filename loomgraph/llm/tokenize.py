@@ -12,7 +12,7 @@ import pyarrow as pa
 from .common import binary_array, flat
 
 #: Entries that one generation of the cache holds; two generations are kept.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 #: Longer chunks are encoded without being kept.
 CACHED_CHARS = 48
 
