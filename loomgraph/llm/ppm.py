@@ -1,17 +1,17 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 A text is its words (A-Z lower-cased; runs of bytes other than white space), each followed by a space, and a line feed
-at the end, which no word contains. The model predicts these bytes one by one from the bytes before them in the word, up to ORDER;
-a word's beginning is a context of its own. Word boundaries and the end mark are predicted too, so the scores are
+at the end, which no word contains. The model predicts these bytes one by one from up to ORDER bytes before them in the
+text, across words; before a text stand ORDER spaces. Word boundaries and the end mark are predicted too, so the scores are
 probabilities of token sequences, as those of the base are. Above the bytes stands one longer context: the tokens fall into
 segments (a token whose hash with the one before it is 0 modulo SEGMENT ends one), and a segment that followed the
 same segment in training is predicted whole, which is what makes copied passages cheap; else it escapes to the bytes.
 
 Training text is gathered whole, as counts that follow the corpus:
 
-1. Blocks. A task's documents become blocks of their distinct words and of codes into them, written to the shared folder.
-2. Words. The blocks' words are dealt out by hash. Each shard adds up its words' training counts, and counts all
-   (context, byte) pairs of its words, words' counts as weights.
+1. Blocks. A task's documents become blocks of their distinct words, of codes into them, and of the distinct
+   (context, byte) pairs of their texts with training counts, written to the shared folder.
+2. Words and pairs. The blocks' words are dealt out by hash, and so are their pairs. Each shard adds up training counts.
 3. Trie. The pairs' sums are the deepest level of the context trie, one row a pair. A level below has, for each suffix of
    a context, the bytes that follow it, each counted once for every longer context it was new in (update exclusion).
    Escapes are estimated by absolute discounting: a context that was seen N times with D distinct bytes escapes
@@ -19,11 +19,11 @@ Training text is gathered whole, as counts that follow the corpus:
    bytes that the longer context had are excluded: the shorter context's counts are renormalised without them. The last
    escape leads to the bytes that never occurred, all equally likely.
 4. Segments. Pairs of (segment before, segment), as hashes, are dealt out by the former's hash and counted in training text.
-5. Scores. Each pair gets its code length by joining levels; each shard adds up its words' pairs, and sends every block
-   the counts and code lengths of its words. Each block adds up its documents' words.
+5. Scores. Each pair gets its code length by joining levels; each shard sends every block the code lengths of its pairs
+   or the counts of its words. Each block spells its documents again and adds up their bytes.
 
 Nothing but level-wide constants meets on the driver. A block holds at most BLOCK_BYTES of text (or one document); there
-are as many shards of segments as the input has partitions, and a shard of words for every PARTITIONS_A_SHARD. Null text is empty: one end token. Rows that share a doc_id are scored
+are as many shards of segments and of pairs as the input has partitions, and a shard of words for every PARTITIONS_A_SHARD. Null text is empty: one end token. Rows that share a doc_id are scored
 one by one; null doc_ids count as training text. Without training text every byte is equally likely.
 """
 
@@ -47,7 +47,7 @@ SYMBOLS = 256
 BLOCK_BYTES = 16 << 20
 END = b"\n"
 
-BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, codes binary, words array<struct<shard:int,code:binary,text:binary,size:binary,n:binary>>, segments binary, n_segments array<long>, events array<struct<shard:int,at:binary,before:binary,segment:binary,train:binary>>"
+BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, codes binary, words array<struct<shard:int,code:binary,text:binary,size:binary,n:binary>>, pairs array<struct<shard:int,key:binary,n:binary>>, segments binary, n_segments array<long>, events array<struct<shard:int,at:binary,before:binary,segment:binary,train:binary>>"
 
 SEGMENT = 16
 #: Hashes of the end mark and of what stands before a document. Fixed values.
@@ -55,8 +55,10 @@ END_HASH, START_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF76781
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-#: Partitions of the input for each shard of words: the more words stand together, the fewer pairs repeat.
+#: Partitions of the input for each shard of words.
 PARTITIONS_A_SHARD = 4
+#: Bytes of a block that are looked at together.
+SLICE = 1 << 20
 
 
 def _binary(values: np.ndarray) -> bytes:
@@ -72,6 +74,23 @@ def _array(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _turned(values: np.ndarray) -> bytes:
+    """Like _binary, with the values' first bytes together, then their second bytes, and so on."""
+    return _binary(np.ascontiguousarray(values).view("u1").reshape(len(values), values.itemsize).T)
+
+
+def _unturned(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(_array(data, "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
+def dealt(key: np.ndarray, n_shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shards that keys fall into, each with its keys' places in order."""
+    shard = (key % np.uint64(n_shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(n_shards + 1))
+    return ((k, order[a:b]) for k, a, b in zip(range(n_shards), cut[:-1], cut[1:], strict=True) if a < b)
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     raw, at = common.flat(words)
     size = np.diff(at)
@@ -103,7 +122,7 @@ def _structs(rows: list[dict], names: tuple[str, ...]) -> pa.Array:
 
 
 def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events: int) -> DataFrame:
-    """One row per block: its documents, the codes of their words one after another, and its words with their training counts."""
+    """One row per block: its documents, the codes of their words one after another, and its words and pairs with their training counts."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -114,6 +133,12 @@ def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events:
             out = pa.concat_arrays([common.column(x, "held_out") for x in held])
             found = common.words(text)
             n = np.diff(found.starts)
+            raw, raw_at = common.flat(found.vocab)
+            stream, _, doc_at = spelling(found.codes, n, raw, raw_at[:-1], np.diff(raw_at))
+            key, key_n = distinct(stream, doc_at, ~np.asarray(out))
+            del stream
+            grams = [{"shard": k, "key": _turned(np.diff(key[x], prepend=0)), "n": _turned(key_n[x].astype("<u4"))} for k, x in dealt(common.mix64(key), n_events)]
+            del key, key_n
             train = ~np.repeat(np.asarray(out), n)
             counts = np.bincount(found.codes[train], minlength=len(found.vocab))
             hashes = word_hashes(found.vocab)
@@ -123,12 +148,6 @@ def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events:
             at, own, before, doc_first = segments(token, begins)
             in_train = ~np.repeat(np.asarray(out), np.diff(np.append(doc_first, len(at))))
 
-            def dealt(key: np.ndarray, n_shards: int) -> Iterator[tuple[int, np.ndarray]]:
-                shard = (key % np.uint64(n_shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(n_shards + 1))
-                return ((k, order[a:b]) for k, a, b in zip(range(n_shards), cut[:-1], cut[1:], strict=True) if a < b)
-
             words = []
             for k, x in dealt(hashes, n_words):
                 text, text_at = common.flat(found.vocab.take(pa.array(x)))
@@ -136,7 +155,7 @@ def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events:
             events = [{"shard": k, "at": _binary(x.astype("<u4")), "before": _binary(before[x]), "segment": _binary(own[x]), "train": _binary(in_train[x].astype(np.uint8))} for k, x in dealt(np.where(before == START_HASH, own, before), n_events)]
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             row = [
-                pa.array([uuid.uuid4().int >> 65]), one(ids), one(out), one(pa.array(n + 1)), pa.array([_binary(found.codes.astype("<u4"))], pa.binary()), one(_structs(words, ("code", "text", "size", "n"))),
+                pa.array([uuid.uuid4().int >> 65]), one(ids), one(out), one(pa.array(n + 1)), pa.array([_binary(found.codes.astype("<u4"))], pa.binary()), one(_structs(words, ("code", "text", "size", "n"))), one(_structs(grams, ("key", "n"))),
                 pa.array([_binary(np.diff(np.append(at, len(token))).astype("<u4"))], pa.binary()), one(pa.array(np.diff(np.append(doc_first, len(at))))), one(_structs(events, ("at", "before", "segment", "train"))),
             ]
             return pa.record_batch(row, [x.split()[0] for x in BLOCKS.split(", ")])
@@ -155,14 +174,19 @@ def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events:
     return rows.mapInArrow(make, BLOCKS)
 
 
-# Words and their pairs ------------------------------------------------------------------------------------------------
+# Words and pairs ------------------------------------------------------------------------------------------------------
 
 
-def pairs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word, key) for each byte of each word and the space after it; key: ORDER bytes of context, then the byte.
+def keys_at(stream: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Of each byte of stream[begin:end]: ORDER bytes of context, then the byte."""
+    key = np.zeros(end - begin, np.int64)
+    for k in range(ORDER + 1):
+        key |= stream[begin - k : end - k].astype(np.int64) << (8 * k)
+    return key
 
-    Contexts that begin before the word are filled with spaces, which no word contains.
-    """
+
+def pairs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word, key) for each byte of each word and the space after it, each word as a text of its own without its end mark."""
     raw, at = common.flat(words)
     size = np.diff(at)
     n = len(words)
@@ -170,46 +194,109 @@ def pairs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begin = at[:-1] + (ORDER + 1) * np.arange(n) + ORDER
     padded[spread(begin, size)] = raw
     count = size + 1
-    place = spread(begin, count)
-    key = np.zeros(len(place), np.int64)
-    for k in range(ORDER + 1):
-        key |= padded[place - k].astype(np.int64) << (8 * k)
-    return np.repeat(np.arange(n), count), key
+    return np.repeat(np.arange(n), count), keys_at(padded, ORDER, len(padded))[spread(begin, count) - ORDER]
 
 
-SHARDS = "shard int, words array<binary>, counts array<long>, blocks array<long>, sizes array<int>, word binary, keys array<long>, sums array<long>"
+def spelling(codes: np.ndarray, n_words: np.ndarray, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of documents of n_words words each, one after another with ORDER spaces before each, and where tokens and documents begin.
 
-
-def shards(rows: DataFrame) -> DataFrame:
-    """One row per shard of rows (shard, block, text, size, n): its words, their training counts, which words each block asked for, their pairs."""
+    codes index words, which are the sizes bytes of raw at begins.
+    """
+    last = np.cumsum(n_words + 1) - 1
+    is_word = np.ones(len(codes) + len(n_words), bool)
+    is_word[last] = False
+    size = np.ones(len(is_word), np.int32)
+    size[is_word] += sizes[codes].astype(np.int32)
+    size[last] += ORDER  # the spaces before the next document
+    at = np.cumsum(size, dtype=np.int64)
+    stream = np.full(at[-1], 32, np.uint8)
+    at += ORDER - size
+    del size
+    stream[at[last]] = END[0]
+    to, a = at[is_word], 0
+    del is_word
+    while a < len(codes):
+        b = max(a + 1, int(np.searchsorted(to, to[a] + SLICE)))
+        x = codes[a:b]
+        stream[spread(to[a:b], sizes[x])] = raw[spread(begins[x], sizes[x])]
+        a = b
+    return stream, at, at[last - n_words]
+
+
+def slices(stream: np.ndarray, doc_at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in stream and their keys, without the spaces before documents."""
+    spelt = np.ones(len(stream), bool)
+    for k in range(1, ORDER + 1):
+        spelt[doc_at - k] = False
+    for a in range(ORDER, len(stream), SLICE):
+        b = min(a + SLICE, len(stream))
+        place = np.flatnonzero(spelt[a:b])
+        yield place + a, keys_at(stream, a, b)[place]
+
+
+def distinct(stream: np.ndarray, doc_at: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a stream in order, and how often each is in documents that are learned from."""
+    learned = np.repeat(train, np.diff(np.append(doc_at, len(stream) + ORDER)))  # of the places from the first document on
+    bit = 8 * (ORDER + 1)
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for place, key in slices(stream, doc_at):  # one slice after another, so that only distinct keys are held
+        more, more_n = np.unique(key | (learned[place - ORDER].astype(np.int64) << bit), return_counts=True)
+        more_n *= more >> bit
+        keys, at = np.unique(np.concatenate([keys, more & ((1 << bit) - 1)]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, more_n]), len(keys)).astype(np.int64)
+    return keys, n
+
+
+def _by_shard(rows: DataFrame, names: tuple[str, ...], flush, schema: str) -> DataFrame:
+    """What flush makes of each shard's number and columns of rows (shard, *names)."""
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
-
-        def flush() -> pa.RecordBatch:
-            block, text, size, n = zip(*held, strict=True)
-            sizes = [_array(x, "<u4") for x in size]
-            coded = common.binary_array(np.concatenate([_array(x, "u1") for x in text]), np.concatenate(sizes)).dictionary_encode()
-            at = coded.indices.to_numpy(zero_copy_only=False)
-            counts = np.bincount(at, np.concatenate([_array(x, "<u4") for x in n]), len(coded.dictionary)).astype(np.int64)
-            word, key = pairs(coded.dictionary)
-            keys, place = np.unique(key, return_inverse=True)
-            sums = np.bincount(place, counts[word], len(keys)).astype(np.int64)
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            row = [pa.array([now], pa.int32()), one(coded.dictionary), one(pa.array(counts)), one(pa.array(block, pa.int64())), one(pa.array([len(x) for x in sizes], pa.int32())), pa.array([_binary(at.astype("<u4"))], pa.binary()), one(pa.array(keys)), one(pa.array(sums))]
-            return pa.record_batch(row, [x.split()[0] for x in SHARDS.split(", ")])
-
         for batch in parts:
             for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and shard != now:
-                    yield flush()
+                    yield flush(now, *zip(*held, strict=True))
                     held.clear()
                 now = shard
                 held.append(row)
         if held:
-            yield flush()
+            yield flush(now, *zip(*held, strict=True))
+
+    return rows.sortWithinPartitions("shard").select("shard", *names).mapInArrow(gather, schema)
+
+
+def shards(rows: DataFrame) -> DataFrame:
+    """Rows (shard, block, text, size, n) of words as (of_block, shard, count): the training counts of each block's words; all, known:
+    those of the shard added up, and its distinct words that have one."""
+
+    def flush(shard, block, text, size, n) -> pa.RecordBatch:
+        sizes = [_array(x, "<u4") for x in size]
+        coded = common.binary_array(np.concatenate([_array(x, "u1") for x in text]), np.concatenate(sizes)).dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        counts = np.bincount(at, np.concatenate([_array(x, "<u4") for x in n]), len(coded.dictionary)).astype(np.int64)
+        tell = [_binary(counts[x].astype("<u4")) for x in np.split(at, np.cumsum([len(x) for x in sizes])[:-1])]
+        all_, known = (np.zeros(len(block), np.int64) for _ in range(2))
+        all_[0], known[0] = counts.sum(), (counts > 0).sum()
+        return pa.record_batch([pa.array(block, pa.int64()), pa.array([shard] * len(block), pa.int32()), pa.array(tell, pa.binary()), pa.array(all_), pa.array(known)], ["of_block", "shard", "count", "all", "known"])
 
-    return rows.sortWithinPartitions("shard").select("shard", "block", "text", "size", "n").mapInArrow(gather, SHARDS)
+    return _by_shard(rows, ("block", "text", "size", "n"), flush, "of_block long, shard int, count binary, all long, known long")
+
+
+GRAMS = "shard int, blocks array<long>, sizes array<int>, at binary, keys array<long>, sums array<long>"
+
+
+def grams(rows: DataFrame) -> DataFrame:
+    """One row per shard of rows (shard, block, key, n): its distinct pairs, their training counts, and which of them each block asked for."""
+
+    def flush(shard, block, key, n) -> pa.RecordBatch:
+        asked = [np.cumsum(_unturned(x, "<i8")) for x in key]
+        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([_unturned(x, "<u4") for x in n]), len(keys)).astype(np.int64)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        row = [pa.array([shard], pa.int32()), one(pa.array(block, pa.int64())), one(pa.array([len(x) for x in asked], pa.int32())), pa.array([_turned(np.diff(at, prepend=0).astype("<i4"))], pa.binary()), one(pa.array(keys)), one(pa.array(sums))]
+        return pa.record_batch(row, [x.split()[0] for x in GRAMS.split(", ")])
+
+    return _by_shard(rows, ("block", "key", "n"), flush, GRAMS)
 
 
 # Trie -----------------------------------------------------------------------------------------------------------------
@@ -325,64 +412,79 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
     first_kinds = often["firsts"] or 0
     ends = made.agg(F.sum(F.aggregate("held_out", F.lit(0).cast("long"), lambda a, x: a + F.when(x, 0).otherwise(1))).alias("ends")).collect()[0]["ends"] or 0
     words = made.select("block", F.explode("words").alias("w")).select("block", "w.shard", "w.text", "w.size", "w.n").repartitionById(n_words, F.col("shard"))
-    held = common.settled(shards(words), f"{path}/shards", compression="zstd")
-    end_key = sum(32 << (8 * k) for k in range(1, ORDER + 1)) | END[0]
-    mark = spark.createDataFrame([(end_key, ends)], "key long, n long")
+    counts = common.settled(shards(words), f"{path}/shards", compression="zstd")
+    asked = made.select("block", F.explode("pairs").alias("p")).select("block", "p.shard", "p.key", "p.n").repartitionById(n, F.col("shard"))
+    held = common.settled(grams(asked), f"{path}/grams", compression="zstd")
     keyed = held.select("shard", F.posexplode(F.arrays_zip("keys", "sums")).alias("at", "x")).select("shard", "at", F.col("x.keys").alias("key"), F.col("x.sums").alias("n"))
-    deepest = common.settled(keyed.select("key", "n").unionByName(mark).groupBy("key").agg(F.sum("n").alias("n")), f"{path}/pairs")
+    # Pairs were dealt out by themselves, so that none is in two shards.
+    deepest = common.settled(keyed.select("key", "n"), f"{path}/pairs")
     lengths = common.settled(code_lengths(deepest), f"{path}/lengths")
-    end_lp = lengths.filter(F.col("key") == end_key).collect()[0]["lp"]
-    totals = held.select(F.explode("counts").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("v")).collect()[0]
+    totals = counts.agg(F.sum("all").alias("n"), F.sum("known").alias("v")).collect()[0]
     total, kinds = (totals["n"] or 0) + ends, (totals["v"] or 0) + (ends > 0)
     base = lambda c: np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
 
     priced = keyed.join(lengths, "key").select(F.col("shard").alias("of"), "at", "lp")
 
     def price(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, counts, blocks_, sizes, keys = (left.column(x).combine_chunks()[0].values for x in ("words", "counts", "blocks", "sizes", "keys"))
-        counts, keys = counts.to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False)
-        by_key = np.zeros(len(keys))
-        by_key[right.column("at").to_numpy()] = right.column("lp").to_numpy()
-        word, key = pairs(words)
-        each = np.bincount(word, by_key[np.searchsorted(keys, key)], len(words))
-        at = np.split(_array(left.column("word")[0].as_py(), "<u4"), np.cumsum(sizes.to_numpy(zero_copy_only=False))[:-1])
+        blocks_, sizes, keys = (left.column(x).combine_chunks()[0].values for x in ("blocks", "sizes", "keys"))
+        lp = np.zeros(len(keys), "<f4")
+        lp[right.column("at").to_numpy()] = right.column("lp").to_numpy()
+        at = np.split(np.cumsum(_unturned(left.column("at")[0].as_py(), "<i4")), np.cumsum(sizes.to_numpy(zero_copy_only=False))[:-1])
         shard = left.column("shard")[0].as_py()
-        return pa.table([blocks_, pa.array([shard] * len(at), pa.int32()), pa.array([_binary(counts[x].astype("<u4")) for x in at], pa.binary()), pa.array([_binary(each[x].astype("<f4")) for x in at], pa.binary())], ["of_block", "shard", "count", "lp"])
+        return pa.table([blocks_, pa.array([shard] * len(at), pa.int32()), pa.array([_turned(lp[x]) for x in at], pa.binary())], ["of_block", "shard", "lp"])
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         codes = _array(left.column("codes")[0].as_py(), "<u4")
-        ids, out, n_tokens, word_at, event_at = (left.column(x).combine_chunks()[0].values for x in ("doc_id", "held_out", "n_tokens", "word_at", "event_at"))
-        word_at, event_at = ({x["shard"]: _array(x["at"], "<u4") for x in y.to_pylist()} for y in (word_at, event_at))
+        ids, out, n_tokens, words, event_at = (left.column(x).combine_chunks()[0].values for x in ("doc_id", "held_out", "n_tokens", "words", "event_at"))
+        words = {x["shard"]: [_array(x[y], z) for y, z in (("code", "<u4"), ("text", "u1"), ("size", "<u4"))] for x in words.to_pylist()}
+        event_at = {x["shard"]: _array(x["at"], "<u4") for x in event_at.to_pylist()}
         n_tokens = n_tokens.to_numpy(zero_copy_only=False)
-        kinds_here = int(codes.max()) + 1 if len(codes) else 0
-        count, lp = np.zeros(kinds_here, np.int64), np.zeros(kinds_here)
+        # The words again, in the shards' order, and the documents spelt with them.
+        order, raw, size = (np.concatenate([np.zeros(0, z), *(x[k] for x in words.values())]) for k, z in enumerate(("<u4", "u1", "<u4")))
+        word_begins, word_sizes = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        word_sizes[order] = size
+        word_begins[order] = np.cumsum(size, dtype=np.int64) - size
+        stream, token_at, doc_at = spelling(codes, n_tokens - 1, raw, word_begins, word_sizes)
+        keys = distinct(stream, doc_at, np.zeros(len(ids), bool))[0]
+        pair_at = dict(dealt(common.mix64(keys), n))
+        count, by_key = np.zeros(len(order), np.int64), np.zeros(len(keys), "<f4")
         for k, x, y in zip(*(right.column(x).to_pylist() for x in ("shard", "count", "lp")), strict=True):
             if x is not None:
-                count[word_at[k]], lp[word_at[k]] = _array(x, "<u4"), _array(y, "<f4")
+                count[words[k][0]] = _array(x, "<u4")
+            if y is not None:
+                by_key[pair_at[k]] = _unturned(y, "<f4")
+        # Tokens' code lengths by the bytes, end marks included, added up by segment.
+        token = np.zeros(len(token_at))
+        for place, key in slices(stream, doc_at):
+            few, at = np.unique(key, return_inverse=True)  # looked up in order, which is faster
+            lp = by_key[np.searchsorted(keys, few)][at]
+            first, last = np.searchsorted(token_at, place[[0, -1]], "right") - 1
+            begins = np.searchsorted(place, token_at[first + 1 : last + 1])
+            token[first : last + 1] += np.add.reduceat(lp, np.concatenate([[0], begins]), dtype=float)
+        del stream, token_at, keys, pair_at, by_key
         doc = np.repeat(np.arange(len(ids)), n_tokens - 1)
         sums = [np.bincount(doc, x[codes], len(ids)) for x in (count > 0, base(count))]
-        # Tokens' code lengths by the bytes, end marks included, added up by segment.
-        token = np.full(len(codes) + len(ids), end_lp)
-        token[np.arange(len(codes)) + doc] = lp[codes]
+        del doc, codes
         sizes = _array(left.column("segments")[0].as_py(), "<u4").astype(np.int64)
         spelt = np.add.reduceat(token, np.cumsum(sizes) - sizes)
-        n, all_n, kinds = (np.zeros(len(sizes)) for _ in range(3))
+        often, all_n, kinds = (np.zeros(len(sizes)) for _ in range(3))
         for k, x, y, z in zip(*(right.column(c).to_pylist() for c in ("shard", "n", "total", "kinds")), strict=True):
             if x is not None:
                 at = event_at[k]
-                n[at], all_n[at], kinds[at] = (_array(v, "<u4") for v in (x, y, z))
+                often[at], all_n[at], kinds[at] = (_array(v, "<u4") for v in (x, y, z))
         in_doc = left.column("n_segments").combine_chunks()[0].values.to_numpy(zero_copy_only=False)
         begins = np.cumsum(in_doc) - in_doc
         all_n[begins], kinds[begins] = ends, first_kinds
         with np.errstate(divide="ignore", invalid="ignore"):
-            whole = np.log10((n - discount) / all_n)
+            whole = np.log10((often - discount) / all_n)
             escape = np.where(all_n > 0, np.log10(discount * kinds / all_n), 0.0)
-        each = np.where(n > 0, whole, escape + spelt)
+        each = np.where(often > 0, whole, escape + spelt)
         by_doc = np.repeat(np.arange(len(ids)), in_doc)
         return pa.table([ids, out, pa.array(n_tokens), pa.array(sums[0].astype(np.int64) + (ends > 0)), pa.array(np.full(len(ids), total)), pa.array(sums[1] + base(ends)), pa.array(np.bincount(by_doc, each, len(ids)))], [x.split()[0] for x in COLUMNS.split(", ")])
 
-    told = held.groupBy("shard").cogroup(priced.groupBy("of")).applyInArrow(price, "of_block long, shard int, count binary, lp binary")
-    told = told.unionByName(seen.drop("ones", "twos", "firsts"), allowMissingColumns=True)
-    places = lambda rows, at: F.transform(rows, lambda x: F.struct(x["shard"].alias("shard"), x[at].alias("at")))
-    own = made.select("block", "doc_id", "held_out", "n_tokens", "codes", "segments", "n_segments", places("words", "code").alias("word_at"), places("events", "at").alias("event_at"))
+    told = held.groupBy("shard").cogroup(priced.groupBy("of")).applyInArrow(price, "of_block long, shard int, lp binary")
+    for more in (counts.drop("all", "known"), seen.drop("ones", "twos", "firsts")):
+        told = told.unionByName(more, allowMissingColumns=True)
+    some = lambda rows, *names: F.transform(rows, lambda x: F.struct(*(x[y].alias(y) for y in ("shard", *names))))
+    own = made.select("block", "doc_id", "held_out", "n_tokens", "codes", "segments", "n_segments", some("words", "code", "text", "size").alias("words"), some("events", "at").alias("event_at"))
     return own.groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(add, COLUMNS)

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -72,3 +73,35 @@ def test_no_documents(spark):
     assert ppm.score(no_docs(spark)).count() == 0
     empty = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
     assert [r.n_tokens for r in ppm.score(empty).collect()] == [1, 1]
+
+
+def test_contexts_run_across_words(spark):
+    """Held-out text whose words follow from the words before them, without copied segments."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(2)) for _ in range(150)]
+    after = {w: rng.sample(words, 3) for w in words}
+
+    def walk(n):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    rows = [(k, walk(120)) for k in range(300)]
+    held = [(k, x) for k, x in rows if zlib.crc32(str(k).encode()) % 10 == 0]
+    mixed = next(j for j in range(1000, 2000) if zlib.crc32(str(j).encode()) % 10 == 0)
+    shuffled = rng.sample(held[0][1], 120)
+    docs = [(k, " ".join(x)) for k, x in [*rows, (mixed, shuffled)]]
+    got = {r.doc_id: r for r in ppm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(held) > 5 and all(got[k].score > got[k].base_score / 2 for k, _ in held)
+    assert got[mixed].n_known == got[held[0][0]].n_known and got[mixed].score < 1.5 * got[held[0][0]].score
+
+
+def test_spelling():
+    raw, begins, sizes = np.frombuffer(b"abcde", np.uint8), np.array([0, 2]), np.array([2, 3])
+    stream, at, doc_at = ppm.spelling(np.array([1, 0]), np.array([2, 0]), raw, begins, sizes)
+    pad = b" " * ppm.ORDER
+    assert stream.tobytes() == pad + b"cde ab \n" + pad + b"\n"
+    assert (at - ppm.ORDER).tolist() == [0, 4, 7, 8 + ppm.ORDER] and doc_at.tolist() == [at[0], at[3]]
+    keys, n = ppm.distinct(stream, doc_at, np.array([True, False]))
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == {key(b"", 10): 0, **{key(b"cde ab "[:k], (b"cde ab \n")[k]): 1 for k in range(8)}}
