@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import cache
 
@@ -29,6 +30,7 @@ def default_vocabulary() -> str:
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, equal to those of one call of the library over the whole text.
 
+    The library first splits off the file's added tokens, special ones too; so does this, and what is between them is encoded alone.
     A byte-level BPE never merges over the edges that its pre-tokenizer sets. Such edges always stand before a space that
     a character other than white space follows, on both sides of a line feed that stands alone, and between a letter or
     digit and a mark that white space follows. Texts are cut there; of a batch each distinct chunk is looked up once, and
@@ -41,7 +43,12 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder()
+        if any(x.lstrip or x.rstrip or x.single_word for x in added.values()):
+            raise ValueError(f"{path}: added tokens that take white space or stand as words alone are not supported")
+        self.added = {x.content: array("I", [k]).tobytes() for k, x in added.items()}
+        # Of those that begin at one place the library takes the longest.
+        self.splits = re.compile(b"|".join(re.escape(x.encode()) for x in sorted(self.added, key=len, reverse=True))) if added else None
         self.tokenize, self.pre = self.library.model.tokenize, self.library.pre_tokenizer
         whole = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {b: whole.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
@@ -53,7 +60,9 @@ class Encoder:
         return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        """Letters after a space or none are a piece as they stand; the library cuts all else."""
+        """Letters after a space or none are a piece as they stand; the library cuts all else but added tokens."""
+        if chunk in self.added:
+            return self.added[chunk]
         part = chunk[1:] if chunk[0] == " " else chunk
         if part.isalpha():
             if chunk.isascii():
@@ -76,10 +85,23 @@ class Encoder:
                 self.new[chunk] = got
         return found
 
+    def _added_at(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Begin and end of each added token within texts."""
+        if self.splits is None:
+            return np.zeros((0, 2), np.int64)
+        # A match may also lie across two texts: both are searched again, alone.
+        near = {int(np.searchsorted(at, x, "right")) - 1 for m in self.splits.finditer(raw) for x in (m.start(), m.end() - 1)}
+        found = [(at[k] + m.start(), at[k] + m.end()) for k in sorted(near) for m in self.splits.finditer(raw[at[k] : at[k + 1]])]
+        return np.array(found, np.int64).reshape(-1, 2)
+
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has; end follows each text's ids."""
         raw, at = flat(texts)
-        begins = cuts(raw, at)
+        added = self._added_at(raw, at)
+        begins = cuts(raw, np.sort(np.concatenate([at, added.ravel()])))
+        if len(added):  # they stay whole
+            last = np.searchsorted(added[:, 0], begins) - 1
+            begins = begins[(last < 0) | (begins >= added[last, 1])]
         coded = binary_array(raw, np.diff(np.append(begins, len(raw)))).dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
         found = self._find(coded.dictionary.cast(pa.string()).to_pylist())

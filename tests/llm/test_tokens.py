@@ -91,3 +91,18 @@ def test_plan_is_best_fit_decreasing():
                 assert offset == at
                 at += length
             assert at <= 20
+
+
+def test_added_tokens_are_those_of_the_library_as_it_is():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_vocabulary())
+    mark = "<|endoftext|>"
+    texts = [f"a{mark}b", mark, mark * 3, f" {mark} ", f"x y{mark}\n z.{mark}", "<|endof", "text|> after", "", f"é{mark}日本 {mark}!", mark[:-1], "<" + mark + ">", "plain words"]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice([mark, mark[:6], mark[6:], " ", "\n", "a", "the", ".", "é"]) for _ in range(rng.randint(0, 9))) for _ in range(2000)]
+    ids, counts = encoder(default_vocabulary()).encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    for text, a, b in zip(texts, ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
