@@ -21,12 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Has the session hand Python at most BATCH_BYTES, or one row, at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
     Only a local master, as in tests, may have the setting unset; it then gets a temporary folder.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
         held = spark.sparkContext.getCheckpointDir()
@@ -158,8 +163,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-
-
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int) -> DataFrame:
     """doc_id, text and y of at most `limit` labelled documents: those whose ids have the smallest hashes.
 
@@ -183,3 +186,16 @@ def scored(docs: DataFrame, score, text_col: str = "text", kind: str = "double")
         return pa.array(np.concatenate(out))
 
     return each(F.coalesce(docs[text_col], F.lit("")))
+
+
+def hot_keys(counted: DataFrame, key: str, rows: int) -> DataFrame:
+    """The keys of counted (key, n) that hold more rows than an even share of a great many; 20,000 keys at most have so many."""
+    return counted.filter(F.col("n") > max(64, rows // 20_000)).select(key)
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """rows joined with facts, which has one row for each key, on key: hot keys' facts, whose number is bounded, go to where the
+    rows are, and only the other rows are dealt out by key."""
+    few = F.broadcast(facts.join(F.broadcast(hot), key, "left_semi"))
+    spread_out = rows.join(few, key)
+    return spread_out.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(facts, key))

@@ -17,7 +17,7 @@ which no rule fits. Urls that no rule fits get the method's verdict, DEFAULT. Ru
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,33 +40,60 @@ def lower_ascii(col: Column) -> Column:
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
-    """Host: after the first `://` up to `/`, `?`, `#` or the end, in lower case. Path: from there up to `?`, `#` or the end."""
+    """Host: after the first `://` up to `/`, `?`, `#` or the end, in lower case. Path: from there up to `?`, `#` or the end.
+
+    By plain searches, whose depth doesn't grow with the text as a pattern's can.
+    """
     url = F.coalesce(url, F.lit(""))
-    found = r"(?s)^(?:(?!://).)*://([^/?#]*)([^?#]*)"
-    return lower_ascii(F.regexp_extract(url, found, 1)), F.regexp_extract(url, found, 2)
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+
+    def until(text: Column, *marks: str) -> Column:
+        for mark in marks:
+            text = F.substring_index(text, mark, 1)
+        return text
+
+    host = until(rest, "/", "?", "#")
+    return lower_ascii(host), until(F.substring(rest, F.length(host) + 1, F.length(rest)), "?", "#")
 
 
 def host_key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit(".")))
 
 
-def cuts(urls: DataFrame, ranges: int) -> list[tuple[str, str, int]]:
-    """Up to ranges - 1 ascending places (key, path, salt) between ranges of about as many urls."""
-    n = urls.count()
+def cuts(urls: DataFrame, n: int, ranges: int) -> list[tuple[str, str, int]]:
+    """Up to ranges - 1 ascending places (key, path, salt) between ranges of about as many of the n urls."""
     picked = urls.filter(common.share_of(F.col("salt"), ranges * SAMPLED / max(n, 1))).select("key", "path", "salt").limit(4 * ranges * SAMPLED).collect()
     places = sorted((r["key"], r["path"], r["salt"]) for r in picked)
     return sorted({places[len(places) * k // ranges] for k in range(1, ranges)}) if places else []
 
 
+class Paths:
+    """The path rules of one host: asked for the longest that begins a path, by as many lookups as there are different lengths."""
+
+    def __init__(self):
+        self.verdicts: dict[str, str] = {}
+        self.sizes: list[int] = []  # descending
+
+    def add(self, path: str, verdict: str) -> None:
+        self.verdicts[path] = verdict
+        if len(path) not in self.sizes:
+            insort(self.sizes, len(path), key=lambda n: -n)
+
+    def longest(self, path: str) -> str | None:
+        return next((path[:n] for n in self.sizes if n <= len(path) and path[:n] in self.verdicts), None)
+
+
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str = "page_id", default: str = DEFAULT) -> DataFrame:
     """(page_id, host, path, rule, verdict), one row per row of pages; rules has columns host, path, verdict."""
     spark = pages.sparkSession
-    common.scratch(spark, "url-rules")
+    common.bound_batches(spark)
     host, path = host_and_path(pages[url_col])
-    urls = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = urls.select("*", host_key(F.col("host")).alias("key"), F.xxhash64("page_id", "host", "path").alias("salt"))
+    urls = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"), pages[url_col].alias("url"))
+    urls = urls.select("*", host_key(F.col("host")).alias("key"), F.xxhash64("page_id", "url").alias("salt"))
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    at = cuts(urls, ranges)
+    at = cuts(urls, pages.count(), ranges)
+    urls = urls.drop("url")
 
     # Strings compare by UTF-8 bytes everywhere below, which for Python's strings is the order of code points.
     def of_url(key: pa.Array, path: pa.Array, salt: pa.Array) -> pa.Array:
@@ -85,7 +112,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     kind = urls.schema["page_id"].dataType.simpleString()
 
     def sweep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[str, str, list[tuple[str, str]]]] = []  # key, host, its paths with their verdicts
+        stack: list[tuple[str, str, Paths]] = []  # key, host, its path rules
         now = None
         for batch in parts:
             out = []
@@ -96,14 +123,14 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
                     stack.pop()
                 if kind == 0:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, host, []))
-                    stack[-1][2].append((path, verdict))
+                        stack.append((key, host, Paths()))
+                    stack[-1][2].add(path, verdict)
                     continue
                 best = None
                 for _, owner, paths in reversed(stack):
-                    for begin, said in paths:
-                        if path.startswith(begin) and (best is None or len(owner) + len(begin) > best[0]):
-                            best = (len(owner) + len(begin), owner + begin, said)
+                    begin = paths.longest(path)
+                    if begin is not None and (best is None or len(owner) + len(begin) > best[0]):
+                        best = (len(owner) + len(begin), owner + begin, paths.verdicts[begin])
                 out.append((page, host, path, *((best[1], best[2]) if best else (None, default))))
             if out:
                 cols = list(zip(*out, strict=True))

@@ -57,3 +57,20 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_rules.judge(none, url_rules.own_rules(spark)).count() == 0
     assert judged(spark, URLS[:4], [(None, "/", "block"), ("", "/", "block")]) == [slow(u, []) for u in URLS[:4]]
+
+
+def test_long_urls_of_mixed_characters(spark):
+    mixed = "a\U0001f600" * 200_000
+    urls = [mixed, f"http://{mixed}.net/{mixed}", f"http://h/{mixed}?q", "http://a.example.net" + mixed]
+    assert judged(spark, urls, url_rules.RULES) == [slow(u, url_rules.RULES) for u in urls]
+
+
+def test_a_host_with_many_path_rules():
+    paths, rng = url_rules.Paths(), random.Random(3)
+    rules = {"/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 6))) for _ in range(200)}
+    for x in rules:
+        paths.add(x, "block")
+    assert len(paths.sizes) <= 7
+    for _ in range(300):
+        path = "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 9)))
+        assert paths.longest(path) == max((x for x in rules if path.startswith(x)), key=len, default=None)
