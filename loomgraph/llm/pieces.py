@@ -11,7 +11,9 @@ No piece crosses the beginning of a run of spaces, or a line feed, so the lattic
 of a batch's distinct chunks are computed once, all chunks side by side, and all occurrences sample side by side.
 
 Spaces are the model's U+2581; that character itself, in a text, is spelled in byte pieces, and no dummy space is added:
-decoding gives back every text. Null text is empty and has no pieces. Rows that share a key and a text have the same pieces.
+decoding gives back every text. Null text is empty and has no pieces. Rows that share a key and a text have the same pieces, and
+null keys count as the key -1. Only the id and the text are read, so other columns may have any name; an empty table gives no rows.
+A worker holds some 100 bytes a byte of distinct chunks, of a batch or of one longer text.
 """
 
 from __future__ import annotations
@@ -138,8 +140,15 @@ class Pieces:
         order = np.argsort(end, kind="stable")
         begin, end, piece, share = begin[order], end[order], piece[order], share[order]
         node_first = np.searchsorted(end, np.arange(len(total) + 1))
-        sums = np.concatenate([[0.0], np.cumsum(share)])
-        return begin, piece, sums[1:] - np.repeat(sums[node_first[:-1]], np.diff(node_first)), node_first
+        # Added up within each node alone: a share is the same whatever other chunks are there.
+        many = np.diff(node_first)
+        at, run = np.flatnonzero(many), np.zeros(int((many > 0).sum()))
+        for k in range(int(many.max(initial=0))):
+            more = many[at] > k
+            at, run = at[more], run[more]
+            run = run + share[node_first[at] + k]
+            share[node_first[at] + k] = run
+        return begin, piece, share, node_first
 
     def sample(self, texts: pa.Array, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all texts one after another, and how many each has."""
@@ -200,7 +209,7 @@ def _sampled(batch: pa.RecordBatch, path: str, theta: float, seed: int) -> tuple
 def encode(docs: DataFrame, path: str | None = None, theta: float = THETA, seed: int = SEED) -> DataFrame:
     """(doc_id, ids): a sampled segmentation of each text."""
     path = path or default_model()
-    common.scratch(docs.sparkSession, "pieces")  # bounds the batches
+    common.bound_batches(docs.sparkSession)
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches(parts, limit=common.BATCH_BYTES // 4):
@@ -226,7 +235,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
 def round_trips(docs: DataFrame, path: str | None = None, theta: float = THETA, seed: int = SEED) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, decoded_sha256, lossless): each text's sampled pieces, and what they decode to."""
     path = path or default_model()
-    common.scratch(docs.sparkSession, "pieces")  # bounds the batches
+    common.bound_batches(docs.sparkSession)
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches(parts, limit=common.BATCH_BYTES // 4):

@@ -59,3 +59,18 @@ def test_encode_and_decode(spark):
     assert sorted(r.text for r in op.decode(rows).collect()) == sorted(t or "" for _, t, *_ in odd_rows())
     assert op.decode(op.encode(no_docs(spark))).count() == 0
     assert op.round_trips(no_docs(spark)).count() == 0
+
+
+def test_shares_are_those_of_the_chunk_alone():
+    model = op.pieces(op.default_model())
+    rng = np.random.default_rng(5)
+    others = [bytes(rng.choice(np.frombuffer(b"etaoinshr", np.uint8), 6)) for _ in range(100_000)]
+    mine = [b" therefore", "日本ü".encode(), b" nationalization"]
+    raw = lambda xs: (np.frombuffer(b"".join(xs), np.uint8), np.cumsum([0, *map(len, xs)]))
+    begin, piece, share, first = model.lattice(*raw(mine))
+    n = len(first) - 1
+    b2, p2, s2, f2 = model.lattice(*raw([*others, *mine]))
+    a, shift = f2[-1 - n], len(f2) - 1 - n
+    assert (s2[a:] == share).all() and (p2[a:] == piece).all() and (b2[a:] - shift == begin).all()
+    last = first[1:][np.diff(first) > 0] - 1
+    assert np.allclose(share[last], 1)
