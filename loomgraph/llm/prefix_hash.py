@@ -5,13 +5,18 @@ their differences of H, brought to a common power of b, are (but for a chance be
 From the same arrays follow the hash of any span in constant time, the equality of any two spans, and the longest common
 extension of two places by binary search.
 
-A fingerprint is `<code points>:<hash of the whole>:<sketch>`. The sketch has LANES numbers: the spans of WINDOW code
-points at all places (of a text under 4 * WINDOW, spans of the largest power of two that is a quarter of it or less)
-fall into LANES by their hashes, and a lane holds the last 16 bits of the least hash it got.
+A fingerprint is `<code points>:<hash of the whole>:<sketches>`. A sketch has LANES numbers: the spans of one size at all
+places fall into LANES by their hashes, and a lane holds the last 16 bits of the least hash it got. A text has a sketch of
+spans of WINDOW code points, or, under 4 * WINDOW code points, of the largest power of two that is a quarter of it or less; texts under
+16 * WINDOW have sketches of all smaller powers of two as well. Two texts are compared by the largest size that both have, which is the
+own size of the shorter one; a text under 4 * WINDOW and one of 16 * WINDOW or more, over four times as long, have none.
 The likeness of two fingerprints is 1 for equal wholes, else Dice's coefficient of their spans as the lanes estimate it:
-with a share s of equal lanes among those that either has, 2s / (1 + s).
+with a share s of equal lanes among those that either has, 2s / (1 + s); 0 without a common size.
 
-Null text is empty; an empty text's fingerprint has no lane, and its likeness to a text that is not empty is 0.
+Null text is empty; an empty text's fingerprint has no lane, and its likeness to a text that is not empty is 0. Rows with repeated or null
+ids follow each other in a fixed order (see compare_to_next); an empty table gives no rows. Only the id and the text are
+read, so other columns may have any name. Texts are worked through in slices of SLICE code points: a worker holds some 30 bytes a
+code point of the two texts that it compares, and no table that grows with texts.
 """
 
 from __future__ import annotations
@@ -34,17 +39,22 @@ WINDOW = 16
 LANES = 128
 NONE = 0xFFFF
 
-_POWERS = [np.ones(1, np.uint64) for _ in PRIMES]
+#: Code points that are looked at together.
+SLICE = 1 << 15
 
 
-def powers(k: int, n: int) -> np.ndarray:
-    """b^0 to b^(n-1) modulo the k-th prime; what is there is doubled as needed."""
-    p, got = np.uint64(PRIMES[k]), _POWERS[k]
-    while len(got) < n:
-        top = got[-1] * np.uint64(BASES[k]) % p
-        got = np.concatenate([got, got * top % p])
-    _POWERS[k] = got
-    return got[:n]
+def _table(base: int, p: int) -> np.ndarray:
+    """base^0 to base^(SLICE - 1) modulo p."""
+    got = np.ones(1, np.uint64)
+    while len(got) < SLICE:
+        got = np.concatenate([got, got * np.uint64(pow(base, len(got), p)) % np.uint64(p)])
+    return got
+
+
+#: The bases' inverses, and powers of both within a slice.
+INVERSES = tuple(pow(b, -1, p) for b, p in zip(BASES, PRIMES, strict=True))
+_POWERS = [_table(b, p) for b, p in zip(BASES, PRIMES, strict=True)]
+_UNDO = [_table(b, p) for b, p in zip(INVERSES, PRIMES, strict=True)]
 
 
 def points(text: str) -> np.ndarray:
@@ -60,24 +70,28 @@ class Prefixes:
         for k in range(primes):
             p = np.uint64(PRIMES[k])
             sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum((c + np.uint64(1)) * powers(k, self.n) % p, out=sums[1:])
-            self.h.append(sums % p)
-
-    def span(self, begin: np.ndarray, end: np.ndarray, top: int) -> list[np.ndarray]:
-        """Hashes of spans, brought to the power top (at least any begin)."""
-        out = []
-        for k, h in enumerate(self.h):
-            p = np.uint64(PRIMES[k])
-            out.append((h[end] + p - h[begin]) % p * powers(k, top + 1)[top - begin] % p)
-        return out
+            for a in range(0, self.n, SLICE):
+                b = min(a + SLICE, self.n)
+                part = (c[a:b] + np.uint64(1)) * _POWERS[k][: b - a] % p * np.uint64(pow(BASES[k], a, PRIMES[k])) % p
+                sums[a + 1 : b + 1] = (sums[a] + np.cumsum(part)) % p
+            self.h.append(sums)
+
+    def spans(self, size: int, k: int = 0) -> Iterator[np.ndarray]:
+        """Hashes of all spans of size code points from the beginning on, slice by slice, brought to power zero."""
+        p, h = np.uint64(PRIMES[k]), self.h[k]
+        for a in range(0, self.n - size + 1, SLICE):
+            b = min(a + SLICE, self.n - size + 1)
+            yield (h[a + size : b + size] + p - h[a:b]) % p * _UNDO[k][: b - a] % p * np.uint64(pow(INVERSES[k], a, PRIMES[k])) % p
+
+    def span(self, begin: int, end: int) -> tuple[int, ...]:
+        """The hashes of one span, brought to power zero."""
+        return tuple((int(h[end]) - int(h[begin])) * pow(INVERSES[k], begin, PRIMES[k]) % PRIMES[k] for k, h in enumerate(self.h))
 
     def equal(self, begin: int, other: Prefixes, other_begin: int, size: int) -> bool:
         """Whether size code points from begin on are those of other from other_begin on."""
         if begin + size > self.n or other_begin + size > other.n:
             return False
-        top = max(begin, other_begin)
-        a, b = self.span(np.array([begin]), np.array([begin + size]), top), other.span(np.array([other_begin]), np.array([other_begin + size]), top)
-        return all((x == y).all() for x, y in zip(a, b, strict=True))
+        return self.span(begin, begin + size) == other.span(other_begin, other_begin + size)
 
     def extension(self, begin: int, other: Prefixes, other_begin: int) -> int:
         """The length of the longest common extension from two places."""
@@ -95,19 +109,19 @@ class Prefixes:
         return first << 31 | second
 
 
+def sizes(n: int) -> list[int]:
+    """The span sizes, descending, of which a text of n code points has sketches."""
+    own = min(WINDOW, 1 << max(0, (n // 4).bit_length() - 1))
+    return [] if n == 0 else [own] if n >= 16 * WINDOW else [1 << k for k in range(own.bit_length() - 1, -1, -1)]
+
+
 def sketch(prefixes: Prefixes) -> np.ndarray:
-    """By lane the last 16 bits of the least span hash, or NONE."""
-    out = np.full(LANES, 0xFFFFFFFF, np.uint32)
-    if prefixes.n:
-        size = min(WINDOW, 1 << max(0, (prefixes.n // 4).bit_length() - 1))
-        places = prefixes.n - size + 1
-        p, h = np.uint64(PRIMES[0]), prefixes.h[0]
-        spans = (h[size:] + p - h[:places]) % p * powers(0, places)[::-1] % p  # all at the power places - 1
-        # A common power for texts of any length: divide by b^(places - 1).
-        spans = spans * np.uint64(pow(pow(BASES[0], places - 1, PRIMES[0]), -1, PRIMES[0])) % p
-        mixed = common.mix64(spans + np.uint64(size << 40))
-        lane, value = (mixed & np.uint64(LANES - 1)).astype(np.intp), (mixed >> np.uint64(32)).astype(np.uint32)
-        np.minimum.at(out, lane, value)
+    """For each of sizes(), by lane the last 16 bits of the least span hash, or NONE."""
+    out = np.full((len(sizes(prefixes.n)), LANES), 0xFFFFFFFF, np.uint32)
+    for row, size in zip(out, sizes(prefixes.n), strict=True):
+        for spans in prefixes.spans(size):
+            mixed = common.mix64(spans + np.uint64(size << 40))
+            np.minimum.at(row, (mixed & np.uint64(LANES - 1)).astype(np.intp), (mixed >> np.uint64(32)).astype(np.uint32))
     return np.where(out == 0xFFFFFFFF, NONE, np.minimum(out & np.uint32(0xFFFF), NONE - 1)).astype(np.uint16)
 
 
@@ -117,16 +131,18 @@ def fingerprint(prefixes: Prefixes, lanes: np.ndarray) -> str:
 
 def parse(printed: str) -> tuple[int, int, np.ndarray]:
     n, whole, lanes = printed.split(":")
-    return int(n, 16), int(whole, 16), np.frombuffer(bytes.fromhex(lanes), ">u2").astype(np.uint16)
+    return int(n, 16), int(whole, 16), np.frombuffer(bytes.fromhex(lanes), ">u2").astype(np.uint16).reshape(-1, LANES)
 
 
 def likeness(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) -> float:
     if a[:2] == b[:2]:
         return 1.0
-    either = (a[2] != NONE) | (b[2] != NONE)
-    if not either.any():
+    both = [x for x in sizes(a[0]) if x in sizes(b[0])]
+    if not both:
         return 0.0
-    share = ((a[2] == b[2]) & either).sum() / either.sum()
+    x, y = (z[2][sizes(z[0]).index(both[0])] for z in (a, b))
+    either = (x != NONE) | (y != NONE)
+    share = ((x == y) & either).sum() / either.sum()
     return float(2 * share / (1 + share))
 
 
@@ -182,7 +198,7 @@ def compare_to_next(docs: DataFrame) -> DataFrame:
     a text and its edited text from their beginnings.
     """
     spark = docs.sparkSession
-    common.scratch(spark, "prefix-hash")  # bounds the batches
+    common.bound_batches(spark)
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None

@@ -67,3 +67,39 @@ def test_few_documents(spark):
     assert row.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and row.near_next == 1
     many = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
     assert ph.compare_to_next(many.repartition(5)).count() == 500
+
+
+def exact(a, b):
+    """Dice's coefficient of the spans themselves, of the shorter text's own size."""
+    size = min(ph.sizes(len(x))[0] for x in (a, b))
+    x, y = ({t[k : k + size] for k in range(len(t) - size + 1)} for t in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
+def test_likeness_follows_the_spans_across_all_lengths():
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(700))
+    fp = lambda t: ph.parse(ph.fingerprint(p := ph.Prefixes(ph.points(t)), ph.sketch(p)))
+    for n in [*range(1, 140), 255, 256, 257, 300, 600]:
+        for m in (n + 1, n + n // 3, 2 * n):
+            a, b = text[:n], text[:m]
+            if n >= 4 and m <= 700:
+                assert abs(ph.likeness(fp(a), fp(b)) - exact(a, b)) < 0.25, (n, m)
+                assert ph.likeness(fp(a), fp(b)) == ph.likeness(fp(b), fp(a)) > 0
+    for n in (8, 16, 32, 64, 128, 256):
+        assert ph.likeness(fp(text[: n - 1]), fp(text[:n])) > 0.6
+
+
+def test_long_texts_are_worked_through_in_slices():
+    rng = random.Random(8)
+    text = "".join(rng.choice("abü\U0001f600") for _ in range(3 * ph.SLICE + 17))
+    p = ph.Prefixes(ph.points(text))
+    for k, (prime, base) in enumerate(zip(ph.PRIMES, ph.BASES, strict=True)):
+        h = 0
+        for j, c in enumerate(text):
+            h = (h + (ord(c) + 1) * pow(base, j, prime)) % prime if j % 5000 == 0 or j >= len(text) - 3 else (h + (ord(c) + 1) * (power := power * base % prime)) % prime
+            power = pow(base, j, prime) if j % 5000 == 0 or j >= len(text) - 3 else power
+        assert int(p.h[k][-1]) == h
+    near = ph.Prefixes(ph.points("x" * 7 + text))
+    assert near.extension(7, p, 0) == len(text) and [x.tolist() for x in near.spans(16)][-1][-1] == [x.tolist() for x in p.spans(16)][-1][-1]
+    assert all(len(x) == ph.SLICE for x in (*ph._POWERS, *ph._UNDO))
