@@ -1,16 +1,20 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Features are the byte n-grams, three to five long, of lower-cased words with a space at either end, hashed to BUCKETS;
-a document has a feature or it has not. Training, on a bounded sample of labelled documents:
+Features are the byte n-grams, three to five long, of lower-cased words with a space at either end, hashed to
+2 ** BUCKET_BITS buckets; a document has a feature or it has not. Training, on a bounded sample of labelled documents:
 
 1. each training document's features are found by executors, which also count them by class;
-2. a feature's log-count ratio r = log((p + 1) / (P + 2)) - log((n + 1) / (N + 2)); the FEATURES whose ratios stand out
-   most against their standard errors are kept;
+2. a feature's log-count ratio is log((p + 1) / (P + 2)) - log((n + 1) / (N + 2)), brought SHRINK standard errors nearer to
+   zero, and zero where it is within these: such a feature's x * r is zero in all documents. No feature is dropped otherwise,
+   and none at all with shrink = 0;
 3. logistic regression with an L2 penalty on x * r, on the driver, over the bounded sample.
 
-A text's score is the logistic of the sum of its features' weights: one lookup table, applied to a batch's distinct
-words and from these to its documents. Null text is empty; an empty text scores the intercept. Without labels of
-both classes every text scores the share of label 1 in the sample (0.5 where there is none).
+A text's score is the logistic of the sum of its features' weights: one lookup table, applied to a slice's distinct
+words and from these to its documents. Null text is empty; an empty text scores the intercept. Rows with repeated or null ids are
+scored one by one; of several labelled texts with one id, that with the least list of features is learned from, whatever the order
+of rows. Without labels of both classes, as with empty tables, every text scores the share of label 1 in the sample (0.5
+where there is none). Only the id, the text and the label are read, so other columns may have any name. Texts are looked
+at in slices of SLICE_BYTES, and a longer one alone.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +32,12 @@ from . import common
 
 MAX_TRAIN = 20_000
 BUCKET_BITS = 20
-FEATURES = 16_384
-#: Standard errors from zero under which a ratio is noise.
-LEAST_Z = 3.0
+#: Text bytes that are looked at together.
+SLICE_BYTES = 1 << 20
+#: Entries of the sample that a step of the regression looks at together.
+ENTRIES = 1 << 20
+#: Standard errors by which ratios are brought nearer to zero.
+SHRINK = 3.0
 PENALTY = 1.0
 STEPS = 200
 GRAMS = (3, 4, 5)
@@ -86,15 +94,22 @@ def features(texts: pa.Array, slot: np.ndarray | None = None) -> tuple[np.ndarra
     return pair >> BUCKET_BITS, pair & ((1 << BUCKET_BITS) - 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, limit: int = MAX_TRAIN) -> Model:
+def in_slices(texts: pa.Array, slot: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """features() of one slice of texts after another, each with its number of texts."""
+    for part in common.batches(iter([pa.record_batch([texts], ["text"])]), limit=SLICE_BYTES):
+        yield part.num_rows, *features(common.column(part, "text"), slot)
+
+
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, limit: int = MAX_TRAIN, shrink: float = SHRINK) -> Model:
     spark = docs.sparkSession
     path = common.scratch(spark, "toxicity")
 
     def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches(parts):
-            doc, feature = features(common.column(batch, "text"))
-            at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            rows = [feature[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            rows = []
+            for n, doc, feature in in_slices(common.column(batch, "text")):
+                at = np.searchsorted(doc, np.arange(n + 1))
+                rows += [feature[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.record_batch([common.column(batch, "doc_id"), common.column(batch, "y"), pa.array(rows, pa.binary())], ["doc_id", "y", "features"])
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,43 +121,54 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
         yield pa.record_batch([pa.array(has), pa.array(counts[0, has]), pa.array(counts[1, has])], ["bucket", "neg", "pos"])
 
     sample = common.labelled(docs, labels, "toxic", modulus, held_out, limit).mapInArrow(mark, "doc_id long, y int, features binary")
-    sample = common.settled(sample, path, compression="zstd")
+    sample = common.settled(sample.groupBy("doc_id", "y").agg(F.min("features").alias("features")), path, compression="zstd")
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     neg_n, pos_n = totals.get(0, 0), totals.get(1, 0)
     if not (neg_n and pos_n):
         share = (pos_n + 0.5) / (neg_n + pos_n + 1)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
-    counts = sample.select("y", "features").mapInArrow(count, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = sample.mapInArrow(count, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     ratio = F.log((F.col("pos") + 1) / (pos_n + 2)) - F.log((F.col("neg") + 1) / (neg_n + 2))
-    z = F.abs(ratio) / F.sqrt(1 / (F.col("pos") + 1) + 1 / (F.col("neg") + 1))
-    kept = counts.select("bucket", ratio.alias("r"), z.alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(FEATURES).toPandas().sort_values("bucket")
-    index, r = kept["bucket"].to_numpy(np.int64), kept["r"].to_numpy()
+    error = F.sqrt(1 / (F.col("pos") + 1) + 1 / (F.col("neg") + 1))
+    found = counts.select("bucket", (F.signum(ratio) * F.greatest(F.abs(ratio) - F.lit(shrink) * error, F.lit(0.0))).alias("r")).filter("r != 0")
+    index, r = (c.to_numpy() for c in found.toArrow().sort_by("bucket").columns)  # 2 ** BUCKET_BITS rows at most
 
     def narrow(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.full(1 << BUCKET_BITS, -1, np.int64)
-        slot[index] = np.arange(len(index))
+        slot = np.full(1 << BUCKET_BITS, -1, np.int32)
+        slot[index] = np.arange(len(index), dtype=np.int32)
         for batch in parts:
             cols = [slot[np.frombuffer(data, "<u4")] for data in common.column(batch, "features").to_pylist()]
-            yield pa.record_batch([common.column(batch, "doc_id"), common.column(batch, "y"), pa.array([x[x >= 0].astype("<u2").tobytes() for x in cols], pa.binary())], ["doc_id", "y", "cols"])
+            yield pa.record_batch([common.column(batch, "doc_id"), common.column(batch, "y"), pa.array([x[x >= 0].astype("<u4").tobytes() for x in cols], pa.binary())], ["doc_id", "y", "cols"])
 
-    rows = sample.dropDuplicates(["doc_id"]).mapInArrow(narrow, "doc_id long, y int, cols binary").toPandas().sort_values("doc_id")
-    cols = [np.frombuffer(x, "<u2") for x in rows["cols"]]
-    doc = np.repeat(np.arange(len(cols)), [len(x) for x in cols])
-    weight, intercept = regress(doc, np.concatenate(cols).astype(np.int64) if cols else np.zeros(0, np.int64), rows["y"].to_numpy(float), r)
+    rows = sample.mapInArrow(narrow, "doc_id long, y int, cols binary").toArrow().sort_by("doc_id")
+    y, cols = rows.column("y").to_numpy().astype(float), rows.column("cols").combine_chunks()
+    size = pc.binary_length(cols).to_numpy().astype(np.int64) // 4
+    weight, intercept = regress(size, common.flat(cols)[0].view("<u4"), y, r)
     return Model(index, weight * r, intercept)
 
 
-def regress(doc: np.ndarray, col: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the logistic loss of x * r plus PENALTY / 2 times the squared weights, by Adam."""
+def regress(size: np.ndarray, col: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise the logistic loss of x * r plus PENALTY / 2 times the squared weights, by Adam.
+
+    Document d has the next size[d] numbers of col.
+    """
     n, k = len(y), len(r)
+    ends = np.cumsum(size)
+    cuts = [0]
+    while cuts[-1] < n:
+        begun = ends[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, begun + ENTRIES, "right"))))
     w, b = np.zeros(k), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
-    value = r[col]
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[col] * value, n) + b, -30, 30)))
-        err = p - y
-        g = (np.bincount(col, err[doc] * value, k) + PENALTY * w) / n
-        gb = err.mean()
+        by_col, g, gb = w * r, np.zeros(k), 0.0
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            own, doc = col[ends[i] - size[i] : ends[j - 1]], np.repeat(np.arange(j - i), size[i:j])
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, by_col[own], j - i) + b, -30, 30)))
+            err = p - y[i:j]
+            g += np.bincount(own, err[doc], k)
+            gb += err.sum()
+        g, gb = (g * r + PENALTY * w) / n, gb / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.05 * min(1, 3 * (STEPS - step + 1) / STEPS)
@@ -154,9 +180,10 @@ def regress(doc: np.ndarray, col: np.ndarray, y: np.ndarray, r: np.ndarray) -> t
 def scores(texts: pa.Array, model: Model) -> np.ndarray:
     slot = np.full(1 << BUCKET_BITS, -1, np.int32)
     slot[model.index] = np.arange(len(model.index), dtype=np.int32)
-    doc, feature = features(texts, slot)
-    raw = np.bincount(doc, model.weight[feature], len(texts)) + model.intercept if len(model.index) else np.full(len(texts), model.intercept)
-    return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+    raw = [np.zeros(0)]
+    for n, doc, feature in in_slices(texts, slot):
+        raw.append(np.bincount(doc, model.weight[feature], n) + model.intercept if len(model.index) else np.full(n, model.intercept))
+    return 1 / (1 + np.exp(-np.clip(np.concatenate(raw), -30, 30)))
 
 
 def score(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2) -> DataFrame:
