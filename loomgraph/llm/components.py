@@ -17,7 +17,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """(u, root) for every id of edges (u, v) but the roots, where root is the smallest id reachable.
 
     Each step is written to the shared folder, so the plan stays short and a lost executor loses one step at most. A
-    step's rows never exceed its input's; a hub's edges stay one row each and are never gathered.
+    step's rows never exceed its input's. A hub's edges stay one row each and are not dealt out by the hub: hubs' least
+    neighbours, whose number is bounded, are broadcast to them.
     """
     spark = edges.sparkSession
     now = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -25,9 +26,13 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     while (state := _state(now)) != before and state[0]:
         before, turn = state, turn + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        near = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hot = common.hot_keys(near, "u", 2 * state[0])
+        large = common.join_hot(both.filter(F.col("v") > F.col("u")), near.select("u", F.least("u", "m").alias("m")), hot, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = common.settled(large, common.scratch(spark, f"{label}-{turn}-large"))
+        near = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hot = common.hot_keys(near, "u", state[0])
+        least = near.select("u", "m")
+        small = common.join_hot(large, least, hot, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = common.settled(small, common.scratch(spark, f"{label}-{turn}"))
     return now.groupBy("u").agg(F.min("v").alias("root"))

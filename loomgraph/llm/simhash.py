@@ -12,7 +12,8 @@
 5. Components by star contraction over the edges; the smallest doc_id of each goes back to its documents.
 
 Null text is empty. An empty text (no words) has fingerprint zero, linked like any other. Rows that share a doc_id, or have a null
-one, are rows of their own; null is never a component's id unless all its rows' ids are null.
+one, are rows of their own; null is never a component's id unless all its rows' ids are null. Only the id and the text are read,
+so other columns may have any name. An empty table gives no rows. A worker holds some 30 bytes a byte of a batch's longest text.
 """
 
 from __future__ import annotations
@@ -267,29 +268,45 @@ def near_links(fps: DataFrame, radius: int = RADIUS, group_max: int = GROUP_MAX)
     return links_of(groups.join(large.select("g"), "g", "left_anti"), radius).unionByName(links_of(again, radius))
 
 
+def roots_of(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct (fp, ...) with root, the least fingerprint that its own reaches."""
+    sets = components(near_links(distinct.select("fp"), radius), "simhash-sets").withColumnRenamed("u", "fp")
+    return distinct.join(sets, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of docs."""
     spark = docs.sparkSession
     path = common.scratch(spark, "simhash")
     marked = common.settled(fingerprints(docs, shingle), f"{path}/fingerprints")
-    distinct = common.settled(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{path}/distinct")
-    sets = components(near_links(distinct.select("fp"), radius), "simhash-sets").withColumnRenamed("u", "fp")
-    rooted = distinct.join(sets, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    distinct = common.settled(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), f"{path}/distinct")
+    rooted = roots_of(distinct, radius)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = common.settled(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), f"{path}/components")
+    # One fingerprint may be that of a great part of all rows.
+    found = common.join_hot(marked, by_fp, common.hot_keys(distinct, "fp", marked.count()), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Rows that are broadcast at most, of one number each.
+BROADCAST_ROWS = 1_000_000
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """Of each component one row of docs stays, with all its columns: that of the smallest doc_id (null: the largest), then fingerprint."""
+    """Of each component one row of docs stays, with all its columns: that of the smallest doc_id (null: the largest), then
+    fingerprint, then content. Content orders rows by a hash of all columns, so the rows that stay don't depend on the order of rows."""
     spark = docs.sparkSession
     path = common.scratch(spark, "simhash-kept")
-    marked = common.settled(fingerprints(docs, shingle), f"{path}/fingerprints")
-    distinct = common.settled(marked.select("fp").distinct(), f"{path}/distinct")
-    sets = components(near_links(distinct, radius), "simhash-sets").withColumnRenamed("u", "fp")
-    rooted = marked.distinct().join(sets, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    own, id_name, fp_name = (common.free_name(docs, x) for x in ("own_fp", "first_id", "first_fp"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")).select(F.col("first.doc_id").alias(id_name), F.col("first.fp").alias(fp_name))
-    again = docs.withColumn(own, common.scored(docs, lambda texts: np.array([fingerprint(x, shingle) for x in texts.cast(pa.binary()).to_pylist()], np.int64), kind="long"))
-    one = again.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (F.col(own) == F.col(fp_name)), "left_semi")
-    return one.dropDuplicates(["doc_id", own]).drop(own)
+    own, tie, row = (common.free_name(docs, x) for x in ("own_fp", "own_tie", "own_row"))
+    mark = common.scored(docs, lambda texts: np.array([fingerprint(x, shingle) for x in texts.cast(pa.binary()).to_pylist()], np.int64), kind="long")
+    content = F.xxhash64(F.to_json(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"])), docs["text"])
+    # Written once, so that texts are read and fingerprinted once and a row's number stays its own.
+    held = common.settled(docs.withColumns({own: mark, tie: content}).withColumn(row, F.monotonically_increasing_id()), f"{path}/rows", compression="zstd")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col(own).alias("fp"), F.col(tie).alias("tie"), F.col(row).alias("row"))).alias("first")
+    distinct = common.settled(held.groupBy(F.col(own).alias("fp")).agg(first), f"{path}/distinct")
+    stay = roots_of(distinct, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    stay = common.settled(stay, f"{path}/stay")
+    # Rows' numbers are dealt out without texts; those that go are broadcast where they are few enough.
+    gone = common.settled(held.select(row).join(stay, row, "left_anti"), f"{path}/gone")
+    kept = held.join(F.broadcast(gone), row, "left_anti") if gone.count() <= BROADCAST_ROWS else held.join(stay, row, "left_semi")
+    return kept.drop(own, tie, row)

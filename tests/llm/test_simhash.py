@@ -107,3 +107,10 @@ def test_blocks_lose_no_pair():
             for b in rng.sample(range(64), 4):
                 x |= 1 << b
             assert any(m & x == 0 for m in masks)
+
+
+def test_the_row_that_stays_does_not_depend_on_the_order(spark):
+    rows = [(5, "one two three four five six", f"s{k % 7}", k % 3) for k in range(40)] + [(k, "one two three four five six seven", "t", k) for k in range(5, 12)] + [(None, "other words wholly", "u", 1), (None, "other words wholly", "v", 1)]
+    schema = "doc_id long, text string, own_fp string, own_row int"
+    kept = [sorted(map(str, simhash.keep_one(spark.createDataFrame(x, schema).repartition(n)).collect())) for x, n in ((rows, 1), (rows[::-1], 3), (rows[20:] + rows[:20], 5))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3
