@@ -6,8 +6,11 @@ and its leaves are added to the feature's lookup table. Then the pairs of featur
 what is left get tables of their own in the same way. A score is the logistic of the intercept and one table entry per
 feature and pair: binning by binary search and additions of whole columns.
 
-Null text is empty. Features of an empty text are zero, and it is scored like any other. Without labels of both classes
-every text scores the share of label 1 in the sample (0.5 where there is none).
+Null text is empty. Features of an empty text are zero, and it is scored like any other, as are rows with repeated or null
+ids: one row for each row, equal texts with equal scores. Of several labelled texts with one id that with the least features
+is learned from, whatever the order of rows. Without labels of both classes every text scores the share of label 1 in
+the sample (0.5 where there is none, as with empty tables). Only the id, the text and the label are read, so other columns may have any
+name. Texts are looked at in slices of SLICE_BYTES; a longer one alone, for which a worker holds some 30 bytes a byte of its longest.
 """
 
 from __future__ import annotations
@@ -50,51 +53,71 @@ def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a / np.maximum(b, 1)
 
 
+#: Text bytes, and texts, that are looked at together: what a worker holds beside its batch follows from these, or from one longer text.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 2048
+#: Classes of bytes whose shares are features, by histogram.
+_CLASSES = np.stack([_UPPER, _ALPHA, _DIGIT, _PUNCT, common.SPACE, np.arange(256) >= 128, _SYMBOL, np.arange(256) == 124, np.arange(256) == 33, np.arange(256) == 10], axis=1).astype(np.int64)
+
+
 def featurise(texts: pa.Array) -> np.ndarray:
-    """A row of FEATURES per text, from the whole text."""
+    """A row of FEATURES per text, from the whole text; a text's row is the same beside whatever others it is computed."""
+    out = [np.zeros((0, len(FEATURES)))]
+    for part in common.batches(iter([pa.record_batch([texts], ["text"])]), limit=SLICE_BYTES):
+        for at in range(0, part.num_rows, SLICE_ROWS):
+            out.append(_featurise(common.column(part.slice(at, SLICE_ROWS), "text")))
+    return np.concatenate(out)
+
+
+def histograms(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often each text has each byte."""
+    out = np.zeros((len(at) - 1, 256), np.int64)
+    for d, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        for k in range(a, b, SLICE_BYTES):
+            out[d] += np.bincount(raw[k : min(b, k + SLICE_BYTES)], minlength=256)
+    return out
+
+
+def _featurise(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     raw, at = common.flat(texts)
     size = np.diff(at)
     begins, ends, starts = common.word_spans(raw, at)
     words = np.diff(starts)
-    doc = np.repeat(np.arange(n), words)
-
-    def per_doc(mask: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-        return sums[at[1:]] - sums[at[:-1]]
+    doc = np.repeat(np.arange(n, dtype=np.int32), words)
 
     def per_word(mask: np.ndarray) -> np.ndarray:
         return np.bincount(doc[mask], minlength=n)
 
-    alpha, upper = per_doc(_ALPHA[raw]), per_doc(_UPPER[raw])
-    lines = per_doc(raw == 10) + 1
-    length = ends - begins
+    seen = histograms(raw, at)
+    upper, alpha, digits, punctuation, white, high, symbols, bars, shouts, feeds = (seen @ _CLASSES).T
+    lines = feeds + 1
+    length = (ends - begins).astype(np.int32)
+    last, head = raw[ends - 1], raw[begins]
+    del begins, ends
     coded = common.words(texts)
     code, v = coded.codes.astype(np.int64), max(1, len(coded.vocab))
-    pair, count = np.unique(doc * v + code, return_counts=True)
+    del coded
+    pair, count = np.unique(doc * np.int64(v) + code, return_counts=True)
     distinct = np.bincount(pair // v, minlength=n)
     top = np.zeros(n, np.int64)
     np.maximum.at(top, pair // v, count)
+    del pair, count
     same = doc[1:] == doc[:-1]
     repeats = np.bincount(doc[1:][same & (code[1:] == code[:-1])], minlength=n)
-    two = common.mix64((doc[1:] * v + code[1:])[same].astype(np.uint64)) ^ code[:-1][same].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    two_doc = doc[1:][same]
-    order = np.lexsort((two, two_doc))
-    two, two_doc = two[order], two_doc[order]
-    new = np.ones(len(two), bool)
-    new[1:] = (two[1:] != two[:-1]) | (two_doc[1:] != two_doc[:-1])
-    kinds = np.bincount(two_doc[new], minlength=n)
+    # A slice, or a longer text alone, has so few words that a text and two words fit one number.
+    two = np.unique(((doc[1:] * np.int64(v) + code[1:]) * v + code[:-1])[same])
+    kinds = np.bincount(two // (v * v), minlength=n)
+    del two, code
     twice = np.zeros(n)
-    for d, t in enumerate(texts.to_pylist()):
-        rows = (t or "").split("\n")
+    for d, t in enumerate(texts):
+        rows = (t.as_py() or "").split("\n")
         twice[d] = 1 - len(set(rows)) / len(rows)
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, doc, length)
-    byte = np.bincount(np.repeat(np.arange(n), size) * 256 + raw, minlength=256 * n).reshape(n, 256) / np.maximum(size, 1)[:, None]
+    byte = seen / np.maximum(size, 1)[:, None]
     entropy = -(byte * np.log2(np.where(byte > 0, byte, 1))).sum(axis=1)
-    last, head = raw[ends - 1], raw[begins]
     out = [
-        np.log1p(words), _share(size, words), _share(upper, alpha), _share(per_doc(_DIGIT[raw]), size), _share(per_doc(_PUNCT[raw]), size), _share(per_doc(common.SPACE[raw]), size), _share(per_doc(raw >= 128), size), _share(per_doc(_SYMBOL[raw]), size), _share(per_doc(raw == 124), words), _share(per_doc(raw == 33), words),
+        np.log1p(words), _share(size, words), _share(upper, alpha), _share(digits, size), _share(punctuation, size), _share(white, size), _share(high, size), _share(symbols, size), _share(bars, words), _share(shouts, words),
         _share(words, lines), _share(distinct, words), _share(top, words), _share(repeats, words), _share(kinds, words - 1), twice, _share(per_word(np.isin(last, [33, 46, 63])), words), _share(per_word(_UPPER[head]), words), _share(per_word(length <= 3), words), entropy, np.log1p(longest),
     ]
     return np.column_stack(out).astype(float)
@@ -208,9 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
             x = featurise(common.column(batch, "text"))
             yield pa.record_batch([common.column(batch, "doc_id"), common.column(batch, "y"), *(pa.array(c) for c in x.T)], ["doc_id", "y", *names])
 
-    common.scratch(docs.sparkSession, "quality")  # bounds the batches
+    common.bound_batches(docs.sparkSession)
     sample = common.labelled(docs, labels, "quality", modulus, held_out, limit)
-    rows = sample.mapInArrow(each, "doc_id long, y int, " + ", ".join(f"{x} double" for x in names)).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    found = sample.mapInArrow(each, "doc_id long, y int, " + ", ".join(f"{x} double" for x in names))
+    rows = found.groupBy("doc_id", "y").agg(F.min(F.struct(*names)).alias("f")).select("doc_id", "y", "f.*").toPandas().sort_values("doc_id")
     return learn(rows[names].to_numpy(float), rows["y"].to_numpy(float))
 
 
