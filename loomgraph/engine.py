@@ -12,14 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.overloads import Candidate, Context, canonical, narrow
 from .functions.paths import glob_to_like, safe_path
 from .functions.symbols import archetype, confidence, embedding_text
 from .operators.graph import impact as walk_impact
 from .operators.ranking import first
 from .plans import changes, resolve, search
 from .plans.ticket import analyze
-from .schema import CONTAINERS
 from .session import cut
 from .sources import diffs, extract, files
 from .sources.store import Store, differing, stale, without_files
@@ -48,53 +46,6 @@ def embed(text):
     return each(text)
 
 
-def narrowed(symbols: DataFrame, ancestors: DataFrame) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """A step for resolve.rebuild() that drops the overloads which a site's arguments do not fit.
-
-    Only sites with several candidates and a known argument go to Python, one group a site; with them go the names of the
-    candidates' and arguments' supertypes, gathered by joins.
-    """
-    named = symbols.select("id", "name")
-    up = ancestors.filter("depth > 0").join(named.select(F.col("id").alias("class_id"), F.col("name").alias("type")), "class_id").join(named.select(F.col("id").alias("ancestor_id"), F.col("name").alias("above")), "ancestor_id")
-    supers = cut(up.groupBy("type").agg(F.collect_set("above").alias("supers")))
-    classes = symbols.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("name").alias("type")).distinct()
-
-    def step(cands: DataFrame, sites: DataFrame) -> DataFrame:
-        known = F.exists(F.coalesce("arg_types", F.array()), lambda x: x.isNotNull()) | F.exists(F.coalesce("arg_names", F.array()), lambda x: x.isNotNull())
-        several = cands.groupBy("site").agg(F.countDistinct("target").alias("n")).filter("n > 1").select("site")
-        hard = sites.filter(known).join(several, "site").select("site", "arg_types", "arg_names", "path")
-        shapes = symbols.select(F.col("id").alias("target"), "param_types", "param_names", "param_type_vars", F.col("max_params").isNull().alias("vararg"))
-        rows = cands.join(hard, "site").join(shapes, "target")
-        types = rows.select("site", F.explode(F.concat("arg_types", F.coalesce("param_types", F.array()))).alias("type")).filter("type is not null").select("site", F.regexp_extract("type", "[^.]+$", 0).alias("type")).distinct()
-        about = types.join(classes.withColumn("own", F.lit(True)), "type", "left").join(supers, "type", "left").groupBy("site").agg(F.collect_list(F.struct("type", F.coalesce("own", F.lit(False)).alias("own"), F.coalesce("supers", F.array()).alias("supers"))).alias("types"))
-        rows = rows.join(about, "site", "left")
-
-        def fit_all(group):
-            ctx = Context()
-            for t in group["types"].iloc[0] if group["types"].iloc[0] is not None else []:
-                name = canonical(t["type"])
-                if t["own"]:
-                    ctx.repo_classes.add(name)
-                ctx.supers[name] = ctx.extends[name] = set(t["supers"])
-            listed = lambda x: [] if x is None else list(x)
-            args, names = listed(group["arg_types"].iloc[0]), listed(group["arg_names"].iloc[0])
-            language = "kotlin" if str(group["path"].iloc[0]).endswith(".kt") else "java"
-            keep = []
-            for _, part in sorted(group.groupby("grp"), key=lambda x: x[0]):
-                known_shape = [Candidate(r.target, listed(r.param_types), listed(r.param_names), bool(r.vararg), listed(r.param_type_vars)) for r in part.itertuples()]
-                left = {c.target for c in narrow(args, names, known_shape, ctx, language)}
-                keep.append(part[part["target"].isin(left)])
-            import pandas as pd
-
-            return pd.concat(keep)[["site", "grp", "target", "start_class", "resolution"]]
-
-        done = rows.groupBy("site").applyInPandas(fit_all, "site string, grp int, target string, start_class string, resolution string")
-        easy = cands.join(hard.select("site"), "site", "left_anti")
-        return easy.unionByName(done.select(easy.columns))
-
-    return step
-
-
 class CodeGraph:
     """A graph kept in a folder; see sources.store for its versions."""
 
@@ -123,26 +74,11 @@ class CodeGraph:
         new = fresh.join(parsed.select(F.col("file_id").alias("id"), "package_name"), "id").select("id", "repo_id", "path", "language", "content_hash", "package_name", F.current_timestamp().alias("indexed_at"))
         facts["files"] = held.join(gone, "id", "left_anti").unionByName(new)
         facts = {n: cut(df) for n, df in facts.items()}
-        sites = facts["call_sites"].join(facts["files"].select(F.col("id").alias("file_id"), "path"), "file_id")
-        ancestors = None
-
-        def fit(cands, all_sites):
-            nonlocal ancestors
-            if ancestors is None:
-                ancestors = resolve.hierarchy(facts["symbols"], self._inherited(facts))
-            return narrowed(facts["symbols"], ancestors)(cands, all_sites)
-
-        edges = resolve.rebuild({**facts, "call_sites": sites}, fit)
+        edges = resolve.rebuild(facts)
         repos = self.table("repos").filter(F.col("name") != repo).unionByName(self.spark.createDataFrame([(repo, repo, root)], "id string, name string, path string").withColumns({"last_commit": F.lit(None).cast("string"), "extractor_version": F.lit(1), "indexed_at": F.current_timestamp(), "created_at": F.current_timestamp()}))
         version = self.store.write({**facts, **edges, "repos": repos})
         return {"files": now.count(), "changed": fresh.count(), "removed": gone.count(), "version": version}
 
-    def _inherited(self, facts: dict[str, DataFrame]) -> DataFrame:
-        symbols, refs = facts["symbols"], facts["inheritance_refs"]
-        alone = symbols.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("class_id"), F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
-        wanted = refs.select(F.col("id").alias("ref"), "file_id", F.col("source_symbol_id").alias("scope_id"), "type_name")
-        return resolve.inheritance_edges(refs, resolve.resolve_types(wanted, symbols, facts["files"], facts["imports"], alone))
-
     # Reading
 
     def symbols(self) -> DataFrame:

@@ -1,7 +1,7 @@
 """Name and call resolution over fact tables: from declarations, imports, call sites and clauses to typed edges.
 
-All steps are joins, windows and unions over whole tables; only overload fitting runs Python, on the sites that have
-several candidates and a known argument.
+All steps are joins, windows and unions over whole tables, for all repositories at once. Names are looked up within one
+repository only: its id is part of every key by which names are joined.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from ..operators.graph import closure, walk_up
 from ..operators.ranking import first, keep_least
 from ..schema import CALLABLES, CONTAINERS
 from ..session import cut
+from . import overloads
+from .overloads import canonical
 
 #: Fixed order of resolutions, strongest first.
 STRENGTH = ["typed", "static", "local", "chain", "super"]
@@ -36,6 +38,11 @@ def remove_overridden(cands: DataFrame, below: DataFrame, by: tuple[str, ...] =
     return cands.join(gone, [*by, "target"], "left_anti")
 
 
+def placed(files: DataFrame) -> DataFrame:
+    """(file_id, repo_id, path, package, language)."""
+    return files.select(F.col("id").alias("file_id"), F.coalesce("repo_id", F.lit("")).alias("repo_id"), "path", F.coalesce("package_name", F.lit("")).alias("package"), "language")
+
+
 def resolve_types(refs: DataFrame, symbols: DataFrame, files: DataFrame, imports: DataFrame, ancestors: DataFrame) -> DataFrame:
     """(ref, class_id) for refs (ref, file_id, scope_id, type_name); scope_id is the symbol in which the name stands.
 
@@ -43,10 +50,10 @@ def resolve_types(refs: DataFrame, symbols: DataFrame, files: DataFrame, imports
     ancestor), 1 an explicit import, 2 a type of the same package, 3 one of a wildcard import, 4 a qualified name. The
     first claim holds even where it leads outside the tables: an import of an outside type hides all later claims.
     """
-    classes = symbols.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("class_id"), "file_id", "qualified_name", "name")
-    f = files.select(F.col("id").alias("file_id"), "path", F.coalesce("package_name", F.lit("")).alias("package"))
-    r = refs.join(f, "file_id").withColumn("head", F.substring_index("type_name", ".", 1)).withColumn("tail", F.expr("substr(type_name, length(substring_index(type_name, '.', 1)) + 1)"))
-    base = ["ref", "file_id", "path", "tail"]
+    f = placed(files)
+    classes = symbols.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("class_id"), "file_id", "qualified_name", "name").join(f.select("file_id", "repo_id", "package", "path"), "file_id")
+    r = refs.join(f.drop("language"), "file_id").withColumn("head", F.substring_index("type_name", ".", 1)).withColumn("tail", F.expr("substr(type_name, length(substring_index(type_name, '.', 1)) + 1)"))
+    base = ["ref", "file_id", "repo_id", "tail"]
     none = F.lit(0)
 
     scopes = refs.select(F.col("scope_id").alias("start")).filter("start is not null").distinct()
@@ -60,15 +67,15 @@ def resolve_types(refs: DataFrame, symbols: DataFrame, files: DataFrame, imports
     nested = nested.unionByName(r.join(around, "scope_id").join(itself, ["enclosing", "head"]).select(*base, "found", none.alias("prio"), "grp", F.lit(0).alias("depth")))
     named = imports.filter("not is_wildcard").select("file_id", F.coalesce("alias", F.regexp_extract("import_path", "[^.]+$", 0)).alias("head"), F.col("import_path").alias("found"))
     explicit = r.join(named, ["file_id", "head"]).select(*base, "found", F.lit(1).alias("prio"), none.alias("grp"), none.alias("depth"))
-    tops = classes.join(f.select("file_id", "package"), "file_id").filter(F.col("qualified_name") == F.when(F.col("package") == "", F.col("name")).otherwise(F.concat_ws(".", "package", "name"))).select("package", F.col("name").alias("head"), F.col("qualified_name").alias("found")).distinct()
-    same = r.join(tops, ["package", "head"]).select(*base, "found", F.lit(2).alias("prio"), none.alias("grp"), none.alias("depth"))
-    wild = imports.filter("is_wildcard").select("file_id", F.col("import_path").alias("package")).join(tops, "package").select("file_id", "head", "found")
+    tops = classes.filter(F.col("qualified_name") == F.when(F.col("package") == "", F.col("name")).otherwise(F.concat_ws(".", "package", "name"))).select("repo_id", "package", F.col("name").alias("head"), F.col("qualified_name").alias("found")).distinct()
+    same = r.join(tops, ["repo_id", "package", "head"]).select(*base, "found", F.lit(2).alias("prio"), none.alias("grp"), none.alias("depth"))
+    wild = imports.filter("is_wildcard").join(f.select("file_id", "repo_id"), "file_id").select("file_id", "repo_id", F.col("import_path").alias("package")).join(tops, ["repo_id", "package"]).select("file_id", "head", "found")
     star = r.join(wild, ["file_id", "head"]).select(*base, "found", F.lit(3).alias("prio"), none.alias("grp"), none.alias("depth"))
-    full = r.filter(F.col("tail") != "").select("ref", "file_id", "path", F.lit("").alias("tail"), F.col("type_name").alias("found")).join(classes.select(F.col("qualified_name").alias("found")).distinct(), "found", "left_semi").select(*base, "found", F.lit(4).alias("prio"), none.alias("grp"), none.alias("depth"))
+    full = r.filter(F.col("tail") != "").select("ref", "file_id", "repo_id", F.lit("").alias("tail"), F.col("type_name").alias("found")).join(classes.select("repo_id", F.col("qualified_name").alias("found")).distinct(), ["repo_id", "found"], "left_semi").select(*base, "found", F.lit(4).alias("prio"), none.alias("grp"), none.alias("depth"))
     claims = nested.unionByName(explicit).unionByName(same).unionByName(star).unionByName(full)
     head = first(claims, ["ref"], [F.col("prio"), F.col("grp"), F.col("depth"), F.col("found")])
-    wanted = head.select("ref", F.col("file_id").alias("from_file"), F.concat("found", "tail").alias("qualified_name"))
-    hit = wanted.join(classes, "qualified_name").join(f.select("file_id", "path"), "file_id")
+    wanted = head.select("ref", "repo_id", F.col("file_id").alias("from_file"), F.concat("found", "tail").alias("qualified_name"))
+    hit = wanted.join(classes, ["repo_id", "qualified_name"])
     return first(hit, ["ref"], [(F.col("file_id") == F.col("from_file")).cast("int").desc(), F.col("path"), F.col("class_id")]).select("ref", "class_id")
 
 
@@ -86,46 +93,87 @@ def hierarchy(symbols: DataFrame, inheritance: DataFrame, max_depth: int = 10) -
 
 
 def folded(col: Column) -> Column:
-    """A type's last segment, with Kotlin's names folded into Java's."""
-    tail = F.regexp_extract(col, "[^.]+$", 0)
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in TWINS.items() for x in kv])[tail], tail)
+    """A canonical type, with Kotlin's names folded into Java's."""
+    name = canonical(col)
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in TWINS.items() for x in kv])[name], name)
+
 
+def bindings(symbols: DataFrame, refs: DataFrame, resolved: DataFrame, ancestors: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(class_id, ancestor_id, var, bound): what the clauses from a class up to an ancestor bind the ancestor's type parameters to.
 
-def override_edges(symbols: DataFrame, ancestors: DataFrame) -> DataFrame:
+    A parameter that is passed on takes what it was bound to itself; null where that is the class's own, an unknown type, or differs
+    between ways.
+    """
+    clauses = refs.select(F.col("id").alias("ref"), F.col("source_symbol_id").alias("x"), "type_args").join(resolved, "ref").select("x", F.col("class_id").alias("ancestor_id"), "type_args").filter("x != ancestor_id")
+    generic = symbols.filter(F.size("type_params") > 0).select(F.col("id").alias("ancestor_id"), F.posexplode("type_params").alias("at", "var"))
+    own = symbols.select(F.col("id").alias("x"), F.col("type_params").alias("own"))
+    given = F.get("type_args", F.col("at"))
+    step = clauses.join(generic, "ancestor_id").join(own, "x").select("x", "ancestor_id", "var", given.alias("arg"), F.coalesce(F.array_contains("own", given), F.lit(False)).alias("passed"))
+    rows = ancestors.select("class_id", F.col("ancestor_id").alias("x")).join(step, "x")
+    key = ["class_id", "ancestor_id", "var"]
+    level = cut(rows.filter(~F.col("passed") | (F.col("x") == F.col("class_id"))).select(*key, F.when(~F.col("passed"), canonical(F.col("arg"))).alias("bound")))
+    waiting = cut(rows.filter("passed and x != class_id").select(*key, F.col("x").alias("from"), F.col("arg").alias("from_var")))
+    found = level
+    for _ in range(max_depth):
+        source = level.select("class_id", F.col("ancestor_id").alias("from"), F.col("var").alias("from_var"), "bound")
+        level = cut(waiting.join(source, ["class_id", "from", "from_var"]).select(*key, "bound").distinct())
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    agree = (F.count("*") == F.count("bound")) & (F.min("bound") == F.max("bound"))
+    return found.groupBy(*key).agg(F.when(agree, F.min("bound")).alias("bound"))
+
+
+def override_edges(symbols: DataFrame, ancestors: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """(source_id, target_id): methods and the inherited methods that they override.
 
-    Parameter types are compared one by one after folding; an unknown one, or a type variable, on either side matches all.
-    Where a list is missing, the bounds of the number of parameters decide.
+    Parameter types are compared one by one after folding; an unknown one on either side matches all, and an ancestor's type
+    parameter stands for what bound (see bindings()) says. Where a list is missing, the bounds of the number of parameters decide.
+    Extension receivers are compared too, unless the ancestor's is its type parameter.
     """
     own = symbols.filter(F.col("kind").isin("method", "function") & ~F.coalesce("is_static", F.lit(False)) & ~F.coalesce("is_local", F.lit(False)) & ~F.coalesce("visibility", F.lit("")).eqNullSafe("private"))
-    cols = ["id", "parent_id", "name", "param_types", "min_params", "max_params", "extension_receiver"]
-    a = own.select(*[F.col(c).alias(f"a_{c}") for c in cols])
-    b = own.select(*[F.col(c).alias(f"b_{c}") for c in cols])
+    own = own.withColumns({"types": F.transform("param_types", folded), "receiver": folded(F.col("extension_receiver"))})
+    cols = ["id", "parent_id", "types", "min_params", "max_params", "receiver"]
+    a = own.select("name", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = own.select("name", *[F.col(c).alias(f"b_{c}") for c in cols], F.col("param_type_vars").alias("b_vars"), F.col("extension_receiver").alias("b_said"))
     strict = ancestors.filter("depth > 0 and class_id != ancestor_id").select(F.col("class_id").alias("a_parent_id"), F.col("ancestor_id").alias("b_parent_id"))
-    both = a.join(strict, "a_parent_id").join(b, "b_parent_id").filter("a_name = b_name")
-    fits = F.forall(F.arrays_zip(F.col("a_param_types").alias("x"), F.col("b_param_types").alias("y")), lambda p: p["x"].isNull() | p["y"].isNull() | (folded(p["x"]) == folded(p["y"])))
-    typed = F.col("a_param_types").isNotNull() & F.col("b_param_types").isNotNull()
-    same = F.when(typed, (F.size("a_param_types") == F.size("b_param_types")) & F.coalesce(fits, F.lit(True))).otherwise(F.col("a_min_params").eqNullSafe(F.col("b_min_params")) & F.col("a_max_params").eqNullSafe(F.col("b_max_params")))
-    receivers = F.col("a_extension_receiver").isNotNull() == F.col("b_extension_receiver").isNotNull()
-    return both.filter(same & receivers).select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id")).distinct()
+    both = a.join(strict, "a_parent_id").join(b, ["b_parent_id", "name"])
+    both = both.join(symbols.select(F.col("id").alias("b_parent_id"), F.col("type_params").alias("b_params")), "b_parent_id", "left")
+    types = F.col("b_types")
+    if bound is not None:
+        known = bound.filter("bound is not null").groupBy(F.col("class_id").alias("a_parent_id"), F.col("ancestor_id").alias("b_parent_id")).agg(F.map_from_entries(F.collect_list(F.struct("var", folded(F.col("bound"))))).alias("bound"))
+        both = both.join(known, ["a_parent_id", "b_parent_id"], "left")
+        types = F.transform(types, lambda t, i: F.coalesce(t, F.try_element_at("bound", F.get("b_vars", i))))
+    fits = F.forall(F.arrays_zip(F.col("a_types").alias("x"), types.alias("y")), lambda p: p["x"].isNull() | p["y"].isNull() | (p["x"] == p["y"]))
+    typed = F.col("a_types").isNotNull() & F.col("b_types").isNotNull()
+    same = F.when(typed, (F.size("a_types") == F.size("b_types")) & F.coalesce(fits, F.lit(True))).otherwise(F.col("a_min_params").eqNullSafe(F.col("b_min_params")) & F.col("a_max_params").eqNullSafe(F.col("b_max_params")))
+    generic = F.coalesce(F.array_contains("b_params", F.col("b_said")), F.lit(False)) & F.col("a_receiver").isNotNull()
+    return both.filter(same & (generic | F.col("a_receiver").eqNullSafe(F.col("b_receiver")))).select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id")).distinct()
 
 
 def visible() -> Column:
-    """Whether a candidate (c_visibility, c_file, c_qn) may be used from a site (file_id, caller_qn, package)."""
+    """Whether a candidate (c_visibility, c_file, c_parent, c_qn) may be used from a site (file_id, caller_qn, package): a private one from its
+    own file, and if it is a member, from its own top-level class."""
     top = lambda qn: F.substring_index(F.expr(f"substr({qn}, length(package) + if(package = '', 1, 2))"), ".", 1)
-    return ~F.coalesce("c_visibility", F.lit("")).eqNullSafe("private") | ((F.col("c_file") == F.col("file_id")) & (top("c_qn") == top("caller_qn")))
+    near = (F.col("c_file") == F.col("file_id")) & (F.col("c_parent").isNull() | (top("c_qn") == top("caller_qn")))
+    return ~F.coalesce("c_visibility", F.lit("")).eqNullSafe("private") | near
+
+
+def callable_rows(symbols: DataFrame) -> DataFrame:
+    """Callables as candidates."""
+    return symbols.filter(F.col("kind").isin(*CALLABLES)).select(F.col("id").alias("target"), F.col("parent_id").alias("owner"), F.col("name").alias("method_name"), "min_params", "max_params", F.col("visibility").alias("c_visibility"), F.col("file_id").alias("c_file"), F.col("parent_id").alias("c_parent"), F.col("qualified_name").alias("c_qn"), F.col("extension_receiver").alias("c_receiver"))
 
 
 def member_candidates(starts: DataFrame, sites: DataFrame, ancestors: DataFrame, symbols: DataFrame) -> DataFrame:
     """(site, grp, target, owner, start_class): callables of the site's name in the hierarchies of its start classes (site, grp, class_id)."""
-    callables = symbols.filter(F.col("kind").isin(*CALLABLES)).select(F.col("id").alias("target"), F.col("parent_id").alias("owner"), F.col("name").alias("method_name"), "min_params", "max_params", F.col("visibility").alias("c_visibility"), F.col("file_id").alias("c_file"), F.col("qualified_name").alias("c_qn"))
+    callables = callable_rows(symbols).drop("c_receiver")
     up = ancestors.select("class_id", F.col("ancestor_id").alias("owner"))
     calls = sites.filter("not is_navigation").select("site", "method_name", "arg_count", "file_id", "caller_qn", "package")
     # A navigation step `b` reads a property b, or the Java getter of that name: getB, or getURL for url.
     b = F.col("method_name")
     names = F.array(b, F.concat(F.lit("get"), F.upper(F.substring(b, 1, 1)), F.expr("substr(method_name, 2)")), F.concat(F.lit("get"), F.upper(b)))
     steps = sites.filter("is_navigation").withColumn("method_name", F.explode(F.array_distinct(names))).select("site", "method_name", F.lit(0).alias("arg_count"), "file_id", "caller_qn", "package", b.alias("step"))
-    fields = symbols.filter("kind = 'property' and not coalesce(is_local, false)").select(F.col("id").alias("target"), F.col("parent_id").alias("owner"), F.col("name").alias("method_name"), F.lit(0).alias("min_params"), F.lit(0).alias("max_params"), F.col("visibility").alias("c_visibility"), F.col("file_id").alias("c_file"), F.col("qualified_name").alias("c_qn"))
+    fields = symbols.filter("kind = 'property' and not coalesce(is_local, false)").select(F.col("id").alias("target"), F.col("parent_id").alias("owner"), F.col("name").alias("method_name"), F.lit(0).alias("min_params"), F.lit(0).alias("max_params"), F.col("visibility").alias("c_visibility"), F.col("file_id").alias("c_file"), F.col("parent_id").alias("c_parent"), F.col("qualified_name").alias("c_qn"))
     reach = starts.join(up, "class_id")
     rows = reach.join(calls, "site").join(callables, ["owner", "method_name"])
     getters = callables.filter("method_name like 'get_%' and max_params = 0")
@@ -133,87 +181,156 @@ def member_candidates(starts: DataFrame, sites: DataFrame, ancestors: DataFrame,
     return rows.filter(arity_fits(F.col("arg_count"), F.col("min_params"), F.col("max_params")) & visible()).select("site", "grp", "target", "owner", F.col("class_id").alias("start_class")).distinct()
 
 
-def function_candidates(sites: DataFrame, symbols: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame:
-    """(site, grp, target): top-level functions by import, same package and wildcard import, for sites without a receiver."""
-    f = files.select(F.col("id").alias("file_id"), F.coalesce("package_name", F.lit("")).alias("package"))
-    tops = symbols.filter("kind = 'function' and parent_id is null").join(f, "file_id").select(F.col("id").alias("target"), F.col("file_id").alias("t_file"), F.col("name").alias("method_name"), "qualified_name", F.col("package").alias("t_package"), "min_params", "max_params")
-    s = sites.filter("receiver_kind = 'none'").select("site", "file_id", "package", "method_name", "arg_count")
-    named = imports.filter("not is_wildcard").select("file_id", F.coalesce("alias", F.regexp_extract("import_path", "[^.]+$", 0)).alias("method_name"), F.col("import_path").alias("qualified_name"))
-    cols = ["site", "grp", "target", "t_file", "file_id", "arg_count", "min_params", "max_params"]
-    by_import = s.join(named, ["file_id", "method_name"]).join(tops.drop("method_name"), "qualified_name").withColumn("grp", F.lit(IMPORTED)).select(cols)
-    by_package = s.join(tops, "method_name").filter("package = t_package").withColumn("grp", F.lit(SAME_PACKAGE)).select(cols)
-    wild = imports.filter("is_wildcard").select("file_id", F.col("import_path").alias("t_package"))
-    by_star = s.join(wild, "file_id").join(tops, ["t_package", "method_name"]).withColumn("grp", F.lit(WILDCARD)).select(cols)
-    every = by_import.unionByName(by_package).unionByName(by_star).filter(arity_fits(F.col("arg_count"), F.col("min_params"), F.col("max_params")))
-    owner = first(every, ["site"], [F.col("grp"), (F.col("t_file") == F.col("file_id")).cast("int").desc(), F.col("t_file"), F.col("target")]).select("site", F.col("t_file"), "grp")
-    return every.join(owner, ["site", "t_file", "grp"]).select("site", "grp", "target").distinct()
+def function_candidates(sites: DataFrame, symbols: DataFrame, files: DataFrame, imports: DataFrame, receivers: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:
+    """(site, grp, target): callables by import, same package and wildcard import, of one owner a site.
 
-
-def call_edges(symbols: DataFrame, files: DataFrame, imports: DataFrame, call_sites: DataFrame, ancestors: DataFrame, narrow=None) -> DataFrame:
-    """(source_id, target_id, kind, line, resolution, receiver_class_id): calls of all sites.
-
-    A site's starts are its receiver's class, or outward the classes around it; the first group with a candidate left after
-    overridden ones are removed holds. Sites whose receiver is another site's result start at the types which that
-    site's targets declare. narrow(candidates, sites) may drop overloads that do not fit the arguments.
+    sites without a receiver reach functions that extend nothing. A function that extends a type is reached where one of its
+    receiver's classes, receivers (target, class_id), is in the site's context (site, class_id), or without a receiver
+    where it is the only one of its name.
     """
-    f = files.select(F.col("id").alias("file_id"), F.coalesce("package_name", F.lit("")).alias("package"))
-    caller = symbols.select(F.col("id").alias("source_symbol_id"), F.col("parent_id").alias("caller_class"), F.col("qualified_name").alias("caller_qn"))
-    sites = cut(call_sites.withColumnRenamed("id", "site").join(f, "file_id").join(caller, "source_symbol_id"))
-    typed = sites.filter("receiver_type is not null").select(F.col("site").alias("ref"), "file_id", F.col("source_symbol_id").alias("scope_id"), F.col("receiver_type").alias("type_name"))
-    classes = resolve_types(typed, symbols, files, imports, ancestors).withColumnRenamed("ref", "site")
+    f = placed(files)
+    where = f.select(F.col("file_id").alias("c_file"), "repo_id", F.col("package").alias("c_package"))
+    every = callable_rows(symbols).join(where, "c_file")
+    s = sites.filter("not is_navigation").select("site", "file_id", "repo_id", "package", "method_name", "arg_count", "caller_qn", "receiver_kind")
+    named = imports.filter("not is_wildcard").select("file_id", F.coalesce("alias", F.regexp_extract("import_path", "[^.]+$", 0)).alias("method_name"), F.col("import_path").alias("c_qn"))
+    cols = ["site", "grp", "target", "owner", "c_file", "c_receiver", "file_id", "receiver_kind", "arg_count", "min_params", "max_params", "c_visibility", "c_parent", "c_qn", "caller_qn", "package"]
+    file_or = F.coalesce("c_parent", "c_file")
+    by_import = s.join(named, ["file_id", "method_name"]).join(every.drop("method_name"), ["repo_id", "c_qn"]).withColumns({"grp": F.lit(IMPORTED), "owner": file_or}).select(cols)
+    tops = every.filter("c_parent is null")
+    by_package = s.join(tops.withColumn("package", F.col("c_package")), ["repo_id", "package", "method_name"]).withColumns({"grp": F.lit(SAME_PACKAGE), "owner": F.col("c_file")}).select(cols)
+    wild = imports.filter("is_wildcard").select("file_id", F.col("import_path").alias("inside"))
+    members = every.withColumn("inside", F.regexp_replace("c_qn", r"\.[^.]*$", ""))
+    by_star = s.join(wild, "file_id").join(members, ["repo_id", "inside", "method_name"]).withColumns({"grp": F.lit(WILDCARD), "owner": file_or}).select(cols)
+    found = cut(by_import.unionByName(by_package).unionByName(by_star).filter(arity_fits(F.col("arg_count"), F.col("min_params"), F.col("max_params")) & visible()))
+    plain = found.filter("c_receiver is null and receiver_kind = 'none'")
+    if receivers is not None and context is not None:
+        extending = found.filter("c_receiver is not null")
+        fitting = extending.select("site", "target").distinct().join(receivers, "target").join(context, ["site", "class_id"]).select("site", "target").distinct()
+        only = extending.groupBy("site").agg(F.countDistinct("target").alias("n")).filter("n = 1").select("site").join(s.filter("receiver_kind = 'none'").select("site"), "site", "left_semi")
+        lone = extending.select("site", "target").join(only, "site", "left_semi")
+        plain = plain.unionByName(extending.join(fitting.union(lone).distinct(), ["site", "target"], "left_semi").select(plain.columns))
+    owner = first(plain, ["site"], [F.col("grp"), (F.col("c_file") == F.col("file_id")).cast("int").desc(), F.col("owner"), F.col("target")]).select("site", "owner", "grp")
+    return plain.drop("grp").join(owner, ["site", "owner"]).select("site", "grp", "target").distinct()
+
+
+def type_relations(symbols: DataFrame, refs: DataFrame, ancestors: DataFrame, inherited: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For overloads.narrow(): supers (type, above, chain) by simple name, whether or not the clauses' types were found, and classes (type)."""
+    classes = symbols.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("class_id"), F.col("name").alias("type"))
+    said = refs.select(F.col("source_symbol_id").alias("ancestor_id"), "kind", F.col("type_name").alias("above"))
+    up = ancestors.select("class_id", "ancestor_id")
+    extending = hierarchy(symbols, inherited.filter("kind = 'extends'")).select("class_id", "ancestor_id")
+    rows = classes.join(up, "class_id").join(said, "ancestor_id").select("type", "above", F.lit(False).alias("chain"))
+    rows = rows.unionByName(classes.join(up, "class_id").filter("class_id != ancestor_id").join(classes.select(F.col("class_id").alias("ancestor_id"), F.col("type").alias("above")), "ancestor_id").select("type", "above", F.lit(False).alias("chain")))
+    rows = rows.unionByName(classes.join(extending, "class_id").join(said.filter("kind = 'extends'"), "ancestor_id").select("type", "above", F.lit(True).alias("chain")))
+    return cut(rows.groupBy("type", "above").agg(F.max("chain").alias("chain"))), classes.select("type").distinct()
+
+
+def member_starts(sites: DataFrame, classes: DataFrame, symbols: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(site, grp, class_id, resolution): where the search for a site's members begins; classes (site, class_id) are those of typed receivers."""
     by_type = classes.join(sites.select("site", "receiver_kind"), "site").select("site", F.lit(1).alias("grp"), "class_id", F.when(F.col("receiver_kind") == "super", "super").when(F.col("receiver_kind") == "static-type", "static").otherwise("typed").alias("resolution"))
     around = walk_up(sites.filter("receiver_kind = 'none'").select(F.col("source_symbol_id").alias("start")).distinct(), symbols.select("id", "parent_id"))
     outward = sites.filter("receiver_kind = 'none'").join(around, F.col("source_symbol_id") == F.col("start")).select("site", "grp", F.col("id").alias("class_id"), F.lit("local").alias("resolution"))
     this = sites.filter("receiver_kind = 'this' and receiver_type is null").select("site", F.lit(1).alias("grp"), F.col("caller_class").alias("class_id"), F.lit("local").alias("resolution"))
     parents = ancestors.filter("depth = 1").select(F.col("class_id").alias("caller_class"), F.col("ancestor_id").alias("class_id"))
     above = sites.filter("receiver_kind = 'super' and receiver_type is null").join(parents, "caller_class").select("site", F.lit(1).alias("grp"), "class_id", F.lit("super").alias("resolution"))
-    starts = cut(by_type.unionByName(outward).unionByName(this).unionByName(above))
-    strict = override_edges(symbols, ancestors).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    return by_type.unionByName(outward).unionByName(this).unionByName(above)
+
+
+def inherited_receivers(sites: DataFrame, symbols: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(site, target): for receivers that nothing in their file declares, the nearest property of that name in the caller's class or above."""
+    fields = symbols.filter("kind = 'property' and not coalesce(is_local, false) and declared_type is not null").select(F.col("id").alias("target"), F.col("parent_id").alias("ancestor_id"), F.col("name").alias("receiver"), "visibility")
+    open_ = sites.filter("receiver_kind = 'identifier' and receiver_type is null and not coalesce(receiver_declared, false)").select("site", "receiver", F.col("caller_class").alias("class_id"))
+    rows = open_.join(ancestors, "class_id").join(fields, ["ancestor_id", "receiver"]).filter("depth = 0 or not (visibility <=> 'private')")
+    return first(rows, ["site"], [F.col("depth"), F.col("target")]).select("site", "target")
+
+
+def site_rows(call_sites: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Call sites as (site, ...) with their files' and callers' columns."""
+    caller = symbols.select(F.col("id").alias("source_symbol_id"), F.col("parent_id").alias("caller_class"), F.col("qualified_name").alias("caller_qn"))
+    return call_sites.withColumnRenamed("id", "site").join(placed(files), "file_id").join(caller, "source_symbol_id")
+
+
+def call_edges(symbols: DataFrame, files: DataFrame, imports: DataFrame, call_sites: DataFrame, ancestors: DataFrame, overrides: DataFrame | None = None, relations: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(source_id, target_id, kind, line, resolution, receiver_class_id): calls of all sites.
+
+    A site's starts are its receiver's class, or outward the classes around it; the first group with a candidate left after
+    overridden ones are removed and overloads narrowed holds. Sites whose receiver is another site's result, or an inherited
+    property, start at the types which that declares. overrides are those of override_edges(); without relations, those
+    of type_relations(), overloads are not narrowed.
+    """
+    sites = cut(site_rows(call_sites, symbols, files))
+    typed = sites.filter("receiver_type is not null").select(F.concat(F.lit("s/"), "site").alias("ref"), "file_id", F.col("source_symbol_id").alias("scope_id"), F.col("receiver_type").alias("type_name"))
+    extending = symbols.filter("extension_receiver is not null").select(F.concat(F.lit("e/"), "id").alias("ref"), "file_id", F.col("id").alias("scope_id"), F.col("extension_receiver").alias("type_name"))
+    known = cut(resolve_types(typed.unionByName(extending), symbols, files, imports, ancestors))
+    of = lambda kind, name: known.filter(F.startswith("ref", F.lit(f"{kind}/"))).select(F.expr("substr(ref, 3)").alias(name), "class_id")
+    classes, receivers = of("s", "site"), of("e", "target")
+    starts = cut(member_starts(sites, classes, symbols, ancestors))
+    strict = (override_edges(symbols, ancestors) if overrides is None else overrides).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    shapes = symbols.select(F.col("id").alias("target"), "param_types", "param_names", "param_type_vars", (F.col("min_params").isNotNull() & F.col("max_params").isNull()).alias("vararg"))
 
     def settle(starts: DataFrame, functions: bool) -> DataFrame:
         cands = remove_overridden(member_candidates(starts, sites, ancestors, symbols), strict, ("site", "grp")).join(starts.select("site", "grp", F.col("class_id").alias("start_class"), "resolution"), ["site", "grp", "start_class"])
         cands = cut(cands.select("site", "grp", "target", "start_class", "resolution"))
         if functions:
-            free = function_candidates(sites.join(cands.select("site"), "site", "left_anti"), symbols, files, imports)
-            cands = cands.unionByName(free.select("site", "grp", "target", F.lit(None).cast("string").alias("start_class"), F.lit("local").alias("resolution")))
-        return cut(keep_least(cands if narrow is None else narrow(cands, sites), ["site"], "grp"))
+            free = sites.join(cands.select("site").distinct(), "site", "left_anti")
+            free = free.filter("receiver_kind = 'none'").unionByName(free.filter("receiver_kind != 'none'").join(classes.select("site").distinct(), "site", "left_semi"))
+            own = free.filter("receiver_kind = 'none'").select("site", F.col("source_symbol_id").alias("target")).join(receivers, "target").select("site", "class_id")
+            context = starts.select("site", "class_id").unionByName(own).join(ancestors.select("class_id", "ancestor_id"), "class_id").select("site", F.col("ancestor_id").alias("class_id")).distinct()
+            more = function_candidates(free, symbols, files, imports, receivers, context).join(sites.select("site", "receiver_kind"), "site")
+            cands = cands.unionByName(more.select("site", "grp", "target", F.lit(None).cast("string").alias("start_class"), F.when(F.col("receiver_kind") == "none", "local").otherwise("typed").alias("resolution")))
+        if relations is not None:
+            cands = overloads.narrow(cut(cands), sites, shapes, *relations)
+        return cut(keep_least(cands, ["site"], "grp") if functions else cands)
 
     direct = settle(starts, True)
     declared = symbols.select(F.col("id").alias("target"), F.col("file_id").alias("decl_file"), F.col("parent_id").alias("decl_scope"), "declared_type").filter("declared_type is not null")
     steps = sites.filter("receiver_site_id is not null").select("site", F.col("receiver_site_id").alias("step"))
-    chained = steps.join(direct.select(F.col("site").alias("step"), "target"), "step").join(declared, "target")
-    refs = chained.select(F.concat_ws("/", "site", "target").alias("ref"), "site", F.col("decl_file").alias("file_id"), F.col("decl_scope").alias("scope_id"), F.col("declared_type").alias("type_name")).distinct()
-    found = resolve_types(refs.drop("site"), symbols, files, imports, ancestors).join(refs.select("ref", "site"), "ref").select("site", "class_id").distinct()
-    grouped = found.withColumn("grp", F.dense_rank().over(Window.partitionBy("site").orderBy("class_id"))).withColumn("resolution", F.lit("chain"))
-    derived = settle(grouped, False) if not steps.isEmpty() else direct.limit(0)
-    every = direct.unionByName(derived).join(sites.filter("not is_navigation").select("site", F.col("source_symbol_id").alias("source_id"), "line"), "site").filter("source_id != target")
+    chained = steps.join(direct.select(F.col("site").alias("step"), "target"), "step").select("site", "target", F.lit("chain").alias("resolution"))
+    chained = cut(chained.unionByName(inherited_receivers(sites, symbols, ancestors).withColumn("resolution", F.lit("typed"))).distinct().join(declared, "target"))
+    every = direct
+    if not chained.isEmpty():
+        refs = chained.select(F.concat_ws("/", "site", "target").alias("ref"), "site", "resolution", F.col("decl_file").alias("file_id"), F.col("decl_scope").alias("scope_id"), F.col("declared_type").alias("type_name")).distinct()
+        found = resolve_types(refs.drop("site", "resolution"), symbols, files, imports, ancestors).join(refs.select("ref", "site", "resolution"), "ref").select("site", "class_id", "resolution").distinct()
+        # One group a class: a step may have led to classes that have nothing to do with each other, and each keeps its candidates.
+        grouped = found.withColumn("grp", F.dense_rank().over(Window.partitionBy("site").orderBy("class_id")))
+        every = direct.unionByName(settle(cut(grouped), False))
+    every = every.join(sites.filter("not is_navigation").select("site", F.col("source_symbol_id").alias("source_id"), "line"), "site").filter("source_id != target")
+    return settled_calls(every)
+
+
+def settled_calls(rows: DataFrame) -> DataFrame:
+    """Edges of rows (site, target, start_class, resolution, source_id, line): the strongest resolution, and the receiver's class where all agree."""
     w = Window.partitionBy("source_id", "target", "line")
     agree = (F.count("*").over(w) == F.count("start_class").over(w)) & (F.min("start_class").over(w) == F.max("start_class").over(w))
-    rows = every.withColumn("receiver_class_id", F.when(agree & (F.col("resolution") != "local"), F.min("start_class").over(w)))
+    rows = rows.withColumn("receiver_class_id", F.when(agree & (F.col("resolution") != "local"), F.min("start_class").over(w)))
     best = first(rows, ["source_id", "target", "line"], [strength(F.col("resolution")), F.col("site")])
     return best.select("source_id", F.col("target").alias("target_id"), F.lit("calls").alias("kind"), "line", "resolution", "receiver_class_id")
 
 
 def import_edges(symbols: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame:
     """(source_id, target_id): from the top-level containers of importing files to what they import, once each."""
-    tops = symbols.filter(F.col("kind").isin(*CONTAINERS) & F.col("parent_id").isNull()).select("file_id", F.col("id").alias("source_id"))
-    exact = imports.filter("not is_wildcard").join(symbols.select(F.col("qualified_name").alias("import_path"), F.col("id").alias("target_id")), "import_path").join(tops, "file_id").select("source_id", "target_id")
-    f = files.select(F.col("id").alias("file_id"), F.col("package_name").alias("import_path"))
-    packaged = tops.join(f, "file_id").select("import_path", F.col("source_id").alias("target_id"))
-    star = imports.filter("is_wildcard").join(packaged, "import_path").join(tops, "file_id").filter("source_id != target_id").select("source_id", "target_id")
+    f = placed(files).select("file_id", "repo_id", "package")
+    s = symbols.join(f, "file_id")
+    tops = s.filter(F.col("kind").isin(*CONTAINERS) & F.col("parent_id").isNull())
+    sources = tops.select("file_id", "repo_id", F.col("id").alias("source_id"))
+    exact = imports.filter("not is_wildcard").select("file_id", "import_path").join(sources, "file_id").join(s.select("repo_id", F.col("qualified_name").alias("import_path"), F.col("id").alias("target_id")), ["repo_id", "import_path"]).select("source_id", "target_id")
+    inside = tops.select("repo_id", F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("import_path"), F.col("id").alias("target_id"), "qualified_name").filter("qualified_name like '%.%'").drop("qualified_name")
+    star = imports.filter("is_wildcard").select("file_id", "import_path").join(sources, "file_id").join(inside, ["repo_id", "import_path"]).filter("source_id != target_id").select("source_id", "target_id")
     return exact.unionByName(star).distinct()
 
 
-def rebuild(facts: dict[str, DataFrame], narrow=None) -> dict[str, DataFrame]:
+def rebuild(facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """edges and class_ancestors from facts: symbols, files, imports, call_sites, inheritance_refs."""
     symbols, files, imports, refs = facts["symbols"], facts["files"], facts["imports"], facts["inheritance_refs"]
     alone = symbols.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("class_id"), F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
     wanted = refs.select(F.col("id").alias("ref"), "file_id", F.col("source_symbol_id").alias("scope_id"), "type_name")
-    inherited = cut(inheritance_edges(refs, resolve_types(wanted, symbols, files, imports, alone)))
+    resolved = cut(resolve_types(wanted, symbols, files, imports, alone))
+    inherited = cut(inheritance_edges(refs, resolved))
     ancestors = hierarchy(symbols, inherited)
+    overrides = cut(override_edges(symbols, ancestors, bindings(symbols, refs, resolved, ancestors)))
     nothing = {"line": F.lit(None).cast("int"), "resolution": F.lit(None).cast("string"), "receiver_class_id": F.lit(None).cast("string")}
     edges = inherited.withColumns(nothing)
-    edges = edges.unionByName(override_edges(symbols, ancestors).withColumn("kind", F.lit("overrides")).withColumns(nothing))
+    edges = edges.unionByName(overrides.withColumn("kind", F.lit("overrides")).withColumns(nothing))
     edges = edges.unionByName(import_edges(symbols, files, imports).withColumn("kind", F.lit("imports")).withColumns(nothing))
-    edges = edges.unionByName(call_edges(symbols, files, imports, facts["call_sites"], ancestors, narrow))
+    edges = edges.unionByName(call_edges(symbols, files, imports, facts["call_sites"], ancestors, overrides, type_relations(symbols, refs, ancestors, inherited)))
     return {"edges": edges, "class_ancestors": ancestors}

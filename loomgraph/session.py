@@ -1,8 +1,11 @@
-"""Session settings, and the one way in which plans cut their lineage."""
+"""Session settings, folders for intermediate results, and the one way in which plans cut their lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,17 +16,44 @@ def session(app: str = "loomgraph", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder of spark.checkpoint.dir, which all executors share.
+#: Folders made inside swept(), by nesting.
+_MADE: list[list[str]] = []
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name below spark.checkpoint.dir, which all executors share.
 
-    Only a local master may have that setting unset; it then gets a temporary folder.
+    Only a master local[...], as in tests, may have the setting unset; it then gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        base = context.getConf().get("spark.checkpoint.dir")
-        if base is None:
-            if not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        context.setCheckpointDir(base)
-    return df.checkpoint()
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if base is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
+        base = context.getCheckpointDir()
+    path = f"{base.rstrip('/')}/loomgraph-{label}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the folders that operators made inside; results that are still to be read must be written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _MADE.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, written as Parquet into a shared folder and read back: lineage ends there, sizes are known, and filters and
+    columns still reach the scan."""
+    schema, path = df.schema, folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

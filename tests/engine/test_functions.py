@@ -1,45 +1,8 @@
-import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths, symbols
-from loomgraph.functions.overloads import Candidate, Context, canonical, fit, narrow
 from loomgraph.sources import diffs
 
-CTX = Context({"Order", "Base", "Line"}, {"Order": {"Base", "Marker"}}, {"Order": {"Base"}})
-
-
-@pytest.mark.parametrize(("text", "want"), [("java.lang.Integer", "int"), ("Char", "char"), ("a.B", "B"), ("String", "String"), (None, None)])
-def test_canonical(text, want):
-    assert canonical(text) == want
-
-
-@pytest.mark.parametrize(
-    ("arg", "param", "language", "want"),
-    [
-        (None, "int", "java", 2), ("Order", None, "java", 2), ("Order", "Any", "kotlin", 2), ("int", "Number", "java", 2), ("boolean", "Number", "java", 0), ("#int", "long", "kotlin", 2), ("#int", "double", "kotlin", 0), ("#int", "double", "java", 1),
-        ("#int", "short", "java", 0), ("char", "int", "java", 1), ("long", "int", "java", 0), ("int", "long", "kotlin", 0), ("String", "CharSequence", "java", 2), ("String", "List", "java", 0), ("Order", "int", "java", 0), ("Order", "Base", "java", 2),
-        ("Order", "Marker", "java", 2), ("Base", "Order", "java", 0), ("Order", "Closeable", "java", 1), ("List", "Base", "java", 0),
-    ],
-)
-def test_fit(arg, param, language, want):
-    assert fit(arg, param, CTX, language) == want
-
-
-def names(args, candidates, language="java", named=()):
-    return [c.target for c in narrow(args, list(named), candidates, CTX, language)]
-
-
-def test_narrow():
-    number, order, any_one = Candidate("n", ["long"], ["id"]), Candidate("o", ["Order"], ["order"]), Candidate("a", ["Object"], ["x"])
-    assert names(["Order"], [number, order, any_one]) == ["o"]
-    assert names([None], [number, order]) == ["n", "o"]
-    assert names(["boolean"], [number, order]) == ["n", "o"]
-    assert names(["#int"], [number, any_one], "kotlin") == ["n", "a"]
-    assert names(["int"], [Candidate("v", ["int"], vararg=True), Candidate("f", ["int"])]) == ["f"]
-    assert names([None], [number, order], "kotlin", ["order"]) == ["o"]
-    assert names(["Order"], [Candidate("c", ["Closeable"]), Candidate("b", ["Base"])]) == ["b"]
-
-
 def test_globs_and_paths():
     assert paths.glob_to_like("src/**/*.java") == "src/%.java" and paths.glob_to_like("a_b%?") == "a\\_b\\%_"
     assert paths.safe_path("/r", "a/../b") == "/r/b" and paths.safe_path("/r", "../r2/x") is None and paths.safe_path("/r", ".") is None and paths.safe_path("/r", "a\0") is None
