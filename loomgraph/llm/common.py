@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import folder
+
 #: Text bytes that a Python worker holds at once, in one Arrow batch.
 BATCH_BYTES = 16 << 20
 
@@ -27,21 +27,9 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
-
-    Only a local master, as in tests, may have the setting unset; it then gets a temporary folder.
-    """
+    """A new folder that all executors share; see session.folder()."""
     bound_batches(spark)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
-            held = spark.sparkContext.getCheckpointDir()
-        base = held
-    return f"{base.rstrip('/')}/loomgraph-{label}-{uuid.uuid4().hex}"
+    return folder(spark, label)
 
 
 def settled(df: DataFrame, path: str, **options: str) -> DataFrame:
