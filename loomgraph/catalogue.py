@@ -11,8 +11,9 @@ from .functions.paths import glob_to_like
 from .functions.symbols import BUCKETS, archetype, arity_fits, confidence, confidence_bucket, same_signature
 from .operators import graph, ranges
 from .operators.ranking import first, fuse, keep_least, numbered
+from .plans import driver_facts as b
 from .plans import driver_tables as t
-from .plans import search
+from .plans import resolve, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -357,19 +358,6 @@ def strongest_resolution(spark, d):
     return first(t.edges(spark, d), ["source_id", "target_id", "line"], [strength(F.col("resolution")), F.col("kind"), F.col("receiver_class_id").asc_nulls_last()]).select("source_id", "target_id", "line", "kind", "resolution")
 
 
-@query(
-    "SELECT source_id, target_id, CASE WHEN count(*) = count(receiver_class_id) AND min(receiver_class_id) = max(receiver_class_id) THEN min(receiver_class_id) END AS receiver_class_id FROM edge WHERE kind = 'calls' GROUP BY ALL", t.EDGES)
-def all_agree_receiver(spark, d):
-    agree = (F.count("*") == F.count("receiver_class_id")) & (F.min("receiver_class_id") == F.max("receiver_class_id"))
-    return t.edges(spark, d).filter("kind = 'calls'").groupBy("source_id", "target_id").agg(F.when(agree, F.min("receiver_class_id")).alias("receiver_class_id"))
-
-
-@query("SELECT l_orderkey AS site, l_suppkey AS class, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS grp FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)")
-def derived_groups(spark, d):
-    rows = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_suppkey").alias("class")).distinct()
-    return rows.withColumn("grp", F.dense_rank().over(Window.partitionBy("site").orderBy("class")).cast("long"))
-
-
 @query("SELECT DISTINCT l_orderkey AS site, l_linenumber AS grp, l_partkey AS target FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS least FROM lineitem) WHERE l_linenumber = least")
 def first_group(spark, d):
     rows = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_linenumber").alias("grp"), F.col("l_partkey").alias("target"))
@@ -386,20 +374,6 @@ def arity_candidates(spark, d):
     return sites.join(methods, "repo").filter(arity_fits(F.col("args"), F.col("least"), F.col("most"))).select("site", "candidate")
 
 
-@query(
-    """SELECT DISTINCT a.source_id AS method, b.target_id AS overridden FROM edge a JOIN edge b ON b.source_id = a.target_id AND b.kind = 'extends' JOIN sym x ON x.id = a.source_id JOIN sym y ON y.id = b.target_id
-    WHERE a.kind = 'extends' AND x.id <> y.id AND (CASE WHEN x.start_line % 3 <> 0 AND y.start_line % 3 <> 0 THEN x.kind = y.kind ELSE x.parent_id IS NOT DISTINCT FROM y.parent_id END)""",
-    t.SYMBOLS, t.EDGES)
-def override_pairs(spark, d):
-    s = t.symbols(spark, d)
-    e = _extends(spark, d)
-    up = e.join(e.select(F.col("source").alias("target"), F.col("target").alias("top")), "target").select(F.col("source").alias("method"), F.col("top").alias("overridden")).distinct().filter("method != overridden")
-    types = F.when(F.col("start_line") % 3 != 0, F.array("kind")).otherwise(F.array(F.lit(None).cast("string")))
-    shape = lambda key, p: s.select(F.col("id").alias(key), types.alias(f"{p}_types"), F.col("parent_id").alias(f"{p}_bound"))
-    both = up.join(shape("method", "a"), "method").join(shape("overridden", "b"), "overridden")
-    return both.filter(same_signature(F.col("a_types"), F.col("b_types"), (F.col("a_bound"), F.col("a_bound")), (F.col("b_bound"), F.col("b_bound")))).select("method", "overridden")
-
-
 @query(
     """, cand AS (SELECT DISTINCT l_orderkey AS site, l_partkey AS target FROM lineitem), ext AS (SELECT DISTINCT source_id, target_id FROM edge WHERE kind = 'extends')
     SELECT site, target FROM cand a WHERE NOT EXISTS (SELECT 1 FROM cand b JOIN ext e ON e.source_id = b.target AND e.target_id = a.target WHERE b.site = a.site AND b.target <> a.target)""", t.EDGES)
@@ -410,40 +384,89 @@ def remove_overridden(spark, d):
     return drop(cands, _extends(spark, d).distinct())
 
 
-@query(
-    """, claims AS (SELECT l_orderkey AS ref, l_partkey AS target, 1 AS prio, l_linenumber AS depth FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_orderkey, l_partkey, 2, l_linenumber FROM lineitem WHERE l_returnflag = 'N'
-      UNION ALL SELECT l_orderkey, l_partkey, 3, l_linenumber FROM lineitem WHERE l_returnflag = 'R'),
-    head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY prio, depth, target) AS place FROM claims) WHERE place = 1)
-    SELECT ref, target, prio FROM head JOIN sym ON sym.id = target WHERE sym.kind IN ('class', 'interface', 'enum')""", t.SYMBOLS)
-def type_resolution_priority(spark, d):
-    prio = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
-    claims = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ref"), F.col("l_partkey").alias("target"), prio.alias("prio"), F.col("l_linenumber").alias("depth"))
-    head = first(claims, ["ref"], [F.col("prio"), F.col("depth"), F.col("target")])
-    return head.join(t.symbols(spark, d).filter(F.col("kind").isin("class", "interface", "enum")).select(F.col("id").alias("target")), "target").select("ref", "target", "prio")
+def _refs(f):
+    return f["inheritance_refs"].select(F.col("id").alias("ref"), "file_id", F.col("source_symbol_id").alias("scope_id"), "type_name")
+
+
+def _alone(f):
+    return f["symbols"].filter(F.col("kind").isin("class", "interface", "enum")).select(F.col("id").alias("class_id"), F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
+
+
+def _hierarchy(f):
+    """Ancestors by the resolver's own steps."""
+    found = resolve.resolve_types(_refs(f), f["symbols"], f["files"], f["imports"], _alone(f))
+    return resolve.hierarchy(f["symbols"], resolve.inheritance_edges(f["inheritance_refs"], found))
 
 
 @query(
-    """, imports AS (SELECT DISTINCT c_custkey AS file, 'Brand#' || (c_nationkey % 25 + 1) || '.' || CASE c_mktsegment WHEN 'MACHINERY' THEN 'STANDARD' ELSE 'PROMO' END || '.red_widget' AS import_path FROM customer)
-    SELECT file, import_path, id AS target FROM imports JOIN sym ON qualified_name = import_path""", t.SYMBOLS)
-def exact_imports(spark, d):
-    path = F.concat(F.lit("Brand#"), (F.col("c_nationkey") % 25 + 1).cast("string"), F.lit("."), F.when(F.col("c_mktsegment") == "MACHINERY", "STANDARD").otherwise("PROMO"), F.lit(".red_widget"))
-    imports = t.table(spark, d, "customer").select(F.col("c_custkey").alias("file"), path.alias("import_path")).distinct()
-    return imports.join(t.symbols(spark, d).select(F.col("qualified_name").alias("import_path"), F.col("id").alias("target")), "import_path")
+    """SELECT s.id AS source_id, t.id AS target_id FROM imports i JOIN types s ON s.file_id = i.file_id AND s.parent_id IS NULL JOIN files f ON f.id = i.file_id JOIN (SELECT y.*, x.repo_id AS repo FROM symb y JOIN files x ON x.id = y.file_id) t ON t.repo = f.repo_id AND t.qualified_name = i.import_path WHERE NOT i.is_wildcard
+    UNION SELECT s.id, t.id FROM imports i JOIN types s ON s.file_id = i.file_id AND s.parent_id IS NULL JOIN types t ON t.repo_id = s.repo_id AND t.package = i.import_path AND t.parent_id IS NULL WHERE i.is_wildcard AND s.id <> t.id""",
+    *b.view("files", "classes", "nested", "methods", "functions", "imports"), b.SYMBOLS)
+def import_edges(spark, d):
+    f = b.facts(spark, d)
+    return resolve.import_edges(f["symbols"], f["files"], f["imports"])
+
+
+@query("SELECT ref, class_id FROM inh", *b.HIERARCHY[:-1])
+def resolve_types(spark, d):
+    f = b.facts(spark, d)
+    return resolve.resolve_types(_refs(f), f["symbols"], f["files"], f["imports"], _alone(f))
+
+
+@query("RECURSIVE SELECT class_id, ancestor_id, depth FROM above", *b.HIERARCHY)
+def type_hierarchy(spark, d):
+    return _hierarchy(b.facts(spark, d))
+
+
+@query("RECURSIVE SELECT source_id, target_id FROM over", *b.HIERARCHY, b.OVERRIDES)
+def override_edges(spark, d):
+    f = b.facts(spark, d)
+    return resolve.override_edges(f["symbols"], _hierarchy(f))
+
+
+_CALLS = (*b.HIERARCHY, *[x for x in b.view("sites") if x.startswith("sites")], b.CALLS)
+
+
+def _sites(f):
+    return resolve.site_rows(f["call_sites"], f["symbols"], f["files"])
+
+
+def _starts(f, ancestors):
+    sites = _sites(f)
+    typed = sites.filter("receiver_type is not null").select(F.col("site").alias("ref"), "file_id", F.col("source_symbol_id").alias("scope_id"), F.col("receiver_type").alias("type_name"))
+    return resolve.member_starts(sites, resolve.resolve_types(typed, f["symbols"], f["files"], f["imports"], ancestors).withColumnRenamed("ref", "site"), f["symbols"], ancestors)
+
+
+@query("RECURSIVE SELECT site, grp, class_id, resolution FROM starts", *_CALLS)
+def member_starts(spark, d):
+    f = b.facts(spark, d)
+    return _starts(f, _hierarchy(f))
+
+
+@query("RECURSIVE SELECT site, grp, target, owner, start_class FROM member", *_CALLS)
+def member_candidates(spark, d):
+    f = b.facts(spark, d)
+    ancestors = _hierarchy(f)
+    return resolve.member_candidates(_starts(f, ancestors), _sites(f), ancestors, f["symbols"])
+
+
+@query("RECURSIVE SELECT site, grp, target FROM func", *_CALLS, b.FREE)
+def function_candidates(spark, d):
+    f = b.facts(spark, d)
+    ancestors, sites = _hierarchy(f), _sites(f)
+    found = resolve.member_candidates(_starts(f, ancestors), sites, ancestors, f["symbols"])
+    return resolve.function_candidates(sites.filter("receiver_kind = 'none'").join(found.select("site").distinct(), "site", "left_anti"), f["symbols"], f["files"], f["imports"])
 
 
 @query(
-    """, imports AS (SELECT DISTINCT c_custkey AS file, 'Brand#' || (c_nationkey % 25 + 1) || '.STANDARD' AS package FROM customer)
-    SELECT file, package, id AS target FROM imports JOIN sym ON regexp_replace(qualified_name, '\\.[^.]*$', '') = package WHERE kind IN ('class', 'interface', 'enum') AND id <> file""", t.SYMBOLS)
-def wildcard_imports(spark, d):
-    imports = t.table(spark, d, "customer").select(F.col("c_custkey").alias("file"), F.concat(F.lit("Brand#"), (F.col("c_nationkey") % 25 + 1).cast("string"), F.lit(".STANDARD")).alias("package")).distinct()
-    tops = t.symbols(spark, d).filter(F.col("kind").isin("class", "interface", "enum")).select(F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("package"), F.col("id").alias("target"))
-    return imports.join(tops, "package").filter("target != file").select("file", "package", "target")
-
-
-@query("SELECT l_orderkey AS site, min(l_partkey) AS target FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) = 1")
-def single_reachable(spark, d):
-    rows = t.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("n"), F.min("l_partkey").alias("target"))
-    return rows.filter("n = 1").select(F.col("l_orderkey").alias("site"), "target")
+    """RECURSIVE SELECT source_id, target_id, 'calls' AS kind, line, resolution, receiver_class_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY source_id, target, line ORDER BY CASE resolution WHEN 'typed' THEN 0 WHEN 'static' THEN 1 WHEN 'local' THEN 2 WHEN 'chain' THEN 3 WHEN 'super' THEN 4 ELSE 5 END, site) AS place, target AS target_id,
+        CASE WHEN resolution <> 'local' AND count(*) OVER w = count(start_class) OVER w AND min(start_class) OVER w = max(start_class) OVER w THEN min(start_class) OVER w END AS receiver_class_id
+      FROM called WINDOW w AS (PARTITION BY source_id, target, line)) WHERE place = 1""",
+    *_CALLS, b.FREE, b.OVERRIDES, b.EDGES)
+def call_edges(spark, d):
+    f = b.facts(spark, d)
+    return resolve.call_edges(f["symbols"], f["files"], f["imports"], f["call_sites"], _hierarchy(f))
 
 
 # Changes --------------------------------------------------------------------------------------------------------------
