@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.paths import glob_to_like
-from .functions.symbols import BUCKETS, archetype, arity_fits, confidence, confidence_bucket, same_signature
+from .functions.symbols import BUCKETS, archetype, confidence
 from .operators import graph, ranges
-from .operators.ranking import first, fuse, keep_least, numbered
+from .operators.ranking import first, fuse, keep_least
 from .plans import driver_facts as b
 from .plans import driver_tables as t
-from .plans import resolve, search
+from .plans import reading, resolve, search, summary
+from .session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,16 +62,9 @@ def outgoing_edges(spark, d):
     return t.edges(spark, d).join(s, "target_id").select(F.col("source_id").alias("id"), F.col("target_id").alias("neighbour"), "qualified_name", "kind", "line", "resolution")
 
 
-@query(
-    """SELECT id, direction, kind, count(*) AS n, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS others FROM (
-      SELECT DISTINCT target_id AS id, 'in' AS direction, kind, source_id AS other FROM edge UNION SELECT DISTINCT source_id, 'out', kind, target_id FROM edge) GROUP BY ALL""",
-    t.EDGES,
-)
+@query("SELECT target_id AS id, 'in' AS direction, kind, source_id AS other FROM edge UNION SELECT source_id, 'out', kind, target_id FROM edge", t.EDGES)
 def edge_buckets(spark, d):
-    e = t.edges(spark, d)
-    both = e.select(F.col("target_id").alias("id"), F.lit("in").alias("direction"), "kind", F.col("source_id").alias("other")).union(e.select("source_id", F.lit("out"), "kind", "target_id")).distinct()
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda x: x.cast("string")), ",")
-    return both.groupBy("id", "direction", "kind").agg(F.count("*").alias("n"), listed.alias("others"))
+    return graph.neighbours(t.edges(spark, d))
 
 
 @query("SELECT repo, path, count(*) AS symbols, min(start_line) AS first_line, max(end_line) AS last_line FROM sym WHERE path LIKE 'src/service/%' GROUP BY ALL", t.SYMBOLS)
@@ -80,38 +74,51 @@ def list_files_glob(spark, d):
 
 
 @query(
-    "SELECT repo, path, kind, type_name, start_line, end_line, row_number() OVER (PARTITION BY repo, path ORDER BY start_line, id) AS place FROM sym", t.SYMBOLS)
+    """, held AS (SELECT k, 'c' || k AS id, NULL AS parent_id, k AS file, k % 7 AS start_line FROM (SELECT c_custkey AS k FROM customer)
+      UNION ALL SELECT o_orderkey, 'o' || o_orderkey, 'c' || o_custkey, o_custkey, o_orderkey % 11 FROM orders
+      UNION ALL SELECT l_orderkey, 'l' || l_orderkey || '.' || l_linenumber, 'o' || l_orderkey, o_custkey, l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN orders ON o_orderkey = l_orderkey)
+    SELECT file, id, depth, row_number() OVER (PARTITION BY file ORDER BY top_line, top_id, own_line NULLS FIRST, own_id NULLS FIRST) AS place FROM (
+      SELECT file, id, 1 AS depth, start_line AS top_line, id AS top_id, NULL AS own_line, NULL AS own_id FROM held WHERE parent_id IS NULL
+      UNION ALL SELECT c.file, c.id, 2, p.start_line, p.id, c.start_line, c.id FROM held c JOIN held p ON p.id = c.parent_id AND p.file = c.file WHERE p.parent_id IS NULL)""",
+    "one AS (SELECT 1)")
 def file_outline(spark, d):
-    return numbered(t.symbols(spark, d), ["repo", "path"], [F.col("start_line"), F.col("id")], "place").select("repo", "path", "kind", "type_name", "start_line", "end_line", F.col("place").cast("long").alias("place"))
+    key = lambda x, *cols: F.concat(F.lit(x), F.concat_ws(".", *[F.col(c).cast("string") for c in cols]))
+    orders = t.table(spark, d, "orders")
+    rows = t.table(spark, d, "customer").select(key("c", "c_custkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("c_custkey").alias("file"), (F.col("c_custkey") % 7).alias("start_line"))
+    rows = rows.unionByName(orders.select(key("o", "o_orderkey").alias("id"), key("c", "o_custkey").alias("parent_id"), F.col("o_custkey").alias("file"), (F.col("o_orderkey") % 11).alias("start_line")))
+    lines = t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.unionByName(lines.select(key("l", "l_orderkey", "l_linenumber").alias("id"), key("o", "l_orderkey").alias("parent_id"), F.col("o_custkey").alias("file"), F.col("l_linenumber").cast("long").alias("start_line")))
+    return reading.outline(rows, ["file"]).select("file", "id", "depth", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT file, line_no, line_no || ': ' || line AS shown FROM lines WHERE line_no BETWEEN 2 AND 4", t.LINES)
+@query("SELECT file, repo, line_no, line_no || ': ' || line AS shown FROM lines WHERE line_no BETWEEN 2 AND 4", t.LINES)
 def read_lines(spark, d):
-    return t.doc_lines(spark, d).filter("line_no between 2 and 4").select("file", F.col("line_no").cast("long").alias("line_no"), F.concat(F.col("line_no").cast("string"), F.lit(": "), "line").alias("shown"))
+    return reading.shown(t.doc_lines(spark, d), 2, 4)
+
+
+_WORDS = "^[A-Z][a-z]+ (the|la|de|der) "
 
 
 @query(
-    """SELECT file, line_no, line, before, after FROM (
-      SELECT *, lag(line) OVER w AS before, lead(line) OVER w AS after FROM lines WINDOW w AS (PARTITION BY file ORDER BY line_no))
-    WHERE regexp_matches(line, '^[A-Z][a-z]+ (the|la|de|der) ')""",
+    f"""SELECT file, line_no, line, coalesce(before, '') AS before, coalesce(after, '') AS after FROM (
+      SELECT *, lag(line) OVER w AS before, lead(line) OVER w AS after FROM lines WINDOW w AS (PARTITION BY file, repo ORDER BY line_no)) WHERE regexp_matches(line, '{_WORDS}')""",
     t.LINES,
 )
 def search_pattern_context(spark, d):
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = t.doc_lines(spark, d).select("file", F.col("line_no").cast("long").alias("line_no"), "line").withColumns({"before": F.lag("line").over(w), "after": F.lead("line").over(w)})
-    return rows.filter(F.col("line").rlike("^[A-Z][a-z]+ (the|la|de|der) "))
+    rows = reading.matches(t.doc_lines(spark, d), _WORDS, ["file", "repo"], 1)
+    return rows.select("file", "line_no", "line", F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"))
 
 
 @query("SELECT repo, count(*) AS matches, count(DISTINCT file) AS files FROM lines WHERE regexp_matches(line, '(?i)idiot|worthless') GROUP BY repo", t.LINES)
 def search_pattern_counts(spark, d):
-    return t.doc_lines(spark, d).filter(F.col("line").rlike("(?i)idiot|worthless")).groupBy("repo").agg(F.count("*").alias("matches"), F.countDistinct("file").alias("files"))
+    return reading.match_counts(t.doc_lines(spark, d), "(?i)idiot|worthless", "repo", "file")
 
 
 # Graph ----------------------------------------------------------------------------------------------------------------
 
-_CLOSURE = """RECURSIVE, parent AS (SELECT source_id, min(target_id) AS target_id FROM edge WHERE kind = 'extends' AND target_id < source_id GROUP BY source_id), up AS (
+_CLOSURE = """RECURSIVE, up AS (
   SELECT id AS node, id AS ancestor, 0 AS depth FROM starts
-  UNION SELECT u.node, e.target_id, u.depth + 1 FROM up u JOIN parent e ON e.source_id = u.ancestor WHERE u.depth < 10)
+  UNION SELECT u.node, e.target_id, u.depth + 1 FROM up u JOIN edge e ON e.source_id = u.ancestor AND e.kind = 'extends' WHERE u.depth < 10)
 SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor"""
 
 
@@ -119,19 +126,14 @@ def _extends(spark, d):
     return t.edges(spark, d).filter("kind = 'extends'").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
 
 
-def _parent(spark, d):
-    """Single inheritance: of what a part extends, the smallest with a smaller key."""
-    return _extends(spark, d).filter("target < source").groupBy("source").agg(F.min("target").alias("target"))
-
-
 @query(_CLOSURE, t.SYMBOLS, t.EDGES, "starts AS (SELECT id FROM sym)")
 def hierarchy_closure(spark, d):
-    return graph.closure(t.symbols(spark, d).select(F.col("id").alias("node")), _parent(spark, d))
+    return graph.closure(t.symbols(spark, d).select(F.col("id").alias("node")), _extends(spark, d))
 
 
 @query(_CLOSURE, t.SYMBOLS, t.EDGES, "starts AS (SELECT id FROM sym WHERE kind <> 'interface')")
 def extends_line(spark, d):
-    return graph.closure(t.symbols(spark, d).filter("kind != 'interface'").select(F.col("id").alias("node")), _parent(spark, d))
+    return graph.closure(t.symbols(spark, d).filter("kind != 'interface'").select(F.col("id").alias("node")), _extends(spark, d))
 
 
 @query(
@@ -164,7 +166,7 @@ _IMPACT_VIEWS = (t.SYMBOLS, t.EDGES, t.ANCESTORS, _STEPS, "seeds AS (SELECT id F
 def _impact(spark, d, seeds=None):
     s = t.symbols(spark, d).select("id", "qualified_name", "parent_id")
     seeds = t.symbols(spark, d) if seeds is None else seeds
-    return graph.impact(seeds.select(F.col("id").alias("seed")), t.edges(spark, d), s, t.class_ancestors(spark))
+    return graph.impact(seeds.select(F.col("id").alias("seed")), cut(t.edges(spark, d)), s, t.class_ancestors(spark))
 
 
 @query("RECURSIVE SELECT * FROM impact", *_IMPACT_VIEWS)
@@ -200,32 +202,37 @@ def impact_confidence(spark, d):
     *_IMPACT_VIEWS,
 )
 def confidence_buckets(spark, d):
-    found = _impact(spark, d).groupBy(confidence_bucket(confidence(F.col("depth"), F.col("edge_kind"))).alias("bucket")).agg(F.count("*").alias("n"))
-    return spark.createDataFrame([(b,) for b in BUCKETS], "bucket string").join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return summary.buckets(_impact(spark, d))
 
 
 @query("RECURSIVE SELECT seed, depth, count(*) AS hops FROM impact GROUP BY seed, depth", *_IMPACT_VIEWS)
 def hop_counts(spark, d):
-    return _impact(spark, d).groupBy("seed", "depth").agg(F.count("*").alias("hops"))
-
-
-_BASE, _LAST, _PARENT = "regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1)", "string_split(qualified_name, '.')[-1]", "string_split(qualified_name, '.')[-2]"
-
-
-def _archetype_sql() -> str:
-    from .functions.symbols import FOLDERS, SUFFIXES, TEST_PATHS
-
-    outer = "kind IN ('class', 'interface', 'enum', 'object')"
-    names = [f"CASE WHEN {outer} THEN type_name ELSE {_PARENT} END", f"CASE WHEN {outer} THEN {_LAST} ELSE {_BASE} END", f"CASE WHEN {outer} THEN {_BASE} ELSE {_LAST} END"]
-    by_name = [f"WHEN regexp_matches({n}, '{p}') THEN '{k}'" for n in names for k, p in SUFFIXES]
-    return f"CASE WHEN regexp_matches(lower(path), '{TEST_PATHS}') THEN 'test' {' '.join(by_name)} {' '.join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{k}'" for k, p in FOLDERS)} ELSE 'other' END"
+    return summary.hops(_impact(spark, d))
+
+
+#: The rules once more, spelt out for the oracle: which ending of a name, or which folder, gives which archetype.
+_ENDINGS = """VALUES (1, 'test', '.*(Test|IT|Spec|TestBuilder|TestFixture|TestData)'), (2, 'builder', '.*Builder'), (3, 'controller', '.*(Controller|Resource|Endpoint|RestController)'), (4, 'repository', '.*(Repository|Repo|Dao)'),
+  (5, 'service', '.*(Service|ServiceImpl|UseCase|Handler)'), (6, 'mapper', '.*(Mapper|Converter|Translator|Marshaller|Unmarshaller)'), (7, 'dto', '.*(Dto|DTO|Request|Response|Payload|Command|Query|Event|Message)'),
+  (8, 'config', '.*(Config|Configuration|Properties|Settings)'), (9, 'util', '.*(Util|Utils|Helper|Helpers)'), (10, 'exception', '.*(Exception|Error)')"""
+_FOLDERS = """CASE WHEN p LIKE '%/dto/%' OR p LIKE '%/payload/%' THEN 'dto' WHEN p LIKE '%/entity/%' OR p LIKE '%/entities/%' OR p LIKE '%/domain/%' THEN 'entity' WHEN p LIKE '%/repository/%' OR p LIKE '%/repositories/%' OR p LIKE '%/dao/%' THEN 'repository'
+  WHEN p LIKE '%/controller/%' OR p LIKE '%/controllers/%' OR p LIKE '%/rest/%' THEN 'controller' WHEN p LIKE '%/service/%' OR p LIKE '%/services/%' THEN 'service' WHEN p LIKE '%/mapper/%' OR p LIKE '%/mappers/%' THEN 'mapper'
+  WHEN p LIKE '%/config/%' OR p LIKE '%/configuration/%' THEN 'config' WHEN p LIKE '%/util/%' OR p LIKE '%/utils/%' OR p LIKE '%/helpers/%' THEN 'util' WHEN p LIKE '%/exception/%' OR p LIKE '%/exceptions/%' OR p LIKE '%/errors/%' THEN 'exception' ELSE 'other' END"""
+_TAGS = f"""endings(rank, kind_of, ending) AS ({_ENDINGS}),
+named3 AS (
+  SELECT id, 1 AS turn, CASE WHEN kind IN ('class', 'interface', 'enum', 'object') THEN type_name ELSE string_split(qualified_name, '.')[-2] END AS word FROM sym
+  UNION ALL SELECT id, CASE WHEN kind IN ('class', 'interface', 'enum', 'object') THEN 2 ELSE 3 END, string_split(qualified_name, '.')[-1] FROM sym
+  UNION ALL SELECT id, CASE WHEN kind IN ('class', 'interface', 'enum', 'object') THEN 3 ELSE 2 END, regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) FROM sym),
+by_ending AS (SELECT id, arg_min(kind_of, turn * 100 + rank) AS archetype FROM named3 JOIN endings ON regexp_full_match(word, ending) GROUP BY id),
+tagged AS (
+  SELECT s.id, CASE WHEN p LIKE '%/test/%' OR p LIKE '%/tests/%' OR p LIKE '%/testfixtures/%' OR contains(p, '/__tests__/') THEN 'test' WHEN b.archetype IS NOT NULL THEN b.archetype ELSE {_FOLDERS} END AS archetype
+  FROM (SELECT id, lower(path) AS p FROM sym) s LEFT JOIN by_ending b USING (id))"""
 
 
 def _archetype():
     return archetype(F.col("type_name"), F.col("qualified_name"), F.col("path"), F.col("kind"))
 
 
-@query(f"SELECT id, {_archetype_sql()} AS archetype FROM sym", t.SYMBOLS)
+@query("SELECT id, archetype FROM tagged", t.SYMBOLS, _TAGS)
 def archetype_classify(spark, d):
     return t.symbols(spark, d).select("id", _archetype().alias("archetype"))
 
@@ -234,12 +241,12 @@ def _tagged(spark, d):
     return _impact(spark, d).join(t.symbols(spark, d).select("id", _archetype().alias("archetype")), "id")
 
 
-@query(f"RECURSIVE SELECT seed, {_archetype_sql()} AS archetype, count(*) AS n FROM impact JOIN sym USING (id) GROUP BY ALL", *_IMPACT_VIEWS)
+@query("RECURSIVE SELECT seed, archetype, count(*) AS n FROM impact JOIN tagged USING (id) GROUP BY ALL", *_IMPACT_VIEWS, _TAGS)
 def archetype_counts(spark, d):
-    return _tagged(spark, d).groupBy("seed", "archetype").agg(F.count("*").alias("n"))
+    return summary.archetypes(_impact(spark, d), t.symbols(spark, d).select("id", _archetype().alias("archetype")))
 
 
-@query(f"RECURSIVE SELECT seed, id, depth, archetype FROM (SELECT seed, id, depth, {_archetype_sql()} AS archetype FROM impact JOIN sym USING (id)) WHERE archetype NOT IN ('test', 'dto')", *_IMPACT_VIEWS)
+@query("RECURSIVE SELECT seed, id, depth, archetype FROM impact JOIN tagged USING (id) WHERE archetype NOT IN ('test', 'dto')", *_IMPACT_VIEWS, _TAGS)
 def archetype_exclude(spark, d):
     return _tagged(spark, d).filter(~F.col("archetype").isin("test", "dto")).select("seed", "id", "depth", "archetype")
 
@@ -271,7 +278,7 @@ _SEMANTIC = """semantic AS (
     SELECT q.query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS similarity FROM qry q JOIN embeddings v ON v.vec_id = q.query_id, embeddings e)) WHERE place <= 30)"""
 _NAMES = """names AS (
   SELECT query_id, id, CAST(CASE WHEN name = query THEN 1.0 WHEN lower(name) = lower(query) THEN 0.9 WHEN starts_with(lower(name), lower(query)) THEN 0.7 WHEN contains(lower(qualified_name), lower(query)) THEN 0.5 END AS DOUBLE) AS rank
-  FROM sym, qry),
+  FROM sym, qry WHERE query <> ''),
 named AS (SELECT * FROM (SELECT query_id, id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) AS place FROM names WHERE rank IS NOT NULL) WHERE place <= 30)"""
 _FUSED = """fused AS (
   SELECT query_id, id, sum(part) AS score FROM (SELECT query_id, id, 1.0 / (60 + place) AS part FROM fts UNION ALL SELECT query_id, id, 1.0 / (60 + place) FROM semantic UNION ALL SELECT query_id, id, 1.5 / (60 + place) FROM named) GROUP BY ALL)"""
@@ -364,16 +371,6 @@ def first_group(spark, d):
     return keep_least(rows, ["site"], "grp").distinct()
 
 
-@query(
-    """SELECT s.id AS site, c.id AS candidate FROM sym s JOIN sym c ON c.repo = s.repo AND c.kind = 'method' AND s.kind = 'class'
-    WHERE (s.start_line % 5 = 0 OR s.start_line % 4 >= c.start_line % 3) AND (s.start_line % 5 = 0 OR c.end_line % 4 = 0 OR s.start_line % 4 <= c.end_line % 4)""", t.SYMBOLS)
-def arity_candidates(spark, d):
-    s = t.symbols(spark, d)
-    sites = s.filter("kind = 'class'").select("repo", F.col("id").alias("site"), F.when(F.col("start_line") % 5 != 0, F.col("start_line") % 4).alias("args"))
-    methods = s.filter("kind = 'method'").select("repo", F.col("id").alias("candidate"), (F.col("start_line") % 3).alias("least"), F.when(F.col("end_line") % 4 != 0, F.col("end_line") % 4).alias("most"))
-    return sites.join(methods, "repo").filter(arity_fits(F.col("args"), F.col("least"), F.col("most"))).select("site", "candidate")
-
-
 @query(
     """, cand AS (SELECT DISTINCT l_orderkey AS site, l_partkey AS target FROM lineitem), ext AS (SELECT DISTINCT source_id, target_id FROM edge WHERE kind = 'extends')
     SELECT site, target FROM cand a WHERE NOT EXISTS (SELECT 1 FROM cand b JOIN ext e ON e.source_id = b.target AND e.target_id = a.target WHERE b.site = a.site AND b.target <> a.target)""", t.EDGES)

@@ -12,11 +12,11 @@ DEPTH_CONFIDENCE = [1.0, 0.7, 0.4, 0.2]
 BEYOND_CONFIDENCE, INHERITANCE_BONUS = 0.1, 0.2
 
 #: Archetypes by the name's ending, and by folder, in the order in which they are tried.
-TEST_PATHS = "/(test|tests|testfixtures|__tests__)/"
+TEST_PATHS = "/(test|tests|testFixtures|__tests__)/"
 SUFFIXES = [
     ("test", "(Test|IT|Spec|TestBuilder|TestFixture|TestData)$"), ("builder", "Builder$"), ("controller", "(Controller|Resource|Endpoint|RestController)$"),
     ("repository", "(Repository|Repo|Dao)$"), ("service", "(Service|ServiceImpl|UseCase|Handler)$"), ("mapper", "(Mapper|Converter|Translator|Marshaller|Unmarshaller)$"),
-    ("dto", "(Dto|DTO|Request|Response|Payload|Command|Query|Event|Message)$"), ("config", "(Config|Configuration|Properties|Settings)$"), ("util", "(Utils?|Helpers?)$"), ("exception", "(Exception|Error)$"),
+    ("dto", "(Dto|DTO|Request|Response|Payload|Command|Query|Event|Message)$"), ("config", "(Config|Configuration|Properties|Settings)$"), ("util", "(Util|Utils|Helper|Helpers)$"), ("exception", "(Exception|Error)$"),
 ]
 FOLDERS = [
     ("dto", "/(dto|payload)/"), ("entity", "/(entity|entities|domain)/"), ("repository", "/(repository|repositories|dao)/"), ("controller", "/(controller|controllers|rest)/"),
@@ -59,7 +59,7 @@ def archetype(name: Column, qualified_name: Column, path: Column, kind: Column)
     outer = kind.isin("class", "interface", "enum", "object")
     candidates = [F.when(outer, name).otherwise(parent), F.when(outer, last).otherwise(base), F.when(outer, base).otherwise(last)]
     low = F.lower(path)
-    return F.coalesce(F.when(low.rlike(TEST_PATHS), "test"), *[_suffix(c) for c in candidates], *[F.when(low.rlike(p), k) for k, p in FOLDERS], F.lit("other"))
+    return F.coalesce(F.when(low.rlike(TEST_PATHS.lower()), "test"), *[_suffix(c) for c in candidates], *[F.when(low.rlike(p), k) for k, p in FOLDERS], F.lit("other"))
 
 
 def terms(*cols: Column) -> Column:

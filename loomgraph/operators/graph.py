@@ -38,10 +38,16 @@ def walk_up(starts: DataFrame, parents: DataFrame, max_depth: int = 10) -> DataF
     return out if out is not None else level.withColumn("grp", F.lit(1))
 
 
-def compatible(ancestors: DataFrame) -> DataFrame:
-    """(cls, receiver): pairs of classes that have a descendant, or themselves, in common; ancestors: (class_id, ancestor_id)."""
-    a = ancestors.select("class_id", F.col("ancestor_id").alias("cls"))
-    return a.join(ancestors.select("class_id", F.col("ancestor_id").alias("receiver")), "class_id").select("cls", "receiver").distinct()
+def compatible(pairs: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """Those pairs (cls, receiver) of classes that have a descendant, or themselves, in common; ancestors: (class_id, ancestor_id)."""
+    below = pairs.select("cls", "receiver").distinct().join(ancestors.select("class_id", F.col("ancestor_id").alias("cls")), "cls")
+    return below.join(ancestors.select("class_id", F.col("ancestor_id").alias("receiver")), ["class_id", "receiver"], "left_semi").select("cls", "receiver").distinct()
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(id, direction, kind, other), one row each: what edges (source_id, target_id, kind) lead in from and out to."""
+    into = edges.select(F.col("target_id").alias("id"), F.lit("in").alias("direction"), "kind", F.col("source_id").alias("other"))
+    return into.unionByName(edges.select(F.col("source_id").alias("id"), F.lit("out").alias("direction"), "kind", F.col("target_id").alias("other"))).distinct()
 
 
 def step_order() -> list[Column]:
@@ -49,29 +55,44 @@ def step_order() -> list[Column]:
     return [rank, F.col("edge_kind"), F.col("resolution").asc_nulls_last(), F.col("via").asc_nulls_last(), F.col("via_id").asc_nulls_last()]
 
 
-def impact(seeds: DataFrame, edges: DataFrame, symbols: DataFrame, ancestors: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(seed, id, depth, edge_kind, resolution, via, via_id): what depends on each seed, at its least depth.
-
-    seeds (seed); edges (source_id, target_id, kind, resolution, receiver_class_id); symbols (id, qualified_name, parent_id);
-    ancestors (class_id, ancestor_id), reflexive. A method that is reached also stands for the methods it overrides: calls
-    of these, other than by super, count unless their receiver's class has no descendant in common with its own class.
-    """
-    # What one step from an id gives does not depend on the seed: computed once, joined at every level.
-    direct = edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("id"), F.col("kind").alias("edge_kind"), "resolution", F.lit(None).cast(symbols.schema["qualified_name"].dataType).alias("via"), F.lit(None).cast(edges.schema["target_id"].dataType).alias("via_id"))
-    over = edges.filter("kind = 'overrides'").select(F.col("source_id").alias("at"), F.col("target_id").alias("via_id"))
+def steps(edges: DataFrame, symbols: DataFrame, ancestors: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """(at, id, edge_kind, resolution, via, via_id): all steps of the walk, or those from the ids of at, which is small and is broadcast."""
+    near = lambda df, col, ids: df if at is None else df.join(F.broadcast(ids.select(F.col(ids.columns[0]).alias(col)).distinct()), col, "left_semi")
+    direct = near(edges, "target_id", at).select(F.col("target_id").alias("at"), F.col("source_id").alias("id"), F.col("kind").alias("edge_kind"), "resolution", F.lit(None).cast(symbols.schema["qualified_name"].dataType).alias("via"), F.lit(None).cast(edges.schema["target_id"].dataType).alias("via_id"))
+    over = near(edges.filter("kind = 'overrides'"), "source_id", at).select(F.col("source_id").alias("at"), F.col("target_id").alias("via_id"))
     over = over.join(symbols.select(F.col("id").alias("at"), F.col("parent_id").alias("cls")), "at")
     over = over.join(symbols.select(F.col("id").alias("via_id"), F.col("qualified_name").alias("via")), "via_id")
     calls = edges.filter("kind = 'calls' and not (resolution <=> 'super')").select(F.col("target_id").alias("via_id"), F.col("source_id").alias("id"), F.col("kind").alias("edge_kind"), "resolution", F.col("receiver_class_id").alias("receiver"))
     through = over.join(calls, "via_id")
-    known = through.filter("receiver is not null").join(compatible(ancestors), ["cls", "receiver"], "left_semi")
+    known = through.filter("receiver is not null")
+    known = known.join(compatible(known, ancestors), ["cls", "receiver"], "left_semi")
     through = known.unionByName(through.filter("receiver is null"))
-    steps = cut(direct.unionByName(through.select(direct.columns)).distinct())
+    return direct.unionByName(through.select(direct.columns)).distinct()
 
-    visited = seeds.select("seed", F.col("seed").alias("id")).distinct()
-    frontier = visited = cut(visited)
-    out = None
+
+#: Ids of a level from which the walk looks up single steps; beyond, the steps of the whole graph are made once for all levels.
+FEW = 2_000
+
+
+def impact(seeds: DataFrame, edges: DataFrame, symbols: DataFrame, ancestors: DataFrame, max_depth: int = 3, few: int = FEW) -> DataFrame:
+    """(seed, id, depth, edge_kind, resolution, via, via_id): what depends on each seed, at its least depth.
+
+    seeds (seed); edges (source_id, target_id, kind, resolution, receiver_class_id); symbols (id, qualified_name, parent_id);
+    ancestors (class_id, ancestor_id), reflexive. A method that is reached also stands for the methods it overrides: calls
+    of these, other than by super, count unless their receiver's class has no descendant in common with its own class.
+
+    What one step from an id gives does not depend on the seed: from few ids it is looked up, from many it is joined with
+    the steps of the whole graph. Both give the same rows.
+    """
+    frontier = visited = cut(seeds.select("seed", F.col("seed").alias("id")).distinct())
+    every, out = None, None
     for depth in range(1, max_depth + 1):
-        reached = frontier.select("seed", F.col("id").alias("at")).join(steps, "at").filter("id != seed").drop("at")
+        at = frontier.select(F.col("id").alias("at")).distinct()
+        if every is None and at.limit(few + 1).count() <= few:
+            step = steps(edges, symbols, ancestors, at)
+        else:
+            step = every = every if every is not None else cut(steps(edges, symbols, ancestors))
+        reached = frontier.select("seed", F.col("id").alias("at")).join(step, "at").filter("id != seed").drop("at")
         new = first(reached.join(visited, ["seed", "id"], "left_anti"), ["seed", "id"], step_order())
         new = cut(new.withColumn("depth", F.lit(depth)))
         out = new if out is None else out.unionByName(new)

@@ -1,7 +1,7 @@
 """The driver's tables as a symbol graph, and the same relations in SQL.
 
-`part` gives symbols, `lineitem` edges between parts that follow each other in an order, `p_brand` classes in a binary
-tree, `documents` files, and part names with a few words of qualified names search queries.
+`part` gives symbols, each order an edge between the parts of its first and last lines, `p_brand` classes in a binary tree,
+`documents` files, and part names, words with types and users' turns of `conversations` search queries.
 """
 
 from __future__ import annotations
@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .reading import lines
+
 #: Fixed values of the binding.
 KINDS = {"STANDARD": "class", "PROMO": "interface", "LARGE": "enum", "ECONOMY": "method", "MEDIUM": "function", "SMALL": "property"}
-EDGE_KINDS = {"A": "calls", "N": "overrides", "R": "extends"}
 FOLDERS = ["service", "controller", "dto", "repository", "config", "util", "test", "entity", "mapper", "core"]
 ENDINGS = ["Service", "Controller", "Request", "Dao", "", "Test", "Builder", "Factory", "Error", "Handler"]
 
@@ -39,14 +40,21 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), camel.alias("type_name"), qualified.alias("qualified_name"), kind.otherwise("unknown").alias("kind"), F.col("p_brand").alias("repo"), brand.alias("parent_id"), path.alias("path"), F.col("p_size").alias("start_line"), (F.col("p_size") + F.col("p_partkey") % 7).cast("int").alias("end_line"), F.col("p_retailprice").alias("price"))
 
 
+#: Fixed values of the binding: an edge's kind by its line's flag and status.
+FLAGS = {("A", "F"): "calls", ("A", "O"): "calls", ("N", "F"): "calls", ("N", "O"): "overrides", ("R", "F"): "implements", ("R", "O"): "extends"}
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge for each order, from the part of its first line to that of its last, which gives the edge its other columns."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_shipdate"]
-    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*order))
-    kind = F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "N", "overrides").otherwise("extends")
-    resolution = F.when(F.col("l_returnflag") != "A", F.lit(None)).when(F.col("l_linenumber") == 1, "super").when(F.col("l_linestatus") == "O", "typed").otherwise("local")
+    w = Window.partitionBy("l_orderkey").orderBy(*order)
+    kind = F.lit(None).cast("string")
+    for (flag, status), name in FLAGS.items():
+        kind = F.when((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status), name).otherwise(kind)
+    rows = table(spark, sf_dir, "lineitem").withColumns({"source_id": F.first("l_partkey").over(w), "later": F.lead("l_orderkey").over(w), "kind": kind})
+    resolution = F.when(F.col("kind") != "calls", F.lit(None)).when(F.col("l_linenumber") % 4 == 1, "super").when(F.col("l_linestatus") == "O", "typed").otherwise("local")
     receiver = F.when(F.col("l_tax") >= 0.04, (F.col("l_suppkey") % 25 + 1).cast("int"))
-    rows = table(spark, sf_dir, "lineitem").withColumn("target_id", after).filter("l_quantity <= 12 and target_id is not null and l_partkey != target_id")
-    return rows.select(F.col("l_partkey").alias("source_id"), "target_id", kind.alias("kind"), F.col("l_linenumber").alias("line"), resolution.alias("resolution"), receiver.alias("receiver_class_id")).distinct()
+    return rows.filter("later is null and source_id != l_partkey").select("source_id", F.col("l_partkey").alias("target_id"), "kind", F.col("l_linenumber").alias("line"), resolution.alias("resolution"), receiver.alias("receiver_class_id")).distinct()
 
 
 def class_ancestors(spark: SparkSession) -> DataFrame:
@@ -72,11 +80,22 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query): each part name, each first word with a type, and each type with a brand."""
-    p = table(spark, sf_dir, "part")
-    word = F.split("p_name", " ")[0]
-    texts = p.select(F.col("p_name").alias("query")).union(p.select(F.concat_ws(" ", word, F.lower("p_type")))).union(p.select(F.concat_ws(" ", F.lower("p_type"), F.lit("missing")))).distinct()
-    return texts.withColumn("query_id", F.row_number().over(Window.orderBy("query")).cast("long"))
+    """(query_id, query): part names, their first words with a type, types with a word that is nowhere, and what users say in conversations.
+
+    Ids come from the rows' own keys: no query waits for the others to be numbered.
+    """
+    p, said = table(spark, sf_dir, "part"), table(spark, sf_dir, "conversations").filter("role = 'user'")
+    key = lambda n: (F.min("p_partkey") + n).alias("query_id")
+    texts = [
+        p.groupBy(F.col("p_name").alias("query")).agg(key(0)),
+        p.groupBy(F.concat_ws(" ", F.split("p_name", " ")[0], F.lower("p_type")).alias("query")).agg(key(1_000_000_000)),
+        p.groupBy(F.concat_ws(" ", F.lower("p_type"), F.lit("missing")).alias("query")).agg(key(2_000_000_000)),
+        said.groupBy(F.col("text").alias("query")).agg((F.min(F.col("conv_id") * 1000 + F.col("turn")) + 3_000_000_000).alias("query_id")),
+    ]
+    out = texts[0]
+    for x in texts[1:]:
+        out = out.unionByName(x)
+    return out.select("query_id", "query")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +104,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, repo, line_no, line): the lines of documents, from 1."""
-    d = table(spark, sf_dir, "documents")
-    rows = d.select(F.col("doc_id").alias("file"), F.col("source").alias("repo"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.select("file", "repo", (F.col("at") + 1).alias("line_no"), "line")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("source").alias("repo"), "text")
+    return lines(d, F.col("text"), "file", "repo")
 
 
 def _case(col: str, values: list[str]) -> str:
@@ -101,18 +119,19 @@ SYMBOLS = f"""sym AS (
     CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS parent_id, 'src/' || {_case("p_size % 10", FOLDERS)} || '/' || {_CAMEL} || '.java' AS path,
     p_size AS start_line, CAST(p_size + p_partkey % 7 AS INT) AS end_line, p_retailprice AS price FROM part)"""
 EDGES = """edge AS (
-  SELECT DISTINCT l_partkey AS source_id, target_id, CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'overrides' ELSE 'extends' END AS kind, l_linenumber AS line,
-    CASE WHEN l_returnflag <> 'A' THEN NULL WHEN l_linenumber = 1 THEN 'super' WHEN l_linestatus = 'O' THEN 'typed' ELSE 'local' END AS resolution,
-    CASE WHEN l_tax >= 0.04 THEN CAST(l_suppkey % 25 + 1 AS INT) END AS receiver_class_id
-  FROM (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus, l_discount, l_tax, l_shipdate) AS target_id FROM lineitem)
-  WHERE l_quantity <= 12 AND target_id IS NOT NULL AND l_partkey <> target_id)"""
+  SELECT DISTINCT source_id, target_id, kind, line, CASE WHEN kind <> 'calls' THEN NULL WHEN line % 4 = 1 THEN 'super' WHEN l_linestatus = 'O' THEN 'typed' ELSE 'local' END AS resolution, receiver_class_id FROM (
+    SELECT first_value(l_partkey) OVER w AS source_id, l_partkey AS target_id, lead(l_orderkey) OVER w AS later, l_linenumber AS line, l_linestatus,
+      CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'calls' WHEN 'AO' THEN 'calls' WHEN 'NF' THEN 'calls' WHEN 'NO' THEN 'overrides' WHEN 'RF' THEN 'implements' WHEN 'RO' THEN 'extends' END AS kind,
+      CASE WHEN l_tax >= 0.04 THEN CAST(l_suppkey % 25 + 1 AS INT) END AS receiver_class_id
+    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus, l_discount, l_tax, l_shipdate))
+  WHERE later IS NULL AND source_id <> target_id)"""
 ANCESTORS = """anc AS (
   SELECT c AS class_id, c // k AS ancestor_id FROM range(1, 26) t(c), (VALUES (1), (2), (4), (8), (16)) u(k) WHERE c // k >= 1)"""
 TREE = """tree AS (
   SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS parent_id FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
 QUERIES = """qry AS (
-  SELECT row_number() OVER (ORDER BY query) AS query_id, query FROM (
-    SELECT p_name AS query FROM part UNION SELECT string_split(p_name, ' ')[1] || ' ' || lower(p_type) FROM part UNION SELECT lower(p_type) || ' missing' FROM part))"""
+  SELECT min(p_partkey) AS query_id, p_name AS query FROM part GROUP BY ALL UNION ALL SELECT min(p_partkey) + 1000000000, string_split(p_name, ' ')[1] || ' ' || lower(p_type) AS q FROM part GROUP BY q
+  UNION ALL SELECT min(p_partkey) + 2000000000, lower(p_type) || ' missing' AS q FROM part GROUP BY q UNION ALL SELECT min(conv_id * 1000 + turn) + 3000000000, text FROM conversations WHERE role = 'user' GROUP BY text)"""
 LINES = """lines AS (
   SELECT doc_id AS file, source AS repo, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"""

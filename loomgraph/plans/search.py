@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.symbols import cosine, kind_boost, name_score, terms
+from ..functions.symbols import kind_boost, name_score, terms
 from ..operators.ranking import first, fuse, numbered
+from ..session import cut
 
 LEG, RRF_K, WEIGHTS = 30, 60, {"fts": 1.0, "semantic": 1.0, "name": 1.5}
 
@@ -39,22 +44,87 @@ def lexical_leg(queries: DataFrame, index: DataFrame, n: int = LEG) -> DataFrame
     return first(numbered(lexical(queries, index), ["query_id"], order, "place"), ["query_id"], order, n)
 
 
+#: Query vectors that are sent to all tasks at once, and vectors that a task multiplies them with at once.
+QUERY_BLOCK, ROW_BLOCK = 2_048, 1_024
+
+
+def _nearest(asked: pa.Table, n: int, kind: str):
+    """A mapInArrow function: of each partition's vectors the n nearest to each asked vector, by blocked matrix products."""
+    ids = asked.column("query_id").to_numpy()
+    q = np.array(asked.column("embedding").to_pylist(), float).reshape(len(ids), -1)
+    norm = np.sqrt((q * q).sum(axis=1))
+
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # ids and similarities, n of each query at most
+        for batch in parts:
+            for at in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(at, ROW_BLOCK)
+                v = np.array(part.column(1).to_pylist(), float).reshape(part.num_rows, -1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = np.round(q @ v.T / (norm[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]), 9)
+                own = np.broadcast_to(np.asarray(part.column(0).to_pylist(), object if kind == "string" else np.int64), near.shape)
+                if held is not None:
+                    own, near = np.concatenate([held[0], own], axis=1), np.concatenate([held[1], near], axis=1)
+                by_id = np.argsort(own, axis=1, kind="stable")
+                own, near = np.take_along_axis(own, by_id, 1), np.take_along_axis(near, by_id, 1)
+                best = np.argsort(-near, axis=1, kind="stable")[:, :n]  # not-a-number, of zero vectors, last
+                held = np.take_along_axis(own, best, 1), np.take_along_axis(near, best, 1)
+        if held is not None:
+            ok = ~np.isnan(held[1])
+            yield pa.record_batch([pa.array(np.broadcast_to(ids[:, None], ok.shape)[ok]), pa.array(held[0][ok].tolist(), pa.string() if kind == "string" else pa.int64()), pa.array(held[1][ok])], ["query_id", "id", "similarity"])
+
+    return each
+
+
 def semantic_leg(query_vectors: DataFrame, vectors: DataFrame, n: int = LEG) -> DataFrame:
     """(query_id, id, similarity, place): exact nearest neighbours of a stated set of queries against all vectors.
 
-    Scores are rounded to nine digits, so that ties do not depend on the order of additions.
+    Queries go to the vectors in blocks of QUERY_BLOCK; each task keeps its n nearest alone, so that no more is shuffled. Scores
+    are rounded to nine digits, so that ties do not depend on the order of additions. Vectors have the queries' size.
     """
-    q = query_vectors.select("query_id", F.col("embedding").alias("_q"))
-    scored = vectors.join(q, F.size("embedding") == F.size("_q")).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("_q")), 9).alias("similarity"))
+    spark, kind = vectors.sparkSession, vectors.schema["id"].dataType.simpleString()
+    asked = query_vectors.select("query_id", "embedding").filter("embedding is not null")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for k in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow()
+        if not block.num_rows:
+            continue
+        size = len(block.column("embedding")[0])
+        rows = vectors.filter(F.size("embedding") == size).select("id", "embedding").mapInArrow(_nearest(block, n, kind), f"query_id long, id {kind}, similarity double")
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        found = spark.createDataFrame([], f"query_id long, id {kind}, similarity double")
     order = [F.desc("similarity"), F.col("id")]
-    return first(numbered(scored, ["query_id"], order, "place"), ["query_id"], order, n)
+    return first(numbered(found, ["query_id"], order, "place"), ["query_id"], order, n)
+
+
+#: Characters of the parts by which texts and the names that hold them meet.
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda k: F.substring(text, k, size)))
 
 
 def name_leg(queries: DataFrame, symbols: DataFrame, n: int = LEG) -> DataFrame:
-    """(query_id, id, rank, place): exact, caseless, prefix and inner matches of names."""
+    """(query_id, id, rank, place): exact, caseless, prefix and inner matches of names.
+
+    A query meets the names that hold the rarest of its parts of GRAM characters (a shorter query: itself), and only these are compared.
+    """
     # Names are few against symbols: each distinct (name, qualified name) is scored once.
-    names = symbols.select("name", "qualified_name").distinct()
-    scored = names.crossJoin(queries).select("query_id", "name", "qualified_name", name_score(F.col("name"), F.col("qualified_name"), F.col("query")).alias("rank")).filter("rank is not null")
+    names = cut(symbols.select("name", "qualified_name").distinct().withColumn("name_id", F.xxhash64("name", "qualified_name")))
+    q = cut(queries.filter("query != ''").select("query_id", "query", F.lower("query").alias("low")).withColumn("size", F.least(F.length("low"), F.lit(GRAM))))
+    sizes = [r["size"] for r in q.select("size").distinct().collect()]  # GRAM of them at most
+    low = F.array(F.lower("name"), F.lower("qualified_name"))
+    held = names.select("name_id", F.explode(F.array_distinct(F.flatten(F.transform(low, lambda x: F.concat(*[_grams(x, F.lit(s)) for s in sizes] or [F.array().cast("array<string>")]))))).alias("gram"))
+    held = cut(held)
+    asked = q.select("query_id", F.explode(_grams(F.col("low"), F.col("size"))).alias("gram"))
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
+    # A part that no name has rules the query out.
+    rare = first(asked.join(often, "gram", "left"), ["query_id"], [F.coalesce("n", F.lit(0)), F.col("gram")]).select("query_id", "gram")
+    met = q.join(rare, "query_id").join(held, "gram").join(names, "name_id")
+    scored = met.select("query_id", "name", "qualified_name", name_score(F.col("name"), F.col("qualified_name"), F.col("query")).alias("rank")).filter("rank is not null")
     found = symbols.select("id", "name", "qualified_name").join(scored, ["name", "qualified_name"]).select("query_id", "id", "rank")
     order = [F.desc("rank"), F.col("id")]
     return first(numbered(found, ["query_id"], order, "place"), ["query_id"], order, n)
