@@ -31,8 +31,9 @@ def safe_path(root: str, path: str) -> str | None:
     return full if full.startswith(posixpath.normpath(root) + "/") else None
 
 
-def short_commit(text: str) -> str:
-    return text[:12] if re.fullmatch("[0-9a-f]{40}|[0-9a-f]{64}", text) else text
+def short_commit(text: str | None) -> str | None:
+    """A commit's first twelve digits; any other text as it is."""
+    return text[:12] if text and re.fullmatch("[0-9a-f]{40}|[0-9a-f]{64}", text) else text
 
 
 def redact(message: str, root: str) -> str:

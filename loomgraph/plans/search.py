@@ -139,14 +139,19 @@ def ranked(legs: dict[str, DataFrame], symbols: DataFrame, limit: int = 10, k: i
 
 
 def hybrid(queries: DataFrame, query_vectors: DataFrame, symbols: DataFrame, vectors: DataFrame, limit: int = 10, repo: str | None = None, kind: str | None = None, language: str | None = None) -> DataFrame:
-    """Search with optional filters; each applies to every leg, before ranks are given."""
+    """The results of hybrid_legs()."""
+    return hybrid_legs(queries, query_vectors, symbols, vectors, limit, repo, kind, language)[0]
+
+
+def hybrid_legs(queries: DataFrame, query_vectors: DataFrame, symbols: DataFrame, vectors: DataFrame, limit: int = 10, repo: str | None = None, kind: str | None = None, language: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Search with optional filters, and its legs; each filter applies to every leg, before ranks are given."""
     for name, value in (("repo", repo), ("kind", kind), ("language", language)):
         if value is not None:
             symbols = symbols.filter(F.col(name) == value)
     if (repo, kind, language) != (None, None, None):
         vectors = vectors.join(symbols.select("id"), "id", "left_semi")
     legs = {"fts": lexical_leg(queries, postings(symbols)), "semantic": semantic_leg(query_vectors, vectors), "name": name_leg(queries, symbols)}
-    return ranked({k: v.select("query_id", "id", "place") for k, v in legs.items()}, symbols, limit)
+    return ranked({k: v.select("query_id", "id", "place") for k, v in legs.items()}, symbols, limit), legs
 
 
 def trace(legs: dict[str, DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import TABLES
+from ..schema import MIGRATIONS, SCHEMA_VERSION, TABLES
 
 
 def differing(now: DataFrame, held: DataFrame) -> DataFrame:
@@ -20,8 +20,11 @@ def stale(held: DataFrame, now: DataFrame) -> DataFrame:
     return held.join(now.select("path"), "path", "left_anti")
 
 
-def upsert(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """held with new's rows in place of those that share their key."""
+def upsert(held: DataFrame, new: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
+    """held with new's rows in place of those that share their key; columns of keep stay as they were held."""
+    if keep:
+        old = held.select(key, *[F.col(c).alias(f"_{c}") for c in keep])
+        new = new.join(old, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in keep}).drop(*[f"_{c}" for c in keep])
     return held.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -31,7 +34,8 @@ def without_files(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables below a folder, each run in a version of its own; a run counts once its version is in `versions`."""
+    """Tables below a folder. A run writes the tables it changed in a folder of its own, then one row to `versions` that says, for each
+    table, which folder holds it: readers see all of a run or nothing, and tables that a run left alone are not written again."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -41,23 +45,37 @@ class Store:
         place = jvm.org.apache.hadoop.fs.Path(path)
         return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
-    def version(self) -> int:
+    def _latest(self) -> tuple[int, int, dict[str, int]]:
+        """The last run's number, its schema's version, and which run wrote each table."""
         path = f"{self.folder}/versions"
         if not self._exists(path):
-            return 0
-        return self.spark.read.schema("version int").parquet(path).agg(F.max("version")).collect()[0][0] or 0
+            return 0, SCHEMA_VERSION, {}
+        row = self.spark.read.schema("version int, schema_version int, tables map<string,int>").parquet(path).orderBy(F.desc("version")).limit(1).collect()
+        return (row[0]["version"], row[0]["schema_version"] or 1, row[0]["tables"] or {}) if row else (0, SCHEMA_VERSION, {})
+
+    def version(self) -> int:
+        return self._latest()[0]
 
     def read(self, name: str) -> DataFrame:
-        version = self.version()
-        path = f"{self.folder}/v{version}/{name}"
-        if not version or not self._exists(path):
+        _, made_by, held = self._latest()
+        if name not in held:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(path)
+        return migrated(self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/v{held[name]}/{name}"), name, made_by)
 
     def write(self, tables: dict[str, DataFrame]) -> int:
-        """All tables as a new version; readers see it once the last step, the pointer, is written."""
-        version = self.version() + 1
+        """tables as a new version, beside those that it leaves as they are."""
+        last, _, held = self._latest()
+        version = last + 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.folder}/v{version}/{name}")
-        self.spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
+        row = [(version, SCHEMA_VERSION, {**held, **dict.fromkeys(tables, version)})]
+        self.spark.createDataFrame(row, "version int, schema_version int, tables map<string,int>").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
         return version
+
+
+def migrated(df: DataFrame, name: str, made_by: int) -> DataFrame:
+    """df of a store whose schema had version made_by, with the values that later versions give to columns it lacked."""
+    for version in sorted(v for v in MIGRATIONS if v > made_by):
+        for column, value in MIGRATIONS[version].get(name, {}).items():
+            df = df.withColumn(column, F.coalesce(F.col(column), F.expr(value)))
+    return df

@@ -79,8 +79,10 @@ def test_impact_goes_through_dispatch(indexed):
     g, _ = indexed
     rows = {r.qualified_name: r for r in g.impact(g.lookup("app.FileStore.load")).collect()}
     assert rows["use.Service.run"].via == "app.Store.load" and rows["use.Service.run"].confidence == 1.0
-    context = {(r.direction, r.kind): r.neighbours for r in g.symbol_context(g.lookup("app.FileStore.load")).collect()}
-    assert context["in", "calls"] == ["use.Service.run"] and "app.Store.load" in context["out", "overrides"]
+    context = {(r.direction, r.kind, r.qualified_name): r.place for r in g.symbol_context(g.lookup("app.FileStore.load")).collect()}
+    assert context["in", "calls", "use.Service.run"] == 1 and ("out", "overrides", "app.Store.load") in context
+    numbers = {k: [tuple(r) for r in v.collect()] for k, v in g.impact_summary(g.lookup("app.FileStore.load")).items()}
+    assert sum(n for *_, n in numbers["hops"]) == len(rows) == sum(n for *_, n in numbers["confidence"]) == sum(n for *_, n in numbers["archetypes"]) and len(numbers["confidence"]) == 5
 
 
 def test_search_outline_and_files(indexed):
@@ -88,13 +90,53 @@ def test_search_outline_and_files(indexed):
     top = g.search(["file store", "Service"], 3).filter("place = 1").orderBy("query_id").collect()
     assert [r.qualified_name for r in top][1] == "use.Service"
     assert [r.path for r in g.list_files("demo", pattern="*.kt").collect()] == ["src/use/Service.kt"]
-    (row,) = g.file_outline("demo", "src/app/Item.java").collect()
-    assert [c.name for c in row.children] == ["touch", "next"]
+    assert [(r.name, r.depth, r.place) for r in g.file_outline("demo", "src/app/Item.java").collect()] == [("Item", 1, 1), ("touch", 2, 2), ("next", 2, 3)]
+    assert [(r.path, r.truncated) for r in g.list_files("demo", limit=1).collect()] == [("src/app/Base.java", True)]
     assert [r.shown for r in g.read_source("demo", "src/app/Item.java", 2, 3).collect()] == ["2: public class Item {", "3:     public void touch() { }"]
     hit = g.search_pattern(r"touch\(\) \{", "demo").collect()
     assert [(r.path, r.line_no, len(r.before), len(r.after)) for r in hit] == [("src/app/Item.java", 3, 2, 2)]
-    assert g.analyze_tickets(["load item"], 2).count() == 2
-    assert [r.symbols for r in g.list_repos().collect()] == [g.symbols().count()]
+    assert [(r.repo, r.truncated) for r in g.search_pattern("class", max_results=2, context=0).collect()] == [("demo", True)] * 2
+    tickets = {k: v.collect() for k, v in g.analyze_tickets(["load item"], 2).items()}
+    assert len(tickets["symbols"]) == 2 and {r.query_id for r in tickets["totals"]} == {0}
+    assert tickets["totals"][0].affected == sum(r.affected for r in tickets["by_repo"]) == sum(r.affected for r in tickets["symbols"])
+    assert all(r.place <= 25 <= 25 * r.total for r in tickets["context"]) and {r.bucket for r in tickets["context"]} <= {"callers", "callees", "extends", "implements", "extended_by", "implemented_by"}
+    (repo,) = g.list_repos().collect()
+    assert repo.symbols == repo.embedded == g.symbols().count() and repo.last_commit is None
+
+
+def test_vectors_are_stored_and_only_missing_ones_are_made(indexed):
+    g, _ = indexed
+    assert g.embed("demo") == {"embedded": 0, "failed": 0}
+    held = g.table("vectors")
+    less = held.limit(held.count() - 3)
+    g.store.write({"vectors": less})
+    assert g.embed() == {"embedded": 3, "failed": 0} and g.table("vectors").count() == g.symbols().count()
+    assert g.table("files").count() == len(SOURCES)  # tables of earlier versions are still there
+
+
+def test_traces(indexed, monkeypatch):
+    g, _ = indexed
+    assert g.trace_ids == []
+    monkeypatch.setenv("LOOMGRAPH_TRACE", "1")
+    g.search(["item"], 2, trace=False)
+    assert g.trace_ids == []
+    g.search(["item"], 2)
+    g.impact(g.lookup("app.Item.touch"))
+    g.search_pattern("class", "demo", max_results=1)
+    found = [g.traces.get(x) for x in g.trace_ids]
+    assert [x["tool"] for x in found] == ["search", "impact", "search_pattern"]
+    assert found[1]["total"] == sum(x["candidates"] for x in found[1]["hops"]) and found[2]["truncated"] and found[2]["returned"] == 1
+    assert {x["stage"] for x in found[0]["stages"]} <= {"fts", "semantic", "name"}
+
+
+def test_callers_against_an_oracle(indexed):
+    g, _ = indexed
+    oracle = {"repo": "demo", "commit": "abc", "symbols": [
+        {"qualified_name": "app.FileStore.put", "intellij_signature": "FileStore.put(Item)", "file": "src/app/FileStore.java", "callers": [{"signature": "FileStore.both()", "file": "src/app/FileStore.java"}, {"signature": "Other.x(int)", "file": "src/app/Other.java"}, {"signature": "FileStore", "file": "src/app/FileStore.java"}]},
+        {"qualified_name": "app.Gone.x", "callers": []}, {"qualified_name": "app.Bad.x", "error": "no such symbol"}]}
+    report, notes = g.caller_report(oracle)
+    assert {(r.entry, r.tests, r.tp, r.found, r.expected, r.precision, r.recall) for r in report.collect()} == {(0, True, 1, 1, 2, 1.0, 0.5), (0, False, 1, 1, 2, 1.0, 0.5)}
+    assert len(notes) == 3
 
 
 def test_incremental_runs_keep_other_edges(indexed):
@@ -119,10 +161,33 @@ def test_changes(indexed):
     path.write_text(path.read_text().replace("touch() { }", "touch() { int a = 1; }"))
     got = g.detect_changes("demo")
     names = {r.id: r.qualified_name for r in g.symbols().collect()}
-    assert {names[r.id] for r in got["changed"].collect()} == {"app.Item.touch"}
+    assert {names[r.id] for r in got["changed"].collect()} == {"app.Item.touch"} and got["side"] == "head" and len(got["warnings"]) == 1
+    assert [tuple(r) for r in got["totals"].collect()] == [(1, 1, 1)] and {r.edge_kind for r in got["by_edge_kind"].collect()} >= {"calls"}
     assert "app.FileStore.save" in {names[r.id] for r in got["affected"].collect()}
 
 
+def test_sides_are_chosen_by_commit_and_content(indexed):
+    g, root = indexed
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("commit", "-qam", "two")
+    g.index(str(root), "demo")
+    assert g.list_repos().collect()[0].last_commit
+    path = root / "src/app/Item.java"
+    path.write_text(path.read_text().replace("    public Item next", "    @Deprecated\n    public Item next"))
+    got = g.detect_changes("demo", "HEAD")
+    assert got["side"] == "head" and not got["warnings"]  # the commit of the index
+    git("commit", "-qam", "three")
+    names = {r.id: r.qualified_name for r in g.symbols().collect()}
+    got = g.detect_changes("demo", "HEAD~1..HEAD")
+    assert got["side"] == "base" and not got["warnings"]
+    assert {names[r.id] for r in got["changed"].collect()} == {"app.Item.next"}  # lines inserted above a declaration
+    assert g.detect_changes("demo", "HEAD~1..HEAD", "head")["warnings"]
+    g.index(str(root), "demo")
+    assert g.detect_changes("demo", "HEAD~1..HEAD")["side"] == "head"
+    with pytest.raises(ValueError, match="side"):
+        g.detect_changes("demo", side="left")
+
+
 def test_impact_equals_a_walk_over_all_paths(spark):
     rng = random.Random(6)
     for _ in range(3):
@@ -163,6 +228,8 @@ def test_impact_equals_a_walk_over_all_paths(spark):
         symbols = spark.createDataFrame([(n, f"n{n}", parent[n]) for n in nodes], "id long, qualified_name string, parent_id int")
         got = graph.impact(symbols.select(F.col("id").alias("seed")), edges_df, symbols, spark.createDataFrame(sorted(anc), "class_id int, ancestor_id int"))
         assert {(r.seed, r.id, r.depth, r.edge_kind, r.resolution, r.via_id) for r in got.collect()} == want
+        got = graph.impact(symbols.select(F.col("id").alias("seed")), edges_df, symbols, spark.createDataFrame(sorted(anc), "class_id int, ancestor_id int"), few=0)
+        assert {(r.seed, r.id, r.depth, r.edge_kind, r.resolution, r.via_id) for r in got.collect()} == want
 
 
 def test_closure_ends_on_cycles(spark):
@@ -211,3 +278,19 @@ def test_extraction():
     assert [(r["kind"], r["type_name"]) for r in got["refs"]] == [("extends", "D"), ("implements", "E")]
     assert [(c["receiver_type"], c["method_name"], c["arg_count"]) for c in got["calls"]] == [("C", "go", 2)]
     assert extract("", "java")["symbols"] == [] and extract("class { ( [ <", "java")["refs"] == []
+
+
+def test_bins_lose_no_overlap(spark):
+    rng = random.Random(2)
+    spans = [(k, "f", a, a + rng.choice([0, 3, 70, 500])) for k, a in enumerate(rng.randint(1, 600) for _ in range(60))]
+    given = [("f", a, a + rng.choice([-1, 0, 5, 200])) for a in (rng.randint(1, 700) for _ in range(60))]
+    got = ranges.overlap(spark.createDataFrame(spans, "id int, file string, start_line int, end_line int"), spark.createDataFrame(sorted(set(given)), "file string, first int, last int"), ["file"])
+    want = {(k, a, b) for k, _, s, e in spans for _, a, b in given if s <= b and e >= a}
+    found = [(r.id, r.first, r.last) for r in got.select("id", F.col("first"), F.col("last")).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_containers_are_found_by_lines_and_by_name(spark):
+    s = spark.createDataFrame([("a", "f", "class", "p.A", 1, 9), ("b", "f", "class", "p.A.B", 1, 9), ("m", "f", "method", "p.A.m", 1, 9), ("c", "f", "class", "p.A", 11, 12)], "id string, file_id string, kind string, qualified_name string, start_line int, end_line int")
+    assert [r.id for r in changes.containers_at(s, spark.createDataFrame([("f", 1, 9)], "file_id string, start_line int, end_line int")).collect()] == ["a"]
+    assert [r.id for r in changes.containers_named(s, spark.createDataFrame([("f", "p.A")], "file_id string, qualified_name string")).collect()] == ["a"]

@@ -32,8 +32,8 @@ diff --git a/gone b/gone
 
 def test_diffs():
     assert list(diffs.parse(DIFF)) == [
-        ("head", "one", "one", 4, 5, 2, 0), ("base", "one", "one", 4, 3, 2, 0), ("head", "one", "one", 9, 10, 0, 2), ("base", "one", "one", 9, 10, 0, 2),
-        ("head", "dé", "dé", 1, 1, 1, 0), ("head", "gone", None, 1, 3, 0, 3), ("base", "gone", None, 1, 3, 0, 3),
+        ("head", "one", "one", 4, 5, 2, 0, 4, 5), ("base", "one", "one", 4, 3, 2, 0, 4, 5), ("head", "one", "one", 9, 10, 0, 2, 11, 10), ("base", "one", "one", 9, 10, 0, 2, 11, 10),
+        ("head", "dé", "dé", 1, 1, 1, 0, 1, 1), ("head", "gone", None, 1, 3, 0, 3, 0, -1), ("base", "gone", None, 1, 3, 0, 3, 0, -1),
     ]
 
 
@@ -44,3 +44,15 @@ def test_columns(spark):
     assert got == ["test", "repository", "controller", "test", "other"]
     scores = spark.createDataFrame([(1, "calls"), (2, "extends"), (1, "overrides"), (9, "calls")], "d int, k string").select(symbols.confidence(F.col("d"), F.col("k"))).collect()
     assert [r[0] for r in scores] == [1.0, 0.9, 1.0, 0.1]
+
+
+def test_quoted_paths():
+    assert diffs.unquoted('"a\\303\\251 \\"b\\" \\\\ \\t"') == 'aé "b" \\ \t'
+    assert diffs.unquoted('"x\\8\\9\\q"') == "x\\8\\9\\q" and diffs.unquoted('"') == '"' and diffs.unquoted("a b\tdate") == "a b"
+    renamed = "diff --git a/x b/y\nsimilarity index 100%\nrename from x\nrename to y\ndiff --git a/p b/q\nBinary files a/p and b/q differ\n"
+    assert list(diffs.parse(renamed)) == [] == list(diffs.parse(""))
+
+
+def test_commits_and_paths_in_messages():
+    assert paths.short_commit("a" * 40) == "a" * 12 and paths.short_commit("HEAD") == "HEAD" and paths.short_commit(None) is None
+    assert paths.redact("at /r/x", "/r") == "at <repo>/x"
