@@ -18,7 +18,9 @@ Training text is gathered whole, as counts that follow the corpus:
    with probability d * D / N, where d = n1 / (n1 + 2 n2) is estimated from the level's counts of counts. After an escape, the
    bytes that the longer context had are excluded: the shorter context's counts are renormalised without them. The last
    escape leads to the bytes that never occurred, all equally likely.
-4. Segments. Pairs of (segment before, segment), as hashes, are dealt out by the former's hash and counted in training text.
+4. Segments. Pairs of (segment before, segment), as hashes, are dealt out by both hashes and counted in training text. Each shard
+   sends on what its pairs add to the segment before: one row a shard and segment, whatever number of pairs follow it. These are dealt
+   out by it and added up, and blocks are told the sums for the segments that they have. No segment's followers meet in one task.
 5. Scores. Each pair gets its code length by joining levels; each shard sends every block the code lengths of its pairs
    or the counts of its words. Each block spells its documents again and adds up their bytes.
 
@@ -47,7 +49,7 @@ SYMBOLS = 256
 BLOCK_BYTES = 16 << 20
 END = b"\n"
 
-BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, codes binary, words array<struct<shard:int,code:binary,text:binary,size:binary,n:binary>>, pairs array<struct<shard:int,key:binary,n:binary>>, segments binary, n_segments array<long>, events array<struct<shard:int,at:binary,before:binary,segment:binary,train:binary>>"
+BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, codes binary, words array<struct<shard:int,code:binary,text:binary,size:binary,n:binary>>, pairs array<struct<shard:int,key:binary,n:binary>>, segments binary, n_segments array<long>, events array<struct<shard:int,at:binary,before:binary,segment:binary,train:binary>>, befores array<struct<shard:int,at:binary,before:binary>>, before_of binary"
 
 SEGMENT = 16
 #: Hashes of the end mark and of what stands before a document. Fixed values.
@@ -117,6 +119,11 @@ def segments(token: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, own, before, doc_first
 
 
+def pair_key(before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return common.mix64(before * _FACTOR + own)
+
+
 def _structs(rows: list[dict], names: tuple[str, ...]) -> pa.Array:
     return pa.array(rows, pa.struct([("shard", pa.int32()), *((x, pa.binary()) for x in names)]))
 
@@ -152,11 +159,14 @@ def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events:
             for k, x in dealt(hashes, n_words):
                 text, text_at = common.flat(found.vocab.take(pa.array(x)))
                 words.append({"shard": k, "code": _binary(x.astype("<u4")), "text": _binary(text), "size": _binary(np.diff(text_at).astype("<u4")), "n": _binary(counts[x].astype("<u4"))})
-            events = [{"shard": k, "at": _binary(x.astype("<u4")), "before": _binary(before[x]), "segment": _binary(own[x]), "train": _binary(in_train[x].astype(np.uint8))} for k, x in dealt(np.where(before == START_HASH, own, before), n_events)]
+            events = [{"shard": k, "at": _binary(x.astype("<u4")), "before": _binary(before[x]), "segment": _binary(own[x]), "train": _binary(in_train[x].astype(np.uint8))} for k, x in dealt(pair_key(before, own), n_events)]
+            few, before_of = np.unique(before, return_inverse=True)
+            befores = [{"shard": k, "at": _binary(x.astype("<u4")), "before": _binary(few[x])} for k, x in dealt(few, n_events)]
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             row = [
                 pa.array([uuid.uuid4().int >> 65]), one(ids), one(out), one(pa.array(n + 1)), pa.array([_binary(found.codes.astype("<u4"))], pa.binary()), one(_structs(words, ("code", "text", "size", "n"))), one(_structs(grams, ("key", "n"))),
                 pa.array([_binary(np.diff(np.append(at, len(token))).astype("<u4"))], pa.binary()), one(pa.array(np.diff(np.append(doc_first, len(at))))), one(_structs(events, ("at", "before", "segment", "train"))),
+                one(_structs(befores, ("at", "before"))), pa.array([_binary(before_of.astype("<u4"))], pa.binary()),
             ]
             return pa.record_batch(row, [x.split()[0] for x in BLOCKS.split(", ")])
 
@@ -349,47 +359,57 @@ def code_lengths(deepest: DataFrame) -> DataFrame:
 # Segments -------------------------------------------------------------------------------------------------------------
 
 
-def counted(events: DataFrame) -> DataFrame:
-    """Events (shard, block, before, segment, train) as (block, shard, n, total, kinds): the training counts of each event's pair,
-    of all pairs with its predecessor, and of distinct ones; ones, twos: pairs of the shard that were seen so often; firsts: its
-    distinct pairs that begin documents. These are dealt out by the segment, so their totals are not a shard's to know."""
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            block, before, own, train = zip(*held, strict=True)
-            before, own, train = ([_array(x, t) for x in y] for y, t in ((before, "<u8"), (own, "<u8"), (train, "u1")))
-            sizes = np.array([len(x) for x in train])
-            before, own, train = (np.concatenate(x) for x in (before, own, train))
-            order = np.lexsort((own, before))
-            b, o = before[order], own[order]
-            new_b = np.concatenate([[True], b[1:] != b[:-1]])
-            new = new_b | np.concatenate([[True], o[1:] != o[:-1]])
-            pair, node = np.cumsum(new) - 1, np.cumsum(new_b) - 1
-            n = np.bincount(pair, train[order])
-            total = np.bincount(node, train[order])
-            kinds = np.bincount(node[new], n > 0)
-            out = np.zeros((3, len(order)), np.uint32)
-            out[:, order] = n[pair], total[node], kinds[node]
-            cut = np.cumsum(sizes) - sizes
-            tell = [[_binary(row[a : a + m]) for a, m in zip(cut, sizes, strict=True)] for row in out]
-            ones, twos, firsts = (np.zeros(len(block), np.int64) for _ in range(3))
-            ones[0], twos[0], firsts[0] = (n == 1).sum(), (n == 2).sum(), ((n > 0) & (b[new] == START_HASH)).sum()
-            yield pa.record_batch([pa.array(block), pa.array([now] * len(block), pa.int32()), *(pa.array(x, pa.binary()) for x in tell), pa.array(ones), pa.array(twos), pa.array(firsts)], ["of_block", "shard", "n", "total", "kinds", "ones", "twos", "firsts"])
-
-        for batch in parts:
-            for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and shard != now:
-                    yield from flush()
-                    held.clear()
-                now = shard
-                held.append(row)
-        if held:
-            yield from flush()
-
-    rows = events.sortWithinPartitions("shard").select("shard", "block", "before", "segment", "train")
-    return rows.mapInArrow(count, "of_block long, shard int, n binary, total binary, kinds binary, ones long, twos long, firsts long")
+COUNTED = "of_block long, shard int, n binary, ones long, twos long, firsts long, adds array<struct<shard:int,before:binary,total:binary,kinds:binary>>"
+
+
+def counted(events: DataFrame, n_shards: int) -> DataFrame:
+    """COUNTED of events (shard, block, before, segment, train): the training counts of each event's pair; and of each shard in its first
+    row, ones, twos: pairs that were seen so often, firsts: distinct pairs that begin documents, and adds: by the shard of the
+    segment before, what its pairs add up to and how many they are."""
+
+    def flush(shard, block, before, own, train) -> pa.RecordBatch:
+        before, own, train = ([_array(x, t) for x in y] for y, t in ((before, "<u8"), (own, "<u8"), (train, "u1")))
+        sizes = np.array([len(x) for x in train])
+        before, own, train = (np.concatenate(x) for x in (before, own, train))
+        order = np.lexsort((own, before))
+        b, o = before[order], own[order]
+        new_b = np.concatenate([[True], b[1:] != b[:-1]])
+        new = new_b | np.concatenate([[True], o[1:] != o[:-1]])
+        pair, node = np.cumsum(new) - 1, np.cumsum(new_b) - 1
+        n = np.bincount(pair, train[order])
+        total, kinds = np.bincount(node, train[order]), np.bincount(node[new], n > 0)
+        out = np.zeros(len(order), np.uint32)
+        out[order] = n[pair]
+        cut = np.cumsum(sizes) - sizes
+        tell = [_binary(out[a : a + m]) for a, m in zip(cut, sizes, strict=True)]
+        ones, twos, firsts = (np.zeros(len(block), np.int64) for _ in range(3))
+        ones[0], twos[0], firsts[0] = (n == 1).sum(), (n == 2).sum(), ((n > 0) & (b[new] == START_HASH)).sum()
+        known = total > 0
+        segment, total, kinds = b[new_b][known], total[known], kinds[known]
+        adds = [{"shard": k, "before": _binary(segment[x]), "total": _binary(total[x].astype("<u4")), "kinds": _binary(kinds[x].astype("<u4"))} for k, x in dealt(segment, n_shards)]
+        kind = pa.struct([("shard", pa.int32()), *((x, pa.binary()) for x in ("before", "total", "kinds"))])
+        return pa.record_batch([pa.array(block), pa.array([shard] * len(block), pa.int32()), pa.array(tell, pa.binary()), pa.array(ones), pa.array(twos), pa.array(firsts), pa.array([adds, *[None] * (len(block) - 1)], pa.list_(kind))], [x.split()[0] for x in COUNTED.split(", ")])
+
+    return _by_shard(events, ("block", "before", "segment", "train"), flush, COUNTED)
+
+
+def added(rows: DataFrame) -> DataFrame:
+    """(of_block, before_shard, total, kinds) for rows (shard, block, before, total, kinds): without a block, what a shard of pairs adds to segments;
+    with one, the segments that it asks for."""
+
+    def flush(shard, block, before, total, kinds) -> pa.RecordBatch:
+        asked = [(x, _array(y, "<u8")) for x, y in zip(block, before, strict=True) if x is not None]
+        given = [k for k, x in enumerate(block) if x is None]
+        key, at = np.unique(np.concatenate([np.zeros(0, "<u8"), *(_array(before[k], "<u8") for k in given)]), return_inverse=True)
+        sums = [np.append(np.bincount(at, np.concatenate([np.zeros(0, "<u4"), *(_array(x[k], "<u4") for k in given)]), len(key)), 0) for x in (total, kinds)]
+        tell = []
+        for _, x in asked:
+            place = np.searchsorted(key, x)
+            place[(place == len(key)) | (key[np.minimum(place, max(0, len(key) - 1))] != x if len(key) else True)] = len(key)
+            tell.append([_binary(y[place].astype("<u8")) for y in sums])
+        return pa.record_batch([pa.array([x for x, _ in asked], pa.int64()), pa.array([shard] * len(asked), pa.int32()), *(pa.array([x[k] for x in tell], pa.binary()) for k in (0, 1))], ["of_block", "before_shard", "total", "kinds"])
+
+    return _by_shard(rows, ("block", "before", "total", "kinds"), flush, "of_block long, before_shard int, total binary, kinds binary")
 
 
 # Documents ------------------------------------------------------------------------------------------------------------
@@ -406,7 +426,11 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
     n_words = max(2, n // PARTITIONS_A_SHARD)
     made = common.settled(blocks(docs, modulus, held_out, n_words, n), f"{path}/blocks", compression="uncompressed")
     events = made.select("block", F.explode("events").alias("e")).select("block", "e.shard", "e.before", "e.segment", "e.train").repartitionById(n, F.col("shard"))
-    seen = common.settled(counted(events), f"{path}/segments", compression="zstd")
+    seen = common.settled(counted(events, n), f"{path}/segments", compression="zstd")
+    none = F.lit(None).cast("binary")
+    adds = seen.select(F.explode("adds").alias("a")).select("a.shard", F.lit(None).cast("long").alias("block"), "a.before", "a.total", "a.kinds")
+    asks = made.select("block", F.explode("befores").alias("b")).select("b.shard", "block", "b.before", none.alias("total"), none.alias("kinds"))
+    sums = common.settled(added(adds.unionByName(asks).repartitionById(n, F.col("shard"))), f"{path}/sums", compression="zstd")
     often = seen.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos"), F.sum("firsts").alias("firsts")).collect()[0]
     discount = min(0.95, max(0.1, often["ones"] / (often["ones"] + 2 * often["twos"]))) if often["ones"] else 0.1
     first_kinds = often["firsts"] or 0
@@ -435,9 +459,9 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         codes = _array(left.column("codes")[0].as_py(), "<u4")
-        ids, out, n_tokens, words, event_at = (left.column(x).combine_chunks()[0].values for x in ("doc_id", "held_out", "n_tokens", "words", "event_at"))
+        ids, out, n_tokens, words, event_at, before_at = (left.column(x).combine_chunks()[0].values for x in ("doc_id", "held_out", "n_tokens", "words", "event_at", "before_at"))
         words = {x["shard"]: [_array(x[y], z) for y, z in (("code", "<u4"), ("text", "u1"), ("size", "<u4"))] for x in words.to_pylist()}
-        event_at = {x["shard"]: _array(x["at"], "<u4") for x in event_at.to_pylist()}
+        event_at, before_at = ({x["shard"]: _array(x["at"], "<u4") for x in y.to_pylist()} for y in (event_at, before_at))
         n_tokens = n_tokens.to_numpy(zero_copy_only=False)
         # The words again, in the shards' order, and the documents spelt with them.
         order, raw, size = (np.concatenate([np.zeros(0, z), *(x[k] for x in words.values())]) for k, z in enumerate(("<u4", "u1", "<u4")))
@@ -467,11 +491,15 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
         del doc, codes
         sizes = _array(left.column("segments")[0].as_py(), "<u4").astype(np.int64)
         spelt = np.add.reduceat(token, np.cumsum(sizes) - sizes)
-        often, all_n, kinds = (np.zeros(len(sizes)) for _ in range(3))
-        for k, x, y, z in zip(*(right.column(c).to_pylist() for c in ("shard", "n", "total", "kinds")), strict=True):
+        before_of = _array(left.column("before_of")[0].as_py(), "<u4")
+        often, all_n, kinds = (np.zeros(len(sizes)), *(np.zeros(int(before_of.max(initial=0)) + 1) for _ in range(2)))
+        for k, x in zip(*(right.column(c).to_pylist() for c in ("shard", "n")), strict=True):
+            if x is not None:
+                often[event_at[k]] = _array(x, "<u4")
+        for k, x, y in zip(*(right.column(c).to_pylist() for c in ("before_shard", "total", "kinds")), strict=True):
             if x is not None:
-                at = event_at[k]
-                often[at], all_n[at], kinds[at] = (_array(v, "<u4") for v in (x, y, z))
+                all_n[before_at[k]], kinds[before_at[k]] = _array(x, "<u8"), _array(y, "<u8")
+        all_n, kinds = all_n[before_of], kinds[before_of]
         in_doc = left.column("n_segments").combine_chunks()[0].values.to_numpy(zero_copy_only=False)
         begins = np.cumsum(in_doc) - in_doc
         all_n[begins], kinds[begins] = ends, first_kinds
@@ -483,8 +511,8 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
         return pa.table([ids, out, pa.array(n_tokens), pa.array(sums[0].astype(np.int64) + (ends > 0)), pa.array(np.full(len(ids), total)), pa.array(sums[1] + base(ends)), pa.array(np.bincount(by_doc, each, len(ids)))], [x.split()[0] for x in COLUMNS.split(", ")])
 
     told = held.groupBy("shard").cogroup(priced.groupBy("of")).applyInArrow(price, "of_block long, shard int, lp binary")
-    for more in (counts.drop("all", "known"), seen.drop("ones", "twos", "firsts")):
+    for more in (counts.drop("all", "known"), seen.select("of_block", "shard", "n"), sums):
         told = told.unionByName(more, allowMissingColumns=True)
     some = lambda rows, *names: F.transform(rows, lambda x: F.struct(*(x[y].alias(y) for y in ("shard", *names))))
-    own = made.select("block", "doc_id", "held_out", "n_tokens", "codes", "segments", "n_segments", some("words", "code", "text", "size").alias("words"), some("events", "at").alias("event_at"))
+    own = made.select("block", "doc_id", "held_out", "n_tokens", "codes", "segments", "n_segments", some("words", "code", "text", "size").alias("words"), some("events", "at").alias("event_at"), some("befores", "at").alias("before_at"), "before_of")
     return own.groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(add, COLUMNS)

@@ -105,3 +105,89 @@ def test_spelling():
     assert (at - ppm.ORDER).tolist() == [0, 4, 7, 8 + ppm.ORDER] and doc_at.tolist() == [at[0], at[3]]
     keys, n = ppm.distinct(stream, doc_at, np.array([True, False]))
     assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == {key(b"", 10): 0, **{key(b"cde ab "[:k], (b"cde ab \n")[k]): 1 for k in range(8)}}
+
+
+class Plain:
+    """The model by dictionaries, one byte after another."""
+
+    def __init__(self, texts, held):
+        self.docs = [[*by_python(t), "\n"] for t in texts]
+        self.held, train = held, [d for d, h in zip(self.docs, held, strict=True) if not h]
+        deepest = Counter(x for d in train for x in self.grams(d))
+        self.levels = {ppm.ORDER: deepest}
+        for k in range(ppm.ORDER, 0, -1):
+            self.levels[k - 1] = Counter(x[1:] for x in self.levels[k])
+        self.nodes = {k: {} for k in self.levels}
+        for k, level in self.levels.items():
+            for x, n in level.items():
+                self.nodes[k].setdefault(x[:-1], {})[x[-1]] = n
+        self.discount = {k: self.rate(level.values(), 0.9) for k, level in self.levels.items()}
+        self.pairs = Counter(x for d in train for x in self.segments(d)[0])
+        self.segment_discount = self.rate(self.pairs.values(), 0.95)
+        self.after = {}
+        for (before, _), n in self.pairs.items():
+            self.after.setdefault(before, []).append(n)
+
+    @staticmethod
+    def rate(counts, top):
+        once, twice = sum(n == 1 for n in counts), sum(n == 2 for n in counts)
+        return min(top, max(0.1, once / (once + 2 * twice))) if once else 0.1
+
+    @staticmethod
+    def spelt(tokens):
+        return b"".join(w.encode() + b" " for w in tokens[:-1]) + b"\n"
+
+    def grams(self, tokens):
+        raw = b" " * ppm.ORDER + self.spelt(tokens)
+        return [raw[k : k + ppm.ORDER + 1] for k in range(len(raw) - ppm.ORDER)]
+
+    @staticmethod
+    def segments(tokens):
+        hashes = np.append(ppm.word_hashes(pa.array([w.encode() for w in tokens[:-1]], pa.binary())), ppm.END_HASH)
+        at, own, before, _ = ppm.segments(hashes, np.array([0]))
+        return list(zip(before.tolist(), own.tolist(), strict=True)), at.tolist()
+
+    def byte(self, gram):
+        out, lp = set(), 0.0
+        for k in range(ppm.ORDER, -1, -1):
+            node = self.nodes[k].get(gram[ppm.ORDER - k : -1])
+            if node is None:
+                out = set()
+                continue
+            left = {c: n for c, n in node.items() if c not in out}
+            total, d = sum(left.values()), self.discount[k]
+            if gram[-1] in left:
+                return lp + math.log10((left[gram[-1]] - d) / total)
+            if total:
+                lp += math.log10(d * len(left) / total)
+            out = set(node)
+        return lp - math.log10(max(1, 256 - len(self.nodes[0].get(b"", {}))))
+
+    def score(self, tokens):
+        pairs, at = self.segments(tokens)
+        sum_lp = 0.0
+        for (before, own), a, b in zip(pairs, at, [*at[1:], len(tokens)], strict=True):
+            counts, n = self.after.get(before, []), self.pairs[before, own]
+            if n:
+                sum_lp += math.log10((n - self.segment_discount) / sum(counts))
+                continue
+            if counts:
+                sum_lp += math.log10(self.segment_discount * len(counts) / sum(counts))
+            begin = len(self.spelt([*tokens[:a], "\n"])) - 1
+            size = sum(len(w.encode()) + 1 for w in tokens[a:b]) - (b == len(tokens))  # the end mark is one byte
+            sum_lp += sum(map(self.byte, self.grams(tokens)[begin : begin + size]))
+        return sum_lp
+
+
+def test_scores_are_those_of_a_plain_model(spark):
+    rng = random.Random(9)
+    phrase = " ".join(f"w{k}x{k * 7 % 11}" for k in range(60))
+    texts = [" ".join(rng.choice(["the", "of", "stone", "river", "ü", "run"]) for _ in range(rng.randint(0, 40))) for _ in range(45)]
+    texts += [phrase, phrase + " end", "on " + phrase, phrase, phrase[20:], ""] * 3
+    rows = list(enumerate(texts))
+    held = [zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in rows]
+    plain = Plain(texts, held)
+    got = {r.doc_id: r.score for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(held) > 2
+    for k, _ in rows:
+        assert abs(got[k] - plain.score(plain.docs[k])) < 1e-4 * max(1, -got[k]), k
