@@ -13,8 +13,9 @@ from .operators import graph, ranges
 from .operators.ranking import first, fuse, keep_least
 from .plans import driver_facts as b
 from .plans import driver_tables as t
-from .plans import reading, resolve, search, summary
+from .plans import changes, overloads, reading, resolve, search, summary, ticket, tracing
 from .session import cut
+from .sources import diffs, extract, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -347,11 +348,9 @@ def search_trace(spark, d):
     FROM ranked r LEFT JOIN impact i ON i.seed = r.id AND i.depth <= 2 LEFT JOIN (SELECT target_id, count(*) AS incoming FROM edge GROUP BY ALL) x ON x.target_id = r.id WHERE r.place <= 5 GROUP BY ALL""",
     t.SYMBOLS, t.EDGES, t.ANCESTORS, t.QUERIES, _POSTINGS, _SEMANTIC, _NAMES, _FUSED, _RANKED, _STEPS, "seeds AS (SELECT DISTINCT id FROM ranked WHERE place <= 5)", _IMPACT)
 def analyze_ticket(spark, d):
-    from .plans.ticket import analyze
-
     s = t.symbols(spark, d)
     found = search.hybrid(t.search_queries(spark, d), _query_vectors(spark, d), s, t.vectors(spark, d), limit=5)
-    return analyze(found, s.select("id", "qualified_name", "parent_id"), t.edges(spark, d), t.class_ancestors(spark)).select("query_id", "id", "affected", "direct", "incoming")
+    return ticket.analyze(found, s.select("id", "qualified_name", "parent_id"), t.edges(spark, d), t.class_ancestors(spark)).select("query_id", "id", "affected", "direct", "incoming")
 
 
 # Resolution -----------------------------------------------------------------------------------------------------------
@@ -360,9 +359,7 @@ def analyze_ticket(spark, d):
 @query(
     "SELECT source_id, target_id, line, kind, resolution FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, line ORDER BY CASE resolution WHEN 'typed' THEN 0 WHEN 'static' THEN 1 WHEN 'local' THEN 2 WHEN 'chain' THEN 3 WHEN 'super' THEN 4 ELSE 5 END, kind, receiver_class_id NULLS LAST) AS place FROM edge) WHERE place = 1", t.EDGES)
 def strongest_resolution(spark, d):
-    from .plans.resolve import strength
-
-    return first(t.edges(spark, d), ["source_id", "target_id", "line"], [strength(F.col("resolution")), F.col("kind"), F.col("receiver_class_id").asc_nulls_last()]).select("source_id", "target_id", "line", "kind", "resolution")
+    return first(t.edges(spark, d), ["source_id", "target_id", "line"], [resolve.strength(F.col("resolution")), F.col("kind"), F.col("receiver_class_id").asc_nulls_last()]).select("source_id", "target_id", "line", "kind", "resolution")
 
 
 @query("SELECT DISTINCT l_orderkey AS site, l_linenumber AS grp, l_partkey AS target FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS least FROM lineitem) WHERE l_linenumber = least")
@@ -375,10 +372,8 @@ def first_group(spark, d):
     """, cand AS (SELECT DISTINCT l_orderkey AS site, l_partkey AS target FROM lineitem), ext AS (SELECT DISTINCT source_id, target_id FROM edge WHERE kind = 'extends')
     SELECT site, target FROM cand a WHERE NOT EXISTS (SELECT 1 FROM cand b JOIN ext e ON e.source_id = b.target AND e.target_id = a.target WHERE b.site = a.site AND b.target <> a.target)""", t.EDGES)
 def remove_overridden(spark, d):
-    from .plans.resolve import remove_overridden as drop
-
     cands = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_partkey").alias("target")).distinct()
-    return drop(cands, _extends(spark, d).distinct())
+    return resolve.remove_overridden(cands, _extends(spark, d).distinct())
 
 
 def _refs(f):
@@ -491,20 +486,16 @@ def bounding_ranges(spark, d):
 @query(
     """SELECT f.id FROM sym f WHERE f.kind = 'property' AND NOT EXISTS (SELECT 1 FROM sym c WHERE c.repo = f.repo AND c.kind IN ('method', 'function') AND c.start_line <= f.start_line AND c.end_line >= f.end_line)""", t.SYMBOLS)
 def drop_local_fields(spark, d):
-    from .plans.changes import drop_local_fields as drop
-
     s = t.symbols(spark, d).withColumnRenamed("repo", "file_id")
-    return drop(s).filter("kind = 'property'").select("id")
+    return changes.drop_local_fields(s).filter("kind = 'property'").select("id")
 
 
 @query(
     """, hit AS (SELECT s.id, s.repo, s.kind, s.start_line, s.end_line, h.line FROM sym s JOIN (SELECT DISTINCT p_brand AS repo, p_size AS line FROM part WHERE p_type = 'SMALL') h ON h.repo = s.repo AND h.line BETWEEN s.start_line AND s.end_line)
     SELECT repo, line, id FROM (SELECT *, row_number() OVER (PARTITION BY repo, line ORDER BY start_line DESC, end_line, id) AS place FROM hit WHERE kind IN ('class', 'interface', 'enum')) WHERE place = 1""", t.SYMBOLS)
 def container_floor(spark, d):
-    from .plans.changes import innermost
-
     lines = t.table(spark, d, "part").filter("p_type = 'SMALL'").select(F.col("p_brand").alias("file_id"), F.col("p_size").alias("first"), F.col("p_size").alias("last")).distinct()
-    return innermost(t.symbols(spark, d).withColumnRenamed("repo", "file_id"), lines).select(F.col("file_id").alias("repo"), F.col("first").alias("line"), "id")
+    return changes.innermost(t.symbols(spark, d).withColumnRenamed("repo", "file_id"), lines).select(F.col("file_id").alias("repo"), F.col("first").alias("line"), "id")
 
 
 _KIND_ORDER = "CASE edge_kind WHEN 'calls' THEN 0 WHEN 'overrides' THEN 1 WHEN 'extends' THEN 2 WHEN 'implements' THEN 3 ELSE 4 END"
@@ -518,29 +509,23 @@ _RESOLUTION_ORDER = "CASE WHEN resolution IS NULL THEN 6 WHEN resolution = 'loca
     *_IMPACT_VIEWS,
 )
 def merge_affected(spark, d):
-    from .plans.changes import merge_affected as merge
-
-    return merge(_impact(spark, d)).select("id", "depth", "edge_kind", "confidence", F.size("changed").cast("long").alias("changed"))
+    return changes.merge_affected(_impact(spark, d)).select("id", "depth", "edge_kind", "confidence", F.size("changed").cast("long").alias("changed"))
 
 
 @query(
     """, stored AS (SELECT doc_id, CASE WHEN lang = 'en' THEN md5(text) ELSE md5(text || ' ') END AS hash FROM documents WHERE source <> 'src1')
     SELECT d.doc_id AS file, s.doc_id IS NULL AS added, md5(d.text) IS DISTINCT FROM s.hash AS changed FROM documents d LEFT JOIN stored s USING (doc_id)""", "one AS (SELECT 1)")
 def incremental_diff(spark, d):
-    from .sources.store import differing
-
     docs = t.table(spark, d, "documents")
     now = docs.select(F.col("doc_id").alias("path"), F.md5(F.col("text").cast("binary")).alias("content_hash"))
     held = docs.filter("source != 'src1'").select(F.col("doc_id").alias("path"), F.md5(F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat("text", F.lit(" "))).cast("binary")).alias("content_hash"))
-    return differing(now, held).select(F.col("path").alias("file"), "added", "changed")
+    return store.differing(now, held).select(F.col("path").alias("file"), "added", "changed")
 
 
 @query("SELECT doc_id AS file FROM documents WHERE lang = 'de'")
 def stale_files(spark, d):
-    from .sources.store import stale
-
     docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("path"), "lang")
-    return stale(docs, docs.filter("lang != 'de'")).select(F.col("path").alias("file"))
+    return store.stale(docs, docs.filter("lang != 'de'")).select(F.col("path").alias("file"))
 
 
 @query(
@@ -554,3 +539,142 @@ def eval_precision_recall(spark, d):
     return precision_recall(e.filter("kind = 'calls'"), e.filter("kind != 'extends'"))
 
 
+
+
+# Tickets, traces and changes over the same graph ----------------------------------------------------------------------
+
+
+@query(
+    """RECURSIVE, dir AS (SELECT target_id AS id, 'in' AS d, kind, source_id AS other, 0 AS late FROM edge UNION SELECT source_id, 'out', kind, target_id, 0 FROM edge),
+    late AS (SELECT DISTINCT seed AS id, 'in' AS d, 'calls' AS kind, id AS other, 1 AS late FROM impact i WHERE depth = 1 AND via_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dir x WHERE x.id = i.seed AND x.d = 'in' AND x.kind = 'calls' AND x.other = i.id)),
+    named_b AS (SELECT id, other, late, CASE d || kind WHEN 'incalls' THEN 'callers' WHEN 'outcalls' THEN 'callees' WHEN 'outextends' THEN 'extends' WHEN 'outimplements' THEN 'implements' WHEN 'inextends' THEN 'extended_by' WHEN 'inimplements' THEN 'implemented_by' END AS bucket FROM (SELECT * FROM dir UNION ALL SELECT * FROM late))
+    SELECT id, bucket, place, other, total FROM (SELECT *, row_number() OVER (PARTITION BY id, bucket ORDER BY late, other) AS place, count(*) OVER (PARTITION BY id, bucket) AS total FROM named_b WHERE bucket IS NOT NULL) WHERE place <= 25""",
+    *_IMPACT_VIEWS)
+def ticket_context(spark, d):
+    e, s = cut(t.edges(spark, d)), t.symbols(spark, d)
+    reached = graph.impact(s.select(F.col("id").alias("seed")), e, s.select("id", "qualified_name", "parent_id"), t.class_ancestors(spark), 1)
+    return ticket.context(s.select("id"), e, reached).withColumn("place", F.col("place").cast("long"))
+
+
+def _about(spark, d):
+    return t.symbols(spark, d).select("id", "repo", _archetype().alias("archetype"))
+
+
+@query("RECURSIVE SELECT seed, repo, count(*) AS affected, count(CASE WHEN archetype = 'test' THEN 1 END) AS tests FROM impact JOIN sym USING (id) JOIN tagged USING (id) GROUP BY ALL", *_IMPACT_VIEWS, _TAGS)
+def ticket_by_repository(spark, d):
+    return ticket.by_repository(_impact(spark, d), _about(spark, d))
+
+
+@query(
+    f"""RECURSIVE SELECT seed, place, id, depth, confidence FROM (SELECT seed, id, depth, {_CONFIDENCE} AS confidence, row_number() OVER (PARTITION BY seed ORDER BY {_CONFIDENCE} DESC, depth, id) AS place FROM impact JOIN tagged USING (id) WHERE archetype = 'test') WHERE place <= 25""",
+    *_IMPACT_VIEWS, _TAGS)
+def ticket_tests(spark, d):
+    return ticket.listed(_impact(spark, d), _about(spark, d), tests=True).withColumn("place", F.col("place").cast("long"))
+
+
+@query("RECURSIVE SELECT edge_kind, count(*) AS affected FROM impact GROUP BY edge_kind", *_IMPACT_VIEWS)
+def affected_by_edge_kind(spark, d):
+    return tracing.edge_kinds(_impact(spark, d))
+
+
+@query(f"RECURSIVE SELECT id, depth, edge_kind, resolution, via, {_CONFIDENCE} AS confidence FROM impact ORDER BY {_CONFIDENCE} DESC, depth, seed, id LIMIT 20", *_IMPACT_VIEWS)
+def impact_top(spark, d):
+    return tracing.best(_impact(spark, d))
+
+
+_CLASSES_ONLY = (t.SYMBOLS.replace("sym AS (", "sym0 AS (", 1), "sym AS (SELECT * FROM sym0 WHERE kind = 'class')")
+
+
+@query("SELECT query_id, place, id, kind, score FROM ranked", *_CLASSES_ONLY, t.QUERIES, _POSTINGS, _SEMANTIC.replace(", embeddings e)", ", (SELECT * FROM embeddings WHERE vec_id IN (SELECT id FROM sym)) e)"), _NAMES, _FUSED, _RANKED)
+def hybrid_search_filtered(spark, d):
+    found = search.hybrid(t.search_queries(spark, d), _query_vectors(spark, d), t.symbols(spark, d), t.vectors(spark, d), kind="class")
+    return found.select("query_id", F.col("place").cast("long").alias("place"), "id", "kind", "score")
+
+
+@query("SELECT file, repo, line_no, line, n > 20 AS truncated FROM (SELECT *, row_number() OVER (ORDER BY repo, file, line_no) AS nth, count(*) OVER () AS n FROM (SELECT *, row_number() OVER (PARTITION BY repo, file ORDER BY line_no) AS own FROM lines WHERE regexp_matches(line, '(?i)idiot|worthless')) WHERE own <= 40) WHERE nth <= 20", t.LINES)
+def search_pattern_limited(spark, d):
+    rows = reading.matches(t.doc_lines(spark, d), "(?i)idiot|worthless", ["repo", "file"], 0).drop("before", "after")
+    return reading.limited(rows, ["repo", "file"], 20, 40)
+
+
+#: A diff for each document: its first line replaced by two, a line inserted after its last, and for some a deletion.
+_DIFFS = """diffed AS (SELECT doc_id, source || '/' || CAST(doc_id AS STRING) AS path, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM documents)"""
+
+
+@query(
+    """SELECT CAST(doc_id AS STRING) AS diff_id, side, CASE WHEN doc_id % 5 = 0 AND side = 'base' THEN path || '.old' ELSE path END AS path, path AS head_path, first, last, added, removed FROM (
+      SELECT doc_id, path, 'head' AS side, 1 AS first, 2 AS last, 2 AS added, 1 AS removed FROM diffed UNION ALL SELECT doc_id, path, 'base', 1, 1, 2, 1 FROM diffed
+      UNION ALL SELECT doc_id, path, 'head', n + 2, n + 2, 1, 0 FROM diffed UNION ALL SELECT doc_id, path, 'base', n + 1, n, 1, 0 FROM diffed)""",
+    _DIFFS)
+def parse_diff(spark, d):
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    path, old = F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.when(F.col("doc_id") % 5 == 0, ".old").otherwise("")
+    line = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x], F.lit("\n"))
+    text = F.concat(line("diff --git a/", path, old, " b/", path), line("index 1..2 100644"), line("--- a/", path, old), line("+++ b/", path), line("@@ -1 +1,2 @@"), line("--- a"), line("+++ b"), line("+c"), line("@@ -", n, ",0 +", n + 2, " @@ x"), line("+d"))
+    return diffs.hunks(t.table(spark, d, "documents").select(F.col("doc_id").alias("diff_id"), text.alias("diff"))).drop("head_first", "head_last")
+
+
+@query("SELECT count(DISTINCT path) AS files, CAST(3 * count(*) AS BIGINT) AS added, count(*) AS removed FROM diffed", _DIFFS)
+def diff_totals(spark, d):
+    return diffs.line_totals(parse_diff(spark, d))
+
+
+@query(
+    """SELECT k AS file, 'p.' || n || CASE WHEN m IS NULL THEN '' ELSE '.go' || m END AS qualified_name, CASE WHEN m IS NULL THEN kind ELSE 'method' END AS kind, CASE WHEN m IS NULL THEN 2 ELSE m + 2 END AS start_line, CASE WHEN m IS NULL THEN size + 3 ELSE m + 2 END AS end_line, CASE WHEN m IS NULL THEN NULL ELSE m % 2 END AS min_params
+    FROM (SELECT c_custkey AS k, 'T' || c_custkey AS n, CASE WHEN c_custkey % 3 = 0 THEN 'interface' ELSE 'class' END AS kind, c_custkey % 4 AS size FROM customer) c LEFT JOIN (SELECT NULL AS m, 9 AS least UNION ALL SELECT 1, 1 UNION ALL SELECT 2, 2 UNION ALL SELECT 3, 3) x ON x.m IS NULL OR x.m <= c.size""",
+    "one AS (SELECT 1)")
+def extract_symbols(spark, d):
+    """Java files made of customers: a class or interface with up to three methods."""
+    size = (F.col("c_custkey") % 4).cast("int")
+    body = F.array_join(F.transform(F.filter(F.array(*map(F.lit, (1, 2, 3))), lambda m: m <= size), lambda m: F.concat(F.lit("  int go"), m.cast("string"), F.when(m % 2 == 1, "(int a);").otherwise("();"), F.lit("\n"))), "")
+    content = F.concat(F.lit("package p;\n"), F.when(F.col("c_custkey") % 3 == 0, "interface").otherwise("abstract class"), F.lit(" T"), F.col("c_custkey").cast("string"), F.lit(" {\n"), body, F.lit("}\n"))
+    rows = extract.facts(t.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("java").alias("language"), content.alias("content")))
+    return rows.select(F.inline("symbols")).select(F.col("file_id").cast("long").alias("file"), "qualified_name", "kind", "start_line", "end_line", "min_params")
+
+
+@query(
+    """, hunk AS (SELECT DISTINCT p_brand AS repo, CAST(p_size AS INT) AS first, CAST(p_size + p_partkey % 3 - 1 AS INT) AS last FROM part),
+    kept0 AS (SELECT * FROM sym s WHERE kind <> 'property' OR NOT EXISTS (SELECT 1 FROM sym c WHERE c.repo = s.repo AND c.kind IN ('method', 'function') AND c.start_line <= s.start_line AND c.end_line >= s.end_line)),
+    hit AS (SELECT s.*, h.first, h.last FROM kept0 s JOIN hunk h ON h.repo = s.repo AND s.start_line <= h.last AND s.end_line >= h.first),
+    kept AS (SELECT DISTINCT id, repo, CASE WHEN kind IN ('class', 'interface', 'enum') THEN 'unknown' ELSE 'hit' END AS reason FROM hit),
+    floor AS (SELECT DISTINCT id, repo, 'floor' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY repo, first, last ORDER BY start_line DESC, end_line, id) AS place FROM hit WHERE kind IN ('class', 'interface', 'enum')) f WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.repo = f.repo))
+    SELECT id, repo, reason FROM kept UNION ALL SELECT id, repo, reason FROM floor""", t.SYMBOLS)
+def select_changed(spark, d):
+    hunks = t.table(spark, d, "part").select(F.col("p_brand").alias("file_id"), F.col("p_size").cast("int").alias("first"), (F.col("p_size") + F.col("p_partkey") % 3 - 1).cast("int").alias("last")).distinct()
+    s = t.symbols(spark, d).withColumnRenamed("repo", "file_id").withColumn("parent_id", F.lit(None).cast("long"))
+    return changes.select_changed(s, hunks).select("id", F.col("file_id").alias("repo"), "reason")
+
+
+@query(
+    """, old AS (SELECT l_orderkey AS f, l_linenumber AS a FROM lineitem GROUP BY ALL), ins AS (SELECT DISTINCT l_orderkey AS f, CAST(l_suppkey % 7 + 1 AS INT) AS first, CAST(l_partkey % 9 AS INT) AS hf FROM lineitem),
+    head AS (SELECT DISTINCT l_orderkey AS f, CAST(l_linenumber AS INT) AS a, CAST(l_linenumber + l_quantity AS INT) AS z FROM lineitem)
+    SELECT i.f AS file, i.first, CASE WHEN EXISTS (SELECT 1 FROM old o WHERE o.f = i.f AND o.a = i.first) AND EXISTS (SELECT 1 FROM head h WHERE h.f = i.f AND h.a BETWEEN i.hf AND i.hf + 1 AND h.z > i.hf + 1) THEN i.first ELSE i.first - 1 END AS last, i.hf AS head_first FROM ins i""",
+    "one AS (SELECT 1)")
+def insertions_above(spark, d):
+    x = t.table(spark, d, "lineitem").withColumn("file_id", F.col("l_orderkey"))
+    ins = x.select("file_id", (F.col("l_suppkey") % 7 + 1).cast("int").alias("first"), (F.col("l_suppkey") % 7).cast("int").alias("last"), (F.col("l_partkey") % 9).cast("int").alias("head_first"), (F.col("l_partkey") % 9 + 1).cast("int").alias("head_last")).distinct()
+    head = x.select("file_id", F.col("l_linenumber").cast("int").alias("start_line"), (F.col("l_linenumber") + F.col("l_quantity")).cast("int").alias("end_line")).distinct()
+    return changes.insertions_above(ins, x.select("file_id", F.col("l_linenumber").cast("int").alias("start_line")), head).select(F.col("file_id").alias("file"), "first", "last", "head_first")
+
+
+@query(
+    """SELECT s_suppkey AS key, CASE WHEN c.c_custkey IS NULL OR c.c_custkey % 2 = 1 THEN s_name ELSE c_name END AS name, CASE WHEN c.c_custkey % 2 = 1 OR c.c_custkey IS NULL THEN s_nationkey ELSE c_nationkey END AS nation, s_acctbal AS since FROM supplier LEFT JOIN customer c ON c.c_custkey = s_suppkey
+    UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
+def upsert_rows(spark, d):
+    """Suppliers, with every other customer put in the place of the supplier with its key; `since` stays as it was."""
+    held = t.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("since"))
+    new = t.table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("since"))
+    return store.upsert(held, new, "key", keep=["since"])
+
+
+@query()
+def narrow_overloads(spark, d):
+    """Methods of one class and name as candidates of each call of them, narrowed by the types of its arguments."""
+    f = b.facts(spark, d)
+    s = f["symbols"].filter("kind = 'method'")
+    sites = _sites(f).select("site", "caller_class", "method_name", "language", F.array(F.when(F.col("line") % 3 == 0, "int").when(F.col("line") % 3 == 1, "String"), F.concat(F.lit("T"), (F.col("line") % 2).cast("string"))).alias("arg_types"), F.lit(None).cast("array<string>").alias("arg_names"))
+    cands = sites.join(s.select(F.col("id").alias("target"), F.col("parent_id").alias("caller_class"), F.col("name").alias("method_name")), ["caller_class", "method_name"]).select("site", F.lit(1).alias("grp"), "target")
+    shapes = s.select(F.col("id").alias("target"), "param_types", "param_names", "param_type_vars", F.col("max_params").isNull().alias("vararg"))
+    inherited = resolve.inheritance_edges(f["inheritance_refs"], resolve.resolve_types(_refs(f), f["symbols"], f["files"], f["imports"], _alone(f)))
+    relations = resolve.type_relations(f["symbols"], f["inheritance_refs"], resolve.hierarchy(f["symbols"], inherited), inherited)
+    return overloads.narrow(cands, sites, shapes, *relations)
