@@ -384,10 +384,13 @@ def _alone(f):
     return f["symbols"].filter(F.col("kind").isin("class", "interface", "enum")).select(F.col("id").alias("class_id"), F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
 
 
+def _inherited(f):
+    return cut(resolve.inheritance_edges(f["inheritance_refs"], resolve.resolve_types(_refs(f), f["symbols"], f["files"], f["imports"], _alone(f))))
+
+
 def _hierarchy(f):
     """Ancestors by the resolver's own steps."""
-    found = resolve.resolve_types(_refs(f), f["symbols"], f["files"], f["imports"], _alone(f))
-    return resolve.hierarchy(f["symbols"], resolve.inheritance_edges(f["inheritance_refs"], found))
+    return resolve.hierarchy(f["symbols"], _inherited(f))
 
 
 @query(
@@ -410,6 +413,11 @@ def type_hierarchy(spark, d):
     return _hierarchy(b.facts(spark, d))
 
 
+@query("SELECT source_id, target_id, kind FROM inherited", *b.HIERARCHY[:-1])
+def inheritance_edges(spark, d):
+    return _inherited(b.facts(spark, d))
+
+
 @query("RECURSIVE SELECT source_id, target_id FROM over", *b.HIERARCHY, b.OVERRIDES)
 def override_edges(spark, d):
     f = b.facts(spark, d)
@@ -426,7 +434,7 @@ def _sites(f):
 def _starts(f, ancestors):
     sites = _sites(f)
     typed = sites.filter("receiver_type is not null").select(F.col("site").alias("ref"), "file_id", F.col("source_symbol_id").alias("scope_id"), F.col("receiver_type").alias("type_name"))
-    return resolve.member_starts(sites, resolve.resolve_types(typed, f["symbols"], f["files"], f["imports"], ancestors).withColumnRenamed("ref", "site"), f["symbols"], ancestors)
+    return resolve.member_starts(sites, resolve.resolve_types(typed, f["symbols"], f["files"], f["imports"], ancestors).withColumnRenamed("ref", "site"), f["symbols"], _inherited(f))
 
 
 @query("RECURSIVE SELECT site, grp, class_id, resolution FROM starts", *_CALLS)
@@ -458,7 +466,8 @@ def function_candidates(spark, d):
     *_CALLS, b.FREE, b.OVERRIDES, b.EDGES)
 def call_edges(spark, d):
     f = b.facts(spark, d)
-    return resolve.call_edges(f["symbols"], f["files"], f["imports"], f["call_sites"], _hierarchy(f))
+    inherited = _inherited(f)
+    return resolve.call_edges(f["symbols"], f["files"], f["imports"], f["call_sites"], resolve.hierarchy(f["symbols"], inherited), inherited)
 
 
 # Changes --------------------------------------------------------------------------------------------------------------
@@ -675,6 +684,6 @@ def narrow_overloads(spark, d):
     sites = _sites(f).select("site", "caller_class", "method_name", "language", F.array(F.when(F.col("line") % 3 == 0, "int").when(F.col("line") % 3 == 1, "String"), F.concat(F.lit("T"), (F.col("line") % 2).cast("string"))).alias("arg_types"), F.lit(None).cast("array<string>").alias("arg_names"))
     cands = sites.join(s.select(F.col("id").alias("target"), F.col("parent_id").alias("caller_class"), F.col("name").alias("method_name")), ["caller_class", "method_name"]).select("site", F.lit(1).alias("grp"), "target")
     shapes = s.select(F.col("id").alias("target"), "param_types", "param_names", "param_type_vars", F.col("max_params").isNull().alias("vararg"))
-    inherited = resolve.inheritance_edges(f["inheritance_refs"], resolve.resolve_types(_refs(f), f["symbols"], f["files"], f["imports"], _alone(f)))
+    inherited = _inherited(f)
     relations = resolve.type_relations(f["symbols"], f["inheritance_refs"], resolve.hierarchy(f["symbols"], inherited), inherited)
     return overloads.narrow(cands, sites, shapes, *relations)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..session import cut
 
 FILES = """SELECT 'f' || CAST(c_custkey AS STRING) AS id, 'r' || CAST(c_nationkey % 3 AS STRING) AS repo_id,
   'src/' || lower(c_mktsegment) || '/C' || CAST(c_custkey AS STRING) || CASE WHEN c_custkey % 4 = 0 THEN '.kt' ELSE '.java' END AS path,
@@ -77,7 +78,8 @@ def facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     for x in symbols[1:]:
         every = every.unionByName(x)
     sites = _rows(made["sites"], "call_sites", is_navigation=F.lit(False), receiver_declared=F.lit(True))
-    return {"symbols": every, "files": _rows(made["files"], "files"), "imports": _rows(made["imports"], "imports"), "call_sites": sites, "inheritance_refs": _rows(made["refs"], "inheritance_refs")}
+    found = {"symbols": every, "files": _rows(made["files"], "files"), "imports": _rows(made["imports"], "imports"), "call_sites": sites, "inheritance_refs": _rows(made["refs"], "inheritance_refs")}
+    return {name: cut(df) for name, df in found.items()}  # each is read many times
 
 
 # The resolver's rules once more, as the oracle's SQL.
@@ -125,12 +127,12 @@ OVERRIDES = f"""over AS (
 
 _TOP = "split_part(substr({0}, length(s.package) + CASE WHEN s.package = '' THEN 1 ELSE 2 END), '.', 1)"
 CALLS = resolved("recv", "SELECT id AS ref, file_id, source_symbol_id AS scope_id, receiver_type AS type_name FROM sites WHERE receiver_type IS NOT NULL", "above") + f""",
-site AS (SELECT s.id AS site, s.file_id, s.source_symbol_id, s.receiver_kind, s.receiver_type, s.method_name, s.arg_count, s.line, f.repo_id, coalesce(f.package_name, '') AS package, m.parent_id AS caller_class, m.qualified_name AS caller_qn
+site AS (SELECT s.id AS site, s.file_id, s.source_symbol_id, s.receiver_kind, s.receiver_type, s.method_name, s.arg_count, s.line, f.repo_id, f.language, coalesce(f.package_name, '') AS package, m.parent_id AS caller_class, m.qualified_name AS caller_qn
   FROM sites s JOIN files f ON f.id = s.file_id JOIN methods m ON m.id = s.source_symbol_id),
 starts AS (
   SELECT r.ref AS site, 1 AS grp, r.class_id, 'typed' AS resolution FROM recv r
   UNION ALL SELECT site, 1, caller_class, 'local' FROM site WHERE receiver_kind IN ('none', 'this')
-  UNION ALL SELECT site, 1, ancestor_id, 'super' FROM site JOIN above ON class_id = caller_class AND depth = 1 WHERE receiver_kind = 'super'),
+  UNION ALL SELECT site, CASE kind WHEN 'extends' THEN 1 ELSE 2 END, target_id, 'super' FROM site JOIN inherited ON source_id = caller_class WHERE receiver_kind = 'super' AND (kind = 'extends' OR language = 'kotlin')),
 member AS (
   SELECT DISTINCT st.site, st.grp, c.id AS target, c.parent_id AS owner, st.class_id AS start_class
   FROM starts st JOIN site s USING (site) JOIN above u ON u.class_id = st.class_id JOIN methods c ON c.parent_id = u.ancestor_id AND c.name = s.method_name

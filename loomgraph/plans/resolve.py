@@ -225,15 +225,20 @@ def type_relations(symbols: DataFrame, refs: DataFrame, ancestors: DataFrame, in
     return cut(rows.groupBy("type", "above").agg(F.max("chain").alias("chain"))), classes.select("type").distinct()
 
 
-def member_starts(sites: DataFrame, classes: DataFrame, symbols: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """(site, grp, class_id, resolution): where the search for a site's members begins; classes (site, class_id) are those of typed receivers."""
+def member_starts(sites: DataFrame, classes: DataFrame, symbols: DataFrame, inherited: DataFrame, implicit: DataFrame | None = None) -> DataFrame:
+    """(site, grp, class_id, resolution): where the search for a site's members begins.
+
+    classes (site, class_id) are those of typed receivers, implicit those of a lambda's receiver, which come first (group 0). Calls of
+    super begin at what the class extends, and in Kotlin then at what it implements; inherited: (source_id, target_id, kind).
+    """
     by_type = classes.join(sites.select("site", "receiver_kind"), "site").select("site", F.lit(1).alias("grp"), "class_id", F.when(F.col("receiver_kind") == "super", "super").when(F.col("receiver_kind") == "static-type", "static").otherwise("typed").alias("resolution"))
     around = walk_up(sites.filter("receiver_kind = 'none'").select(F.col("source_symbol_id").alias("start")).distinct(), symbols.select("id", "parent_id"))
     outward = sites.filter("receiver_kind = 'none'").join(around, F.col("source_symbol_id") == F.col("start")).select("site", "grp", F.col("id").alias("class_id"), F.lit("local").alias("resolution"))
     this = sites.filter("receiver_kind = 'this' and receiver_type is null").select("site", F.lit(1).alias("grp"), F.col("caller_class").alias("class_id"), F.lit("local").alias("resolution"))
-    parents = ancestors.filter("depth = 1").select(F.col("class_id").alias("caller_class"), F.col("ancestor_id").alias("class_id"))
-    above = sites.filter("receiver_kind = 'super' and receiver_type is null").join(parents, "caller_class").select("site", F.lit(1).alias("grp"), "class_id", F.lit("super").alias("resolution"))
-    return by_type.unionByName(outward).unionByName(this).unionByName(above)
+    parents = inherited.filter("kind in ('extends', 'implements')").select(F.col("source_id").alias("caller_class"), F.col("target_id").alias("class_id"), F.when(F.col("kind") == "extends", 1).otherwise(2).alias("grp"))
+    above = sites.filter("receiver_kind = 'super' and receiver_type is null").join(parents, "caller_class").filter("grp = 1 or language = 'kotlin'").select("site", "grp", "class_id", F.lit("super").alias("resolution"))
+    found = by_type.unionByName(outward).unionByName(this).unionByName(above)
+    return found if implicit is None else found.unionByName(implicit.select("site", F.lit(0).alias("grp"), "class_id", F.lit("typed").alias("resolution")))
 
 
 def inherited_receivers(sites: DataFrame, symbols: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -250,7 +255,7 @@ def site_rows(call_sites: DataFrame, symbols: DataFrame, files: DataFrame) -> Da
     return call_sites.withColumnRenamed("id", "site").join(placed(files), "file_id").join(caller, "source_symbol_id")
 
 
-def call_edges(symbols: DataFrame, files: DataFrame, imports: DataFrame, call_sites: DataFrame, ancestors: DataFrame, overrides: DataFrame | None = None, relations: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def call_edges(symbols: DataFrame, files: DataFrame, imports: DataFrame, call_sites: DataFrame, ancestors: DataFrame, inherited: DataFrame, overrides: DataFrame | None = None, relations: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(source_id, target_id, kind, line, resolution, receiver_class_id): calls of all sites.
 
     A site's starts are its receiver's class, or outward the classes around it; the first group with a candidate left after
@@ -261,10 +266,11 @@ def call_edges(symbols: DataFrame, files: DataFrame, imports: DataFrame, call_si
     sites = cut(site_rows(call_sites, symbols, files))
     typed = sites.filter("receiver_type is not null").select(F.concat(F.lit("s/"), "site").alias("ref"), "file_id", F.col("source_symbol_id").alias("scope_id"), F.col("receiver_type").alias("type_name"))
     extending = symbols.filter("extension_receiver is not null").select(F.concat(F.lit("e/"), "id").alias("ref"), "file_id", F.col("id").alias("scope_id"), F.col("extension_receiver").alias("type_name"))
-    known = cut(resolve_types(typed.unionByName(extending), symbols, files, imports, ancestors))
+    implied = sites.filter("implicit_receiver_type is not null and receiver_kind in ('none', 'this')").select(F.concat(F.lit("i/"), "site").alias("ref"), "file_id", F.col("source_symbol_id").alias("scope_id"), F.col("implicit_receiver_type").alias("type_name"))
+    known = cut(resolve_types(typed.unionByName(extending).unionByName(implied), symbols, files, imports, ancestors))
     of = lambda kind, name: known.filter(F.startswith("ref", F.lit(f"{kind}/"))).select(F.expr("substr(ref, 3)").alias(name), "class_id")
     classes, receivers = of("s", "site"), of("e", "target")
-    starts = cut(member_starts(sites, classes, symbols, ancestors))
+    starts = cut(member_starts(sites, classes, symbols, inherited, of("i", "site")))
     strict = (override_edges(symbols, ancestors) if overrides is None else overrides).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
     shapes = symbols.select(F.col("id").alias("target"), "param_types", "param_names", "param_type_vars", (F.col("min_params").isNotNull() & F.col("max_params").isNull()).alias("vararg"))
 
@@ -332,5 +338,5 @@ def rebuild(facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     edges = inherited.withColumns(nothing)
     edges = edges.unionByName(overrides.withColumn("kind", F.lit("overrides")).withColumns(nothing))
     edges = edges.unionByName(import_edges(symbols, files, imports).withColumn("kind", F.lit("imports")).withColumns(nothing))
-    edges = edges.unionByName(call_edges(symbols, files, imports, facts["call_sites"], ancestors, overrides, type_relations(symbols, refs, ancestors, inherited)))
+    edges = edges.unionByName(call_edges(symbols, files, imports, facts["call_sites"], ancestors, inherited, overrides, type_relations(symbols, refs, ancestors, inherited)))
     return {"edges": edges, "class_ancestors": ancestors}

@@ -21,6 +21,8 @@ MODIFIERS = set(
     "public private protected internal static final abstract open override sealed data inner suspend inline infix operator lateinit const default synchronized native transient volatile strictfp external "
     "annotation value tailrec actual expect crossinline noinline vararg reified export declare async readonly".split()
 )
+#: Words before a group that is the head of a statement.
+HEADS = {"if", "for", "while", "when", "catch", "switch", "synchronized", "try"}
 KEYWORDS = set("if for while switch when catch return throw else do try synchronized assert new super this is as in instanceof typeof await yield case fun function class interface object".split())
 KOTLIN_LITERALS = [(r"\d[\d_]*[uU][lL]$", "ULong"), (r"\d[\d_]*[uU]$", "UInt"), (r"[\d_]*[lL]$", "Long"), (r".*[fF]$", "Float"), (r".*\..*", "Double")]
 
@@ -30,6 +32,8 @@ class _File:
         self.source, self.language = source, language
         self.toks, self.comments = tokens(source, language)
         self.pair = partners(self.toks)
+        self.opened: dict[int, int] | None = None
+        self.implicit: str | None = None
         self.symbols: list[dict] = []
         self.imports: list[dict] = []
         self.refs: list[dict] = []
@@ -501,42 +505,164 @@ class _File:
     # Calls
 
     def scan(self, a: int, b: int, callable_: int | None, owner: int | None, fields: dict, scope: dict) -> None:
-        """Call sites between a and b; local variables count from their declaration's end on."""
+        """Call sites between a and b. A local variable counts from its declaration's end on, up to the end of the block, of the
+        statement whose head declares it, or of the lambda."""
         toks, locals_, sites = self.toks, dict(scope), {}
         source = callable_ if callable_ is not None else owner
+        frames: list[tuple[int, dict, str | None]] = []  # last token, and what holds again after it
+        pending: list[tuple[int, str, str | None]] = []  # variables whose declarations go on
+        self.implicit = None
+
+        def enter(end: int, names: dict, implicit: str | None = None, keep: bool = True) -> None:
+            frames.append((end, dict(locals_), self.implicit))
+            locals_.update(names)
+            self.implicit = self.implicit if keep else implicit
+
         k = a
         while k < b:
+            while frames and k > frames[-1][0]:
+                _, held, self.implicit = frames.pop()
+                locals_.clear()
+                locals_.update(held)
+            for stop, name, kind in [x for x in pending if x[0] <= k]:
+                locals_[name] = kind
+            pending = [x for x in pending if x[0] > k]
             t = toks[k]
             if t.text in ("class", "interface", "object") and t.kind == "word" and k + 1 < b and toks[k + 1].kind == "word" and (k == a or toks[k - 1].text not in (":", ".", "::")):
                 k = self.container(k, k + 1, b, callable_ if callable_ is not None else owner, t.text, set(), set(), True)
                 continue
+            if t.text == "{":
+                names, implicit, keep = self.lambda_scope(k, owner, fields, locals_, sites) if self.language == "kotlin" else ({}, None, True)
+                enter(self.pair[k], names, implicit, keep)
+            elif t.text == "(" and k > a and toks[k - 1].text in HEADS:
+                enter(self.head_end(k, b), self.head_names(k))
+            elif self.language == "java" and t.text == "instanceof":
+                self.pattern(k, locals_)
+            elif self.language == "java" and t.text == "case" and (name := self.case_name(k, b)):
+                enter(self.rule_end(k, b), {name[0]: name[1]})
+            elif self.language == "java" and t.text == "->" and k > a and (names := self.java_lambda(k)):
+                enter(self.pair[k + 1] if k + 1 < b and toks[k + 1].text == "{" else self.expression_limit(k + 1, b), dict.fromkeys(names))
             if t.kind == "word" and t.text in ("val", "var") and self.language == "kotlin" and k + 1 < b and toks[k + 1].kind == "word":
                 stop = self.expression_end(k + 2, b)
+                if k > a and toks[k - 1].text == "(":  # in a statement's head
+                    stop = min(stop, self.pair[k - 1])
                 cut = next((q for q in range(k + 2, stop) if toks[q].text == "="), stop)
                 kind = plain_type(self.text(k + 3, cut)) if k + 2 < b and toks[k + 2].text == ":" else self.literal_type(cut + 1, stop)
-                self.calls_in(k + 2, stop, source, owner, fields, locals_, sites)
-                locals_[toks[k + 1].text] = kind
-                k = max(stop, k + 2)
+                pending.append((max(stop, k + 2), toks[k + 1].text, kind))
+                k += 2
                 continue
             if self.language == "java" and t.kind == "word" and t.text not in KEYWORDS and (k == a or toks[k - 1].text in ("{", "}", ";", "(", ")", "final")):
                 q, path = self.path(k)
                 if q < b and toks[q].text == "<":
                     q = max(angle_end(toks, q, b), q)
-                if q + 1 < b and toks[q].kind == "word" and toks[q + 1].text in ("=", ";", ":") and path:
+                if q + 1 < b and toks[q].kind == "word" and toks[q].text != "instanceof" and toks[q + 1].text in ("=", ";", ":") and path:
                     stop = q + 1
                     while stop < b and toks[stop].text not in (";", ")"):
                         stop = self.pair[stop] + 1 if toks[stop].text in OPEN else stop + 1
                     kind = plain_type(path) if path != "var" else self.literal_type(q + 2, stop)
-                    self.calls_in(q + 1, stop, source, owner, fields, locals_, sites)
-                    locals_[toks[q].text] = kind
-                    k = stop
+                    pending.append((stop, toks[q].text, kind))
+                    k = q + 1
                     continue
             self.call_at(k, b, source, owner, fields, locals_, sites)
             k += 1
 
-    def calls_in(self, a, b, source, owner, fields, locals_, sites) -> None:
-        for k in range(a, b):
-            self.call_at(k, b, source, owner, fields, locals_, sites)
+    # Scopes
+
+    def before_group(self, close: int) -> int:
+        """Where the word before the group that ends at close stands."""
+        if self.opened is None:
+            self.opened = {v: k for k, v in self.pair.items()}
+        return self.opened.get(close, 0) - 1
+
+    def lambda_scope(self, k: int, owner, fields, locals_, sites) -> tuple[dict, str | None, bool]:
+        """What a Kotlin brace at k brings in: a lambda's parameters, `it` without any, and the receiver's type in apply, run and with."""
+        toks, before = self.toks, self.toks[k - 1] if k else None
+        if before is None:
+            return {}, None, True
+        name = k - 1
+        if before.text == ")":
+            name = self.before_group(k - 1)
+            if name < 0 or toks[name].kind != "word" or toks[name].text in HEADS or toks[name].text in KEYWORDS - {"with", "run", "apply"} or name > 0 and toks[name - 1].text == "fun":
+                return {}, None, True
+        elif not (before.text in ("(", ",", "=", "return", "?:") or before.kind == "word" and before.text not in KEYWORDS and before.line == toks[k].line):
+            return {}, None, True
+        q = k + 1
+        while q < self.pair[k] and (toks[q].kind == "word" or toks[q].text in (",", ":", "?", ".", "<", ">", "(", ")", "*")):
+            q += 1
+        names: dict = {"it": None}
+        if q < self.pair[k] and toks[q].text == "->":
+            names = {}
+            for x, y in split_commas(toks, k + 1, q, self.pair):
+                for z in range(x, y):
+                    if toks[z].kind == "word" and (z == x or toks[z - 1].text == "("):
+                        names[toks[z].text] = plain_type(self.text(z + 2, y)) if z + 1 < y and toks[z + 1].text == ":" else None
+        callee = toks[name].text if toks[name].kind == "word" else ""
+        dotted = name > 0 and toks[name - 1].text in (".", "?.", "!!")
+        if callee in ("apply", "run") and dotted:
+            return names, self.receiver(name, owner, fields, locals_, sites)[2], False
+        if callee == "with" and not dotted and before.text == ")":
+            return names, self.arg_type(name + 2, k - 1, owner, fields, locals_), False
+        return names, None, True
+
+    def head_end(self, k: int, b: int) -> int:
+        """The last token of the statement whose head is the group at k."""
+        end = self.pair[k]
+        if end + 1 < b and self.toks[end + 1].text == "{":
+            return self.pair[end + 1]
+        return self.expression_limit(end + 1, b) if self.language == "java" else max(end, self.expression_end(end + 1, b) - 1)
+
+    def expression_limit(self, k: int, b: int) -> int:
+        """The last token before a `;`, or before a comma or a closing mark around k."""
+        toks = self.toks
+        while k < b and toks[k].text not in (";", ",", ")", "]", "}"):
+            k = self.pair[k] + 1 if toks[k].text in OPEN else k + 1
+        return k if k < b and toks[k].text == ";" else k - 1
+
+    def head_names(self, k: int) -> dict:
+        """Variables that the head at k declares without an initializer: a loop's in Kotlin, and what a catch catches."""
+        toks, end, word = self.toks, self.pair[k], self.toks[k - 1].text
+        inside = toks[k + 1 : end]
+        if word == "for" and self.language == "kotlin":
+            until = next((q for q, t in enumerate(inside) if t.text == "in"), 0)
+            typed = {inside[0].text: plain_type(self.text(k + 3, k + 1 + until))} if until > 2 and inside[1].text == ":" else {}
+            return {t.text: None for t in inside[:until] if t.kind == "word"} if not typed else typed
+        if word == "catch" and len(inside) >= 2:
+            if self.language == "kotlin":
+                return {inside[0].text: plain_type(self.text(k + 3, end))} if inside[1].text == ":" else {}
+            begin = k + 2 if inside[0].text == "final" else k + 1
+            return {inside[-1].text: None if any(t.text == "|" for t in inside) else plain_type(self.text(begin, end - 1))}
+        return {}
+
+    def pattern(self, k: int, locals_: dict) -> None:
+        """`instanceof Type name` declares name; where the condition may also hold otherwise, its type isn't known."""
+        toks = self.toks
+        q, path = self.path(k + 1)
+        if q < len(toks) and toks[q].text == "<":
+            q = max(angle_end(toks, q, len(toks)), q)
+        if path and q < len(toks) and toks[q].kind == "word" and toks[q].text not in KEYWORDS:
+            a = k
+            while a > 0 and toks[a - 1].text not in ("{", "}", ";"):
+                a -= 1
+            unsure = any(t.text in ("!", "||") for t in toks[a:k]) or toks[q + 1].text == "||"
+            locals_[toks[q].text] = None if unsure else plain_type(path)
+
+    def case_name(self, k: int, b: int) -> tuple[str, str | None] | None:
+        q, path = self.path(k + 1) if k + 1 < b and self.toks[k + 1].kind == "word" else (k, "")
+        return (self.toks[q].text, plain_type(path)) if path and q < b and self.toks[q].kind == "word" and self.toks[q].text not in KEYWORDS else None
+
+    def rule_end(self, k: int, b: int) -> int:
+        q = k + 1
+        while q < b and self.toks[q].text not in ("case", "default", "}"):
+            q = self.pair[q] + 1 if self.toks[q].text in OPEN else q + 1
+        return q - 1
+
+    def java_lambda(self, k: int) -> list[str]:
+        """The parameters of a Java lambda whose arrow is at k; none for a rule of a switch."""
+        toks = self.toks
+        if toks[k - 1].text == ")":
+            begin = self.before_group(k - 1) + 1
+            return [toks[y - 1].text for x, y in split_commas(toks, begin + 1, k - 1, self.pair) if y > x]
+        return [toks[k - 1].text] if toks[k - 1].kind == "word" and (k < 2 or toks[k - 2].text in ("(", ",", "=", "return", "->")) else []
 
     def call_at(self, k, b, source, owner, fields, locals_, sites) -> None:
         toks, t = self.toks, self.toks[k]
@@ -569,7 +695,7 @@ class _File:
             names.append(None)
         sites["source"] = source
         receiver, kind, rtype, declared, step = self.receiver(k, owner, fields, locals_, sites)
-        self.calls.append({"source": source, "receiver": receiver, "receiver_kind": kind, "receiver_type": rtype, "receiver_declared": declared, "step": step, "is_navigation": False, "method_name": t.text, "arg_count": None if spread else len(args), "arg_types": args, "arg_names": names, "implicit_receiver_type": None, "line": t.line})
+        self.calls.append({"source": source, "receiver": receiver, "receiver_kind": kind, "receiver_type": rtype, "receiver_declared": declared, "step": step, "is_navigation": False, "method_name": t.text, "arg_count": None if spread else len(args), "arg_types": args, "arg_names": names, "implicit_receiver_type": self.implicit if kind in ("none", "this") else None, "line": t.line})
         sites[closing] = len(self.calls) - 1
 
     def arg_type(self, p, q, owner, fields, locals_) -> str | None:
