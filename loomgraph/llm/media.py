@@ -7,8 +7,10 @@ and the image's place in it. A second pass goes through the shards: a read of a
 the metadata columns, and a read of the whole member the checksums and the feature.
 
 Shards get names that no other attempt of a task shares, and rows name only shards of attempts that ended well, so lost
-and repeated tasks do no harm. Null text is an empty payload (ROW spaces). Equal texts have equal values in all columns
-but doc_id, shard and offset. Shards are read and written through the file system that the shared folder's URI names.
+and repeated tasks do no harm; sweep() deletes the shards of attempts that failed. Null text is an empty payload (ROW spaces). Equal
+texts have equal values in all columns but doc_id, shard and offset. Rows that share a doc_id, or have none, are rows of their own. Only the id
+and the text are read, so other columns may have any name; an empty table gives no rows and no shards. A worker holds a few copies of a
+batch or of one longer text. Shards are read and written through the file system that the shared folder's URI names.
 """
 
 from __future__ import annotations
@@ -152,7 +154,21 @@ def read(rows: DataFrame, folder: str) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(each, COLUMNS)
 
 
+def sweep(rows: DataFrame, folder: str) -> int:
+    """Deletes the shards in folder that no row of rows (shard) names, once rows are settled: those of attempts that failed. How many."""
+    files, path = _opened(folder)
+    from pyarrow import fs
+
+    named = {r["shard"] for r in rows.select("shard").distinct().collect()}  # one a task
+    found = [x.path for x in files.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.path.endswith(".tar") and x.base_name not in named]
+    for x in found:
+        files.delete_file(x)
+    return len(found)
+
+
 def media(docs: DataFrame) -> DataFrame:
     """Stores docs in the shared folder and returns COLUMNS from what is read back."""
     folder = common.scratch(docs.sparkSession, "media")
-    return read(common.settled(store(docs, f"{folder}/shards"), f"{folder}/rows", compression="zstd"), f"{folder}/shards")
+    rows = common.settled(store(docs, f"{folder}/shards"), f"{folder}/rows", compression="zstd")
+    sweep(rows, f"{folder}/shards")
+    return read(rows, f"{folder}/shards")

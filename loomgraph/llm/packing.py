@@ -8,7 +8,9 @@
 4. A piece's slot follows from its length and rank alone.
 
 Null text is an empty document (its end id alone). Rows that share a doc_id are documents of their own. An empty table
-gives no rows. Documents longer than a sequence are cut from their end, so only their first piece may be shorter.
+gives no rows. Documents longer than a sequence are cut from their end, so only their first piece may be shorter. Pieces of equal length are
+alike to the plan: which of them takes which slot follows from their tasks' order, and any numbers do. Only the id and the text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -45,3 +45,12 @@ def test_batches_keep_all_rows_in_order():
     part = pa.record_batch([pa.array(["a" * k for k in range(50)])], ["text"])
     cut = list(common.batches(iter([part]), limit=100))
     assert [len(t) for b in cut for t in b.column(0).to_pylist()] == list(range(50)) and len(cut) > 5
+
+
+def test_shards_of_failed_attempts_are_swept(spark, tmp_path):
+    folder = f"file://{tmp_path}/shards"
+    rows = media.common.settled(media.store(odd_docs(spark), folder), f"file://{tmp_path}/rows")
+    (tmp_path / "shards" / "lost.tar").write_bytes(b"half")
+    before = media.read(rows, folder).count()
+    assert media.sweep(rows, folder) == 1 and not (tmp_path / "shards" / "lost.tar").exists()
+    assert media.sweep(rows, folder) == 0 and media.read(rows, folder).count() == before
