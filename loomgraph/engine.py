@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import secrets
 import time
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -101,6 +102,8 @@ class CodeGraph:
         about = about.withColumns({"indexed_at": F.current_timestamp(), "created_at": F.current_timestamp()})
         made = {"repos": upsert(self.table("repos"), about, "name", keep=["created_at"])}
         if numbers["changed"] or numbers["removed"]:
+            if fresh.filter(F.col("language").isin("typescript", "tsx")).limit(1).count():
+                warnings.warn("calls in TypeScript files are not extracted", stacklevel=2)
             parsed = cut(extract.facts(fresh))
             facts = {n: without_files(self.table(n), gone).unionByName(df) for n, df in extract.tables(parsed).items()}
             new = fresh.join(parsed.select(F.col("file_id").alias("id"), "package_name"), "id").select("id", "repo_id", "path", "language", "content_hash", "package_name", F.current_timestamp().alias("indexed_at"))
@@ -271,7 +274,7 @@ class CodeGraph:
         sure = {k: n > 0 and other == 0 for k, (n, other) in held.items()}
         if side is None and chosen == "base" and held["base"][1] and sure["head"]:
             chosen = "head"
-        warnings = [] if sure[chosen] else diffs.doubts(repo, chosen, indexed, base, head or now, held["base"])
+        doubts = [] if sure[chosen] else diffs.doubts(repo, chosen, indexed, base, head or now, held["base"])
         f = self.table("files").filter(F.col("repo_id") == repo).select(F.col("id").alias("file_id"), "path")
         ranges = hunks.filter(F.col("side") == chosen).join(f, "path").select("file_id", "first", "last", "head_first", "head_last").distinct()
         s, nodes = self.table("symbols"), self.table("body_nodes")
@@ -282,9 +285,9 @@ class CodeGraph:
             ranges = changes.insertions_above(ranges, s, cut(extract.facts(heads).select(F.inline("symbols"))))
         changed = cut(changes.select_changed(s, ranges.select("file_id", "first", "last").distinct(), nodes))
         reached = cut(self._walk(changed.select(F.col("id").alias("seed")), max_depth))
-        self._traced(trace, lambda: tracing.change_trace({"repo": repo, "ref": ref, "side": chosen}, between, warnings, hunks, changed, reached))
+        self._traced(trace, lambda: tracing.change_trace({"repo": repo, "ref": ref, "side": chosen}, between, doubts, hunks, changed, reached))
         merged = changes.merge_affected(reached).orderBy(*changes.affected_order()[:5], "id")
-        return {"changed": changed, "affected": merged, "by_edge_kind": tracing.edge_kinds(reached), "hunks": hunks, "totals": diffs.line_totals(hunks), "side": chosen, "warnings": warnings}
+        return {"changed": changed, "affected": merged, "by_edge_kind": tracing.edge_kinds(reached), "hunks": hunks, "totals": diffs.line_totals(hunks), "side": chosen, "warnings": doubts}
 
     # Evaluation
 

@@ -727,6 +727,9 @@ class _File:
             else:
                 break
         text = ".".join(parts)
+        if self.language == "kotlin" and len(parts) == 1 and j > 1 and toks[j - 1].text == "@" and toks[j - 2].text == "this":
+            named = parts[0][:1].isupper()  # a class; otherwise a lambda's or a function's label, whose receiver isn't known
+            return f"this@{text}", "identifier", text if named else None, True, None
         if not parts or j >= 0 and toks[j].text in (")", "]", "}"):
             return text or None, "chain-or-expression", None, False, None
         if parts == ["this"]:

@@ -54,3 +54,8 @@ def test_kotlin_lambdas_and_receivers():
     assert {k: v[0] for k, v in got.items() if v[0]} == {"apply": "Item", "six": "Foo", "ten": "Foo", "ok": "Item", "twelve": "Bar", "run": "Item", "fifteen": "Err", "let": "Store"}
     assert {k for k, v in got.items() if v[0] is None and v[1]} == {"four", "seven", "eight"}
     assert not any(got[k][1] for k in ("five", "nine", "eleven", "thirteen"))
+
+
+def test_labelled_this():
+    got = receivers("class A { inner class B { fun m() { this@A.go(); this@run.no() } } }", "kotlin")
+    assert got["go"][:2] == ("A", True) and got["no"][:2] == (None, True)
