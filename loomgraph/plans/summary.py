@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.symbols import BUCKETS, confidence, confidence_bucket
 
 
+def rows(reached: DataFrame) -> Column:
+    """How many rows reached has, or stands for where it is a tally with their number n."""
+    return F.sum("n") if "n" in reached.columns else F.count("*")
+
+
 def hops(reached: DataFrame) -> DataFrame:
     """(seed, depth, hops)."""
-    return reached.groupBy("seed", "depth").agg(F.count("*").alias("hops"))
+    return reached.groupBy("seed", "depth").agg(rows(reached).alias("hops"))
 
 
 def archetypes(reached: DataFrame, tagged: DataFrame) -> DataFrame:
@@ -20,5 +25,5 @@ def archetypes(reached: DataFrame, tagged: DataFrame) -> DataFrame:
 
 def buckets(reached: DataFrame) -> DataFrame:
     """(bucket, n) for all five buckets of confidence, empty ones too."""
-    found = reached.groupBy(confidence_bucket(confidence(F.col("depth"), F.col("edge_kind"))).alias("bucket")).agg(F.count("*").alias("n"))
+    found = reached.groupBy(confidence_bucket(confidence(F.col("depth"), F.col("edge_kind"))).alias("bucket")).agg(rows(reached).alias("n"))
     return reached.sparkSession.createDataFrame([(b,) for b in BUCKETS], "bucket string").join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

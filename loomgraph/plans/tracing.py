@@ -33,7 +33,7 @@ def best(reached: DataFrame, n: int = TOP) -> DataFrame:
 
 def edge_kinds(reached: DataFrame) -> DataFrame:
     """(edge_kind, affected)."""
-    return reached.groupBy("edge_kind").agg(F.count("*").alias("affected"))
+    return reached.groupBy("edge_kind").agg(summary.rows(reached).alias("affected"))
 
 
 def search_trace(query: dict, legs: DataFrame) -> dict:
