@@ -50,8 +50,12 @@ def context(ids: DataFrame, edges: DataFrame, reached: DataFrame, cap: int = CAP
 
 def by_repository(reached: DataFrame, about: DataFrame) -> DataFrame:
     """(seed, repo, affected, tests): what each symbol's walk reached, by repository; about (id, repo, archetype)."""
-    rows = reached.join(about.select("id", "repo", "archetype"), "id")
-    return rows.groupBy("seed", "repo").agg(F.count("*").alias("affected"), F.count(F.when(F.col("archetype") == "test", 1)).alias("tests"))
+    return counted(reached.join(about.select("id", "repo", "archetype"), "id").withColumn("n", F.lit(1)))
+
+
+def counted(tally: DataFrame) -> DataFrame:
+    """(seed, repo, affected, tests) of a tally (seed, repo, archetype, n)."""
+    return tally.groupBy("seed", "repo").agg(F.sum("n").alias("affected"), F.sum(F.when(F.col("archetype") == "test", F.col("n")).otherwise(0)).alias("tests"))
 
 
 def listed(reached: DataFrame, about: DataFrame, tests: bool = False, cap: int = CAP) -> DataFrame:
