@@ -18,9 +18,10 @@ def hops(reached: DataFrame) -> DataFrame:
     return reached.groupBy("seed", "depth").agg(rows(reached).alias("hops"))
 
 
-def archetypes(reached: DataFrame, tagged: DataFrame) -> DataFrame:
-    """(seed, archetype, n); tagged (id, archetype)."""
-    return reached.join(tagged, "id").groupBy("seed", "archetype").agg(F.count("*").alias("n"))
+def archetypes(reached: DataFrame, tagged: DataFrame | None = None) -> DataFrame:
+    """(seed, archetype, n); tagged (id, archetype), if reached has no archetypes itself."""
+    reached = reached if tagged is None else reached.join(tagged, "id")
+    return reached.groupBy("seed", "archetype").agg(rows(reached).alias("n"))
 
 
 def buckets(reached: DataFrame) -> DataFrame:
