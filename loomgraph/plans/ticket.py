@@ -58,9 +58,10 @@ def counted(tally: DataFrame) -> DataFrame:
     return tally.groupBy("seed", "repo").agg(F.sum("n").alias("affected"), F.sum(F.when(F.col("archetype") == "test", F.col("n")).otherwise(0)).alias("tests"))
 
 
-def listed(reached: DataFrame, about: DataFrame, tests: bool = False, cap: int = CAP) -> DataFrame:
-    """(seed, place, id, depth, confidence): the first cap affected symbols, or affected tests, best first."""
-    rows = reached.join(about.select("id", "archetype"), "id").withColumn("confidence", confidence(F.col("depth"), F.col("edge_kind")))
+def listed(reached: DataFrame, about: DataFrame | None = None, tests: bool = False, cap: int = CAP) -> DataFrame:
+    """(seed, place, id, depth, confidence): the first cap affected symbols, or affected tests, best first; about (id, archetype), unless
+    reached has been joined with it."""
+    rows = (reached if about is None else reached.join(about.select("id", "archetype"), "id")).withColumn("confidence", confidence(F.col("depth"), F.col("edge_kind")))
     rows = rows.filter("archetype = 'test'") if tests else rows
     order = [F.desc("confidence"), F.col("depth"), F.col("id")]
     return first(numbered(rows, ["seed"], order, "place"), ["seed"], order, cap).select("seed", "place", "id", "depth", "confidence")
