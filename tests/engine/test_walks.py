@@ -119,3 +119,12 @@ def test_f11_listed_tests(both, about):
     got = ticket.listed(both[0].rows("seed", "id", "depth", "edge_kind", "archetype", about=tests), cap=2)
     same(got, ticket.listed(both[1].rows(*graph.REACHED), about, tests=True, cap=2))
     assert "Join" not in after(got)
+
+
+def test_f12_dispatched_callers(spark, both):
+    got = both[0]
+    got.max_depth = 1
+    try:
+        same(got.rows("seed", "id", dispatched=True), both[1].rows(*graph.REACHED).filter("depth = 1 and via_id is not null").select("seed", "id"))
+    finally:
+        got.max_depth = 3
