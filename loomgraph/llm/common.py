@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +17,15 @@ from ..session import folder
 
 #: Text bytes that a Python worker holds at once, in one Arrow batch.
 BATCH_BYTES = 16 << 20
+#: Numbers that mix64() mixes at once.
+MIXED = 1 << 16
+
+
+def hand_back() -> None:
+    """Has a Python worker return what it has freed, which glibc and Arrow's pool would else keep beside all that comes later."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,15 +151,17 @@ def words(texts: pa.Array, lower: bool = True) -> Words:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over an array of uint64."""
-    x = x.astype(np.uint64, copy=True)
+    out = x.astype(np.uint64, copy=True)
     with np.errstate(over="ignore"):
-        x += np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return x
+        for a in range(0, len(out), MIXED):  # part by part, so that shifted copies stay small
+            x = out[a : a + MIXED]
+            x += np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(30)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(27)
+            x *= np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+    return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int) -> DataFrame:

@@ -106,13 +106,22 @@ def segments(token: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Of token hashes, with each document's first token: segments' first tokens, hashes and predecessors, and first segments."""
     n = len(token)
     with np.errstate(over="ignore"):
-        ended = np.zeros(n, bool)
-        ended[1:] = common.mix64(token[1:] + token[:-1] * _FACTOR) % np.uint64(SEGMENT) == 0
-        first = np.concatenate([[True], ended[:-1]])
+        first = np.zeros(n, bool)
+        for a in range(1, n - 1, common.MIXED):  # part by part, so that little more than the tokens is held
+            b = min(a + common.MIXED, n - 1)
+            first[a + 1 : b + 1] = common.mix64(token[a:b] + token[a - 1 : b - 1] * _FACTOR) % np.uint64(SEGMENT) == 0
+        first[0] = True
         first[begins] = True
         at = np.flatnonzero(first)
-        place = (np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))).astype(np.uint64)
-        own = common.mix64(np.add.reduceat(common.mix64(token + place * _FACTOR), at))
+        own = np.zeros(len(at), np.uint64)
+        a = 0
+        while a < len(at):  # whole segments
+            b = max(a + 1, int(np.searchsorted(at, at[a] + common.MIXED)))
+            end = at[b] if b < len(at) else n
+            place = np.arange(at[a], end) - np.repeat(at[a:b], np.diff(np.append(at[a:b], end)))
+            own[a:b] = np.add.reduceat(common.mix64(token[at[a] : end] + place.astype(np.uint64) * _FACTOR), at[a:b] - at[a])
+            a = b
+        own = common.mix64(own)
     before = np.concatenate([[START_HASH], own[:-1]])
     doc_first = np.searchsorted(at, begins)
     before[doc_first] = START_HASH
@@ -133,12 +142,13 @@ def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events:
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        common.hand_back()
 
         def flush() -> pa.RecordBatch:
-            text = pa.concat_arrays([common.column(x, "text") for x in held])
-            ids = pa.concat_arrays([common.column(x, "doc_id") for x in held])
-            out = pa.concat_arrays([common.column(x, "held_out") for x in held])
+            text, ids, out = (pa.concat_arrays([common.column(x, y) for x in held]) for y in ("text", "doc_id", "held_out"))
+            held.clear()
             found = common.words(text)
+            del text
             n = np.diff(found.starts)
             raw, raw_at = common.flat(found.vocab)
             stream, _, doc_at = spelling(found.codes, n, raw, raw_at[:-1], np.diff(raw_at))
@@ -149,10 +159,14 @@ def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events:
             train = ~np.repeat(np.asarray(out), n)
             counts = np.bincount(found.codes[train], minlength=len(found.vocab))
             hashes = word_hashes(found.vocab)
+            common.hand_back()
             token = np.full(len(found.codes) + len(n), END_HASH)
             token[np.arange(len(found.codes)) + np.repeat(np.arange(len(n)), n)] = hashes[found.codes]
             begins = np.cumsum(n + 1) - (n + 1)
+            del train
             at, own, before, doc_first = segments(token, begins)
+            n_tokens = len(token)
+            del token
             in_train = ~np.repeat(np.asarray(out), np.diff(np.append(doc_first, len(at))))
 
             words = []
@@ -165,7 +179,7 @@ def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events:
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             row = [
                 pa.array([uuid.uuid4().int >> 65]), one(ids), one(out), one(pa.array(n + 1)), pa.array([_binary(found.codes.astype("<u4"))], pa.binary()), one(_structs(words, ("code", "text", "size", "n"))), one(_structs(grams, ("key", "n"))),
-                pa.array([_binary(np.diff(np.append(at, len(token))).astype("<u4"))], pa.binary()), one(pa.array(np.diff(np.append(doc_first, len(at))))), one(_structs(events, ("at", "before", "segment", "train"))),
+                pa.array([_binary(np.diff(np.append(at, n_tokens)).astype("<u4"))], pa.binary()), one(pa.array(np.diff(np.append(doc_first, len(at))))), one(_structs(events, ("at", "before", "segment", "train"))),
                 one(_structs(befores, ("at", "before"))), pa.array([_binary(before_of.astype("<u4"))], pa.binary()),
             ]
             return pa.record_batch(row, [x.split()[0] for x in BLOCKS.split(", ")])
@@ -174,11 +188,13 @@ def blocks(docs: DataFrame, modulus: int, held_out: int, n_words: int, n_events:
             more = len(common.flat(common.column(batch, "text"))[0])
             if held and size + more > BLOCK_BYTES:
                 yield flush()
-                held, size = [], 0
+                common.hand_back()
+                size = 0
             held.append(batch)
             size += more
         if held:
             yield flush()
+            common.hand_back()
 
     rows = common.texts(docs).withColumn("held_out", common.id_remainder(F.col("doc_id"), modulus) == held_out)
     return rows.mapInArrow(make, BLOCKS)
@@ -251,9 +267,14 @@ def distinct(stream: np.ndarray, doc_at: np.ndarray, train: np.ndarray) -> tuple
     keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for place, key in slices(stream, doc_at):  # one slice after another, so that only distinct keys are held
         more, more_n = np.unique(key | (learned[place - ORDER].astype(np.int64) << bit), return_counts=True)
-        more_n *= more >> bit
-        keys, at = np.unique(np.concatenate([keys, more & ((1 << bit) - 1)]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n, more_n]), len(keys)).astype(np.int64)
+        cut = int(np.searchsorted(more, 1 << bit))  # from there on, keys of documents that are learned from
+        more_n[:cut] = 0
+        for new, new_n in ((more[:cut], more_n[:cut]), (more[cut:] & ((1 << bit) - 1), more_n[cut:])):
+            at = np.searchsorted(keys, new)
+            known = at < len(keys)
+            known[known] = keys[at[known]] == new[known]
+            n[at[known]] += new_n[known]
+            keys, n = (np.insert(x, at[~known], y[~known]) for x, y in ((keys, new), (n, new_n)))
     return keys, n
 
 
@@ -262,15 +283,19 @@ def _by_shard(rows: DataFrame, names: tuple[str, ...], flush, schema: str) -> Da
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
+        common.hand_back()
         for batch in parts:
             for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and shard != now:
                     yield flush(now, *zip(*held, strict=True))
                     held.clear()
+                    common.hand_back()
                 now = shard
                 held.append(row)
         if held:
             yield flush(now, *zip(*held, strict=True))
+            held.clear()
+            common.hand_back()
 
     return rows.sortWithinPartitions("shard").select("shard", *names).mapInArrow(gather, schema)
 
@@ -417,6 +442,12 @@ def added(rows: DataFrame) -> DataFrame:
 COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def to_score(made: DataFrame) -> DataFrame:
+    """What scoring needs of blocks, by field, so that no others are read: hashes that were counted long ago are half of a block."""
+    some = lambda rows, *names: F.arrays_zip(*(F.col(f"{rows}.{x}") for x in ("shard", *names)))
+    return made.select("block", "doc_id", "held_out", "n_tokens", "codes", "segments", "n_segments", some("words", "code", "text", "size").alias("words"), some("events", "at").alias("event_at"), some("befores", "at").alias("before_at"), "before_of")
+
+
 def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
     """COLUMNS, one row per row of docs. Documents whose id's remainder is held_out are not learned from."""
     spark = docs.sparkSession
@@ -450,6 +481,7 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
     priced = keyed.join(lengths, "key").select(F.col("shard").alias("of"), "at", "lp")
 
     def price(left: pa.Table, right: pa.Table) -> pa.Table:
+        common.hand_back()
         blocks_, sizes, keys = (left.column(x).combine_chunks()[0].values for x in ("blocks", "sizes", "keys"))
         lp = np.zeros(len(keys), "<f4")
         lp[right.column("at").to_numpy()] = right.column("lp").to_numpy()
@@ -458,6 +490,7 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
         return pa.table([blocks_, pa.array([shard] * len(at), pa.int32()), pa.array([_turned(lp[x]) for x in at], pa.binary())], ["of_block", "shard", "lp"])
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        common.hand_back()
         codes = _array(left.column("codes")[0].as_py(), "<u4")
         ids, out, n_tokens, words, event_at, before_at = (left.column(x).combine_chunks()[0].values for x in ("doc_id", "held_out", "n_tokens", "words", "event_at", "before_at"))
         words = {x["shard"]: [_array(x[y], z) for y, z in (("code", "<u4"), ("text", "u1"), ("size", "<u4"))] for x in words.to_pylist()}
@@ -470,6 +503,7 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
         word_begins[order] = np.cumsum(size, dtype=np.int64) - size
         stream, token_at, doc_at = spelling(codes, n_tokens - 1, raw, word_begins, word_sizes)
         keys = distinct(stream, doc_at, np.zeros(len(ids), bool))[0]
+        common.hand_back()
         pair_at = dict(dealt(common.mix64(keys), n))
         count, by_key = np.zeros(len(order), np.int64), np.zeros(len(keys), "<f4")
         for k, x, y in zip(*(right.column(x).to_pylist() for x in ("shard", "count", "lp")), strict=True):
@@ -486,9 +520,14 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
             begins = np.searchsorted(place, token_at[first + 1 : last + 1])
             token[first : last + 1] += np.add.reduceat(lp, np.concatenate([[0], begins]), dtype=float)
         del stream, token_at, keys, pair_at, by_key
-        doc = np.repeat(np.arange(len(ids)), n_tokens - 1)
-        sums = [np.bincount(doc, x[codes], len(ids)) for x in (count > 0, base(count))]
-        del doc, codes
+        common.hand_back()
+        sums, word_at = np.zeros((2, len(ids))), np.append(0, np.cumsum(n_tokens - 1))
+        for a in range(0, len(codes), SLICE):
+            x = codes[a : a + SLICE]
+            doc = np.searchsorted(word_at, np.arange(a, a + len(x)), "right") - 1
+            for k, y in enumerate((count > 0, base(count))):
+                sums[k] += np.bincount(doc, y[x], len(ids))
+        del codes
         sizes = _array(left.column("segments")[0].as_py(), "<u4").astype(np.int64)
         spelt = np.add.reduceat(token, np.cumsum(sizes) - sizes)
         before_of = _array(left.column("before_of")[0].as_py(), "<u4")
@@ -513,6 +552,5 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
     told = held.groupBy("shard").cogroup(priced.groupBy("of")).applyInArrow(price, "of_block long, shard int, lp binary")
     for more in (counts.drop("all", "known"), seen.select("of_block", "shard", "n"), sums):
         told = told.unionByName(more, allowMissingColumns=True)
-    some = lambda rows, *names: F.transform(rows, lambda x: F.struct(*(x[y].alias(y) for y in ("shard", *names))))
-    own = made.select("block", "doc_id", "held_out", "n_tokens", "codes", "segments", "n_segments", some("words", "code", "text", "size").alias("words"), some("events", "at").alias("event_at"), some("befores", "at").alias("before_at"), "before_of")
+    own = to_score(made)
     return own.groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(add, COLUMNS)

@@ -1,12 +1,13 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
-from loomgraph.llm import ppm
+from loomgraph.llm import common, ppm
 
 from .data import by_python, no_docs, odd_docs, odd_rows
 
@@ -191,3 +192,54 @@ def test_scores_are_those_of_a_plain_model(spark):
     assert sum(held) > 2
     for k, _ in rows:
         assert abs(got[k] - plain.score(plain.docs[k])) < 1e-4 * max(1, -got[k]), k
+
+
+def peak(call):
+    """Of the bytes that call holds at once, those that it does not return."""
+    tracemalloc.start()
+    try:
+        out = call()
+        held, most = tracemalloc.get_traced_memory()
+        return out, most - held
+    finally:
+        tracemalloc.stop()
+
+
+def test_segments_hold_little_more_than_their_tokens():
+    token = common.mix64(np.random.default_rng(1).integers(0, 5000, 1_000_000).astype(np.uint64))
+    begins = np.append(np.arange(0, 900_000, 300_000), 1_000_000 - 1)
+    (at, own, before, first), most = peak(lambda: ppm.segments(token, begins))
+    assert most < 2 * token.nbytes
+    with np.errstate(over="ignore"):
+        ended = common.mix64(token[1:] + token[:-1] * ppm._FACTOR) % np.uint64(ppm.SEGMENT) == 0
+        assert at.tolist() == sorted({0, *(np.flatnonzero(ended[:-1]) + 2).tolist(), *begins.tolist()})
+        for k in (0, 1, len(at) // 2, len(at) - 1):
+            x = token[at[k] : at[k + 1] if k + 1 < len(at) else None]
+            assert own[k] == common.mix64(common.mix64(x + np.arange(len(x)).astype(np.uint64) * ppm._FACTOR).sum(keepdims=True))[0]
+    assert at[first].tolist() == begins.tolist() and (before[first] == ppm.START_HASH).all() and before[1] == own[0]
+
+
+def test_distinct_keys_are_merged_without_sorting_them_again():
+    stream = np.random.default_rng(2).integers(97, 123, 3 << 20).astype(np.uint8)
+    stream[: ppm.ORDER] = 32
+    (keys, n), most = peak(lambda: ppm.distinct(stream, np.array([ppm.ORDER]), np.array([True])))
+    assert (np.diff(keys) > 0).all() and n.sum() == len(stream) - ppm.ORDER and most < 3 * (keys.nbytes + n.nbytes)
+
+
+def test_workers_return_what_they_free():
+    """Arrays that are freed between others that stay are not kept beside all that comes later."""
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    np.zeros(30 << 20, np.uint8).fill(1)  # glibc's threshold is raised to what was freed
+    arrays = [np.ones(1 << 20, np.uint8) for _ in range(200)]
+    arrays = arrays[::2]
+    before = resident()
+    common.hand_back()
+    assert before - resident() > 50 << 20 and len(arrays) == 100
+
+
+def test_scoring_reads_only_what_it_needs_of_blocks(spark, tmp_path):
+    made = common.settled(spark.createDataFrame([], ppm.BLOCKS), f"{tmp_path}/blocks")
+    scan = ppm.to_score(made)._jdf.queryExecution().sparkPlan().collectLeaves().head().requiredSchema().catalogString()
+    assert "events:array<struct<shard:int,at:binary>>" in scan and "words:array<struct<shard:int,code:binary,text:binary,size:binary>>" in scan and "pairs" not in scan
