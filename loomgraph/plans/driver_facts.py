@@ -79,7 +79,7 @@ def facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         every = every.unionByName(x)
     sites = _rows(made["sites"], "call_sites", is_navigation=F.lit(False), receiver_declared=F.lit(True))
     found = {"symbols": every, "files": _rows(made["files"], "files"), "imports": _rows(made["imports"], "imports"), "call_sites": sites, "inheritance_refs": _rows(made["refs"], "inheritance_refs")}
-    return {name: cut(df) for name, df in found.items()}  # each is read many times
+    return {name: df if name == "call_sites" else cut(df) for name, df in found.items()}  # sites are read once at most, the others many times
 
 
 # The resolver's rules once more, as the oracle's SQL.
